@@ -56,6 +56,42 @@ def daily_state(snap: DataFrame) -> DataFrame:
         "seller_id", "seller_account_id", "seller_title", "seller_link", "rating", "last"))
 
 
+def compact_hist(hist: Column) -> Column:
+    """Canonical histogram: sorted by price, equal prices merged (one entry per distinct price)."""
+    empty = F.array().cast("array<struct<price:bigint,n:bigint>>")
+
+    def step(acc, x):
+        last = F.element_at(acc, -1)
+        merged = F.concat(F.slice(acc, 1, F.size(acc) - 1),
+                          F.array(F.struct(x["price"].alias("price"), (last["n"] + x["n"]).alias("n"))))
+        return F.when((F.size(acc) > 0) & (last["price"] == x["price"]), merged).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.array_sort(hist), empty, step)
+
+
+def finalise_daily(daily: DataFrame) -> DataFrame:
+    """Daily states with the mergeable columns finalised (medians, last values) for reading.
+
+    The regrouping is on the key the states are already partitioned by, so it
+    adds no shuffle.
+    """
+    p = daily.select("*", F.posexplode_outer(F.concat(
+        F.transform("price_hist", lambda x: F.struct(F.lit(0).alias("t"), x["price"].alias("price"), x["n"].alias("n"))),
+        F.transform("full_price_hist", lambda x: F.struct(F.lit(1).alias("t"), x["price"].alias("price"),
+                                                          x["n"].alias("n"))))).alias("_pos", "_h"))
+
+    def hist_median(tag: int) -> Column:
+        sel = F.col("_h.t") == tag
+        return F.percentile(F.when(sel, F.col("_h.price")), F.lit(0.5), F.when(sel, F.col("_h.n")).otherwise(F.lit(0)))
+
+    keep = [c for c in daily.columns if c not in KEY and c not in ("price_hist", "full_price_hist", "last")]
+    return (p.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in keep], F.first("last").alias("last"),
+                                hist_median(0).alias("median_price"), hist_median(1).alias("median_full_price"))
+            .select(*KEY, *keep, "median_price", "median_full_price",
+                    F.col("last.title").alias("title"), F.col("last.photo_key").alias("photo_key"),
+                    F.col("last.reviews_amount").alias("reviews_amount")))
+
+
 def merge_daily(states: DataFrame) -> DataFrame:
     """Merge daily states with the same (product, sku, date) -- the background merge of J1."""
     return (states.groupBy(*KEY)
@@ -64,8 +100,8 @@ def merge_daily(states: DataFrame) -> DataFrame:
                  F.max("max_total_order_amount").alias("max_total_order_amount"),
                  F.min("min_available_amount").alias("min_available_amount"),
                  F.max("max_available_amount").alias("max_available_amount"),
-                 F.flatten(F.collect_list("price_hist")).alias("price_hist"),
-                 F.flatten(F.collect_list("full_price_hist")).alias("full_price_hist"),
+                 compact_hist(F.flatten(F.collect_list("price_hist"))).alias("price_hist"),
+                 compact_hist(F.flatten(F.collect_list("full_price_hist"))).alias("full_price_hist"),
                  F.max("seller_id").alias("seller_id"),
                  F.max("seller_account_id").alias("seller_account_id"),
                  F.max("seller_title").alias("seller_title"),
@@ -97,19 +133,20 @@ def product_days(daily: DataFrame, keys: list[str] | tuple = (), with_full_price
         return F.percentile(F.when(sel, F.col("_h.price")), F.lit(0.5),
                             F.when(sel, F.col("_h.n")).otherwise(F.lit(0)))
 
-    aggs = [F.min("min_total_order_amount").alias("mn"),
-            F.max("max_total_order_amount").alias("mx"),
-            F.min("min_available_amount").alias("stock"),
-            F.sum(F.when(first, F.col("min_available_amount"))).alias("stock_sum"),
-            hist_median(0).alias("med"),
-            F.max("last").alias("last"),
-            F.max("seller_id").alias("seller_id"),
-            F.max("seller_account_id").alias("seller_account_id"),
-            F.max("seller_title").alias("seller_title"),
-            F.max("seller_link").alias("seller_link"),
-            F.max("rating").alias("rating")]
+    aggs = {"mn": F.min("min_total_order_amount"),
+            "mx": F.max("max_total_order_amount"),
+            "stock": F.min("min_available_amount"),
+            "stock_sum": F.sum(F.when(first, F.col("min_available_amount"))),
+            "med": hist_median(0),
+            "last": F.max("last"),
+            "seller_id": F.max("seller_id"),
+            "seller_account_id": F.max("seller_account_id"),
+            "seller_title": F.max("seller_title"),
+            "seller_link": F.max("seller_link"),
+            "rating": F.max("rating")}
     if with_full_price:
-        aggs.append(hist_median(1).alias("full_med"))
+        aggs["full_med"] = hist_median(1)
+    aggs = [e.alias(n) for n, e in aggs.items() if n not in keys]
     return exploded.groupBy(*keys, "product_id", "date").agg(*aggs)
 
 

@@ -53,8 +53,294 @@ def category_daily() -> str:
            FROM agg""")
 
 
+EV_TS = "TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-30 23:59:59.999999'"
+EV_D = f"DATE '{EV_FROM}' AND DATE '{EV_TO}'"
+PAGE = 10000
+
+
+def half_up(num: str, den: str, scale: int) -> str:
+    """round(num / den, scale) half away from zero in integer arithmetic; NULL when den <= 0."""
+    f = 10 ** scale
+    return (f"CASE WHEN {den} > 0 THEN sign({num}) * ((abs({num}) * {2 * f} + {den}) // (2 * ({den}))) / {f} END")
+
+
+def scoped_src(src: str = "snap_events", where: str = f"r.date BETWEEN {EV_D}") -> str:
+    return f"SELECT s.scope_id, r.* FROM {src} r JOIN scope s ON r.category_id = s.category_id WHERE {where}"
+
+
+def category_adhoc() -> str:
+    return with_ctes(
+        ["snap_events", "scope"],
+        [("src", scoped_src()), ("pd", pd_cte("src", "scope_id", "TRUE")), ("po", orders_cte("pd", "scope_id")),
+         ("agg", """SELECT scope_id, CAST(sum(orders) AS BIGINT) AS order_amount,
+                           CAST(sum(stock) AS BIGINT) AS available_amount, sum(orders * med) AS revenue,
+                           median(med) AS med_all FROM po GROUP BY scope_id"""),
+         ("dist", """SELECT scope_id, count(DISTINCT seller_id) AS seller_count,
+                            count(DISTINCT product_id) AS product_count FROM src GROUP BY scope_id""")],
+        """SELECT scope_id AS category_id, order_amount, available_amount, revenue,
+                  CASE WHEN order_amount > 0 THEN med_all ELSE 0.0 END AS median_price,
+                  CASE WHEN order_amount > 0 THEN revenue / order_amount ELSE 0.0 END AS avg_bill,
+                  seller_count, product_count,
+                  order_amount / NULLIF(product_count, 0) AS order_per_product,
+                  order_amount / NULLIF(seller_count, 0) AS order_per_seller,
+                  CASE WHEN order_amount > 0 THEN revenue / product_count ELSE 0.0 END AS revenue_per_product
+           FROM agg JOIN dist USING (scope_id)""")
+
+
+def category_overall() -> str:
+    return with_ctes(
+        ["snap_events", "scope"],
+        [("src", scoped_src(where=f"r.ts BETWEEN {EV_TS}")),
+         ("pp", """SELECT scope_id, product_id, max(total_orders_amount) - min(total_orders_amount) AS o,
+                          median(purchase_price) AS p, max(seller_id) AS s FROM src GROUP BY scope_id, product_id"""),
+         ("prod", """SELECT scope_id, CAST(sum(CASE WHEN o > 0 THEN p * 2 END) AS BIGINT) AS p2,
+                            count(*) FILTER (WHERE o > 0) AS n,
+                            sum(CASE WHEN o > 0 THEN o * p END) / 100 AS revenue,
+                            CAST(sum(CASE WHEN o > 0 THEN o END) AS BIGINT) AS order_count,
+                            count(*) FILTER (WHERE o <= 0) AS product_zero_sales_count
+                     FROM pp GROUP BY scope_id"""),
+         ("sell", """SELECT scope_id, count(*) FILTER (WHERE so <= 0) AS seller_with_zero_sales_count
+                     FROM (SELECT scope_id, s, sum(o) AS so FROM pp GROUP BY scope_id, s) GROUP BY scope_id"""),
+         ("dist", """SELECT scope_id, count(DISTINCT seller_id) AS seller_counts,
+                            count(DISTINCT product_id) AS product_counts FROM src GROUP BY scope_id""")],
+        f"""SELECT scope_id AS category_id, {half_up('p2', 'n * 200', 2)} AS avg_price, revenue, order_count,
+                   seller_counts, product_counts, {half_up('order_count', 'seller_counts', 3)} AS sales_per_seller,
+                   seller_with_zero_sales_count, product_zero_sales_count
+            FROM prod JOIN sell USING (scope_id) JOIN dist USING (scope_id)""")
+
+
+def _report_pd(key_src: str, key: str) -> str:
+    return f"""
+        SELECT {key}, product_id, date, min(total_orders_amount) AS mn, max(total_orders_amount) AS mx,
+               min(available_amount) AS stock, median(purchase_price) AS med, max(seller_title) AS seller_title,
+               max(seller_id) AS seller_id, arg_max(category_id, ts) AS cat, arg_max(title, ts) AS title
+        FROM {key_src} GROUP BY {key}, product_id, date"""
+
+
+def _report_rows(key: str) -> list[tuple[str, str]]:
+    return [
+        ("rows", f"""SELECT {key}, product_id, arg_max(seller_title, date) AS seller_title,
+                            arg_max(seller_id, date) AS seller_id, arg_max(cat, date) AS latest_category_id,
+                            arg_max(stock, date) AS available_amounts, arg_max(med / 100, date) AS purchase_price,
+                            arg_max(title, date) AS name, list(orders ORDER BY date) AS order_graph,
+                            list(stock ORDER BY date) AS available_amount_graph,
+                            list(med / 100 ORDER BY date) AS price_graph, sum(orders * med) / 100 AS sales
+                     FROM po GROUP BY {key}, product_id"""),
+        ("ranked", f"""SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY product_id) AS rn,
+                              count(*) OVER (PARTITION BY {key}) AS total FROM rows"""),
+    ]
+
+
+REPORT_COLS = """product_id, seller_title, seller_id, latest_category_id, available_amounts, purchase_price, name,
+                 order_graph, available_amount_graph, price_graph, sales, total, c.title AS category_name"""
+
+
+def category_report() -> str:
+    return with_ctes(
+        ["snap_events", "scope"],
+        [("src", scoped_src()), ("pd", _report_pd("src", "scope_id")), ("po", orders_cte("pd", "scope_id")),
+         *_report_rows("scope_id")],
+        f"""SELECT scope_id AS category_id, {REPORT_COLS}
+            FROM ranked r LEFT JOIN categories c ON c.category_id = r.latest_category_id
+            WHERE rn BETWEEN 1 AND {PAGE}""")
+
+
+def seller_report() -> str:
+    return with_ctes(
+        ["snap_events", "categories"],
+        [("src", f"SELECT * FROM snap_events WHERE date BETWEEN {EV_D}"), ("pd", _report_pd("src", "seller_link")),
+         ("po", orders_cte("pd", "seller_link")), *_report_rows("seller_link")],
+        f"""SELECT seller_link, {REPORT_COLS}
+            FROM ranked r LEFT JOIN categories c ON c.category_id = r.latest_category_id
+            WHERE rn BETWEEN 1 AND {PAGE}""")
+
+
+def category_closure() -> str:
+    return with_ctes(["closure_deep"], [], "SELECT ancestor, descendant, depth FROM closure_deep")
+
+
+def category_info() -> str:
+    return with_ctes(
+        ["categories"],
+        [("ch", """SELECT parent_category_id AS category_id, list(category_id ORDER BY category_id) AS children_ids
+                   FROM categories WHERE parent_category_id <> 0 GROUP BY parent_category_id""")],
+        """SELECT c.category_id, c.title AS name, c.parent_category_id AS parent_id,
+                  coalesce(ch.children_ids, CAST([] AS BIGINT[])) AS children_ids
+           FROM categories c LEFT JOIN ch USING (category_id)""")
+
+
+def daily_state() -> str:
+    return with_ctes(["snap_events"], [], """
+        SELECT product_id, sku_id, date, max(category_id) AS category_id,
+               min(total_orders_amount) AS min_total_order_amount, max(total_orders_amount) AS max_total_order_amount,
+               min(available_amount) AS min_available_amount, max(available_amount) AS max_available_amount,
+               max(seller_id) AS seller_id, max(seller_account_id) AS seller_account_id,
+               max(seller_title) AS seller_title, max(seller_link) AS seller_link, max(rating) AS rating,
+               median(purchase_price) AS median_price, median(full_price) AS median_full_price,
+               arg_max(title, ts) AS title, arg_max(photo_key, ts) AS photo_key,
+               arg_max(reviews_amount, ts) AS reviews_amount
+        FROM snap_events GROUP BY product_id, sku_id, date""")
+
+
+def first_discovered() -> str:
+    return with_ctes(["snap_events"], [], """
+        SELECT product_id, sku_id, min(ts) AS first_discovered FROM snap_events GROUP BY product_id, sku_id""")
+
+
+def sku_history() -> str:
+    return with_ctes(
+        ["snap_events"],
+        [("day", f"""
+            SELECT product_id, sku_id, date, arg_min(title, ts) AS title, min(available_amount) AS amin,
+                   max(available_amount) AS amax, arg_max(available_amount, ts) AS alast,
+                   max(total_orders_amount) - min(total_orders_amount) AS toa_diff,
+                   max(total_available_amount) AS total_available_amount,
+                   max(reviews_amount) - min(reviews_amount) AS review_amount,
+                   median(purchase_price) AS med,
+                   arg_min(full_price, ts) FILTER (WHERE full_price IS NOT NULL) AS full_price_any,
+                   arg_min(photo_key, ts) AS photo_key
+            FROM snap_events WHERE ts BETWEEN {EV_TS} GROUP BY product_id, sku_id, date"""),
+         ("w", """SELECT *, coalesce(lag(alast) OVER (PARTITION BY product_id, sku_id ORDER BY date), 0) AS prev_last,
+                  FROM day"""),
+         ("o", """SELECT *, CASE WHEN amax > prev_last THEN 0 ELSE amax - amin END AS diff FROM w"""),
+         ("f", """SELECT *, CASE WHEN diff < 0 OR (diff > 0 AND toa_diff = 0) THEN 0 ELSE diff END AS oa FROM o""")],
+        """SELECT date, product_id, sku_id, title, oa AS order_amount, review_amount, full_price_any / 100 AS full_price,
+                  med / 100 AS purchase_price, photo_key, oa * (med / 100) AS sales_amount,
+                  alast AS available_amount, total_available_amount FROM f""")
+
+
+def products_sales() -> str:
+    return with_ctes(
+        ["snap_events"],
+        [("src", f"SELECT * FROM snap_events WHERE ts BETWEEN {EV_TS}"),
+         ("pd", pd_cte("src", "", "TRUE", """, max(seller_title) AS seller_title, max(seller_link) AS seller_link,
+                max(seller_account_id) AS seller_account_id, arg_max(title, ts) AS title""")),
+         ("po", orders_cte("pd", ""))],
+        f"""SELECT product_id, arg_min(title, date) AS title, CAST(sum(orders) AS BIGINT) AS order_amount,
+                   sum(orders * med) / 100 AS sales_amount, arg_min(seller_title, date) AS seller_title,
+                   arg_min(seller_link, date) AS seller_link, arg_min(seller_account_id, date) AS seller_account_id,
+                   CAST(sum(orders) AS BIGINT) / (DATE '{EV_TO}' - DATE '{EV_FROM}') AS daily_order_amount
+            FROM po GROUP BY product_id""")
+
+
+def products_order_chart() -> str:
+    return with_ctes(
+        ["snap_events"],
+        [("d", f"""SELECT product_id, date, max(total_orders_amount) - min(total_orders_amount) AS order_amount
+                   FROM snap_events WHERE date BETWEEN {EV_D} GROUP BY product_id, date""")],
+        "SELECT product_id, list(order_amount ORDER BY date) AS order_amount_chart FROM d GROUP BY product_id")
+
+
+def product_daily_card() -> str:
+    return with_ctes(
+        ["snap_events", "categories"],
+        [("src", f"SELECT * FROM snap_events WHERE date BETWEEN {EV_D}"),
+         ("pd", pd_cte("src", "", "TRUE", """, median(full_price) AS full_med, max(seller_link) AS seller_link,
+                max(seller_title) AS seller_title, max(rating) AS rating, arg_max(title, ts) AS title,
+                arg_max(category_id, ts) AS category_id, arg_max(reviews_amount, ts) AS review_amount,
+                arg_max(photo_key, ts) AS photo_key""")),
+         ("po", orders_cte("pd", "")),
+         ("st", """SELECT product_id, date, sum(m) AS stock_sum FROM (
+                       SELECT product_id, sku_id, date, min(available_amount) AS m FROM src
+                       GROUP BY product_id, sku_id, date) GROUP BY product_id, date"""),
+         ("bounds", "SELECT product_id, min(date) AS lo, max(date) AS last_obs FROM po GROUP BY product_id"),
+         ("cal", f"""SELECT product_id, CAST(unnest(generate_series(lo,
+                            CASE WHEN last_obs >= DATE '{EV_TO}' THEN DATE '{EV_TO}' ELSE DATE '{EV_TO}' - 1 END,
+                            INTERVAL 1 DAY)) AS DATE) AS date FROM bounds"""),
+         ("charts", """SELECT c.product_id, list(coalesce(po.med / 100, 0.0) ORDER BY c.date) AS price_chart,
+                              list(coalesce(po.orders * po.med / 100, 0.0) ORDER BY c.date) AS revenue_chart,
+                              list(coalesce(po.orders, 0) ORDER BY c.date) AS order_chart
+                       FROM cal c LEFT JOIN po USING (product_id, date) GROUP BY c.product_id"""),
+         ("scal", """SELECT po.product_id, arg_max(title, po.date) AS title, arg_max(category_id, po.date) AS category_id,
+                            arg_max(seller_link, po.date) AS seller_link, arg_max(seller_title, po.date) AS seller_title,
+                            arg_max(med / 100, po.date) AS price, arg_max_null(full_med / 100, po.date) AS full_price,
+                            arg_max(review_amount, po.date) AS review_amount, arg_max(photo_key, po.date) AS photo_key,
+                            arg_max(rating, po.date) AS rating, sum(orders * med) / 100 AS revenue_sum,
+                            list(st.stock_sum ORDER BY po.date) AS available_chart
+                     FROM po JOIN st USING (product_id, date) GROUP BY po.product_id"""),
+         ("fd", "SELECT product_id, min(date) AS first_discovered FROM snap_events GROUP BY product_id")],
+        """SELECT s.*, ch.price_chart, ch.revenue_chart, ch.order_chart, fd.first_discovered,
+                  coalesce(c.title, 'unknown') AS category_name
+           FROM scal s JOIN charts ch USING (product_id) JOIN fd USING (product_id)
+           LEFT JOIN categories c ON c.category_id = s.category_id""")
+
+
+def _seller_po() -> list[tuple[str, str]]:
+    return [("src", f"SELECT * FROM snap_events WHERE date BETWEEN {EV_D}"),
+            ("pd", pd_cte("src", "seller_link", "TRUE")), ("po", orders_cte("pd", "seller_link"))]
+
+
+SELLER_OVERALL = """SELECT seller_link, CAST(sum(o) AS BIGINT) AS order_amount, sum(r) / 100 AS revenue,
+                           count(*) AS product_count, count(*) FILTER (WHERE o > 0) AS product_with_sales,
+                           count(*) FILTER (WHERE o <= 0) AS product_without_sales,
+                           round(sum(p) / NULLIF(count(*) FILTER (WHERE o > 0), 0)) AS avg_price
+                    FROM (SELECT seller_link, product_id, sum(orders) AS o, sum(orders * med) AS r, avg(med / 100) AS p
+                          FROM po GROUP BY seller_link, product_id) GROUP BY seller_link"""
+
+
+def seller_overall() -> str:
+    return with_ctes(["snap_events"], _seller_po(), SELLER_OVERALL)
+
+
+def seller_order_dynamic() -> str:
+    return with_ctes(["snap_events"], _seller_po(), """
+        SELECT seller_link, date, CAST(sum(orders) AS BIGINT) AS order_amount FROM po GROUP BY seller_link, date""")
+
+
+def seller_card() -> str:
+    return with_ctes(
+        ["snap_events"],
+        [*_seller_po(), ("ov", SELLER_OVERALL),
+         ("dyn", """SELECT seller_link, date, CAST(sum(orders) AS BIGINT) AS order_amount FROM po
+                    GROUP BY seller_link, date"""),
+         ("dl", """SELECT seller_link, list({'date': date, 'order_amount': order_amount} ORDER BY date) AS sales_dynamic
+                   FROM dyn GROUP BY seller_link""")],
+        "SELECT ov.*, dl.sales_dynamic FROM ov LEFT JOIN dl USING (seller_link)")
+
+
+def seller_shops() -> str:
+    return with_ctes(
+        ["snap_events", "sellers"],
+        [("links", "SELECT DISTINCT seller_link AS request_link FROM snap_events"),
+         ("owners", """SELECT l.request_link, s.account_id FROM links l JOIN sellers s ON s.link = l.request_link""")],
+        """SELECT o.request_link, s.title, s.link AS shop_link, o.account_id
+           FROM owners o JOIN sellers s USING (account_id)""")
+
+
+def position_history() -> str:
+    return with_ctes(
+        ["positions"],
+        [("p", f"""SELECT category_id, product_id, sku_id, CAST(ts AS DATE) AS date, arg_max(position, ts) AS position
+                   FROM positions
+                   WHERE ts BETWEEN TIMESTAMP '{EV_FROM} 00:00:00' AND TIMESTAMP '{EV_TO} 00:00:00'
+                   GROUP BY category_id, product_id, sku_id, CAST(ts AS DATE)"""),
+         ("k", "SELECT DISTINCT category_id, product_id, sku_id FROM p"),
+         ("days", f"""SELECT CAST(unnest(generate_series(DATE '{EV_FROM}', DATE '{EV_TO}' - 1, INTERVAL 1 DAY)) AS DATE)
+                      AS date"""),
+         ("cal", "SELECT k.*, days.date FROM k CROSS JOIN days")],
+        """SELECT category_id, product_id, sku_id, date, coalesce(p.position, 0) AS position
+           FROM cal FULL OUTER JOIN p USING (category_id, product_id, sku_id, date)""")
+
+
 ORACLE = {
     "category_daily": category_daily,
+    "category_adhoc": category_adhoc,
+    "category_overall": category_overall,
+    "category_report": category_report,
+    "category_closure": category_closure,
+    "category_info": category_info,
+    "daily_state": daily_state,
+    "product_first_discovered": first_discovered,
+    "product_sku_history": sku_history,
+    "products_sales": products_sales,
+    "products_order_chart": products_order_chart,
+    "product_daily_card": product_daily_card,
+    "seller_overall": seller_overall,
+    "seller_order_dynamic": seller_order_dynamic,
+    "seller_report": seller_report,
+    "seller_card": seller_card,
+    "seller_shops": seller_shops,
+    "position_history": position_history,
 }
 
 

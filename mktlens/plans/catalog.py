@@ -2,8 +2,8 @@
 
 Each entry takes ``(spark, sf_dir)`` and returns a lazily planned DataFrame
 over the whole input tables. Category queries answer for every scope of the
-forest at once and product queries for every product, so nothing is cut to an
-id subset.
+forest at once and product / seller queries for every product / seller, so
+nothing is cut to an id subset.
 """
 
 from __future__ import annotations
@@ -16,8 +16,14 @@ from ..operators import daily as D
 from ..operators import hierarchy as H
 from ..sources import fixtures as X
 from . import categories as C
+from . import positions as P
+from . import products as PR
+from . import sellers as SE
 
+# Query parameters (fixed values of the registered queries).
 EV_FROM, EV_TO = "2024-01-02", "2024-01-30"
+EV_TS_FROM, EV_TS_TO = "2024-01-02 00:00:00", "2024-01-30 23:59:59.999999"
+REPORT_PAGE = 10000  # the report page size of the service; paging itself is tested in tests/
 
 
 def _events_daily(spark, sf):
@@ -32,6 +38,93 @@ def q_category_daily(spark: SparkSession, sf: str) -> DataFrame:
     return C.category_daily(_events_daily(spark, sf), _scope(spark, sf), EV_FROM, EV_TO)
 
 
+def q_category_adhoc(spark, sf):
+    return C.category_adhoc(_events_daily(spark, sf), _scope(spark, sf), EV_FROM, EV_TO)
+
+
+def q_category_overall(spark, sf):
+    return C.category_overall(X.snap_events(spark, sf), _scope(spark, sf), EV_TS_FROM, EV_TS_TO)
+
+
+def q_category_report(spark, sf):
+    return C.category_sales_report(_events_daily(spark, sf), _scope(spark, sf), X.categories(spark, sf),
+                                   EV_FROM, EV_TO, REPORT_PAGE, 0)
+
+
+def q_category_closure(spark, sf):
+    return H.category_closure(X.categories_deep(spark, sf))
+
+
+def q_category_info(spark, sf):
+    return H.category_info(X.categories(spark, sf))
+
+
+def q_daily_state(spark, sf):
+    return D.finalise_daily(_events_daily(spark, sf))
+
+
+def q_first_discovered(spark, sf):
+    return PR.first_discovered(X.snap_events(spark, sf))
+
+
+def q_sku_history(spark, sf):
+    return PR.sku_history(X.snap_events(spark, sf), EV_TS_FROM, EV_TS_TO)
+
+
+def q_products_sales(spark, sf):
+    return PR.products_sales(X.snap_events(spark, sf), EV_TS_FROM, EV_TS_TO, EV_FROM, EV_TO)
+
+
+def q_products_order_chart(spark, sf):
+    return PR.products_order_chart(_events_daily(spark, sf), EV_FROM, EV_TO)
+
+
+def q_product_daily_card(spark, sf):
+    return PR.product_daily_card(_events_daily(spark, sf), X.categories(spark, sf), EV_FROM, EV_TO)
+
+
+def q_seller_overall(spark, sf):
+    return SE.seller_overall(_events_daily(spark, sf), EV_FROM, EV_TO)
+
+
+def q_seller_order_dynamic(spark, sf):
+    return SE.seller_order_dynamic(_events_daily(spark, sf), EV_FROM, EV_TO)
+
+
+def q_seller_report(spark, sf):
+    return SE.seller_sales_report(_events_daily(spark, sf), X.categories(spark, sf), EV_FROM, EV_TO, REPORT_PAGE, 0)
+
+
+def q_seller_card(spark, sf):
+    return SE.seller_card(_events_daily(spark, sf), EV_FROM, EV_TO)
+
+
+def q_seller_shops(spark, sf):
+    links = X.snap_events(spark, sf).select(X.F.col("seller_link").alias("link"))
+    return SE.seller_shops(X.sellers(spark, sf), links)
+
+
+def q_position_history(spark, sf):
+    return P.position_history(X.positions(spark, sf), EV_FROM, EV_TO)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_daily": q_category_daily,
+    "category_adhoc": q_category_adhoc,
+    "category_overall": q_category_overall,
+    "category_report": q_category_report,
+    "category_closure": q_category_closure,
+    "category_info": q_category_info,
+    "daily_state": q_daily_state,
+    "product_first_discovered": q_first_discovered,
+    "product_sku_history": q_sku_history,
+    "products_sales": q_products_sales,
+    "products_order_chart": q_products_order_chart,
+    "product_daily_card": q_product_daily_card,
+    "seller_overall": q_seller_overall,
+    "seller_order_dynamic": q_seller_order_dynamic,
+    "seller_report": q_seller_report,
+    "seller_card": q_seller_card,
+    "seller_shops": q_seller_shops,
+    "position_history": q_position_history,
 }

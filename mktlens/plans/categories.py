@@ -32,3 +32,72 @@ def category_daily(daily: DataFrame, scope: DataFrame, date_from: str, date_to:
                     F.when(F.col("order_amount") <= 0, F.lit(0.0))
                     .otherwise(F.col("revenue") / F.col("order_amount")).alias("average_bill"),
                     "available_amount"))
+
+
+def _with_distincts(daily: DataFrame, scope: DataFrame, date_from: str, date_to: str, prefix: str = "") -> DataFrame:
+    """Exact distinct sellers / products per scope over a date range of the daily table."""
+    d = _scoped(daily, scope, date_from, date_to)
+    return d.groupBy("scope_id").agg(F.count_distinct("seller_id").alias(f"{prefix}seller_count"),
+                                     F.count_distinct("product_id").alias(f"{prefix}product_count"))
+
+
+def category_adhoc(daily: DataFrame, scope: DataFrame, date_from: str, date_to: str) -> DataFrame:
+    """Q11: category metrics for any range straight from daily states (money in minor units)."""
+    days = with_orders(product_days(_scoped(daily, scope, date_from, date_to), ["scope_id"]), ["scope_id"])
+    agg = (days.groupBy("scope_id")
+           .agg(F.sum("orders").alias("order_amount"),
+                F.sum("stock").alias("available_amount"),
+                F.sum("revenue_minor").alias("revenue"),
+                F.percentile("med", 0.5).alias("_median")))
+    o, r = F.col("order_amount"), F.col("revenue")
+    return (agg.join(_with_distincts(daily, scope, date_from, date_to), "scope_id")
+            .select(F.col("scope_id").alias("category_id"), "order_amount", "available_amount", "revenue",
+                    F.when(o > 0, F.col("_median")).otherwise(F.lit(0.0)).alias("median_price"),
+                    F.when(o > 0, r / o).otherwise(F.lit(0.0)).alias("avg_bill"),
+                    "seller_count", "product_count",
+                    F.try_divide(o.cast("double"), F.col("product_count")).alias("order_per_product"),
+                    F.try_divide(o.cast("double"), F.col("seller_count")).alias("order_per_seller"),
+                    F.when(o > 0, r / F.col("product_count")).otherwise(F.lit(0.0)).alias("revenue_per_product")))
+
+
+def category_overall(snap: DataFrame, scope: DataFrame, ts_from: str, ts_to: str) -> DataFrame:
+    """Q4: category overview over raw snapshots (no gap correction: order = max - min over the range).
+
+    The per-product aggregate is computed once and feeds the product, the
+    seller and the scope level.
+    """
+    from ..functions.numeric import round_ratio_half_up
+    from ..operators.daily import ts_between
+
+    s = ts_between(snap, ts_from, ts_to).join(scope, "category_id")
+    per_product = (s.groupBy("scope_id", "product_id")
+                   .agg((F.max("total_orders_amount") - F.min("total_orders_amount")).alias("o"),
+                        F.percentile("purchase_price", 0.5).alias("p"),
+                        F.max("seller_id").alias("s")))
+    sold = F.col("o") > 0
+    prod = (per_product.groupBy("scope_id")
+            .agg(F.sum(F.when(sold, F.col("p") * 2)).cast("long").alias("_p2"),
+                 F.count_if(sold).alias("_n"),
+                 (F.sum(F.when(sold, F.col("o") * F.col("p"))) / 100).alias("revenue"),
+                 F.sum(F.when(sold, F.col("o"))).alias("order_count"),
+                 F.count_if(~sold).alias("product_zero_sales_count")))
+    dist = s.groupBy("scope_id").agg(F.count_distinct("seller_id").alias("seller_counts"),
+                                     F.count_distinct("product_id").alias("product_counts"))
+    per_seller = per_product.groupBy("scope_id", "s").agg(F.sum("o").alias("so"))
+    sell = (per_seller.groupBy("scope_id")
+            .agg(F.count_if(F.col("so") <= 0).alias("seller_with_zero_sales_count")))
+    return (prod.join(sell, "scope_id").join(dist, "scope_id")
+            .select(F.col("scope_id").alias("category_id"),
+                    round_ratio_half_up(F.col("_p2"), F.col("_n") * 200, 2).alias("avg_price"),
+                    "revenue", "order_count", "seller_counts", "product_counts",
+                    round_ratio_half_up(F.col("order_count"), F.col("seller_counts"), 3).alias("sales_per_seller"),
+                    "seller_with_zero_sales_count", "product_zero_sales_count"))
+
+
+def category_sales_report(daily: DataFrame, scope: DataFrame, categories: DataFrame, date_from: str, date_to: str,
+                          limit: int, offset: int) -> DataFrame:
+    """Q8: report rows for every category scope."""
+    from .sellers import sales_report_rows
+
+    days = with_orders(product_days(_scoped(daily, scope, date_from, date_to), ["scope_id"]), ["scope_id"])
+    return sales_report_rows(days, "scope_id", categories, limit, offset).withColumnRenamed("scope_id", "category_id")
