@@ -346,3 +346,236 @@ ORACLE = {
 
 def oracle_sql() -> dict[str, str]:
     return {k: f() for k, f in ORACLE.items()}
+
+
+# ------------------------------------------------------------------ rollups
+
+from ..plans.rollups import period_bounds  # noqa: E402
+
+EV_AS_OF, LI_AS_OF = "2024-01-31", "2000-06-30"
+EV_PERIODS = ["WEEK", "TWO_WEEK", "MONTH", "TWO_MONTH"]
+Q13_PERIODS = ["WEEK", "TWO_WEEK"]
+LI_PERIODS = ["MONTH", "TWO_MONTH"]
+
+ORDERS_4_RAW = ORDERS_4.replace("GREATEST(", "(").replace(", 0)", ")")
+
+
+def win_values(as_of: str, periods: list[str], with_prev: bool) -> str:
+    rows = []
+    for p in periods:
+        for kind in (["cur", "prev"] if with_prev else ["cur"]):
+            lo, hi = period_bounds(as_of, p, kind == "prev")
+            rows.append(f"('{p}', '{kind}', DATE '{lo}', DATE '{hi}')")
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") t(period, kind, lo, hi)"
+
+
+def _roots(scope: str, cats: str) -> str:
+    return f"""SELECT s.scope_id, s.category_id FROM {scope} s JOIN {cats} c ON c.category_id = s.scope_id
+               WHERE c.parent_category_id = 0"""
+
+
+def _j3_ctes() -> list[tuple[str, str]]:
+    return [
+        ("win3", win_values(LI_AS_OF, LI_PERIODS, True)),
+        ("rs3", _roots("scope_deep", "categories_deep")),
+        ("raw3", """SELECT w.period, w.kind, rs3.scope_id, r.* FROM snap_lineitem r JOIN rs3 USING (category_id)
+                    JOIN win3 w ON r.ts BETWEEN CAST(w.lo AS TIMESTAMP) AND CAST(w.hi AS TIMESTAMP)"""),
+        ("pd3", """SELECT period, kind, scope_id, product_id, date, min(total_orders_amount) AS mn,
+                          max(total_orders_amount) AS mx, min(total_available_amount) AS stock,
+                          median(purchase_price) AS med, max({'ts': ts, 'sku_id': sku_id, 'c': category_id}).c AS cat
+                   FROM raw3 GROUP BY period, kind, scope_id, product_id, date"""),
+        ("po3", orders_cte("pd3", "period, kind, scope_id")),
+        ("pc3", """SELECT period, kind, scope_id, cat AS category_id, CAST(sum(orders) AS BIGINT) AS order_amount,
+                          CAST(sum(stock) AS BIGINT) AS available_amount, sum(orders * med) AS revenue,
+                          median(med) AS med_all
+                   FROM po3 GROUP BY period, kind, scope_id, cat"""),
+        ("dist3", """SELECT w.period, w.kind, rs3.scope_id, count(DISTINCT seller_id) AS seller_count,
+                            count(DISTINCT product_id) AS product_count
+                     FROM snap_lineitem r JOIN rs3 USING (category_id) JOIN win3 w ON r.date BETWEEN w.lo AND w.hi
+                     GROUP BY w.period, w.kind, rs3.scope_id"""),
+        ("m3", """SELECT pc3.*, d.seller_count, d.product_count,
+                         CASE WHEN order_amount > 0 THEN med_all ELSE 0.0 END AS median_price,
+                         CASE WHEN order_amount > 0 THEN revenue / order_amount ELSE 0.0 END AS avg_bill,
+                         order_amount / NULLIF(product_count, 0) AS order_per_product,
+                         order_amount / NULLIF(seller_count, 0) AS order_per_seller,
+                         CASE WHEN order_amount > 0 THEN revenue / product_count ELSE 0.0 END AS revenue_per_product
+                  FROM pc3 JOIN dist3 d USING (period, kind, scope_id)"""),
+        ("j3", f"""SELECT c.period, c.category_id, {', '.join('c.' + x for x in J3_COLS)},
+                          {', '.join(f'p.{x} AS prev_{x}' for x in J3_COLS)}, DATE '{LI_AS_OF}' AS as_of
+                   FROM m3 c JOIN m3 p ON c.period = p.period AND c.scope_id = p.scope_id
+                        AND c.category_id = p.category_id AND c.kind = 'cur' AND p.kind = 'prev'"""),
+    ]
+
+
+J3_COLS = ["order_amount", "available_amount", "revenue", "median_price", "avg_bill", "seller_count",
+           "product_count", "order_per_product", "order_per_seller", "revenue_per_product"]
+Q10_COLS = ["order_amount", "available_amount", "revenue", "avg_bill", "seller_count", "product_count",
+            "order_per_product", "order_per_seller", "revenue_per_product"]
+
+
+def category_rollup_prev() -> str:
+    return with_ctes(["snap_lineitem", "scope_deep"], _j3_ctes(), "SELECT * FROM j3")
+
+
+def _q10_ctes() -> list[tuple[str, str]]:
+    ratios = []
+    for p in ("", "prev_"):
+        ratios += [f"CASE WHEN {p}order_amount > 0 THEN {p}revenue / {p}order_amount ELSE 0.0 END AS {p}avg_bill",
+                   f"CASE WHEN {p}order_amount > 0 THEN {p}order_amount / {p}product_count ELSE 0.0 END "
+                   f"AS {p}order_per_product",
+                   f"CASE WHEN {p}order_amount > 0 THEN {p}order_amount / {p}seller_count ELSE 0.0 END "
+                   f"AS {p}order_per_seller",
+                   f"CASE WHEN {p}order_amount > 0 THEN {p}revenue / {p}product_count ELSE 0.0 END "
+                   f"AS {p}revenue_per_product"]
+    return [
+        *_j3_ctes(),
+        ("s10", """SELECT j.period, sc.scope_id, CAST(sum(order_amount) AS BIGINT) AS order_amount,
+                          CAST(sum(available_amount) AS BIGINT) AS available_amount,
+                          CAST(sum(prev_order_amount) AS BIGINT) AS prev_order_amount,
+                          CAST(sum(prev_available_amount) AS BIGINT) AS prev_available_amount,
+                          sum(revenue) / 100 AS revenue, sum(prev_revenue) / 100 AS prev_revenue
+                   FROM j3 j JOIN scope_deep sc USING (category_id) GROUP BY j.period, sc.scope_id"""),
+        ("d10", """SELECT w.period, sc.scope_id,
+                          count(DISTINCT CASE WHEN w.kind = 'cur' THEN seller_id END) AS seller_count,
+                          count(DISTINCT CASE WHEN w.kind = 'cur' THEN product_id END) AS product_count,
+                          count(DISTINCT CASE WHEN w.kind = 'prev' THEN seller_id END) AS prev_seller_count,
+                          count(DISTINCT CASE WHEN w.kind = 'prev' THEN product_id END) AS prev_product_count
+                   FROM snap_lineitem r JOIN scope_deep sc USING (category_id)
+                   JOIN win3 w ON r.date BETWEEN w.lo AND w.hi GROUP BY w.period, sc.scope_id"""),
+        ("q10", f"""SELECT period, scope_id AS category_id, order_amount, available_amount, revenue,
+                           prev_order_amount, prev_available_amount, prev_revenue,
+                           seller_count, product_count, prev_seller_count, prev_product_count, {', '.join(ratios)}
+                    FROM s10 LEFT JOIN d10 USING (period, scope_id)"""),
+    ]
+
+
+def category_with_prev() -> str:
+    cols = ", ".join(Q10_COLS + [f"prev_{c}" for c in Q10_COLS])
+    return with_ctes(["snap_lineitem", "scope_deep"], _q10_ctes(), f"SELECT period, category_id, {cols} FROM q10")
+
+
+DIFF_METRICS = ["revenue", "revenue_per_product", "order_amount", "product_count", "seller_count", "avg_bill",
+                "order_per_seller", "order_per_product"]
+
+
+def category_cards() -> str:
+    cols = []
+    for p in ("", "prev_"):
+        rev2 = f"CAST(round({p}revenue * 200) AS BIGINT)"
+        oa, pc, sc = f"{p}order_amount", f"{p}product_count", f"{p}seller_count"
+        cols += [oa, f"{half_up(rev2, '200', 2)} AS {p}revenue",
+                 f"CASE WHEN {oa} > 0 THEN {half_up(rev2, f'{oa} * 200', 2)} ELSE 0.0 END AS {p}average_bill",
+                 sc, pc,
+                 f"CASE WHEN {oa} > 0 THEN {half_up(oa, pc, 2)} ELSE 0.0 END AS {p}order_per_product",
+                 f"CASE WHEN {oa} > 0 THEN {half_up(oa, sc, 2)} ELSE 0.0 END AS {p}order_per_seller",
+                 f"CASE WHEN {oa} > 0 THEN {half_up(rev2, f'{pc} * 200', 2)} ELSE 0.0 END AS {p}revenue_per_product"]
+    diffs = [f"""CASE WHEN CAST(prev_{m} AS DOUBLE) = 0 THEN 0.0
+                 ELSE trunc(100.0 * (CAST({m} AS DOUBLE) - CAST(prev_{m} AS DOUBLE)) / abs(CAST(prev_{m} AS DOUBLE))
+                            * 10) / 10 END AS {m}_diff""" for m in DIFF_METRICS]
+    return with_ctes(
+        ["snap_lineitem", "scope_deep", "categories_deep"],
+        [*_q10_ctes(),
+         ("ch", """SELECT parent_category_id AS category_id, list(category_id ORDER BY category_id) AS children_ids
+                   FROM categories_deep WHERE parent_category_id <> 0 GROUP BY parent_category_id""")],
+        f"""SELECT q.period, q.category_id, {', '.join(cols)}, {', '.join(diffs)},
+                   c.title AS name, c.parent_category_id AS parent_id,
+                   coalesce(ch.children_ids, CAST([] AS BIGINT[])) AS children_ids
+            FROM q10 q JOIN categories_deep c ON c.category_id = q.category_id
+            LEFT JOIN ch ON ch.category_id = q.category_id""")
+
+
+def _j2_ctes(periods: list[str]) -> list[tuple[str, str]]:
+    return [
+        ("win2", win_values(EV_AS_OF, periods, False)),
+        ("rs2", _roots("scope", "categories")),
+        ("sd", """SELECT product_id, sku_id, date, max(category_id) AS category_id, max(total_orders_amount) AS toa,
+                         CAST(trunc(median(purchase_price)) AS BIGINT) AS price, max(rating) AS rating,
+                         min(available_amount) AS amin, arg_max(title, ts) AS title, arg_max(photo_key, ts) AS photo_key,
+                         arg_max(reviews_amount, ts) AS reviews_amount
+                  FROM snap_events WHERE category_id IN (SELECT category_id FROM rs2)
+                  GROUP BY product_id, sku_id, date"""),
+        ("sd2", """SELECT *, sum(amin) OVER (PARTITION BY product_id, date) AS stock_day FROM sd"""),
+        ("sdw", """SELECT w.period, sd2.* FROM sd2 JOIN win2 w ON sd2.date BETWEEN w.lo AND w.hi"""),
+    ]
+
+
+LAST2 = """max({'date': date, 'sku_id': sku_id, 'title': title, 'photo_key': photo_key,
+               'reviews_amount': reviews_amount, 'rating': rating, 'available_amount': stock_day})"""
+
+
+def category_product_rollup() -> str:
+    return with_ctes(
+        ["snap_events", "scope"], _j2_ctes(EV_PERIODS),
+        f"""SELECT period, DATE '{EV_AS_OF}' AS as_of, category_id, product_id, l.title AS title,
+                   max_total_order_amount, min_total_order_amount, median_price, l.reviews_amount AS reviews_amount,
+                   l.photo_key AS photo_key, l.rating AS rating, l.available_amount AS available_amount
+            FROM (SELECT period, category_id, product_id, max(toa) AS max_total_order_amount,
+                         min(toa) AS min_total_order_amount, median(price) AS median_price, {LAST2} AS l
+                  FROM sdw GROUP BY period, category_id, product_id)""")
+
+
+def _q13_ctes() -> list[tuple[str, str]]:
+    return [
+        *_j2_ctes(Q13_PERIODS),
+        ("q", f"""SELECT period, sc.scope_id, product_id, max(toa) - min(toa) AS order_amount, median(price) AS med,
+                         {LAST2} AS l
+                  FROM sdw JOIN scope sc USING (category_id) GROUP BY period, sc.scope_id, product_id"""),
+        ("qr", """SELECT period, scope_id AS category_id, product_id, l.title AS title, order_amount,
+                         med / 100 AS price, med / 100 * order_amount AS revenue,
+                         l.available_amount AS available_amount, l.reviews_amount AS reviews_amount,
+                         l.photo_key AS photo_key, l.rating AS rating
+                  FROM q WHERE order_amount BETWEEN 1 AND 1000000000000"""),
+        ("q13", f"""SELECT * EXCLUDE (rn) FROM (
+                       SELECT *, count(*) OVER (PARTITION BY period, category_id) AS total_row_count,
+                              row_number() OVER (PARTITION BY period, category_id ORDER BY revenue DESC, product_id)
+                                  AS rn
+                       FROM qr) WHERE rn BETWEEN 1 AND {PAGE}"""),
+    ]
+
+
+def category_products() -> str:
+    return with_ctes(["snap_events", "scope"], _q13_ctes(), "SELECT * FROM q13")
+
+
+def category_products_chart() -> str:
+    return with_ctes(
+        ["snap_events", "scope"],
+        [*_q13_ctes(),
+         ("chart", f"""SELECT period, product_id, list(o ORDER BY date) AS order_amount_chart FROM (
+                          SELECT w.period, product_id, date, max(total_orders_amount) - min(total_orders_amount) AS o
+                          FROM snap_events r JOIN ({win_values(EV_AS_OF, Q13_PERIODS, False)}) w
+                               ON r.date BETWEEN w.lo AND w.hi
+                          WHERE product_id IN (SELECT product_id FROM q13)
+                          GROUP BY w.period, product_id, date) GROUP BY period, product_id""")],
+        """SELECT q13.* REPLACE (CAST(round(rating, 1) AS DOUBLE) AS rating), chart.order_amount_chart
+           FROM q13 LEFT JOIN chart USING (period, product_id)""")
+
+
+def category_daily_stats() -> str:
+    return with_ctes(
+        ["snap_events"],
+        [("pd", """SELECT product_id, date, min(total_orders_amount) AS mn, max(total_orders_amount) AS mx,
+                          min(total_available_amount) AS stock, median(purchase_price) AS med,
+                          max({'ts': ts, 'sku_id': sku_id, 'c': category_id, 's': seller_id}) AS l
+                   FROM snap_events GROUP BY product_id, date"""),
+         ("po", f"""SELECT *, {ORDERS_4_RAW} AS o FROM (
+                       SELECT *, coalesce(lag(mx) OVER (PARTITION BY product_id ORDER BY date), 0) AS pv FROM pd)""")],
+        """SELECT l.c AS category_id, date,
+                  coalesce(CAST(sum(o) FILTER (WHERE o > 0) AS BIGINT), 0) AS orders,
+                  CAST(sum(stock) AS BIGINT) AS available_amount,
+                  median(med) AS median_price_all, median(med) FILTER (WHERE o > 0) AS median_price_with_sales,
+                  sum(med * o) AS revenue, count(DISTINCT l.s) AS seller_count, count(DISTINCT product_id) AS product_count,
+                  count(DISTINCT l.s) FILTER (WHERE o > 0) AS seller_with_sales,
+                  count(DISTINCT product_id) FILTER (WHERE o > 0) AS product_with_sales
+           FROM po GROUP BY l.c, date""")
+
+
+ORACLE.update({
+    "category_product_rollup": category_product_rollup,
+    "category_rollup_prev": category_rollup_prev,
+    "category_daily_stats": category_daily_stats,
+    "category_with_prev": category_with_prev,
+    "category_cards": category_cards,
+    "category_products": category_products,
+    "category_products_chart": category_products_chart,
+})

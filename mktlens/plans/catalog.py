@@ -18,6 +18,8 @@ from ..sources import fixtures as X
 from . import categories as C
 from . import positions as P
 from . import products as PR
+from . import rollups as R
+from ..operators.filters import Filter
 from . import sellers as SE
 
 # Query parameters (fixed values of the registered queries).
@@ -108,6 +110,70 @@ def q_position_history(spark, sf):
     return P.position_history(X.positions(spark, sf), EV_FROM, EV_TO)
 
 
+EV_AS_OF, LI_AS_OF = "2024-01-31", "2000-06-30"
+EV_PERIODS = ["WEEK", "TWO_WEEK", "MONTH", "TWO_MONTH"]
+Q13_PERIODS = ["WEEK", "TWO_WEEK"]
+LI_PERIODS = ["MONTH", "TWO_MONTH"]
+Q13_FILTERS = [Filter.between("order_amount", 1, 10 ** 12)]
+Q13_SORT = [("revenue", "desc")]
+
+
+def _deep(spark, sf):
+    cats = X.categories_deep(spark, sf)
+    return cats, H.scope_table(cats)
+
+
+def _j2(spark, sf, periods):
+    cats = X.categories(spark, sf)
+    return R.category_product_rollup(_events_daily(spark, sf), R.root_scope(H.scope_table(cats), cats),
+                                     EV_AS_OF, periods)
+
+
+def _j3(spark, sf):
+    cats, scope = _deep(spark, sf)
+    snap = X.snap_lineitem(spark, sf)
+    return R.category_rollup(snap, D.daily_state(snap), R.root_scope(scope, cats), LI_AS_OF, LI_PERIODS)
+
+
+def q_category_product_rollup(spark, sf):
+    return R.finalise_product_rollup(_j2(spark, sf, EV_PERIODS))
+
+
+def q_category_rollup_prev(spark, sf):
+    return _j3(spark, sf)
+
+
+def q_category_daily_stats(spark, sf):
+    return R.category_daily_stats(X.snap_events(spark, sf))
+
+
+def _q10(spark, sf):
+    cats, scope = _deep(spark, sf)
+    daily = D.daily_state(X.snap_lineitem(spark, sf))
+    return R.category_with_prev(_j3(spark, sf), daily, scope, LI_AS_OF, LI_PERIODS)
+
+
+def q_category_with_prev(spark, sf):
+    return _q10(spark, sf)
+
+
+def q_category_cards(spark, sf):
+    return R.category_cards(_q10(spark, sf), X.categories_deep(spark, sf))
+
+
+def _q13(spark, sf):
+    return R.category_products(_j2(spark, sf, Q13_PERIODS), _scope(spark, sf), EV_AS_OF, Q13_PERIODS,
+                               Q13_FILTERS, Q13_SORT, REPORT_PAGE, 0)
+
+
+def q_category_products(spark, sf):
+    return _q13(spark, sf)
+
+
+def q_category_products_chart(spark, sf):
+    return R.category_products_with_chart(_q13(spark, sf), _events_daily(spark, sf), EV_AS_OF, Q13_PERIODS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_daily": q_category_daily,
     "category_adhoc": q_category_adhoc,
@@ -127,4 +193,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seller_card": q_seller_card,
     "seller_shops": q_seller_shops,
     "position_history": q_position_history,
+    "category_product_rollup": q_category_product_rollup,
+    "category_rollup_prev": q_category_rollup_prev,
+    "category_daily_stats": q_category_daily_stats,
+    "category_with_prev": q_category_with_prev,
+    "category_cards": q_category_cards,
+    "category_products": q_category_products,
+    "category_products_chart": q_category_products_chart,
 }
