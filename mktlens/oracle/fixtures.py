@@ -84,7 +84,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "payments": ("""
         SELECT o_orderkey AS payment_id, o_custkey AS user_id, o_orderdate AS created_at,
                CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status,
-               o_totalprice AS amount,
+               o_orderstatus = 'F' AS paid, o_totalprice AS amount,
                CASE o_orderkey % 3 WHEN 0 THEN 'default' WHEN 1 THEN 'advanced' ELSE 'pro' END AS subscription_type,
                1 + o_orderkey % 3 AS multiply
         FROM orders
@@ -97,6 +97,28 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "access_log": ("""
         SELECT user_id AS api_key, event_id % 9 AS ip, event_id % 5 AS browser, ts FROM events
     """, []),
+    "access_requests": ("""
+        SELECT event_id AS request_id, user_id, CAST(event_id % 130 AS INTEGER) AS days,
+               CAST(DATE '2024-01-31' - CAST(event_id % 130 AS INTEGER) AS DATE) AS from_date FROM events
+    """, []),
+    "plans": ("""
+        SELECT * FROM (VALUES ('demo', 1, 30, 10, 10), ('default', 1, 30, 100, 0), ('advanced', 1, 90, 100, 100),
+                              ('pro', 1, 120, 100, 100))
+               t(subscription_type, min_days, max_days, shop_reports, category_reports)
+    """, []),
+    "payment_created": ("""
+        SELECT o_orderkey + k AS payment_id, o_custkey AS user_id, o_orderdate AS created_at,
+               CAST(ROUND(o_totalprice * 100) AS BIGINT) AS amount_minor, 1 + o_orderkey % 3 AS plan_code,
+               1 + o_orderkey % 2 AS multiply
+        FROM orders CROSS JOIN (VALUES (0), (1000000000)) t(k)
+    """, []),
+    "payment_status": ("""
+        SELECT l_orderkey AS payment_id,
+               CASE WHEN l_returnflag = 'R' THEN 'canceled' WHEN l_returnflag = 'A' THEN 'refunded'
+                    WHEN l_linestatus = 'F' THEN 'success' ELSE 'pending' END AS status,
+               l_shipdate AS event_ts, l_linenumber AS event_seq
+        FROM lineitem
+    """, []),
 }
 
 

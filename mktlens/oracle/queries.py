@@ -579,3 +579,164 @@ ORACLE.update({
     "category_products": category_products,
     "category_products_chart": category_products_chart,
 })
+
+
+# ------------------------------------------------------------------ reports and accounts
+
+def _report_row_ctes(base_ctes: list[tuple[str, str]], key: str, page_src: str) -> list[tuple[str, str]]:
+    return [
+        *base_ctes,
+        ("pg", f"SELECT * FROM ranked WHERE rn BETWEEN 1 AND {PAGE}"),
+        ("rr", f"""SELECT {key}, r.seller_title, r.product_id, r.name, c.title AS category_name, r.available_amounts,
+                          CAST(len(list_filter(r.available_amount_graph, lambda x: x > 0)) AS INTEGER) AS days_in_stock,
+                          r.purchase_price, CAST(list_sum(r.order_graph) AS BIGINT) AS orders,
+                          sign(CAST(round(r.sales * 200) AS BIGINT))
+                              * ((abs(CAST(round(r.sales * 200) AS BIGINT)) + 1) // 2) AS revenue_cents
+                   FROM pg r LEFT JOIN categories c ON c.category_id = r.latest_category_id"""),
+        ("abc", f"""SELECT rr.*,
+                      (SELECT CASE WHEN sum(o.orders) = 0 THEN NULL
+                                   WHEN 100 * (coalesce(sum(o.orders) FILTER (WHERE o.orders > rr.orders), 0)
+                                               + rr.orders) < 81 * sum(o.orders) THEN 'A'
+                                   WHEN 100 * (coalesce(sum(o.orders) FILTER (WHERE o.orders > rr.orders), 0)
+                                               + rr.orders) < 96 * sum(o.orders) THEN 'B' ELSE 'C' END
+                       FROM rr o WHERE o.{key} = rr.{key}) AS abc_orders,
+                      (SELECT CASE WHEN sum(o.revenue_cents) = 0 THEN NULL
+                                   WHEN 100 * (coalesce(sum(o.revenue_cents) FILTER (WHERE o.revenue_cents > rr.revenue_cents), 0)
+                                               + rr.revenue_cents) < 81 * sum(o.revenue_cents) THEN 'A'
+                                   WHEN 100 * (coalesce(sum(o.revenue_cents) FILTER (WHERE o.revenue_cents > rr.revenue_cents), 0)
+                                               + rr.revenue_cents) < 96 * sum(o.revenue_cents) THEN 'B' ELSE 'C' END
+                       FROM rr o WHERE o.{key} = rr.{key}) AS abc_revenue
+                   FROM rr"""),
+        ("rows_final", "SELECT * EXCLUDE (revenue_cents), revenue_cents / 100 AS revenue FROM abc"),
+    ]
+
+
+def _seller_rows_ctes():
+    base = [("src", f"SELECT * FROM snap_events WHERE date BETWEEN {EV_D}"), ("pd", _report_pd("src", "seller_link")),
+            ("po", orders_cte("pd", "seller_link")), *_report_rows("seller_link")]
+    return _report_row_ctes(base, "seller_link", "ranked")
+
+
+def seller_report_rows() -> str:
+    return with_ctes(["snap_events", "categories"], _seller_rows_ctes(), "SELECT * FROM rows_final")
+
+
+def abc_orders() -> str:
+    return with_ctes(["snap_events", "categories"], _seller_rows_ctes(),
+                     "SELECT seller_link, product_id, orders, abc_orders FROM rows_final")
+
+
+def days_in_stock() -> str:
+    return with_ctes(["snap_events", "categories"], _seller_rows_ctes(),
+                     "SELECT seller_link, product_id, days_in_stock, available_amounts FROM rows_final")
+
+
+def abc_revenue() -> str:
+    base = [("src", scoped_src()), ("pd", _report_pd("src", "scope_id")), ("po", orders_cte("pd", "scope_id")),
+            *_report_rows("scope_id")]
+    ctes = _report_row_ctes(base, "scope_id", "ranked")
+    return with_ctes(["snap_events", "scope"], ctes,
+                     "SELECT scope_id AS category_id, product_id, revenue, abc_revenue FROM rows_final")
+
+
+def reports_per_user_day() -> str:
+    return with_ctes(["report_requests"], [], """
+        SELECT user_id, report_type, CAST(created_at AS DATE) AS date, count(*) AS report_count
+        FROM report_requests GROUP BY user_id, report_type, CAST(created_at AS DATE)""")
+
+
+def report_quota() -> str:
+    return with_ctes(["report_requests", "users", "plans"], [], f"""
+        SELECT report_id, user_id, report_type, date,
+               CASE WHEN subscription_type IS NOT NULL AND subscription_end_at >= DATE '{EV_AS_OF}'
+                         AND before < CASE WHEN report_type = 'seller' THEN shop_reports ELSE category_reports END
+                    THEN 'PERMIT' ELSE 'PROHIBIT' END AS decision
+        FROM (SELECT r.*, CAST(r.created_at AS DATE) AS date,
+                     row_number() OVER (PARTITION BY r.user_id, r.report_type, CAST(r.created_at AS DATE)
+                                        ORDER BY r.created_at, r.report_id) - 1 AS before
+              FROM report_requests r) q
+        LEFT JOIN users USING (user_id) LEFT JOIN plans USING (subscription_type)""")
+
+
+def access_check() -> str:
+    return with_ctes(["access_requests", "users", "plans"], [], f"""
+        SELECT request_id, user_id, days, from_date,
+               CASE WHEN days <= 0 OR (subscription_type IS NOT NULL AND subscription_end_at >= DATE '{EV_AS_OF}'
+                                       AND days BETWEEN min_days AND max_days) THEN 'PERMIT' ELSE 'PROHIBIT' END
+                   AS days_access,
+               CASE WHEN subscription_type IS NOT NULL AND subscription_end_at >= DATE '{EV_AS_OF}'
+                         AND (subscription_type = 'pro'
+                              OR from_date >= CAST(DATE '{EV_AS_OF}' - (max_days + 1) AS DATE))
+                    THEN 'PERMIT' ELSE 'PROHIBIT' END AS history_access
+        FROM access_requests LEFT JOIN users USING (user_id) LEFT JOIN plans USING (subscription_type)""")
+
+
+def shared_keys() -> str:
+    return with_ctes(["access_log"], [], """
+        SELECT api_key, window_start, CAST(sum(browsers) AS BIGINT) AS pairs, count(*) AS ips,
+               max(browsers) AS max_browsers_per_ip,
+               sum(browsers) > 2 AND (count(*) > 6 OR max(browsers) > 3) AS flagged
+        FROM (SELECT api_key, time_bucket(INTERVAL '3 hours', ts) AS window_start, ip,
+                     count(DISTINCT browser) AS browsers
+              FROM access_log GROUP BY api_key, time_bucket(INTERVAL '3 hours', ts), ip)
+        GROUP BY api_key, window_start""")
+
+
+def subscription_ledger() -> str:
+    return with_ctes(
+        ["payments"],
+        [("p", """SELECT user_id, payment_id, CAST(created_at AS DATE) AS paid_on,
+                         CAST(30 * greatest(coalesce(multiply, 1), 1) AS BIGINT) AS days,
+                         row_number() OVER (PARTITION BY user_id ORDER BY CAST(created_at AS DATE), payment_id) AS rn
+                  FROM payments WHERE status = 'success'"""),
+         ("fold", """SELECT * FROM (
+                        WITH RECURSIVE f(user_id, rn, payment_id, paid_on, days, e) AS (
+                            SELECT user_id, rn, payment_id, paid_on, days, CAST(paid_on + CAST(days AS INTEGER) AS DATE)
+                            FROM p WHERE rn = 1
+                            UNION ALL
+                            SELECT p.user_id, p.rn, p.payment_id, p.paid_on, p.days,
+                                   CAST(greatest(f.e, p.paid_on) + CAST(p.days AS INTEGER) AS DATE)
+                            FROM f JOIN p ON p.user_id = f.user_id AND p.rn = f.rn + 1)
+                        SELECT * FROM f)""")],
+        "SELECT user_id, payment_id, paid_on, days, e AS subscription_end FROM fold")
+
+
+def subscription_status() -> str:
+    return with_ctes(["users"], [], f"""
+        SELECT user_id, subscription_type, subscription_end_at, subscription_end_at > DATE '{EV_AS_OF}' AS active
+        FROM users""")
+
+
+def payments_applied() -> str:
+    return with_ctes(
+        ["payments", "payment_created", "payment_status"],
+        [("new", """SELECT payment_id, user_id, created_at, 'pending' AS status, false AS paid,
+                           amount_minor / 100 AS amount,
+                           CASE plan_code WHEN 1 THEN 'default' WHEN 2 THEN 'advanced' WHEN 3 THEN 'pro' END
+                               AS subscription_type, CAST(multiply AS BIGINT) AS multiply
+                    FROM (SELECT *, row_number() OVER (PARTITION BY payment_id ORDER BY created_at) AS k
+                          FROM payment_created WHERE payment_id NOT IN (SELECT payment_id FROM payments)) WHERE k = 1"""),
+         ("tbl", """SELECT payment_id, user_id, created_at, status, paid, amount, subscription_type,
+                           CAST(multiply AS BIGINT) AS multiply FROM payments
+                    UNION ALL SELECT * FROM new"""),
+         ("latest", """SELECT payment_id, arg_max(status, {'t': event_ts, 's': event_seq, 'x': status}) AS new_status
+                       FROM payment_status WHERE status IN ('pending', 'canceled', 'failed', 'success')
+                       GROUP BY payment_id""")],
+        """SELECT t.payment_id, t.user_id, t.created_at, coalesce(l.new_status, t.status) AS status,
+                  t.paid OR coalesce(l.new_status, '') = 'success' AS paid, t.amount, t.subscription_type, t.multiply
+           FROM tbl t LEFT JOIN latest l USING (payment_id)""")
+
+
+ORACLE.update({
+    "seller_report_rows": seller_report_rows,
+    "abc_orders": abc_orders,
+    "abc_revenue": abc_revenue,
+    "days_in_stock": days_in_stock,
+    "reports_per_user_day": reports_per_user_day,
+    "report_quota": report_quota,
+    "access_check": access_check,
+    "shared_keys": shared_keys,
+    "subscription_ledger": subscription_ledger,
+    "subscription_status": subscription_status,
+    "payments_applied": payments_applied,
+})

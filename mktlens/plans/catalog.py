@@ -21,6 +21,8 @@ from . import products as PR
 from . import rollups as R
 from ..operators.filters import Filter
 from . import sellers as SE
+from . import accounts as AC
+from . import reports as RP
 
 # Query parameters (fixed values of the registered queries).
 EV_FROM, EV_TO = "2024-01-02", "2024-01-30"
@@ -174,6 +176,56 @@ def q_category_products_chart(spark, sf):
     return R.category_products_with_chart(_q13(spark, sf), _events_daily(spark, sf), EV_AS_OF, Q13_PERIODS)
 
 
+def _seller_report_rows(spark, sf):
+    return RP.report_rows(q_seller_report(spark, sf), "seller_link")
+
+
+def q_seller_report_rows(spark, sf):
+    return _seller_report_rows(spark, sf)
+
+
+def q_abc_orders(spark, sf):
+    return _seller_report_rows(spark, sf).select("seller_link", "product_id", "orders", "abc_orders")
+
+
+def q_abc_revenue(spark, sf):
+    rows = RP.report_rows(q_category_report(spark, sf), "category_id")
+    return rows.select("category_id", "product_id", "revenue", "abc_revenue")
+
+
+def q_days_in_stock(spark, sf):
+    return _seller_report_rows(spark, sf).select("seller_link", "product_id", "days_in_stock", "available_amounts")
+
+
+def q_reports_per_user_day(spark, sf):
+    return RP.reports_per_user_day(X.report_requests(spark, sf))
+
+
+def q_report_quota(spark, sf):
+    return AC.report_quota(X.report_requests(spark, sf), X.users(spark, sf), AC.plans(spark), EV_AS_OF)
+
+
+def q_access_check(spark, sf):
+    return AC.access_check(X.access_requests(spark, sf), X.users(spark, sf), AC.plans(spark), EV_AS_OF)
+
+
+def q_shared_keys(spark, sf):
+    return AC.shared_keys(X.access_log(spark, sf))
+
+
+def q_subscription_ledger(spark, sf):
+    return AC.subscription_ledger(X.payments(spark, sf))
+
+
+def q_subscription_status(spark, sf):
+    return AC.subscription_status(X.users(spark, sf), EV_AS_OF)
+
+
+def q_payments_applied(spark, sf):
+    return AC.apply_payment_events(X.payments(spark, sf), X.payment_created_events(spark, sf),
+                                   X.payment_status_events(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_daily": q_category_daily,
     "category_adhoc": q_category_adhoc,
@@ -200,4 +252,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_cards": q_category_cards,
     "category_products": q_category_products,
     "category_products_chart": q_category_products_chart,
+    "seller_report_rows": q_seller_report_rows,
+    "abc_orders": q_abc_orders,
+    "abc_revenue": q_abc_revenue,
+    "days_in_stock": q_days_in_stock,
+    "reports_per_user_day": q_reports_per_user_day,
+    "report_quota": q_report_quota,
+    "access_check": q_access_check,
+    "shared_keys": q_shared_keys,
+    "subscription_ledger": q_subscription_ledger,
+    "subscription_status": q_subscription_status,
+    "payments_applied": q_payments_applied,
 }

@@ -151,6 +151,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("user_id"),
         F.col("o_orderdate").alias("created_at"),
         status.alias("status"),
+        (F.col("o_orderstatus") == "F").alias("paid"),
         F.col("o_totalprice").alias("amount"),
         plan.alias("subscription_type"),
         (F.lit(1) + F.col("o_orderkey") % 3).alias("multiply"))
@@ -170,3 +171,31 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 9).alias("ip"),
         (F.col("event_id") % 5).alias("browser"),
         "ts")
+
+
+def access_requests(spark: SparkSession, sf_dir: str, as_of: str = EVENTS_AS_OF) -> DataFrame:
+    """Range requests: ``days`` = event_id % 130 ending at ``as_of``."""
+    days = (F.col("event_id") % 130).cast("int")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), "user_id", days.alias("days"),
+        F.date_sub(F.lit(as_of).cast("date"), days).alias("from_date"))
+
+
+def payment_created_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Created-payment events: every order re-sent under its own id (already known) and under a new id."""
+    o = table(spark, sf_dir, "orders")
+    ev = lambda pid: o.select(
+        pid.alias("payment_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("created_at"),
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("amount_minor"),
+        (F.lit(1) + F.col("o_orderkey") % 3).alias("plan_code"),
+        (F.lit(1) + F.col("o_orderkey") % 2).alias("multiply"))
+    return ev(F.col("o_orderkey")).unionByName(ev(F.col("o_orderkey") + 1000000000))
+
+
+def payment_status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status events from shipments: R -> canceled, A -> refunded (unknown, ignored), else by line status."""
+    li = table(spark, sf_dir, "lineitem")
+    status = (F.when(F.col("l_returnflag") == "R", "canceled").when(F.col("l_returnflag") == "A", "refunded")
+              .when(F.col("l_linestatus") == "F", "success").otherwise("pending"))
+    return li.select(F.col("l_orderkey").alias("payment_id"), status.alias("status"),
+                     F.col("l_shipdate").alias("event_ts"), F.col("l_linenumber").alias("event_seq"))
