@@ -740,3 +740,74 @@ ORACLE.update({
     "subscription_status": subscription_status,
     "payments_applied": payments_applied,
 })
+
+
+# ------------------------------------------------------------------ ingest, storage, streaming
+
+def _minor(s: str) -> str:
+    return f"CAST(trunc(CAST({s} AS DECIMAL(20,6)) * 100) AS BIGINT)"
+
+
+def flatten_products() -> str:
+    sid = "(user_id % 10)"
+    return f"""
+        SELECT date_trunc('hour', ts) AS ts, user_id AS product_id, user_id * 10 + event_id % 3 AS sku_id,
+               'product ' || CAST(user_id AS VARCHAR) AS title,
+               CAST(CAST(user_id % 5 AS VARCHAR) || '.5' AS DECIMAL(9,2)) AS rating,
+               2000 + user_id % 25 AS category_id,
+               count(*) FILTER (WHERE event_type = 'view') OVER w AS reviews_amount,
+               count(*) FILTER (WHERE event_type = 'purchase') OVER w AS total_orders_amount,
+               CAST(sum((event_id * 7919) % 50) OVER w AS BIGINT) AS total_available_amount,
+               (event_id * 7919) % 50 AS available_amount,
+               ['a' || CAST(user_id % 3 AS VARCHAR)] AS attributes, ['t'] AS tags,
+               'ph' || CAST(user_id * 10 + event_id % 3 AS VARCHAR) AS photo_key,
+               MAP {{'color': 'c' || CAST(event_id % 7 AS VARCHAR), 'size': 's' || CAST(event_id % 3 AS VARCHAR)}}
+                   AS characteristics,
+               {sid} AS seller_id, {sid} % 5 AS seller_account_id, 'shop ' || CAST({sid} AS VARCHAR) AS seller_title,
+               'seller-' || CAST({sid} AS VARCHAR) AS seller_link,
+               TIMESTAMP '1970-01-01 00:00:00' + to_seconds(1600000000 + {sid} * 86400) AS seller_registration_date,
+               CAST(CAST({sid} % 5 AS VARCHAR) || '.5' AS DECIMAL(9,2)) AS seller_rating,
+               {sid} * 10 AS seller_reviews_count, {sid} * 100 AS seller_orders,
+               MAP {{'phone': '+7' || CAST({sid} AS VARCHAR), 'email': 's' || CAST({sid} AS VARCHAR) || '@shop'}}
+                   AS seller_contacts,
+               user_id % 2 = 0 AS is_eco, false AS is_adult,
+               CASE WHEN event_id % 4 <> 0 THEN {_minor("printf('%.3f', value + 1)")} END AS full_price,
+               {_minor("printf('%.3f', value)")} AS purchase_price
+        FROM events WINDOW w AS (PARTITION BY user_id, date_trunc('hour', ts))"""
+
+
+def flatten_categories() -> str:
+    return with_ctes(["categories_deep"], [], "SELECT category_id, parent_category_id, title FROM categories_deep")
+
+
+def event_routing() -> str:
+    return """
+        SELECT 'product' AS route, user_id AS id FROM events WHERE event_type = 'purchase'
+        UNION ALL SELECT 'position', user_id FROM events WHERE event_type = 'view'
+        UNION ALL SELECT 'category', 2000 + user_id % 25 FROM events WHERE event_type = 'signup'"""
+
+
+def retention() -> str:
+    return with_ctes(["snap_lineitem"], [], f"""
+        SELECT category_id, count(*) AS rows_kept, min(ts) AS oldest FROM snap_lineitem
+        WHERE ts > CAST(DATE '{LI_AS_OF}' - INTERVAL 4 MONTH AS TIMESTAMP) GROUP BY category_id""")
+
+
+def seller_upsert() -> str:
+    return with_ctes(
+        ["snap_lineitem", "sellers"],
+        [("u", """SELECT DISTINCT seller_id, seller_account_id AS account_id, seller_link AS link,
+                         seller_title AS title FROM snap_lineitem""")],
+        """SELECT * FROM u UNION ALL
+           SELECT s.* FROM sellers s
+           WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.seller_id = s.seller_id AND u.account_id = s.account_id)""")
+
+
+ORACLE.update({
+    "flatten_products": flatten_products,
+    "flatten_categories": flatten_categories,
+    "event_routing": event_routing,
+    "streaming_daily_state": daily_state,
+    "retention": retention,
+    "seller_upsert": seller_upsert,
+})

@@ -23,6 +23,10 @@ from ..operators.filters import Filter
 from . import sellers as SE
 from . import accounts as AC
 from . import reports as RP
+from ..operators import sketches as SK
+from ..sources import events as EVT
+from ..sources import io as IO
+from ..streaming import ingest as ST
 
 # Query parameters (fixed values of the registered queries).
 EV_FROM, EV_TO = "2024-01-02", "2024-01-30"
@@ -226,6 +230,44 @@ def q_payments_applied(spark, sf):
                                    X.payment_status_events(spark, sf))
 
 
+def q_flatten_products(spark, sf):
+    return EVT.flatten_products(X.product_events(spark, sf))
+
+
+def q_flatten_categories(spark, sf):
+    return EVT.flatten_categories(X.category_events(spark, sf), depth=3)
+
+
+def q_event_routing(spark, sf):
+    r = EVT.route_events(X.mixed_events(spark, sf))
+    F = X.F
+    return (r["product"].select(F.lit("product").alias("route"), F.col("product_id").alias("id"))
+            .unionByName(r["position"].select(F.lit("position").alias("route"), F.col("product_id").alias("id")))
+            .unionByName(r["category"].select(F.lit("category").alias("route"), F.col("id"))))
+
+
+def q_streaming_daily_state(spark, sf):
+    return D.finalise_daily(ST.streaming_daily_state(spark, X.snap_events(spark, sf)))
+
+
+def q_retention(spark, sf):
+    F = X.F
+    kept = IO.apply_retention(X.snap_lineitem(spark, sf), "ts", LI_AS_OF, months=4)
+    return kept.groupBy("category_id").agg(F.count(F.lit(1)).alias("rows_kept"), F.min("ts").alias("oldest"))
+
+
+def q_seller_upsert(spark, sf):
+    F = X.F
+    updates = (X.snap_lineitem(spark, sf)
+               .select("seller_id", F.col("seller_account_id").alias("account_id"),
+                       F.col("seller_link").alias("link"), F.col("seller_title").alias("title")).distinct())
+    return IO.upsert(X.sellers(spark, sf), updates, ["seller_id", "account_id"])
+
+
+def q_approx_by_scope(spark, sf):
+    return SK.approx_by_scope(_events_daily(spark, sf), _scope(spark, sf), EV_FROM, EV_TO)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_daily": q_category_daily,
     "category_adhoc": q_category_adhoc,
@@ -263,4 +305,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "subscription_ledger": q_subscription_ledger,
     "subscription_status": q_subscription_status,
     "payments_applied": q_payments_applied,
+    "flatten_products": q_flatten_products,
+    "flatten_categories": q_flatten_categories,
+    "event_routing": q_event_routing,
+    "streaming_daily_state": q_streaming_daily_state,
+    "retention": q_retention,
+    "seller_upsert": q_seller_upsert,
+    "approx_by_scope": q_approx_by_scope,
 }

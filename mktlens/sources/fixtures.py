@@ -199,3 +199,87 @@ def payment_status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(F.col("l_linestatus") == "F", "success").otherwise("pending"))
     return li.select(F.col("l_orderkey").alias("payment_id"), status.alias("status"),
                      F.col("l_shipdate").alias("event_ts"), F.col("l_linenumber").alias("event_seq"))
+
+
+def _epoch_seconds(ts_ntz):
+    """Epoch seconds of a wall-clock UTC timestamp, by date arithmetic (no time zone involved)."""
+    return (F.datediff(F.to_date(ts_ntz), F.lit("1970-01-01").cast("date")).cast("long") * 86400
+            + F.hour(ts_ntz) * 3600 + F.minute(ts_ntz) * 60 + F.second(ts_ntz))
+
+
+def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested crawler events: one event per product and hour, one SKU entry per event row of that hour.
+
+    Prices are decimal strings (full price '' when absent), characteristics hold
+    a duplicate key (the last one must win), times are epoch seconds.
+    """
+    ev = table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    sid = F.col("user_id") % 10
+    kv = lambda t, v: F.struct(F.lit(t).alias("type"), F.lit(t.title()).alias("title"), v.alias("value"))
+    sku = F.struct(
+        (F.col("user_id") * 10 + F.col("event_id") % 3).alias("sku_id"),
+        F.concat(F.lit("ph"), (F.col("user_id") * 10 + F.col("event_id") % 3).cast("string")).alias("photo_key"),
+        F.array(kv("color", F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string"))),
+                kv("size", F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string"))),
+                kv("color", F.concat(F.lit("c"), (F.col("event_id") % 7).cast("string")))).alias("characteristics"),
+        F.format_string("%.3f", F.col("value")).alias("purchase_price"),
+        F.when(F.col("event_id") % 4 == 0, F.lit("")).otherwise(F.format_string("%.3f", F.col("value") + 1))
+        .alias("full_price"),
+        ((F.col("event_id") * 7919) % 50).alias("available_amount"))
+    g = (ev.groupBy("user_id", "hour")
+         .agg(F.collect_list(sku).alias("sku_list"),
+              F.count_if(F.col("event_type") == "purchase").alias("orders"),
+              F.count_if(F.col("event_type") == "view").alias("reviews_amount"),
+              F.sum((F.col("event_id") * 7919) % 50).alias("total_available_amount")))
+    seller = F.struct(
+        sid.alias("id"), (sid % 5).alias("account_id"),
+        F.concat(F.lit("seller-"), sid.cast("string")).alias("seller_link"),
+        F.concat(F.lit("shop "), sid.cast("string")).alias("seller_title"),
+        (sid * 10).alias("reviews"), (sid * 100).alias("orders"),
+        F.concat((sid % 5).cast("string"), F.lit(".5")).alias("rating"),
+        (F.lit(1600000000) + sid * 86400).alias("registration_date"),
+        F.array(F.struct(F.lit("phone").alias("type"), F.concat(F.lit("+7"), sid.cast("string")).alias("value")),
+                F.struct(F.lit("email").alias("type"), F.concat(F.lit("s"), sid.cast("string"), F.lit("@shop"))
+                         .alias("value"))).alias("contacts"))
+    category = F.struct((F.lit(2000) + F.col("user_id") % 25).alias("id"), F.lit("leaf").alias("title"),
+                        F.lit(0).cast("long").alias("product_amount"))
+    return g.select(
+        F.col("user_id").alias("product_id"), _epoch_seconds(F.col("hour")).alias("time"),
+        F.concat(F.lit("product "), F.col("user_id").cast("string")).alias("title"),
+        "total_available_amount", "orders",
+        F.array(F.concat(F.lit("a"), (F.col("user_id") % 3).cast("string"))).alias("attributes"),
+        F.array(F.lit("t")).alias("tags"), "reviews_amount",
+        F.concat((F.col("user_id") % 5).cast("string"), F.lit(".5")).alias("rating"),
+        "sku_list", seller.alias("seller"), category.alias("category"),
+        (F.col("user_id") % 2 == 0).alias("is_eco"), F.lit(False).alias("is_adult"))
+
+
+def category_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested category trees (root -> mid -> leaf) built from ``categories_deep``, one event per root."""
+    c = categories_deep(spark, sf_dir)
+    leaf = (c.filter(F.col("category_id") < 4000)
+            .groupBy("parent_category_id")
+            .agg(F.collect_list(F.struct(F.col("category_id").alias("id"), "title")).alias("children")))
+    mid = (c.filter((F.col("category_id") >= 4000) & (F.col("category_id") < 5000))
+           .join(leaf.withColumnRenamed("parent_category_id", "category_id"), "category_id", "left")
+           .groupBy("parent_category_id")
+           .agg(F.collect_list(F.struct(F.col("category_id").alias("id"), "title", "children")).alias("children")))
+    return (c.filter(F.col("parent_category_id") == 0)
+            .join(mid.withColumnRenamed("parent_category_id", "category_id"), "category_id", "left")
+            .select(F.col("category_id").alias("id"), "title", "children"))
+
+
+def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream of mixed events: purchases carry a product payload, views a position, signups a category."""
+    ev = table(spark, sf_dir, "events")
+    t = _epoch_seconds(F.col("ts"))
+    return ev.select(
+        "event_id",
+        F.when(F.col("event_type") == "purchase", F.struct(F.col("user_id").alias("product_id"), t.alias("time")))
+        .alias("product"),
+        F.when(F.col("event_type") == "view", F.struct(
+            ((F.col("event_id") * 31) % 100 + 1).alias("position"), F.col("user_id").alias("product_id"),
+            (F.col("user_id") * 10 + F.col("event_id") % 3).alias("sku_id"),
+            (F.lit(2000) + F.col("user_id") % 25).alias("category_id"), t.alias("time"))).alias("position"),
+        F.when(F.col("event_type") == "signup", F.struct((F.lit(2000) + F.col("user_id") % 25).alias("id"),
+                                                         F.lit("c").alias("title"))).alias("category"))
