@@ -1,8 +1,9 @@
 """Category forest operators (H0-H6).
 
 The forest is a small dimension (one row per category). Its transitive
-closure is computed with a recursive CTE, so depth is not bounded by code and
-no driver loop is needed. Everything returned here is a DataFrame that joins
+closure is one plan: each node's ancestor chain is built by a bounded number
+of joins against the edge table (a deeper forest fails loudly), or, for
+unbounded depth, by a recursive CTE; no driver loop either way. Everything returned here is a DataFrame that joins
 to facts on ``category_id``; AQE broadcasts it at runtime when its measured
 size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and falls back
 to a shuffle join otherwise.
@@ -14,8 +15,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def category_closure(categories: DataFrame) -> DataFrame:
-    """(ancestor, descendant, depth) for every strict ancestor, depth >= 1."""
+# Category trees of the marketplace are a handful of levels deep; the unrolled
+# closure below covers this many levels and fails the query (never silently
+# truncates) on a deeper forest.
+MAX_DEPTH = 8
+
+
+def category_closure(categories: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+    """(ancestor, descendant, depth) for every strict ancestor, depth >= 1.
+
+    With ``max_depth`` the parent chain is unrolled into ``max_depth`` joins
+    against the (small, broadcast) category table -- one plan, one job. A node
+    still having a parent at the last level raises an error at run time. With
+    ``max_depth=None`` a recursive CTE handles any depth (one job per level).
+    """
+    if max_depth is None:
+        return category_closure_recursive(categories)
+    edges = categories.select(F.col("category_id").alias("_c"), F.col("parent_category_id").alias("_p"))
+    # one row per node with its ancestor chain p1..pK (K left joins against the edge table, linear plan)
+    nodes = categories.select(F.col("category_id").alias("descendant"), F.col("parent_category_id").alias("p1"))
+    for d in range(2, max_depth + 2):
+        nodes = (nodes.join(edges, nodes[f"p{d - 1}"] == edges["_c"], "left")
+                 .withColumnRenamed("_p", f"p{d}").drop("_c"))
+    too_deep = F.col(f"p{max_depth + 1}").isNotNull() & (F.col(f"p{max_depth + 1}") != 0)
+    chain = F.array(*[F.col(f"p{d}") for d in range(1, max_depth + 1)])
+    checked = F.when(too_deep, F.raise_error(F.lit(f"category forest deeper than {max_depth} levels"))
+                     .cast("array<bigint>")).otherwise(chain.cast("array<bigint>"))
+    return (nodes.select("descendant", F.posexplode(checked).alias("pos", "ancestor"))
+            .filter(F.col("ancestor").isNotNull() & (F.col("ancestor") != 0))
+            .select(F.col("ancestor").cast("long"), F.col("descendant").cast("long"),
+                    (F.col("pos") + 1).cast("int").alias("depth")))
+
+
+def category_closure_recursive(categories: DataFrame) -> DataFrame:
+    """Closure by recursive CTE (any depth)."""
     spark = categories.sparkSession
     return spark.sql(
         """
@@ -55,8 +88,9 @@ def scope_table(categories: DataFrame, closure: DataFrame | None = None) -> Data
     """
     closure = closure if closure is not None else category_closure(categories)
     strict = closure.select(F.col("ancestor").alias("scope_id"), F.col("descendant").alias("category_id"))
-    leaves = (categories.select("category_id")
-              .join(closure.select(F.col("ancestor").alias("category_id")).distinct(), "category_id", "left_anti")
+    # a node has strict descendants iff it is some node's parent
+    parents = categories.select(F.col("parent_category_id").alias("category_id"))
+    leaves = (categories.select("category_id").join(parents, "category_id", "left_anti")
               .select(F.col("category_id").alias("scope_id"), "category_id"))
     return strict.unionByName(leaves)
 

@@ -21,17 +21,26 @@ from pyspark.sql import functions as F
 
 def running_sum(df: DataFrame, key: str, bucket: Column | str, order_cols: list[str],
                 value: Column, out: str) -> DataFrame:
+    return running_sums(df, key, bucket, order_cols, {out: value})
+
+
+def running_sums(df: DataFrame, key: str, bucket: Column | str, order_cols: list[str],
+                 values: dict[str, Column]) -> DataFrame:
+    """Several running sums over the same key and order in one pass (one set of shuffles)."""
     bucket_col = F.col(bucket) if isinstance(bucket, str) else bucket
-    df = df.withColumn("_rs_bucket", bucket_col).withColumn("_rs_v", value)
-    per_bucket = (df.groupBy(key, "_rs_bucket").agg(F.sum("_rs_v").alias("_rs_b"))
-                  .withColumn("_rs_prefix",
-                              F.coalesce(F.sum("_rs_b").over(
-                                  Window.partitionBy(key).orderBy("_rs_bucket")
-                                  .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                  .drop("_rs_b"))
+    names = list(values)
+    df = df.withColumn("_rs_bucket", bucket_col)
+    for i, n in enumerate(names):
+        df = df.withColumn(f"_rs_v{i}", values[n])
+    prev = Window.partitionBy(key).orderBy("_rs_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = df.groupBy(key, "_rs_bucket").agg(*[F.sum(f"_rs_v{i}").alias(f"_rs_b{i}") for i in range(len(names))])
+    per_bucket = per_bucket.select(key, "_rs_bucket", *[
+        F.coalesce(F.sum(f"_rs_b{i}").over(prev), F.lit(0)).alias(f"_rs_p{i}") for i in range(len(names))])
     inner = Window.partitionBy(key, "_rs_bucket").orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return (df.withColumn("_rs_in", F.sum("_rs_v").over(inner))
-              .join(per_bucket, [key, "_rs_bucket"])
-              .withColumn(out, F.col("_rs_prefix") + F.col("_rs_in"))
-              .drop("_rs_bucket", "_rs_v", "_rs_in", "_rs_prefix"))
+    for i in range(len(names)):
+        df = df.withColumn(f"_rs_in{i}", F.sum(f"_rs_v{i}").over(inner))
+    df = df.join(per_bucket, [key, "_rs_bucket"])
+    for i, n in enumerate(names):
+        df = df.withColumn(n, F.col(f"_rs_p{i}") + F.col(f"_rs_in{i}"))
+    return df.drop("_rs_bucket", *[f"_rs_{t}{i}" for t in ("v", "in", "p") for i in range(len(names))])

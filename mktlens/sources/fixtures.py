@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.running import running_sum
+from ..operators.running import running_sum, running_sums
 
 # Fixed values of the fixtures (chosen for this repository, see FIXTURES.md).
 EVENTS_AS_OF = "2024-01-31"
@@ -26,10 +26,9 @@ def snap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense intra-day snapshots, 2024-01-01 .. 2024-01-30 (one product per user)."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     ev = ev.withColumn("date", F.to_date("ts"))
-    ev = running_sum(ev, "user_id", "date", ["ts", "event_id"],
-                     (F.col("event_type") == "purchase").cast("long"), "total_orders_amount")
-    ev = running_sum(ev, "user_id", "date", ["ts", "event_id"],
-                     (F.col("event_type") == "view").cast("long"), "reviews_amount")
+    ev = running_sums(ev, "user_id", "date", ["ts", "event_id"],
+                      {"total_orders_amount": (F.col("event_type") == "purchase").cast("long"),
+                       "reviews_amount": (F.col("event_type") == "view").cast("long")})
     sku = F.col("user_id") * 10 + F.col("event_id") % 3
     stock = (F.col("event_id") * 7919) % 50
     price = F.round(F.col("value") * 100).cast("long")
