@@ -92,16 +92,23 @@ def finalise_daily(daily: DataFrame) -> DataFrame:
                     F.col("last.reviews_amount").alias("reviews_amount")))
 
 
-def merge_daily(states: DataFrame) -> DataFrame:
-    """Merge daily states with the same (product, sku, date) -- the background merge of J1."""
+def merge_daily(states: DataFrame, compact: bool = False) -> DataFrame:
+    """Merge daily states with the same (product, sku, date) -- the background merge of J1.
+
+    Histograms are concatenated; a price may then appear in several entries,
+    which the weighted median treats exactly like one merged entry.
+    ``compact=True`` (used when parts are rewritten) folds them to one entry
+    per distinct price.
+    """
+    hist = compact_hist if compact else (lambda h: h)
     return (states.groupBy(*KEY)
             .agg(F.max("category_id").alias("category_id"),
                  F.min("min_total_order_amount").alias("min_total_order_amount"),
                  F.max("max_total_order_amount").alias("max_total_order_amount"),
                  F.min("min_available_amount").alias("min_available_amount"),
                  F.max("max_available_amount").alias("max_available_amount"),
-                 compact_hist(F.flatten(F.collect_list("price_hist"))).alias("price_hist"),
-                 compact_hist(F.flatten(F.collect_list("full_price_hist"))).alias("full_price_hist"),
+                 hist(F.flatten(F.collect_list("price_hist"))).alias("price_hist"),
+                 hist(F.flatten(F.collect_list("full_price_hist"))).alias("full_price_hist"),
                  F.max("seller_id").alias("seller_id"),
                  F.max("seller_account_id").alias("seller_account_id"),
                  F.max("seller_title").alias("seller_title"),

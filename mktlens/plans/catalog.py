@@ -20,6 +20,7 @@ from . import positions as P
 from . import products as PR
 from . import rollups as R
 from ..operators.filters import Filter
+from ..session import materialize_dimension
 from . import sellers as SE
 from . import accounts as AC
 from . import reports as RP
@@ -38,8 +39,12 @@ def _events_daily(spark, sf):
     return D.daily_state(X.snap_events(spark, sf))
 
 
-def _scope(spark, sf):
-    return H.scope_table(X.categories(spark, sf))
+def _cats(spark, sf):
+    return materialize_dimension(X.categories(spark, sf))
+
+
+def _scope(spark, sf, cats=None):
+    return materialize_dimension(H.scope_table(cats if cats is not None else _cats(spark, sf)))
 
 
 def q_category_daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +60,8 @@ def q_category_overall(spark, sf):
 
 
 def q_category_report(spark, sf):
-    return C.category_sales_report(_events_daily(spark, sf), _scope(spark, sf), X.categories(spark, sf),
+    cats = _cats(spark, sf)
+    return C.category_sales_report(_events_daily(spark, sf), _scope(spark, sf, cats), cats,
                                    EV_FROM, EV_TO, REPORT_PAGE, 0)
 
 
@@ -125,20 +131,22 @@ Q13_SORT = [("revenue", "desc")]
 
 
 def _deep(spark, sf):
-    cats = X.categories_deep(spark, sf)
-    return cats, H.scope_table(cats)
+    cats = materialize_dimension(X.categories_deep(spark, sf))
+    return cats, materialize_dimension(H.scope_table(cats))
 
 
 def _j2(spark, sf, periods):
-    cats = X.categories(spark, sf)
-    return R.category_product_rollup(_events_daily(spark, sf), R.root_scope(H.scope_table(cats), cats),
+    cats = _cats(spark, sf)
+    return R.category_product_rollup(_events_daily(spark, sf), R.root_scope(_scope(spark, sf, cats), cats),
                                      EV_AS_OF, periods)
 
 
-def _j3(spark, sf):
-    cats, scope = _deep(spark, sf)
-    snap = X.snap_lineitem(spark, sf)
-    return R.category_rollup(snap, D.daily_state(snap), R.root_scope(scope, cats), LI_AS_OF, LI_PERIODS)
+def _j3(spark, sf, snap=None, daily=None, cats=None, scope=None):
+    if cats is None:
+        cats, scope = _deep(spark, sf)
+    snap = snap if snap is not None else X.snap_lineitem(spark, sf)
+    daily = daily if daily is not None else D.daily_state(snap)
+    return R.category_rollup(snap, daily, R.root_scope(scope, cats), LI_AS_OF, LI_PERIODS)
 
 
 def q_category_product_rollup(spark, sf):
@@ -155,8 +163,9 @@ def q_category_daily_stats(spark, sf):
 
 def _q10(spark, sf):
     cats, scope = _deep(spark, sf)
-    daily = D.daily_state(X.snap_lineitem(spark, sf))
-    return R.category_with_prev(_j3(spark, sf), daily, scope, LI_AS_OF, LI_PERIODS)
+    snap = X.snap_lineitem(spark, sf)
+    daily = D.daily_state(snap)
+    return R.category_with_prev(_j3(spark, sf, snap, daily, cats, scope), daily, scope, LI_AS_OF, LI_PERIODS)
 
 
 def q_category_with_prev(spark, sf):
@@ -164,12 +173,19 @@ def q_category_with_prev(spark, sf):
 
 
 def q_category_cards(spark, sf):
-    return R.category_cards(_q10(spark, sf), X.categories_deep(spark, sf))
+    cats, scope = _deep(spark, sf)
+    snap = X.snap_lineitem(spark, sf)
+    daily = D.daily_state(snap)
+    q10 = R.category_with_prev(_j3(spark, sf, snap, daily, cats, scope), daily, scope, LI_AS_OF, LI_PERIODS)
+    return R.category_cards(q10, cats)
 
 
-def _q13(spark, sf):
-    return R.category_products(_j2(spark, sf, Q13_PERIODS), _scope(spark, sf), EV_AS_OF, Q13_PERIODS,
-                               Q13_FILTERS, Q13_SORT, REPORT_PAGE, 0)
+def _q13(spark, sf, daily=None):
+    daily = daily if daily is not None else _events_daily(spark, sf)
+    cats = _cats(spark, sf)
+    scope = _scope(spark, sf, cats)
+    rollup = R.category_product_rollup(daily, R.root_scope(scope, cats), EV_AS_OF, Q13_PERIODS)
+    return R.category_products(rollup, scope, EV_AS_OF, Q13_PERIODS, Q13_FILTERS, Q13_SORT, REPORT_PAGE, 0)
 
 
 def q_category_products(spark, sf):
@@ -177,7 +193,8 @@ def q_category_products(spark, sf):
 
 
 def q_category_products_chart(spark, sf):
-    return R.category_products_with_chart(_q13(spark, sf), _events_daily(spark, sf), EV_AS_OF, Q13_PERIODS)
+    daily = _events_daily(spark, sf)
+    return R.category_products_with_chart(_q13(spark, sf, daily), daily, EV_AS_OF, Q13_PERIODS)
 
 
 def _seller_report_rows(spark, sf):

@@ -53,3 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize_dimension(df):
+    """Cut the lineage of a small derived dimension (category forest, scope table) with a reliable checkpoint.
+
+    The checkpoint lives in the shared folder named by ``spark.checkpoint.dir``,
+    so it survives executor loss; later references scan a few rows instead of
+    re-deriving the dimension at every join of a plan.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -56,7 +56,8 @@ def read_daily_parts(spark: SparkSession, sink: str) -> DataFrame:
 
 def compact_daily_parts(spark: SparkSession, sink: str, target: str) -> None:
     """Rewrite merged states into a new table (readers switch to ``target``)."""
-    read_daily_parts(spark, sink).write.mode("overwrite").partitionBy("date").parquet(target)
+    (merge_daily(spark.read.parquet(sink).drop("batch_id"), compact=True)
+     .write.mode("overwrite").partitionBy("date").parquet(target))
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, schema, sinks: dict[str, str], checkpoint: str,
