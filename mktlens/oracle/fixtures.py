@@ -91,7 +91,11 @@ CTES: dict[str, tuple[str, list[str]]] = {
     """, []),
     "report_requests": ("""
         SELECT event_id AS report_id, user_id, ts AS created_at,
-               CASE WHEN event_id % 2 = 0 THEN 'seller' ELSE 'category' END AS report_type
+               CASE WHEN event_id % 2 = 0 THEN 'seller' ELSE 'category' END AS report_type,
+               CASE WHEN event_id % 2 = 0 THEN 'seller-' || CAST(user_id % 10 AS VARCHAR)
+                    ELSE CAST(1000 + user_id % 5 AS VARCHAR) END AS key,
+               7 * (1 + event_id % 4) AS interval_days, 'completed' AS status,
+               'report-' || CAST(event_id AS VARCHAR) AS content
         FROM events
     """, []),
     "access_log": ("""

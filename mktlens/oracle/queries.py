@@ -811,3 +811,66 @@ ORACLE.update({
     "retention": retention,
     "seller_upsert": seller_upsert,
 })
+
+
+def report_batch() -> str:
+    return with_ctes(
+        ["snap_events", "scope", "report_requests"],
+        [("wanted", "SELECT DISTINCT report_type, key, interval_days FROM report_requests"),
+         ("rrows", """SELECT 'seller' AS report_type, seller_link AS key, r.* FROM snap_events r
+                      UNION ALL
+                      SELECT 'category', CAST(s.scope_id AS VARCHAR), r.* FROM snap_events r
+                      JOIN scope s ON s.category_id = r.category_id"""),
+         ("t", f"""SELECT w.interval_days, x.* FROM rrows x JOIN wanted w USING (report_type, key)
+                   WHERE x.date BETWEEN CAST(DATE '{EV_AS_OF}' - CAST(w.interval_days AS INTEGER) AS DATE)
+                                    AND DATE '{EV_AS_OF}'"""),
+         ("pd", pd_cte("t", "report_type, key, interval_days", "TRUE")),
+         ("po", orders_cte("pd", "report_type, key, interval_days")),
+         ("summary", """SELECT report_type, key, interval_days, count(*) AS product_rows,
+                               CAST(sum(o) AS BIGINT) AS total_orders, sum(r) / 100 AS total_revenue
+                        FROM (SELECT report_type, key, interval_days, product_id, sum(orders) AS o,
+                                     sum(orders * med) AS r
+                              FROM po GROUP BY report_type, key, interval_days, product_id)
+                        GROUP BY report_type, key, interval_days""")],
+        """SELECT q.report_id, q.report_type, q.key, q.interval_days,
+                  CASE WHEN s.product_rows > 0 THEN 'completed' ELSE 'failed' END AS status,
+                  coalesce(s.product_rows, 0) AS product_rows, coalesce(s.total_orders, 0) AS total_orders,
+                  coalesce(s.total_revenue, 0.0) AS total_revenue
+           FROM report_requests q LEFT JOIN summary s USING (report_type, key, interval_days)""")
+
+
+def report_expiry() -> str:
+    return with_ctes(["report_requests"], [], """
+        SELECT report_id,
+               CASE WHEN created_at < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 18 HOUR THEN 'deleted'
+                    ELSE status END AS status,
+               CASE WHEN created_at < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 18 HOUR THEN NULL
+                    ELSE content END AS content
+        FROM report_requests""")
+
+
+def snapshot_store() -> str:
+    return with_ctes(["snap_events"], [], """
+        SELECT CAST(strftime(ts, '%Y%m') AS INTEGER) AS yyyymm, category_id, count(*) AS rows,
+               CAST(sum(purchase_price) AS BIGINT) AS price_sum, min(ts) AS first_ts, max(ts) AS last_ts
+        FROM snap_events WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-20 23:59:59'
+        GROUP BY 1, 2""")
+
+
+def rollup_store() -> str:
+    return with_ctes(
+        ["snap_events", "scope"], _j2_ctes(["WEEK"]),
+        f"""SELECT period, DATE '{EV_AS_OF}' AS as_of, category_id, product_id, l.title AS title,
+                   max_total_order_amount, min_total_order_amount, median_price, l.reviews_amount AS reviews_amount,
+                   l.photo_key AS photo_key, l.rating AS rating, l.available_amount AS available_amount
+            FROM (SELECT period, category_id, product_id, max(toa) AS max_total_order_amount,
+                         min(toa) AS min_total_order_amount, median(price) AS median_price, {LAST2} AS l
+                  FROM sdw GROUP BY period, category_id, product_id)""")
+
+
+ORACLE.update({
+    "report_batch": report_batch,
+    "report_expiry": report_expiry,
+    "snapshot_store": snapshot_store,
+    "rollup_store": rollup_store,
+})

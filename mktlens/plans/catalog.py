@@ -285,6 +285,38 @@ def q_approx_by_scope(spark, sf):
     return SK.approx_by_scope(_events_daily(spark, sf), _scope(spark, sf), EV_FROM, EV_TO)
 
 
+def q_report_batch(spark, sf):
+    return RP.report_batch(X.report_requests(spark, sf), _events_daily(spark, sf), _scope(spark, sf), EV_AS_OF)
+
+
+def q_report_expiry(spark, sf):
+    return RP.expire_reports(X.report_requests(spark, sf), "2024-01-20 00:00:00").select(
+        "report_id", "status", "content")
+
+
+def q_snapshot_store(spark, sf):
+    F = X.F
+    root = ST.scratch_root(spark, "snapshots")
+    IO.append_snapshots(X.snap_events(spark, sf), root)
+    back = IO.read_snapshots(spark, root, "2024-01-10 00:00:00", "2024-01-20 23:59:59")
+    return back.groupBy("yyyymm", "category_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("purchase_price").alias("price_sum"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def q_rollup_store(spark, sf):
+    root = ST.scratch_root(spark, "rollups")
+    cats = _cats(spark, sf)
+    roots = R.root_scope(_scope(spark, sf, cats), cats)
+    daily = _events_daily(spark, sf)
+    older = R.category_product_rollup(daily, roots, "2024-01-24", ["WEEK"])
+    newer = R.category_product_rollup(daily, roots, EV_AS_OF, ["WEEK"])
+    for part in (older, newer, newer):  # the rerun replaces its own partition
+        IO.write_rollup(part, root)
+    back = spark.read.parquet(root)
+    return R.finalise_product_rollup(back.join(R.latest_as_of(back), ["period", "as_of"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_daily": q_category_daily,
     "category_adhoc": q_category_adhoc,
@@ -329,4 +361,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retention": q_retention,
     "seller_upsert": q_seller_upsert,
     "approx_by_scope": q_approx_by_scope,
+    "report_batch": q_report_batch,
+    "report_expiry": q_report_expiry,
+    "snapshot_store": q_snapshot_store,
+    "rollup_store": q_rollup_store,
 }

@@ -67,3 +67,42 @@ def expire_reports(reports: DataFrame, now: str, hours: int = 18) -> DataFrame:
     if "content" in reports.columns:
         out = out.withColumn("content", F.when(old, F.lit(None)).otherwise(F.col("content")))
     return out
+
+
+def report_batch(requests: DataFrame, daily: DataFrame, scope: DataFrame, as_of: str) -> DataFrame:
+    """One batch run over pending report requests.
+
+    A request asks for the seller (``key`` = seller link) or category (``key`` =
+    category id as text) report over the ``interval_days`` up to ``as_of``.
+    Requests sharing (type, key, interval) share one computation: daily rows
+    are joined to the distinct requested (type, key, interval) combinations --
+    a few intervals per key -- and kept when their day lies in the interval;
+    the C-block runs per (type, key, interval, product), and each request gets
+    its report's summary; a report without rows marks the request failed.
+    """
+    import datetime as dt
+
+    from ..operators.daily import product_days, with_orders
+
+    a = dt.date.fromisoformat(as_of)
+    wanted = requests.select("report_type", "key", "interval_days").distinct()
+    seller_rows = (daily.select("*", F.col("seller_link").alias("key"), F.lit("seller").alias("report_type")))
+    cat_rows = (daily.join(scope, "category_id")
+                .select("*", F.col("scope_id").cast("string").alias("key"), F.lit("category").alias("report_type"))
+                .drop("scope_id"))
+    rows = seller_rows.unionByName(cat_rows)
+    # equi-join on (type, key) with the requested keys; the interval is a filter on the day
+    tagged = (rows.join(wanted, ["report_type", "key"])
+              .filter(F.col("date").between(F.date_sub(F.lit(a), F.col("interval_days").cast("int")), F.lit(a))))
+    k = ["report_type", "key", "interval_days"]
+    days = with_orders(product_days(tagged, k), k)
+    per_product = days.groupBy(*k, "product_id").agg(F.sum("orders").alias("o"), F.sum("revenue_minor").alias("r"))
+    summary = (per_product.groupBy(*k)
+               .agg(F.count(F.lit(1)).alias("product_rows"), F.sum("o").alias("total_orders"),
+                    (F.sum("r") / 100).alias("total_revenue")))
+    return (requests.join(summary, k, "left")
+            .select("report_id", "report_type", "key", "interval_days",
+                    F.when(F.col("product_rows") > 0, "completed").otherwise("failed").alias("status"),
+                    F.coalesce("product_rows", F.lit(0).cast("long")).alias("product_rows"),
+                    F.coalesce("total_orders", F.lit(0).cast("long")).alias("total_orders"),
+                    F.coalesce("total_revenue", F.lit(0.0)).alias("total_revenue")))

@@ -157,11 +157,18 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report requests: type by event parity; the seller link or root category asked for; 7-28 day intervals."""
+    seller = F.col("event_id") % 2 == 0
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("report_id"),
         "user_id",
         F.col("ts").alias("created_at"),
-        F.when(F.col("event_id") % 2 == 0, "seller").otherwise("category").alias("report_type"))
+        F.when(seller, "seller").otherwise("category").alias("report_type"),
+        F.when(seller, F.concat(F.lit("seller-"), (F.col("user_id") % 10).cast("string")))
+        .otherwise((F.lit(1000) + F.col("user_id") % 5).cast("string")).alias("key"),
+        (F.lit(7) * (F.lit(1) + F.col("event_id") % 4)).alias("interval_days"),
+        F.lit("completed").alias("status"),
+        F.concat(F.lit("report-"), F.col("event_id").cast("string")).alias("content"))
 
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
