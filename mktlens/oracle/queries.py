@@ -874,3 +874,6 @@ ORACLE.update({
     "snapshot_store": snapshot_store,
     "rollup_store": rollup_store,
 })
+
+
+ORACLE["streaming_subscription_ledger"] = subscription_ledger

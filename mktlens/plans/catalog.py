@@ -317,6 +317,10 @@ def q_rollup_store(spark, sf):
     return R.finalise_product_rollup(back.join(R.latest_as_of(back), ["period", "as_of"]))
 
 
+def q_streaming_subscription_ledger(spark, sf):
+    return ST.streaming_subscription_ledger(spark, X.payments(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_daily": q_category_daily,
     "category_adhoc": q_category_adhoc,
@@ -365,4 +369,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_expiry": q_report_expiry,
     "snapshot_store": q_snapshot_store,
     "rollup_store": q_rollup_store,
+    "streaming_subscription_ledger": q_streaming_subscription_ledger,
 }

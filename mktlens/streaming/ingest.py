@@ -101,3 +101,106 @@ def streaming_daily_state(spark: SparkSession, snap: DataFrame, n_files: int = 6
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     """Event-time column for watermarks: ``withWatermark`` needs TIMESTAMP, snapshots carry TIMESTAMP_NTZ."""
     return df.withColumn("event_time", F.col(col).cast("timestamp"))
+
+
+# --------------------------------------------------------------------------- payments
+
+LEDGER_SCHEMA = "user_id long, payment_id long, paid_on date, days long, subscription_end date"
+
+
+def _ledger_fold(key, batches, state):
+    """Per-user stateful fold: ``end = max(end, paid_on) + days`` over the user's new payments in order.
+
+    State holds the current end (days since epoch). Only a user's own rows are
+    in memory at once, so the fold is bounded by one user's payments per batch.
+    """
+    import datetime as dt
+
+    import pandas as pd
+
+    epoch = dt.date(1970, 1, 1)
+    end = state.get[0] if state.exists else None
+    out = []
+    frames = [b for b in batches if len(b)]
+    if frames:
+        pdf = pd.concat(frames).sort_values(["paid_on", "payment_id"])
+        for row in pdf.itertuples(index=False):
+            t = (row.paid_on - epoch).days
+            end = (t if end is None else max(end, t)) + int(row.days)
+            out.append((row.user_id, row.payment_id, row.paid_on, int(row.days), epoch + dt.timedelta(days=end)))
+        state.update((end,))
+    yield pd.DataFrame(out, columns=["user_id", "payment_id", "paid_on", "days", "subscription_end"])
+
+
+def subscription_stream(spark: SparkSession, source_dir: str, schema, sink: str, checkpoint: str,
+                        max_files_per_trigger: int = 1, available_now: bool = True):
+    """Streaming subscription ledger with keyed state (``applyInPandasWithState``).
+
+    Successful payments only; days = 30 x multiply (at least 30).
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    pay = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
+           .filter(F.col("status") == "success")
+           .select("user_id", "payment_id", F.to_date("created_at").alias("paid_on"),
+                   (F.lit(30) * F.greatest(F.coalesce("multiply", F.lit(1)), F.lit(1))).cast("long").alias("days")))
+    ledger = pay.groupBy("user_id").applyInPandasWithState(
+        _ledger_fold, LEDGER_SCHEMA, "end long", "append", GroupStateTimeout.NoTimeout)
+    w = (ledger.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+         .outputMode("append"))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
+def streaming_subscription_ledger(spark: SparkSession, payments: DataFrame, n_ranges: int = 5) -> DataFrame:
+    """Replay ``payments`` in time order through the stateful stream; returns the ledger rows.
+
+    The payments are cut at day boundaries into ``n_ranges`` time ranges; each
+    range is appended to the source folder and drained (``availableNow`` on the
+    same checkpoint) before the next one arrives, as a live feed would deliver
+    them.
+    """
+    root = scratch_root(spark, "ledger-stream")
+    src, sink, ckpt = f"{root}/source", f"{root}/ledger", f"{root}/checkpoint"
+    day = F.datediff(F.to_date("created_at"), F.lit("1970-01-01").cast("date"))
+    cuts = payments.select(day.alias("_d")).approxQuantile("_d", [i / n_ranges for i in range(1, n_ranges)], 0.001)
+    bounds = [None, *sorted(set(cuts)), None]
+    for lo, hi in zip(bounds, bounds[1:]):
+        part = payments
+        if lo is not None:
+            part = part.filter(day > lo)
+        if hi is not None:
+            part = part.filter(day <= hi)
+        part.write.mode("append").parquet(src)
+        subscription_stream(spark, src, payments.schema, sink, ckpt, max_files_per_trigger=10000).awaitTermination()
+    return spark.read.schema(LEDGER_SCHEMA).parquet(sink)
+
+
+def payment_stream(spark: SparkSession, created_dir: str, created_schema, status_events: DataFrame,
+                   table_root: str, checkpoint: str, available_now: bool = True):
+    """S12 + I11/I12: apply created-payment events batch by batch to a versioned payments table.
+
+    Each batch writes ``version=<batch_id>`` = previous version + the batch's
+    events (idempotent on replay); readers take the highest version.
+    """
+    from ..plans.accounts import PAYMENT_SCHEMA, apply_payment_events
+
+    stream = spark.readStream.schema(created_schema).parquet(created_dir)
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        try:
+            current = latest_payments(spark, table_root)
+        except Exception:  # noqa: BLE001 - first batch, no table yet
+            current = spark.createDataFrame([], PAYMENT_SCHEMA)
+        nxt = apply_payment_events(current, batch, status_events)
+        nxt.write.mode("overwrite").parquet(f"{table_root}/version={batch_id}")
+
+    w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
+def latest_payments(spark: SparkSession, table_root: str) -> DataFrame:
+    versions = spark.read.parquet(table_root)
+    top = versions.agg(F.max("version").alias("version"))
+    return versions.join(top, "version").drop("version")
