@@ -19,28 +19,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sum(df: DataFrame, key: str, bucket: Column | str, order_cols: list[str],
+def running_sum(df: DataFrame, key: str | list[str], bucket: Column | str, order_cols: list[str],
                 value: Column, out: str) -> DataFrame:
-    return running_sums(df, key, bucket, order_cols, {out: value})
+    return running_aggs(df, key, bucket, order_cols, {out: ("sum", value)})
 
 
-def running_sums(df: DataFrame, key: str, bucket: Column | str, order_cols: list[str],
+def running_sums(df: DataFrame, key: str | list[str], bucket: Column | str, order_cols: list[str],
                  values: dict[str, Column]) -> DataFrame:
     """Several running sums over the same key and order in one pass (one set of shuffles)."""
+    return running_aggs(df, key, bucket, order_cols, {n: ("sum", v) for n, v in values.items()})
+
+
+_AGG = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def running_aggs(df: DataFrame, key: str | list[str], bucket: Column | str, order_cols: list[str],
+                 values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Running sum / max / min per key in ``order_cols`` order, split by ``bucket``.
+
+    ``bucket`` must be monotone in the order (e.g. the day of the ordering
+    timestamp). Result = combine(prefix over earlier buckets, running value
+    inside the bucket); the only window over raw rows is partitioned by
+    (key, bucket).
+    """
+    keys = [key] if isinstance(key, str) else list(key)
     bucket_col = F.col(bucket) if isinstance(bucket, str) else bucket
     names = list(values)
     df = df.withColumn("_rs_bucket", bucket_col)
     for i, n in enumerate(names):
-        df = df.withColumn(f"_rs_v{i}", values[n])
-    prev = Window.partitionBy(key).orderBy("_rs_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = df.groupBy(key, "_rs_bucket").agg(*[F.sum(f"_rs_v{i}").alias(f"_rs_b{i}") for i in range(len(names))])
-    per_bucket = per_bucket.select(key, "_rs_bucket", *[
-        F.coalesce(F.sum(f"_rs_b{i}").over(prev), F.lit(0)).alias(f"_rs_p{i}") for i in range(len(names))])
-    inner = Window.partitionBy(key, "_rs_bucket").orderBy(*order_cols).rowsBetween(
+        df = df.withColumn(f"_rs_v{i}", values[n][1])
+    fn = [_AGG[values[n][0]] for n in names]
+    prev = Window.partitionBy(*keys).orderBy("_rs_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = df.groupBy(*keys, "_rs_bucket").agg(*[fn[i](f"_rs_v{i}").alias(f"_rs_b{i}")
+                                                       for i in range(len(names))])
+    per_bucket = per_bucket.select(*keys, "_rs_bucket", *[
+        fn[i](f"_rs_b{i}").over(prev).alias(f"_rs_p{i}") for i in range(len(names))])
+    inner = Window.partitionBy(*keys, "_rs_bucket").orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     for i in range(len(names)):
-        df = df.withColumn(f"_rs_in{i}", F.sum(f"_rs_v{i}").over(inner))
-    df = df.join(per_bucket, [key, "_rs_bucket"])
+        df = df.withColumn(f"_rs_in{i}", fn[i](f"_rs_v{i}").over(inner))
+    df = df.join(per_bucket, [*keys, "_rs_bucket"])
     for i, n in enumerate(names):
-        df = df.withColumn(n, F.col(f"_rs_p{i}") + F.col(f"_rs_in{i}"))
+        p, c = F.col(f"_rs_p{i}"), F.col(f"_rs_in{i}")
+        if values[n][0] == "sum":
+            df = df.withColumn(n, F.coalesce(p, F.lit(0)) + c)
+        elif values[n][0] == "max":
+            df = df.withColumn(n, F.when(p.isNull(), c).otherwise(F.greatest(p, c)))
+        else:
+            df = df.withColumn(n, F.when(p.isNull(), c).otherwise(F.least(p, c)))
     return df.drop("_rs_bucket", *[f"_rs_{t}{i}" for t in ("v", "in", "p") for i in range(len(names))])

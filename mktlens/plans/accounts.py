@@ -6,10 +6,12 @@ a per-request service call.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.running import running_aggs, running_sums
+
 # Fixed values of the plans: (name, min days, max days, shop reports a day, category reports a day).
 PLANS = [
     ("demo", 1, 30, 10, 10),
@@ -53,11 +55,14 @@ def access_check(requests: DataFrame, users: DataFrame, plan: DataFrame, as_of:
 def report_quota(requests: DataFrame, users: DataFrame, plan: DataFrame, as_of: str) -> DataFrame:
     """The n-th report request of a user, type and day is allowed iff the subscription is active and n <= limit.
 
-    The count of earlier requests the same day is a row number per (user, type, day).
+    The count of earlier requests the same day is a running count per (user,
+    type, day) ordered by (created_at, report_id), split by hour so a user
+    flooding one day is not one task.
     """
-    w = Window.partitionBy("user_id", "report_type", "date").orderBy("created_at", "report_id")
-    r = (requests.withColumn("date", F.to_date("created_at"))
-         .withColumn("_before", F.row_number().over(w) - 1)
+    # rank within (user, type, day) as a skew-split running count (hour buckets), not one window per user-day
+    r = running_sums(requests.withColumn("date", F.to_date("created_at")), ["user_id", "report_type", "date"],
+                     F.hour("created_at"), ["created_at", "report_id"], {"_rank": F.lit(1).cast("long")})
+    r = (r.withColumn("_before", F.col("_rank") - 1)
          .join(users, "user_id", "left").join(F.broadcast(plan), "subscription_type", "left"))
     limit = F.when(F.col("report_type") == "seller", F.col("shop_reports")).otherwise(F.col("category_reports"))
     ok = F.col("subscription_type").isNotNull() & _active(as_of) & (F.col("_before") < limit)
@@ -94,11 +99,12 @@ def subscription_ledger(payments: DataFrame, users: DataFrame | None = None) ->
          .withColumn("paid_on", F.to_date("created_at"))
          .withColumn("days", DAYS_PER_PAYMENT_UNIT * F.greatest(F.coalesce("multiply", F.lit(1)), F.lit(1))))
     epoch = F.lit("1970-01-01").cast("date")
-    w = Window.partitionBy("user_id").orderBy("paid_on", "payment_id")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p = (p.withColumn("_P", F.sum("days").over(run))
-          .withColumn("_t", F.datediff("paid_on", epoch) - (F.col("_P") - F.col("days")))
-          .withColumn("_m", F.max("_t").over(run)))
+    month = F.date_trunc("month", F.col("paid_on"))
+    order = ["paid_on", "payment_id"]
+    # two skew-split running aggregates per user (month buckets): P = sum of days, M = max of (t - P_prev)
+    p = running_sums(p, "user_id", month, order, {"_P": F.col("days")})
+    p = running_aggs(p, "user_id", month, order,
+                     {"_m": ("max", F.datediff("paid_on", epoch) - (F.col("_P") - F.col("days")))})
     base = F.col("_m")
     if users is not None:
         p = p.join(users.select("user_id", F.datediff("subscription_end_at", epoch).alias("_e0")), "user_id", "left")
