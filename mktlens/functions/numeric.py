@@ -49,3 +49,8 @@ def money_split(amount: Column) -> Column:
 def to_minor(decimal_string: Column) -> Column:
     """Decimal string -> minor units, truncating; empty string -> NULL."""
     return F.when(decimal_string != "", (decimal_string.cast("decimal(20,6)") * 100).cast("long"))
+
+
+def product_url(product_id: Column, base: str) -> Column:
+    """Product page link for a report row (``base`` is the marketplace's product URL prefix)."""
+    return F.concat(F.lit(base.rstrip("/") + "/"), product_id.cast("string"))

@@ -80,3 +80,23 @@ def with_total(df: DataFrame, keys: list[str], out: str = "total_row_count") ->
         one = df.agg(F.count(F.lit(1)).alias(out)).withColumn("_one", F.lit(1))
         return df.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
     return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), keys)
+
+
+def eq_filter(df: DataFrame, values: dict) -> DataFrame:
+    """equality on key columns, typed literals."""
+    for c, v in values.items():
+        df = df.filter(F.col(c) == F.lit(v))
+    return df
+
+
+def in_filter(df: DataFrame, col: str, values) -> DataFrame:
+    """``col IN (...)``; a DataFrame of ids becomes a semi join (no driver-side list for long inputs)."""
+    if isinstance(values, DataFrame):
+        ids = values.select(F.col(values.columns[0]).alias(col)).distinct()
+        return df.join(ids, col, "left_semi")
+    return df.filter(F.col(col).isin(list(values)))
+
+
+def range_filter(df: DataFrame, col: str, lo, hi) -> DataFrame:
+    """inclusive range on a timestamp / date / number column (pushed to the scan)."""
+    return df.filter(F.col(col).between(F.lit(lo), F.lit(hi)))
