@@ -152,7 +152,7 @@ def subscription_stream(spark: SparkSession, source_dir: str, schema, sink: str,
     return w.start()
 
 
-def streaming_subscription_ledger(spark: SparkSession, payments: DataFrame, n_ranges: int = 5) -> DataFrame:
+def streaming_subscription_ledger(spark: SparkSession, payments: DataFrame, n_ranges: int = 3) -> DataFrame:
     """Replay ``payments`` in time order through the stateful stream; returns the ledger rows.
 
     The payments are cut at day boundaries into ``n_ranges`` time ranges; each

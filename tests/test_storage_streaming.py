@@ -64,3 +64,20 @@ def test_ingest_stream_routes_and_flattens(spark):
                                                                           dt.datetime(2024, 1, 1))
     assert spark.read.parquet(sinks["position"]).first().position == 3
     assert spark.read.parquet(sinks["seller"]).first().account_id == 9
+
+
+def test_payment_stream_applies_events(spark):
+    from mktlens.streaming.ingest import latest_payments, payment_stream
+    root = tempfile.mkdtemp(prefix="mktlens-pay-")
+    created = spark.createDataFrame(
+        [(1, 10, dt.datetime(2024, 1, 1), 1500, 2, 1), (2, 11, dt.datetime(2024, 1, 2), 990, 3, 2)],
+        "payment_id long, user_id long, created_at timestamp_ntz, amount_minor long, plan_code int, multiply int")
+    src = os.path.join(root, "created")
+    created.write.parquet(src)
+    status = spark.createDataFrame([(1, "success", dt.datetime(2024, 1, 3), 1), (2, "weird", dt.datetime(2024, 1, 3), 1)],
+                                   "payment_id long, status string, event_ts timestamp_ntz, event_seq long")
+    q = payment_stream(spark, src, created.schema, status, os.path.join(root, "table"), os.path.join(root, "ckpt"))
+    q.awaitTermination()
+    got = {r.payment_id: (r.status, r.paid, r.amount, r.subscription_type)
+           for r in latest_payments(spark, os.path.join(root, "table")).collect()}
+    assert got == {1: ("success", True, 15.0, "advanced"), 2: ("pending", False, 9.9, "pro")}
