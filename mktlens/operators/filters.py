@@ -75,11 +75,12 @@ def page(df: DataFrame, keys: list[str], order: list[Column], limit: int, offset
 
 
 def with_total(df: DataFrame, keys: list[str], out: str = "total_row_count") -> DataFrame:
-    """``count() OVER ()`` per key group, as an aggregate joined back (never an unpartitioned window)."""
+    """``count() OVER ()`` per key group: a count over the group's partition (shared with ``page``'s
+    partitioning); without keys, a one-row aggregate joined back (never an unpartitioned window)."""
     if not keys:  # one-row aggregate, joined on a constant key
         one = df.agg(F.count(F.lit(1)).alias(out)).withColumn("_one", F.lit(1))
         return df.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
-    return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), keys)
+    return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
 def eq_filter(df: DataFrame, values: dict) -> DataFrame:

@@ -43,22 +43,25 @@ def running_aggs(df: DataFrame, key: str | list[str], bucket: Column | str, orde
     (key, bucket).
     """
     keys = [key] if isinstance(key, str) else list(key)
-    bucket_col = F.col(bucket) if isinstance(bucket, str) else bucket
     names = list(values)
-    df = df.withColumn("_rs_bucket", bucket_col)
+    # a named bucket column is used as is, so the (key, bucket) partitioning of the
+    # window survives and later aggregations on (key, bucket, ...) need no new shuffle
+    b = bucket if isinstance(bucket, str) else "_rs_bucket"
+    if not isinstance(bucket, str):
+        df = df.withColumn(b, bucket)
     for i, n in enumerate(names):
         df = df.withColumn(f"_rs_v{i}", values[n][1])
     fn = [_AGG[values[n][0]] for n in names]
-    prev = Window.partitionBy(*keys).orderBy("_rs_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = df.groupBy(*keys, "_rs_bucket").agg(*[fn[i](f"_rs_v{i}").alias(f"_rs_b{i}")
+    prev = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = df.groupBy(*keys, b).agg(*[fn[i](f"_rs_v{i}").alias(f"_rs_b{i}")
                                                        for i in range(len(names))])
-    per_bucket = per_bucket.select(*keys, "_rs_bucket", *[
+    per_bucket = per_bucket.select(*keys, b, *[
         fn[i](f"_rs_b{i}").over(prev).alias(f"_rs_p{i}") for i in range(len(names))])
-    inner = Window.partitionBy(*keys, "_rs_bucket").orderBy(*order_cols).rowsBetween(
+    inner = Window.partitionBy(*keys, b).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     for i in range(len(names)):
         df = df.withColumn(f"_rs_in{i}", fn[i](f"_rs_v{i}").over(inner))
-    df = df.join(per_bucket, [*keys, "_rs_bucket"])
+    df = df.join(per_bucket, [*keys, b])
     for i, n in enumerate(names):
         p, c = F.col(f"_rs_p{i}"), F.col(f"_rs_in{i}")
         if values[n][0] == "sum":
@@ -67,4 +70,5 @@ def running_aggs(df: DataFrame, key: str | list[str], bucket: Column | str, orde
             df = df.withColumn(n, F.when(p.isNull(), c).otherwise(F.greatest(p, c)))
         else:
             df = df.withColumn(n, F.when(p.isNull(), c).otherwise(F.least(p, c)))
-    return df.drop("_rs_bucket", *[f"_rs_{t}{i}" for t in ("v", "in", "p") for i in range(len(names))])
+    drop = [f"_rs_{t}{i}" for t in ("v", "in", "p") for i in range(len(names))]
+    return df.drop(*(drop + ([] if isinstance(bucket, str) else [b])))

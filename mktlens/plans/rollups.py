@@ -81,7 +81,8 @@ def category_product_rollup(daily: DataFrame, roots: DataFrame, as_of: str, peri
     """
     from pyspark.sql import Window
 
-    d = daily.join(roots.select("category_id").distinct(), "category_id", "left_semi")
+    # in a forest every category lies under exactly one root: root scope rows are unique per category
+    d = daily.join(roots.select("category_id"), "category_id", "left_semi")
     # Sum over the product's SKUs of the day's min stock, before the rows are tagged with periods
     d = d.withColumn("stock_day", F.sum("min_available_amount").over(Window.partitionBy("product_id", "date")))
     d = (tag_windows(d, "date", as_of, periods, with_prev=False)

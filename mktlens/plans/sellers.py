@@ -44,8 +44,9 @@ def seller_order_dynamic(daily: DataFrame, date_from: str, date_to: str) -> Data
 def sales_report_rows(days: DataFrame, key: str, categories: DataFrame, limit: int, offset: int) -> DataFrame:
     """Per (key, product) report rows: charts in date order, last-day values, revenue, total, one page per key.
 
-    ``total`` is the number of products of the key before paging (a per-key
-    count, never an unpartitioned window); pages are ordered by product_id.
+    ``total`` is the number of products of the key before paging (a count over
+    the key's partition, never an unpartitioned window); pages are ordered by
+    product_id.
     """
     last = F.max_by(F.struct(
         F.col("seller_title"), F.col("seller_id"), F.col("last.category_id").alias("latest_category_id"),
@@ -61,10 +62,10 @@ def sales_report_rows(days: DataFrame, key: str, categories: DataFrame, limit: i
     titles = categories.select(F.col("category_id").alias("latest_category_id"), F.col("title").alias("category_name"))
     rows = rows.join(titles, "latest_category_id", "left")
     w = Window.partitionBy(key).orderBy("product_id")
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    # the total and the page number share one partitioning by key (no extra shuffle, never a global window)
     return (rows.withColumn("_rn", F.row_number().over(w))
-            .filter((F.col("_rn") > offset) & (F.col("_rn") <= offset + limit)).drop("_rn")
-            .join(counts, key))
+            .withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(key)))
+            .filter((F.col("_rn") > offset) & (F.col("_rn") <= offset + limit)).drop("_rn"))
 
 
 def seller_sales_report(daily: DataFrame, categories: DataFrame, date_from: str, date_to: str,
@@ -77,8 +78,7 @@ def seller_card(daily: DataFrame, date_from: str, date_to: str) -> DataFrame:
     """Q18: seller overview plus its orders-per-day series."""
     dyn = (seller_order_dynamic(daily, date_from, date_to)
            .groupBy("seller_link")
-           .agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "order_amount"))), lambda s: s)
-                .alias("sales_dynamic")))
+           .agg(F.array_sort(F.collect_list(F.struct("date", "order_amount"))).alias("sales_dynamic")))
     return seller_overall(daily, date_from, date_to).join(dyn, "seller_link", "left")
 
 
