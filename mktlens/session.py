@@ -61,22 +61,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-# Largest dimension (rows) that is broadcast to every task; above it joins stay shuffle joins.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def materialize_dimension(df, broadcast_max_rows: int = BROADCAST_MAX_ROWS):
+def materialize_dimension(df):
     """Cut the lineage of a small derived dimension (category forest, scope table) with a reliable checkpoint.
 
     The checkpoint lives in the shared folder named by ``spark.checkpoint.dir``,
     so it survives executor loss; later references scan a few rows instead of
-    re-deriving the dimension at every join of a plan. A checkpointed table
-    carries no size statistics, so its size is checked here: at most
-    ``broadcast_max_rows`` rows are marked for broadcast, a larger one is left
-    to shuffle joins.
+    re-deriving the dimension at every join of a plan. Joins against it are
+    sized at run time by AQE: broadcast below
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``, shuffle join above.
     """
-    from pyspark.sql import functions as F
-
     ensure_checkpoint_dir(df.sparkSession)
-    m = df.checkpoint(eager=True)
-    return F.broadcast(m) if m.count() <= broadcast_max_rows else m
+    return df.checkpoint(eager=True)
