@@ -96,15 +96,17 @@ def scope_table(categories: DataFrame, closure: DataFrame | None = None) -> Data
 
 
 def scope_of(categories: DataFrame, category_id: int, closure: DataFrame | None = None) -> DataFrame:
-    """Scope of one id: its strict descendants, else ``[id]`` (also for unknown ids)."""
+    """Scope table of one id, same shape as ``scope_table``: its strict descendants, else ``[id]``
+    (also for an id missing from the forest)."""
     spark = categories.sparkSession
     closure = closure if closure is not None else category_closure(categories)
     strict = descendants(closure, category_id)
     self_row = spark.range(1).select(F.lit(category_id).cast("long").alias("category_id"))
-    # keep the self row only when there are no strict descendants
-    has_desc = strict.limit(1).select(F.lit(1).alias("_has"))
-    self_row = self_row.join(has_desc, how="left").filter(F.col("_has").isNull()).drop("_has")
-    return strict.unionByName(self_row)
+    # keep the self row only when there are no strict descendants (a one-row flag, joined on a constant key)
+    has_desc = strict.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
+    self_row = (self_row.withColumn("_k", F.lit(1)).join(has_desc, "_k")
+                .filter(F.col("_n") == 0).drop("_k", "_n"))
+    return strict.unionByName(self_row).select(F.lit(category_id).cast("long").alias("scope_id"), "category_id")
 
 
 def in_scope(facts: DataFrame, scope: DataFrame, keep_scope: bool = True) -> DataFrame:

@@ -152,7 +152,8 @@ def subscription_stream(spark: SparkSession, source_dir: str, schema, sink: str,
     return w.start()
 
 
-def streaming_subscription_ledger(spark: SparkSession, payments: DataFrame, n_ranges: int = 3) -> DataFrame:
+def streaming_subscription_ledger(spark: SparkSession, payments: DataFrame, n_ranges: int = 3,
+                                  state_partitions: int | None = None) -> DataFrame:
     """Replay ``payments`` in time order through the stateful stream; returns the ledger rows.
 
     The payments are cut at day boundaries into ``n_ranges`` time ranges; each
@@ -165,14 +166,22 @@ def streaming_subscription_ledger(spark: SparkSession, payments: DataFrame, n_ra
     day = F.datediff(F.to_date("created_at"), F.lit("1970-01-01").cast("date"))
     cuts = payments.select(day.alias("_d")).approxQuantile("_d", [i / n_ranges for i in range(1, n_ranges)], 0.001)
     bounds = [None, *sorted(set(cuts)), None]
-    for lo, hi in zip(bounds, bounds[1:]):
-        part = payments
-        if lo is not None:
-            part = part.filter(day > lo)
-        if hi is not None:
-            part = part.filter(day <= hi)
-        part.write.mode("append").parquet(src)
-        subscription_stream(spark, src, payments.schema, sink, ckpt, max_files_per_trigger=10000).awaitTermination()
+    # the state store keeps the partition count of the first run: size it to the cluster, not to a default
+    n_state = state_partitions or spark.sparkContext.defaultParallelism
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n_state))
+    try:
+        for lo, hi in zip(bounds, bounds[1:]):
+            part = payments
+            if lo is not None:
+                part = part.filter(day > lo)
+            if hi is not None:
+                part = part.filter(day <= hi)
+            part.write.mode("append").parquet(src)
+            subscription_stream(spark, src, payments.schema, sink, ckpt,
+                                max_files_per_trigger=10000).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     return spark.read.schema(LEDGER_SCHEMA).parquet(sink)
 
 

@@ -39,8 +39,9 @@ def test_scope_rules(spark):
     for r in sc.collect():
         got.setdefault(r.scope_id, set()).add(r.category_id)
     assert got == {1: {2, 3, 4}, 2: {4}, 3: {3}, 4: {4}}
-    assert {r.category_id for r in scope_of(cats, 9, clo).collect()} == {9}
+    assert {(r.scope_id, r.category_id) for r in scope_of(cats, 9, clo).collect()} == {(9, 9)}
     assert {r.category_id for r in scope_of(cats, 1, clo).collect()} == {2, 3, 4}
+    assert {r.category_id for r in scope_of(cats, 3, clo).collect()} == {3}
     info = {r.category_id: r.children_ids for r in category_info(cats).collect()}
     assert info[1] == [2, 3] and info[4] == []
     depth = {(r.ancestor, r.descendant): r.depth for r in clo.collect()}
