@@ -240,7 +240,7 @@ def product_daily_card() -> str:
                 arg_max(category_id, ts) AS category_id, arg_max(reviews_amount, ts) AS review_amount,
                 arg_max(photo_key, ts) AS photo_key""")),
          ("po", orders_cte("pd", "")),
-         ("st", """SELECT product_id, date, sum(m) AS stock_sum FROM (
+         ("st", """SELECT product_id, date, CAST(sum(m) AS BIGINT) AS stock_sum FROM (
                        SELECT product_id, sku_id, date, min(available_amount) AS m FROM src
                        GROUP BY product_id, sku_id, date) GROUP BY product_id, date"""),
          ("bounds", "SELECT product_id, min(date) AS lo, max(date) AS last_obs FROM po GROUP BY product_id"),
@@ -494,7 +494,7 @@ def _j2_ctes(periods: list[str]) -> list[tuple[str, str]]:
                          arg_max(reviews_amount, ts) AS reviews_amount
                   FROM snap_events WHERE category_id IN (SELECT category_id FROM rs2)
                   GROUP BY product_id, sku_id, date"""),
-        ("sd2", """SELECT *, sum(amin) OVER (PARTITION BY product_id, date) AS stock_day FROM sd"""),
+        ("sd2", """SELECT *, CAST(sum(amin) OVER (PARTITION BY product_id, date) AS BIGINT) AS stock_day FROM sd"""),
         ("sdw", """SELECT w.period, sd2.* FROM sd2 JOIN win2 w ON sd2.date BETWEEN w.lo AND w.hi"""),
     ]
 
