@@ -91,3 +91,28 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Read a Parquet table, with its fixed schema when given (no inference)."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(path)
+
+
+def read_positions(spark: SparkSession, path: str) -> DataFrame:
+    """S2."""
+    return read_table(spark, path, T.StructType([*POSITION.fields, T.StructField("yyyymm", T.IntegerType())]))
+
+
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    """S3: daily states (merged at read time, see ``operators.daily.merge_daily``)."""
+    from .schema import DAILY
+    return read_table(spark, path, DAILY)
+
+
+def read_rollup(spark: SparkSession, path: str, period: str, as_of: str | None = None) -> DataFrame:
+    """A period rollup; the (period, as_of) partition filter prunes directories."""
+    df = spark.read.parquet(path).filter(F.col("period") == period)
+    if as_of is not None:
+        df = df.filter(F.col("as_of") == F.lit(as_of).cast("date"))
+    return df

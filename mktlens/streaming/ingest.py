@@ -213,3 +213,8 @@ def latest_payments(spark: SparkSession, table_root: str) -> DataFrame:
     versions = spark.read.parquet(table_root)
     top = versions.agg(F.max("version").alias("version"))
     return versions.join(top, "version").drop("version")
+
+
+def day_bucket(ts_col: str = "ts"):
+    """T5: tumbling one-day event-time window (start of the day)."""
+    return F.window(F.col(ts_col), "1 day")["start"]
