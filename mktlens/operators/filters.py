@@ -101,3 +101,17 @@ def in_filter(df: DataFrame, col: str, values) -> DataFrame:
 def range_filter(df: DataFrame, col: str, lo, hi) -> DataFrame:
     """inclusive range on a timestamp / date / number column (pushed to the scan)."""
     return df.filter(F.col(col).between(F.lit(lo), F.lit(hi)))
+
+
+def one_row_for(df: DataFrame, key: str, value, defaults: dict) -> DataFrame:
+    """The single-entity answer -- exactly one row for ``key = value``, defaults when there is none.
+
+    (The service's aggregate without GROUP BY returns a row of zeros for an
+    unknown seller or an empty category; a keyed aggregate returns nothing.)
+    """
+    spark = df.sparkSession
+    probe = spark.range(1).select(F.lit(value).alias(key))
+    out = probe.join(df.filter(F.col(key) == F.lit(value)), key, "left")
+    for c, v in defaults.items():
+        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
+    return out

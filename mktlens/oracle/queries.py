@@ -300,8 +300,8 @@ def seller_card() -> str:
 
 def seller_shops() -> str:
     return with_ctes(
-        ["snap_events", "sellers"],
-        [("links", "SELECT DISTINCT seller_link AS request_link FROM snap_events"),
+        ["report_requests", "sellers"],
+        [("links", "SELECT DISTINCT key AS request_link FROM report_requests WHERE report_type = 'seller'"),
          ("owners", """SELECT l.request_link, s.account_id FROM links l JOIN sellers s ON s.link = l.request_link""")],
         """SELECT o.request_link, s.title, s.link AS shop_link, o.account_id
            FROM owners o JOIN sellers s USING (account_id)""")

@@ -114,8 +114,9 @@ def q_seller_card(spark, sf):
 
 
 def q_seller_shops(spark, sf):
-    links = X.snap_events(spark, sf).select(X.F.col("seller_link").alias("link"))
-    return SE.seller_shops(X.sellers(spark, sf), links)
+    F = X.F
+    requests = X.report_requests(spark, sf).filter(F.col("report_type") == "seller")
+    return SE.seller_shops(X.sellers(spark, sf), requests.select(F.col("key").alias("link")))
 
 
 def q_position_history(spark, sf):

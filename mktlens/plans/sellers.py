@@ -83,7 +83,11 @@ def seller_card(daily: DataFrame, date_from: str, date_to: str) -> DataFrame:
 
 
 def seller_shops(sellers: DataFrame, links: DataFrame) -> DataFrame:
-    """Q19: for every requested link, all shops owned by the account(s) owning that link."""
+    """Q19: for every requested link (a request log, de-duplicated), all shops of the account(s) owning it.
+
+    The output is one row per (requested link, shop of its account): linear in
+    the requests, never all shop pairs of an account.
+    """
     owners = (links.select(F.col("link").alias("request_link")).distinct()
               .join(sellers.select(F.col("link").alias("request_link"), "account_id"), "request_link"))
     return (owners.join(sellers.select("account_id", "title", F.col("link").alias("shop_link")), "account_id")

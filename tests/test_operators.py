@@ -111,3 +111,11 @@ def test_map_last_wins_and_strict(spark):
     assert df.select(list_to_map_last(F.col("kv")).alias("m")).first().m == {"a": "3", "b": "2"}
     with pytest.raises(Exception):
         df.select(list_to_map_strict(F.col("kv"))).collect()
+
+
+def test_one_row_for_unknown_entity(spark):
+    from mktlens.operators.filters import one_row_for
+    df = spark.createDataFrame([("s1", 5, 1.5)], "seller_link string, order_amount long, revenue double")
+    got = one_row_for(df, "seller_link", "nobody", {"order_amount": 0, "revenue": 0.0}).collect()
+    assert [(r.seller_link, r.order_amount, r.revenue) for r in got] == [("nobody", 0, 0.0)]
+    assert one_row_for(df, "seller_link", "s1", {"order_amount": 0}).first().order_amount == 5
