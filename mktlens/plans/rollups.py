@@ -83,10 +83,12 @@ def category_product_rollup(daily: DataFrame, roots: DataFrame, as_of: str, peri
 
     # in a forest every category lies under exactly one root: root scope rows are unique per category
     d = daily.join(roots.select("category_id"), "category_id", "left_semi")
-    # Sum over the product's SKUs of the day's min stock, before the rows are tagged with periods
-    d = d.withColumn("stock_day", F.sum("min_available_amount").over(Window.partitionBy("product_id", "date")))
-    d = (tag_windows(d, "date", as_of, periods, with_prev=False)
-         .withColumn("price", hist_median(F.col("price_hist")).cast("long")))
+    # W3 (sum over the product's SKUs of the day's min stock) and the SKU-day median price are computed
+    # once per daily row, before the rows are copied into their period windows
+    d = (d.withColumn("stock_day", F.sum("min_available_amount").over(Window.partitionBy("product_id", "date")))
+         .withColumn("price", hist_median(F.col("price_hist")).cast("long"))
+         .drop("price_hist", "full_price_hist"))
+    d = tag_windows(d, "date", as_of, periods, with_prev=False)
     last = F.struct("date", "sku_id", F.col("last.title").alias("title"), F.col("last.photo_key").alias("photo_key"),
                     F.col("last.reviews_amount").alias("reviews_amount"), "rating",
                     F.col("stock_day").alias("available_amount"))
