@@ -119,3 +119,12 @@ def test_one_row_for_unknown_entity(spark):
     got = one_row_for(df, "seller_link", "nobody", {"order_amount": 0, "revenue": 0.0}).collect()
     assert [(r.seller_link, r.order_amount, r.revenue) for r in got] == [("nobody", 0, 0.0)]
     assert one_row_for(df, "seller_link", "s1", {"order_amount": 0}).first().order_amount == 5
+
+
+def test_sort_cards_whitelist(spark):
+    from mktlens.plans.rollups import sort_cards
+    df = spark.createDataFrame([(1, 10, 2.0), (2, 30, 1.0), (3, 20, 3.0)], "category_id long, order_amount long, revenue double")
+    assert [r.category_id for r in sort_cards(df, [("order_amount", "desc")]).collect()] == [2, 3, 1]
+    assert [r.category_id for r in sort_cards(df, [("revenue", None)]).collect()] == [2, 1, 3]
+    with pytest.raises(ValueError):
+        sort_cards(df, [("title", "asc")])
