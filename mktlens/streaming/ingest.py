@@ -109,27 +109,31 @@ LEDGER_SCHEMA = "user_id long, payment_id long, paid_on date, days long, subscri
 
 
 def _ledger_fold(key, batches, state):
-    """Per-user stateful fold: ``end = max(end, paid_on) + days`` over the user's new payments in order.
+    """Per-user stateful fold ``end = max(end, paid_on) + days`` over the user's new payments, vectorized.
 
-    State holds the current end (days since epoch). Only a user's own rows are
-    in memory at once, so the fold is bounded by one user's payments per batch.
+    With P the running sum of the batch's days, ``end_m = P_m + max(end_0,
+    max_{k<=m}(paid_on_k - P_{k-1}))`` (the batch job's closed form, seeded by
+    the end kept in state). State holds the current end (days since epoch);
+    only one user's new rows are in memory at a time.
     """
-    import datetime as dt
-
+    import numpy as np
     import pandas as pd
 
-    epoch = dt.date(1970, 1, 1)
-    end = state.get[0] if state.exists else None
-    out = []
     frames = [b for b in batches if len(b)]
-    if frames:
-        pdf = pd.concat(frames).sort_values(["paid_on", "payment_id"])
-        for row in pdf.itertuples(index=False):
-            t = (row.paid_on - epoch).days
-            end = (t if end is None else max(end, t)) + int(row.days)
-            out.append((row.user_id, row.payment_id, row.paid_on, int(row.days), epoch + dt.timedelta(days=end)))
-        state.update((end,))
-    yield pd.DataFrame(out, columns=["user_id", "payment_id", "paid_on", "days", "subscription_end"])
+    if not frames:
+        return
+    pdf = pd.concat(frames).sort_values(["paid_on", "payment_id"])
+    t = (pd.to_datetime(pdf["paid_on"]) - pd.Timestamp("1970-01-01")).dt.days.to_numpy()
+    d = pdf["days"].to_numpy(dtype="int64")
+    run = np.cumsum(d)
+    base = np.maximum.accumulate(t - (run - d))
+    if state.exists:
+        base = np.maximum(base, state.get[0])
+    ends = run + base
+    state.update((int(ends[-1]),))
+    yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "payment_id": pdf["payment_id"].to_numpy(),
+                        "paid_on": pdf["paid_on"].to_numpy(), "days": d,
+                        "subscription_end": (pd.Timestamp("1970-01-01") + pd.to_timedelta(ends, unit="D")).date})
 
 
 def subscription_stream(spark: SparkSession, source_dir: str, schema, sink: str, checkpoint: str,
