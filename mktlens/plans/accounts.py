@@ -149,3 +149,49 @@ def apply_payment_events(payments: DataFrame, created: DataFrame, status_events:
             .withColumn("status", F.coalesce("_new_status", "status"))
             .withColumn("paid", F.col("paid") | (F.coalesce(F.col("_new_status"), F.lit("")) == "success"))
             .drop("_new_status"))
+
+
+def apply_grants(users: DataFrame, grants: DataFrame) -> DataFrame:
+    """I13 (manual side): subscription grants ``(user_id, kind, subscription_type, days, granted_at)``.
+
+    * ``kind = 'set'``: the plan becomes the grant's plan and the end is
+      extended like a payment, ``end = max(end, granted_on) + days`` in grant
+      order (closed form of ``subscription_ledger``, seeded with the user's
+      current end); the last grant's plan wins.
+    * ``kind = 'demo'``: only for a user without any plan (and no 'set' grant);
+      the first demo grant applies, ``end = granted_on + days``; later ones are
+      rejected.
+
+    Returns the users table with grants applied (new users included).
+    """
+    epoch = F.lit("1970-01-01").cast("date")
+    # grants are ordered by (granted_at, a tie-breaking hash of the grant), like payments by (paid_on, payment_id)
+    p = (grants.filter(F.col("kind") == "set")
+         .select("user_id", "subscription_type", F.col("days").cast("long").alias("days"),
+                 F.to_date("granted_at").alias("paid_on"),
+                 F.xxhash64("granted_at", "subscription_type", "days").alias("payment_id")))
+    month = F.date_trunc("month", F.col("paid_on"))
+    p = running_sums(p, "user_id", month, ["paid_on", "payment_id"], {"_P": F.col("days")})
+    p = running_aggs(p, "user_id", month, ["paid_on", "payment_id"],
+                     {"_m": ("max", F.datediff("paid_on", epoch) - (F.col("_P") - F.col("days")))})
+    e0 = users.select("user_id", F.datediff("subscription_end_at", epoch).alias("_e0"))
+    p = p.join(e0, "user_id", "left").withColumn(
+        "_end", F.col("_P") + F.greatest(F.col("_m"), F.coalesce(F.col("_e0"), F.col("_m"))))
+    set_final = (p.groupBy("user_id")
+                 .agg(F.max_by(F.struct(F.date_add(epoch, F.col("_end").cast("int")).alias("end"),
+                                        F.col("subscription_type").alias("plan")),
+                               F.struct("paid_on", "payment_id")).alias("s"))
+                 .select("user_id", F.col("s.plan").alias("_set_plan"), F.col("s.end").alias("_set_end")))
+    has_plan = users.filter(F.col("subscription_type").isNotNull()).select("user_id")
+    demo = (grants.filter(F.col("kind") == "demo")
+            .join(has_plan, "user_id", "left_anti").join(set_final.select("user_id"), "user_id", "left_anti")
+            .groupBy("user_id")
+            .agg(F.min_by(F.date_add(F.to_date("granted_at"), F.col("days").cast("int")), "granted_at")
+                 .alias("_demo_end")))
+    out = (users.select("user_id", "subscription_type", "subscription_end_at")
+           .join(set_final, "user_id", "full_outer").join(demo, "user_id", "full_outer"))
+    return out.select(
+        "user_id",
+        F.coalesce(F.col("_set_plan"), F.when(F.col("_demo_end").isNotNull(), F.lit("demo")),
+                   F.col("subscription_type")).alias("subscription_type"),
+        F.coalesce(F.col("_set_end"), F.col("_demo_end"), F.col("subscription_end_at")).alias("subscription_end_at"))

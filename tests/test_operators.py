@@ -128,3 +128,19 @@ def test_sort_cards_whitelist(spark):
     assert [r.category_id for r in sort_cards(df, [("revenue", None)]).collect()] == [2, 1, 3]
     with pytest.raises(ValueError):
         sort_cards(df, [("title", "asc")])
+
+
+def test_grants(spark):
+    from mktlens.plans.accounts import apply_grants
+    users = spark.createDataFrame([(1, "default", dt.date(2024, 2, 1)), (2, None, None)],
+                                  "user_id long, subscription_type string, subscription_end_at date")
+    grants = spark.createDataFrame(
+        [(1, "set", "pro", 10, dt.datetime(2024, 1, 10)),      # active until 02-01 -> extended to 02-11
+         (1, "demo", None, 5, dt.datetime(2024, 1, 11)),       # rejected: user has a plan
+         (2, "demo", None, 7, dt.datetime(2024, 1, 5)),        # first demo wins
+         (2, "demo", None, 9, dt.datetime(2024, 1, 6)),
+         (3, "set", "advanced", 30, dt.datetime(2024, 1, 1))],  # new user
+        "user_id long, kind string, subscription_type string, days int, granted_at timestamp_ntz")
+    got = {r.user_id: (r.subscription_type, r.subscription_end_at) for r in apply_grants(users, grants).collect()}
+    assert got == {1: ("pro", dt.date(2024, 2, 11)), 2: ("demo", dt.date(2024, 1, 12)),
+                   3: ("advanced", dt.date(2024, 1, 31))}
