@@ -877,3 +877,31 @@ ORACLE.update({
 
 
 ORACLE["streaming_subscription_ledger"] = subscription_ledger
+
+
+def subscription_grants() -> str:
+    return with_ctes(
+        ["users"],
+        [("g", """SELECT CASE WHEN c_nationkey % 2 = 1 THEN c_custkey + 1000000 ELSE c_custkey END AS user_id,
+                         CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN 'set' ELSE 'demo' END AS kind,
+                         CASE c_nationkey % 3 WHEN 0 THEN 'default' WHEN 1 THEN 'advanced' ELSE 'pro' END AS plan,
+                         CAST(7 + c_custkey % 30 AS INTEGER) AS days,
+                         CAST(DATE '2024-01-01' + CAST(c_custkey % 20 AS INTEGER) AS DATE) AS granted_on
+                  FROM customer"""),
+         ("sets", """SELECT g.user_id, g.plan,
+                            CAST(greatest(coalesce(u.subscription_end_at, g.granted_on), g.granted_on) + g.days AS DATE)
+                                AS end_at
+                     FROM g LEFT JOIN users u ON u.user_id = g.user_id WHERE g.kind = 'set'"""),
+         ("demo", """SELECT user_id, CAST(granted_on + days AS DATE) AS end_at FROM g
+                     WHERE kind = 'demo'
+                       AND user_id NOT IN (SELECT user_id FROM users WHERE subscription_type IS NOT NULL)
+                       AND user_id NOT IN (SELECT user_id FROM sets)""")],
+        """SELECT coalesce(u.user_id, s.user_id, d.user_id) AS user_id,
+                  coalesce(s.plan, CASE WHEN d.end_at IS NOT NULL THEN 'demo' END, u.subscription_type)
+                      AS subscription_type,
+                  coalesce(s.end_at, d.end_at, u.subscription_end_at) AS subscription_end_at
+           FROM users u FULL OUTER JOIN sets s ON s.user_id = u.user_id
+           FULL OUTER JOIN demo d ON d.user_id = coalesce(u.user_id, s.user_id)""")
+
+
+ORACLE["subscription_grants"] = subscription_grants

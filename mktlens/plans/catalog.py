@@ -318,6 +318,10 @@ def q_streaming_subscription_ledger(spark, sf):
     return ST.streaming_subscription_ledger(spark, X.payments(spark, sf))
 
 
+def q_subscription_grants(spark, sf):
+    return AC.apply_grants(X.users(spark, sf), X.subscription_grants(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_daily": q_category_daily,
     "category_adhoc": q_category_adhoc,
@@ -367,4 +371,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_store": q_snapshot_store,
     "rollup_store": q_rollup_store,
     "streaming_subscription_ledger": q_streaming_subscription_ledger,
+    "subscription_grants": q_subscription_grants,
 }

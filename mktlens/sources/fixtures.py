@@ -289,3 +289,17 @@ def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.lit(2000) + F.col("user_id") % 25).alias("category_id"), t.alias("time"))).alias("position"),
         F.when(F.col("event_type") == "signup", F.struct((F.lit(2000) + F.col("user_id") % 25).alias("id"),
                                                          F.lit("c").alias("title"))).alias("category"))
+
+
+def subscription_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grants, one per customer: 'set' for two market segments, 'demo' otherwise; odd nations ask for new user ids."""
+    c = table(spark, sf_dir, "customer")
+    new_user = F.col("c_nationkey") % 2 == 1
+    plan = F.element_at(F.array(*[F.lit(p) for p in PLAN_NAMES[1:]]), (F.col("c_nationkey") % 3 + 1).cast("int"))
+    return c.select(
+        F.when(new_user, F.col("c_custkey") + 1000000).otherwise(F.col("c_custkey")).alias("user_id"),
+        F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING"), "set").otherwise("demo").alias("kind"),
+        plan.alias("subscription_type"),
+        (F.lit(7) + F.col("c_custkey") % 30).cast("int").alias("days"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 20).cast("int"))
+        .cast("timestamp_ntz").alias("granted_at"))
