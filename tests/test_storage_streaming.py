@@ -81,3 +81,28 @@ def test_payment_stream_applies_events(spark):
     got = {r.payment_id: (r.status, r.paid, r.amount, r.subscription_type)
            for r in latest_payments(spark, os.path.join(root, "table")).collect()}
     assert got == {1: ("success", True, 15.0, "advanced"), 2: ("pending", False, 9.9, "pro")}
+
+
+def test_layouts_positions_reports_rollups(spark):
+    from mktlens.plans.rollups import category_product_rollup, root_scope
+    from mktlens.operators.daily import daily_state
+    from mktlens.operators.hierarchy import scope_table
+    from mktlens.sources import fixtures as X
+    from mktlens.sources.io import (append_positions, read_positions, read_rollup, write_layout, write_report,
+                                    write_rollup)
+    root = tempfile.mkdtemp(prefix="mktlens-io-")
+    sf = "/root/testdata/sf0.001"
+    pos = X.positions(spark, sf)
+    append_positions(pos, os.path.join(root, "pos"))
+    back = read_positions(spark, os.path.join(root, "pos"))
+    assert back.count() == pos.count() and back.select("yyyymm").distinct().collect()[0].yyyymm == 202401
+    daily = daily_state(X.snap_events(spark, sf))
+    write_layout(daily.select("category_id", "date", "product_id"), os.path.join(root, "by_cat"), ["category_id", "date"])
+    assert spark.read.parquet(os.path.join(root, "by_cat")).count() == daily.count()
+    write_report(pos.limit(5), os.path.join(root, "report"))
+    assert spark.read.option("header", True).csv(os.path.join(root, "report")).count() == 5
+    cats = X.categories(spark, sf)
+    r = category_product_rollup(daily, root_scope(scope_table(cats), cats), "2024-01-31", ["WEEK", "MONTH"])
+    write_rollup(r, os.path.join(root, "rollup"))
+    assert read_rollup(spark, os.path.join(root, "rollup"), "WEEK", "2024-01-31").count() == \
+        r.filter("period = 'WEEK'").count()
