@@ -20,6 +20,8 @@ an empty table.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,6 +36,7 @@ SMOOTHING = 0.1
 MAX_SET, PENALTY = 3, 12.0
 ROUNDS = 8
 PART_BYTES = 1 << 20
+BATCH = 256
 UNKNOWN = "und"
 GUESS = "doc_id long, lang_pred string, score double, langs string"
 
@@ -161,31 +164,33 @@ def _infer_weighted(used, times, model, max_set, penalty, rounds):
     return best[1][by_share], best[2][by_share]
 
 
+def _guesses(texts: pa.ChunkedArray | pa.Array, langs: list[str], model: np.ndarray) -> list[tuple[str, float, str]]:
+    """(language, share, chosen set) of each text."""
+    letter = re.compile(r"[^\W\d_]").search
+    buckets, starts = trigram_buckets(texts)
+    out = []
+    for k, text in enumerate(texts.to_pylist()):
+        own = buckets[starts[k]:starts[k + 1]]
+        if not langs or not text or not letter(text):
+            out.append((UNKNOWN, 0.0, ""))
+        elif not len(own):
+            out.append((langs[0], 1 / len(langs), langs[0]))  # too short for a trigram: all equally likely
+        else:
+            chosen, shares = infer(own, model)
+            out.append((langs[chosen[0]], float(min(1.0, max(0.0, shares[0]))), ",".join(langs[c] for c in chosen)))
+    return out
+
+
 def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score (the language's share), langs (the chosen set, largest share first) from doc_id and text alone."""
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets
 
     def guess(batches):
-        import re
-
-        letter = re.compile(r"[^\W\d_]").search
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column("text")
-                buckets, starts = trigram_buckets(texts)
-                out = []
-                for k, text in enumerate(texts.to_pylist()):
-                    own = buckets[starts[k]:starts[k + 1]]
-                    if not langs or not text or not letter(text):
-                        out.append((UNKNOWN, 0.0, ""))
-                        continue
-                    if not len(own):
-                        out.append((langs[0], 1 / len(langs), langs[0]))  # too short for a trigram: all equally likely
-                        continue
-                    chosen, shares = infer(own, sent.value)
-                    out.append((langs[chosen[0]], float(min(1.0, max(0.0, shares[0]))), ",".join(langs[c] for c in chosen)))
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                out = _guesses(part.column("text"), langs, sent.value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([x[0] for x in out], pa.string()),
                      pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.string())],
@@ -195,6 +200,23 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
             .mapInArrow(guess, GUESS))
 
 
+def identified(docs: DataFrame, min_share: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose language is known and has at least that share of the text."""
+    prepare(docs.sparkSession)
+    langs, model = learn(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    text_at = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                out = _guesses(part.column(text_at), langs, sent.value)
+                yield part.filter(pa.array([lang != UNKNOWN and share >= min_share for lang, share, _ in out]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def predict_languages(docs: DataFrame) -> DataFrame:
     """Learn from the documents that aren't held out, judge all: doc_id, held_out, lang_pred, score, langs."""
     prepare(docs.sparkSession)

@@ -4,21 +4,28 @@
    form one class (a 128-bit digest of the set); the rest works on classes, so
    copies cost nothing but their row.
 2. Token orders. A token is a shingle's hash, cut to its upper 40 bits where only
-   candidates are at stake. Tokens below a fixed share of the hash range are
-   visible; their frequency over all documents is counted exactly (each block of
-   documents sends each of its distinct visible tokens once, to a bucket by range,
-   and gets those back that other sets have too). Three global orders put rare
+   candidates are at stake. Similar sets are of similar size, so small sets (up to
+   ``SMALL`` tokens over the threshold) and large ones (from ``SMALL`` on) have tokens of
+   their own; a set between counts as both. Of small sets all tokens are visible, of
+   large ones those below a fixed share of the hash range. The frequency of visible
+   tokens over all documents is counted exactly (each block of documents sends each
+   of its distinct visible tokens once, to a bucket, and gets those back that other
+   sets have too). Three global orders put rare
    tokens first: by (frequency, token), and twice by the frequency's power of two and
    a hash of the token; tokens that aren't visible follow, by value.
 3. Two sets of similarity t share a token of their prefixes, the first
    ``n - ceil(t n) + 1`` tokens, in each order. A token of one set alone makes no
    candidate, so most documents end here. Candidates share a token of the first
    order's prefixes and of the second's and the third's; these pairs are verified by
-   the whole sets.
-4. A token's documents are not all paired: they are held against one pivot after the
-   other, the pairs that a component already joins are left out, and a token whose
-   documents are all joined is done. What is left when the pairs are few is
-   paired in full. No link between different components is lost by this.
+   the whole sets. A set of n tokens has at most ``s`` in common with any other, s being
+   n less its tokens of frequency 1: that bounds the similarity of a pair by (n, s).
+4. A token's documents are not all paired. First those go that by the bound, for each
+   (n, s) that occurs under the token, have no possible partner outside their
+   component. The rest is held against a pivot, the set with the fewest tokens of its
+   own (the middle of a group of near copies), and components are joined by the links
+   found. After ``PIVOT_ROUNDS`` rounds all pairs of different components that are left
+   are verified, each made once, under its first common token. No link between
+   different components is lost by this.
 
 Tables between the steps lie in the shared folder; nothing but counts comes to the
 driver.
@@ -47,16 +54,18 @@ from .components import stars
 SHINGLE, PERCENT = 5, 80
 BLOCK_TOKENS = 2_000_000
 BATCH = 1000
-KEY_BITS = 40
+#: A token: 39 bits of the hash, and above them one for tokens of small sets.
+KEY_BITS, HASH_BITS = 40, 39
+SMALL = 200
 #: Visible share of the token range, as a multiple of the share of a prefix.
 VISIBLE = 1.75
-#: Pairs left, as a multiple of the documents left, from which on all are verified at once.
-FEW_PAIRS = 8
+#: Rounds against pivots before the pairs that are left are all verified.
+PIVOT_ROUNDS = 2
 
-BLOCKS = ("block long, doc_ids array<bigint>, sizes array<int>, sigs array<binary>, key_lens array<int>, keys binary,"
-          " bucket int, bucket_keys binary, bucket_counts binary")
+BLOCKS = "block long, doc_ids array<bigint>, sizes array<int>, sigs array<binary>, small_lens array<int>, large_lens array<int>, keys binary"
+BUCKETS = "block long, bucket int, keys binary, counts binary"
 ANSWERS = "block long, bucket int, keys binary, df binary"
-PREFIXES = "sig binary, n int, p1 array<bigint>, p2 array<bigint>, p3 array<bigint>"
+PREFIXES = "sig binary, n int, s int, p1 array<bigint>, p2 array<bigint>, p3 array<bigint>"
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -138,66 +147,98 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _visible_keys(percent: int) -> int:
-    return int(min(1.0, VISIBLE * (1 - percent / 100)) * (1 << KEY_BITS))
+    return int(min(1.0, VISIBLE * (1 - percent / 100)) * (1 << HASH_BITS))
 
 
 def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else b""
 
 
-def set_blocks(docs: DataFrame, shingle: int, percent: int, n_buckets: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """For each block a row of documents with their visible tokens, and for each bucket a row of distinct visible tokens."""
+def _tokens_of(hashes: np.ndarray, percent: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's tokens as a small set and as a large one, ascending; empty where it is not of that kind."""
+    n = len(hashes)
+    short = hashes >> np.uint64(64 - HASH_BITS)
+    none = short[:0]
+    small = short | np.uint64(1 << HASH_BITS) if n * percent <= SMALL * 100 else none
+    large = short[:max(int(np.searchsorted(short, limit)), prefix_length(n, percent))] if n >= SMALL else none
+    return small, large
+
+
+def set_blocks(docs: DataFrame, shingle: int, percent: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """A row for each block of documents with their sizes, digests and tokens (the latter once for each set of the block)."""
     limit = _visible_keys(percent)
     names = [f.strip().split(" ")[0] for f in BLOCKS.split(",")]
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()),
-             pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-
-    def rows(block, doc_ids, sizes, sigs, keys):
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        out = [[block, doc_ids, sizes, sigs, list(map(len, keys)), _pack(flat), None, None, None]]
-        seen, times = np.unique(flat[flat < limit], return_counts=True)
-        cuts = np.searchsorted(seen, np.array([limit * b // n_buckets for b in range(n_buckets + 1)], dtype=np.uint64))
-        for b in range(n_buckets):
-            if cuts[b + 1] > cuts[b]:
-                own = slice(cuts[b], cuts[b + 1])
-                out.append([block, None, None, None, None, None, b, _pack(seen[own]), times[own].astype("<u4").tobytes()])
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+             pa.list_(pa.int32()), pa.binary()]
 
     def build(batches):
         block = TaskContext.get().partitionId() << 32
-        doc_ids, sizes, sigs, keys, seen, held = [], [], [], [], set(), 0
+        none = np.zeros(0, np.uint64)
+        doc_ids, sizes, sigs, small, large, seen, held = [], [], [], [], [], set(), 0
+
+        def row():
+            flat = np.concatenate([x for pair in zip(small, large, strict=True) for x in pair])
+            values = [block, doc_ids, sizes, sigs, list(map(len, small)), list(map(len, large)), _pack(flat)]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
+
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                for doc_id, tokens in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), shingle), strict=True):
-                    sig, n = _digest(tokens), len(tokens)
-                    own = np.zeros(0, np.uint64)
-                    if n and sig not in seen:
+                for doc_id, hashes in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), shingle), strict=True):
+                    sig, new = _digest(hashes), (none, none)
+                    if sig and sig not in seen:
                         seen.add(sig)
-                        own = tokens >> np.uint64(64 - KEY_BITS)
-                        own = own[:max(int(np.searchsorted(own, limit)), prefix_length(n, percent))]
+                        new = _tokens_of(hashes, percent, limit)
                     doc_ids.append(doc_id)
-                    sizes.append(n)
+                    sizes.append(len(hashes))
                     sigs.append(sig)
-                    keys.append(own)
-                    held += n
+                    small.append(new[0])
+                    large.append(new[1])
+                    held += len(hashes)
                 if held >= block_tokens:
-                    yield rows(block, doc_ids, sizes, sigs, keys)
+                    yield row()
                     block += 1
-                    doc_ids, sizes, sigs, keys, seen, held = [], [], [], [], set(), 0
+                    doc_ids, sizes, sigs, small, large, seen, held = [], [], [], [], [], set(), 0
         if doc_ids:
-            yield rows(block, doc_ids, sizes, sigs, keys)
+            yield row()
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
             .mapInArrow(build, BLOCKS))
 
 
+def _hidden(keys: np.ndarray, limit: int) -> np.ndarray:
+    return (keys >= np.uint64(limit)) & (keys < np.uint64(1 << HASH_BITS))
+
+
+def block_buckets(blocks: DataFrame, percent: int, n_buckets: int) -> DataFrame:
+    """For each block and bucket its distinct visible tokens, and in how many of its sets they are."""
+    limit = _visible_keys(percent)
+
+    def deal(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys = _unpack(row["keys"])
+                keys, times = np.unique(keys[~_hidden(keys, limit)], return_counts=True)
+                bucket = (_mixed(keys) % np.uint64(n_buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                mine = [order[cuts[b]:cuts[b + 1]] for b in full]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["block"]] * len(full), pa.int64()), pa.array(full, pa.int32()),
+                     pa.array([_pack(keys[m]) for m in mine], pa.binary()),
+                     pa.array([times[m].astype("<u4").tobytes() for m in mine], pa.binary())],
+                    ["block", "bucket", "keys", "counts"])
+
+    return blocks.select("block", "keys").mapInArrow(deal, BUCKETS)
+
+
 def shared_tokens(buckets: DataFrame) -> DataFrame:
     """For each block and bucket the tokens that are in two sets or more over all blocks, and in how many."""
     def count(table: pa.Table) -> pa.Table:
-        keys = [_unpack(x.as_py()) for x in table.column("bucket_keys")]
-        times = np.concatenate([np.frombuffer(x.as_py(), dtype="<u4") for x in table.column("bucket_counts")])
-        tokens, place = np.unique(np.concatenate(keys), return_inverse=True)
+        keys = [_unpack(x.as_py()) for x in table.column("keys")]
+        times = np.concatenate([np.frombuffer(x.as_py(), dtype="<u4") for x in table.column("counts")])
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
         df = np.bincount(place, weights=times).astype(np.int64)[place]
         ends = offsets_of(np.array([len(k) for k in keys], dtype=np.int64))
         out_keys, out_df = [], []
@@ -223,7 +264,7 @@ def _prefix_tokens(keys: np.ndarray, df: np.ndarray, hidden: np.ndarray, length:
 
 
 def prefixes(texts: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
-    """(sig, n, p1, p2, p3): the tokens of each set's prefixes in the three orders that another set may have too."""
+    """(sig, n, s, p1, p2, p3): sizes, most tokens in common with any other, and the tokens of each set's prefixes in the three orders that another set may have too."""
     limit = _visible_keys(percent)
     found = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", F.col("keys").alias("k"), "df"))).alias("found"))
 
@@ -234,25 +275,30 @@ def prefixes(texts: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
                 got = row["found"] or []
                 tokens = np.concatenate([_unpack(x["k"]) for x in got]) if got else np.zeros(0, np.uint64)
                 times = np.concatenate([np.frombuffer(x["df"], "<u4") for x in got]) if got else np.zeros(0, np.uint32)
+                by_token = np.argsort(tokens)
+                tokens, times = tokens[by_token], times[by_token]
                 flat = _unpack(row["keys"])
                 df = np.ones(len(flat), dtype=np.int64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
                     hit = tokens[at] == flat
                     df[hit] = times[at[hit]]
-                hidden = flat >= limit
-                ends = offsets_of(np.array(row["key_lens"], dtype=np.int64))
-                out = []
-                for k, n in enumerate(row["sizes"]):
-                    a, b = ends[k], ends[k + 1]
-                    if a == b:
-                        continue
-                    out.append((row["sigs"][k], n, *_prefix_tokens(flat[a:b], df[a:b], hidden[a:b], prefix_length(n, percent))))
-                out = [x for x in out if x[2] and x[3] and x[4]]
+                hidden = _hidden(flat, limit)
+                end, out = 0, []
+                for sig, n, *lens in zip(row["sigs"], row["sizes"], row["small_lens"], row["large_lens"], strict=True):
+                    found_in, alone = [[], [], []], 0
+                    for length in filter(None, lens):
+                        own = slice(end, end + length)
+                        end += length
+                        alone = max(alone, int(((df[own] == 1) & ~hidden[own]).sum()))
+                        for have, new in zip(found_in, _prefix_tokens(flat[own], df[own], hidden[own], prefix_length(n, percent)), strict=True):
+                            have += new
+                    out.append((sig, n, n - alone, *found_in))
+                out = [x for x in out if x[3] and x[4] and x[5]]
                 if out:
-                    kinds = [pa.binary(), pa.int32(), *[pa.list_(pa.int64())] * 3]
+                    kinds = [pa.binary(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
-                                                     ["sig", "n", "p1", "p2", "p3"])
+                                                     ["sig", "n", "s", "p1", "p2", "p3"])
 
     return texts.join(found, "block", "left").mapInArrow(cut, PREFIXES)
 
@@ -273,61 +319,73 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFram
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that share a token of the second and third prefixes and have the similarity asked for."""
+    """The pairs (a, b) of classes whose whole sets have the similarity asked for."""
     def check(batches):
         for batch in batches:
             keep = []
             for row in range(batch.num_rows):
-                p2, q2, p3, q3 = (batch.column(c)[row].values.to_numpy() for c in ("a_p2", "b_p2", "a_p3", "b_p3"))
-                if not len(np.intersect1d(p2, q2, True)) or not len(np.intersect1d(p3, q3, True)):
-                    continue
                 x, y = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=np.uint64) for c in ("a_tokens", "b_tokens"))
-                both = len(np.intersect1d(x, y, True))
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                both = int((x[at] == y).sum())
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(row)
             got = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([got.column("a"), got.column("b")], ["a", "b"])
 
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("sig").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("tokens", "p2", "p3")])
+    joined = (pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("a_tokens")), "a")
+              .join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("b_tokens")), "b"))
+    return joined.select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, "a binary, b binary")
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "a_tokens", "b_tokens", "a_p2", "b_p2", "a_p3", "b_p3").mapInArrow(check, "a binary, b binary")
+
+def _possible(n, s, m, t, percent: int):
+    """Whether sets of n and m tokens, with at most s and t in common with others, can be similar enough."""
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(s, t) * (100 + percent) >= (n + m) * percent)
+
+
+def _open(postings: DataFrame, percent: int) -> DataFrame:
+    """The postings that may have a partner in another component, with the kinds (n, s) of such partners."""
+    kinds = postings.groupBy("token", "n", "s").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
+    kinds = kinds.groupBy("token").agg(F.collect_list(F.struct("n", "s", "c0", "c1")).alias("kinds"))  # sizes, not sets
+    partners = F.filter("kinds", lambda k: _possible(F.col("n"), F.col("s"), k["n"], k["s"], percent)
+                        & ((k["c0"] != F.col("c")) | (k["c1"] != F.col("c"))))
+    return (postings.join(kinds, "token").withColumn("partners", F.transform(partners, lambda k: F.struct(k["n"].alias("n"), k["s"].alias("s"))))
+            .drop("kinds").filter(F.size("partners") > 0))
+
+
+def _candidates(left: DataFrame, right: DataFrame, on, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that the sizes allow and that share a token in each order's prefixes."""
+    fits = ((F.col("c") != F.col("x.c")) & _possible(F.col("n"), F.col("s"), F.col("x.n"), F.col("x.s"), percent)
+            & F.arrays_overlap("p2", "x.p2") & F.arrays_overlap("p3", "x.p3"))
+    return left.join(right, on).filter(fits).select(F.least("sig", "x.sig").alias("a"), F.greatest("sig", "x.sig").alias("b"),
+                                                    "token", F.array_min(F.array_intersect("p1", "x.p1")).alias("first"))
 
 
 def class_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): each linked class but the smallest of its component, with that smallest one.
 
-    ``postings`` (token, sig, n): the first order's prefixes.
+    ``postings`` (token, sig, n, s, p1, p2, p3): the first order's prefixes, and all three.
     """
-    near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("c") != F.col("d"))
-    links, open_tokens = None, kept(postings, "postings")
-    while True:
-        if links is None:
-            now = open_tokens.withColumn("c", F.col("sig"))
-        else:
-            now = (open_tokens.join(links.withColumnRenamed("a", "sig"), "sig", "left")
-                   .select("token", "sig", "n", F.coalesce("b", "sig").alias("c")))
-        per_token = (now.groupBy("token").agg(F.min(F.struct("sig", "n", "c")).alias("pivot"), F.count(F.lit(1)).alias("k"),
-                                              F.min("c").alias("c0"), F.max("c").alias("c1"))
-                     .filter("c0 != c1").select("token", "pivot", "k"))
-        now = kept(now.join(per_token, "token"), "open")
-        left = now.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("k") - 1) / 2).alias("pairs"), F.count_distinct("sig").alias("sets")).first()
-        if not left["rows"]:
-            return links if links is not None else kept(now.select(F.col("sig").alias("a"), F.col("sig").alias("b")), "links")
-        last = links is not None and left["pairs"] <= FEW_PAIRS * left["sets"]
-        if last:
-            other = now.select("token", F.col("sig").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = now.select("token", "sig", "n", "c").join(other, "token").filter(F.col("sig") < F.col("other"))
-        else:
-            pairs = now.filter(F.col("sig") != F.col("pivot.sig")).select(
-                "sig", "n", "c", F.col("pivot.sig").alias("other"), F.col("pivot.n").alias("m"), F.col("pivot.c").alias("d"))
-        pairs = pairs.filter(near).select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
-        more = verified(pairs, sets, percent)
-        links = stars(more if links is None else more.unionByName(links))
-        if last:
-            return links
-        open_tokens = now.filter(F.col("sig") != F.col("pivot.sig")).select("token", "sig", "n")
+    columns = ["sig", "n", "s", "p1", "p2", "p3"]
+    links, now = None, postings.withColumn("c", F.col("sig"))
+    for _ in range(PIVOT_ROUNDS):
+        now = kept(_open(now, percent), "open").drop("partners")
+        pivots = now.groupBy("token").agg(F.min_by(F.struct(*columns, "c"), F.struct(F.col("n") - F.col("s"), "sig")).alias("x"))
+        pairs = _candidates(now, pivots, "token", percent).select("a", "b").distinct()
+        found = verified(pairs, sets, percent)
+        links = stars(found if links is None else found.unionByName(links))
+        now = (now.join(pivots.select("token", F.col("x.sig").alias("pivot")), "token").filter(F.col("sig") != F.col("pivot"))
+               .select("token", *columns).join(links.withColumnRenamed("a", "sig"), "sig", "left")
+               .select("token", *columns, F.coalesce("b", "sig").alias("c")))
+    now = kept(_open(now, percent), "open")
+    # a pair of different components has one side at least outside the token's largest component
+    largest = (now.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
+               .agg(F.max_by("c", F.struct("k", "c")).alias("largest")))
+    others = (now.join(largest, "token").filter(F.col("c") != F.col("largest"))
+              .select(F.col("token").alias("t"), F.col("n").alias("kn"), F.col("s").alias("ks"), F.struct(*columns, "c").alias("x")))
+    asking = now.select("*", F.explode("partners").alias("k")).select("token", *columns, "c", F.col("k.n").alias("pn"), F.col("k.s").alias("ps"))
+    same_kind = (F.col("token") == F.col("t")) & (F.col("pn") == F.col("kn")) & (F.col("ps") == F.col("ks"))
+    pairs = _candidates(asking, others, same_kind, percent).filter(F.col("first") == F.col("token")).select("a", "b").distinct()
+    return stars(verified(pairs, sets, percent).unionByName(links))
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -335,21 +393,20 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     spark = docs.sparkSession
     prepare(spark)
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = kept(set_blocks(docs, shingle, percent, n_buckets, block_tokens), "sets")
-    texts = blocks.select("block", "sizes", "sigs", "key_lens", "keys").filter("keys is not null")
-    answers = shared_tokens(blocks.select("block", "bucket", "bucket_keys", "bucket_counts").filter("bucket is not null"))
+    blocks = kept(set_blocks(docs, shingle, percent, block_tokens), "sets")
+    texts = blocks.select("block", "sizes", "sigs", "small_lens", "large_lens", "keys")
+    answers = shared_tokens(block_buckets(blocks, percent, n_buckets))
     found = kept(prefixes(texts, answers, percent).dropDuplicates(["sig"]), "prefixes")
 
-    members = (blocks.filter("doc_ids is not null").select(F.explode(F.arrays_zip("doc_ids", "sizes", "sigs")).alias("m"))
+    members = (blocks.select(F.explode(F.arrays_zip("doc_ids", "sizes", "sigs")).alias("m"))
                .select(F.col("m.doc_ids").alias("doc_id"), F.col("m.sizes").cast("long").alias("n_shingles"), F.col("m.sigs").alias("sig")))
     reps = members.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
 
-    postings = found.select("sig", "n", F.explode("p1").alias("token"))
+    postings = found.select("*", F.explode("p1").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
-    postings = kept(postings.join(shared, "token").select("token", "sig", "n"), "postings")
+    postings = kept(postings.join(shared, "token").select("token", "sig", "n", "s", "p1", "p2", "p3"), "postings")
     wanted = kept(postings.select("sig").distinct().join(reps, "sig"), "wanted")
-    sets = candidate_sets(docs, wanted, shingle).join(found.select("sig", "p2", "p3"), "sig")
-    links = class_links(postings, kept(sets, "whole-sets"), percent)
+    links = class_links(postings, kept(candidate_sets(docs, wanted, shingle), "whole-sets"), percent)
 
     # the smallest doc_id of each component: of the class for most, of all linked classes for the others
     roots = reps.join(links.select(F.col("a").alias("sig"), F.col("b").alias("root")), "sig", "left").select(
@@ -360,3 +417,14 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     return members.join(named, "sig", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         F.col("sig").alias("class_sig"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, of one document for each component: the smallest doc_id, once.
+
+    Documents without words all stay, but for repeated rows.
+    """
+    smallest = components(docs, shingle, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = smallest.select(F.col("doc_id").alias("__kept")).distinct()
+    return (docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+            .dropDuplicates(["doc_id", "text"]))
