@@ -319,11 +319,14 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFram
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets have the similarity asked for."""
+    """The pairs (a, b) that share a token of the second and third prefixes and whose sets have the similarity asked for."""
     def check(batches):
         for batch in batches:
             keep = []
             for row in range(batch.num_rows):
+                p2, q2, p3, q3 = (batch.column(c)[row].values.to_numpy() for c in ("a_p2", "b_p2", "a_p3", "b_p3"))
+                if not np.isin(p2, q2).any() or not np.isin(p3, q3).any():
+                    continue
                 x, y = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=np.uint64) for c in ("a_tokens", "b_tokens"))
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 both = int((x[at] == y).sum())
@@ -332,9 +335,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             got = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([got.column("a"), got.column("b")], ["a", "b"])
 
-    joined = (pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("a_tokens")), "a")
-              .join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("b_tokens")), "b"))
-    return joined.select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, "a binary, b binary")
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("sig").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("tokens", "p2", "p3")])
+
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", "a_tokens", "b_tokens", "a_p2", "b_p2", "a_p3", "b_p3").mapInArrow(check, "a binary, b binary")
 
 
 def _possible(n, s, m, t, percent: int):
@@ -343,49 +348,47 @@ def _possible(n, s, m, t, percent: int):
 
 
 def _open(postings: DataFrame, percent: int) -> DataFrame:
-    """The postings that may have a partner in another component, with the kinds (n, s) of such partners."""
+    """The postings (token, sig, n, s, c) that may have a partner in another component c."""
     kinds = postings.groupBy("token", "n", "s").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
     kinds = kinds.groupBy("token").agg(F.collect_list(F.struct("n", "s", "c0", "c1")).alias("kinds"))  # sizes, not sets
-    partners = F.filter("kinds", lambda k: _possible(F.col("n"), F.col("s"), k["n"], k["s"], percent)
-                        & ((k["c0"] != F.col("c")) | (k["c1"] != F.col("c"))))
-    return (postings.join(kinds, "token").withColumn("partners", F.transform(partners, lambda k: F.struct(k["n"].alias("n"), k["s"].alias("s"))))
-            .drop("kinds").filter(F.size("partners") > 0))
+    partner = F.exists("kinds", lambda k: _possible(F.col("n"), F.col("s"), k["n"], k["s"], percent)
+                       & ((k["c0"] != F.col("c")) | (k["c1"] != F.col("c"))))
+    return postings.join(kinds, "token").filter(partner).select("token", "sig", "n", "s", "c")
 
 
-def _candidates(left: DataFrame, right: DataFrame, on, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that the sizes allow and that share a token in each order's prefixes."""
-    fits = ((F.col("c") != F.col("x.c")) & _possible(F.col("n"), F.col("s"), F.col("x.n"), F.col("x.s"), percent)
-            & F.arrays_overlap("p2", "x.p2") & F.arrays_overlap("p3", "x.p3"))
-    return left.join(right, on).filter(fits).select(F.least("sig", "x.sig").alias("a"), F.greatest("sig", "x.sig").alias("b"),
-                                                    "token", F.array_min(F.array_intersect("p1", "x.p1")).alias("first"))
+def _pairs(left: DataFrame, right: DataFrame, percent: int, *conditions) -> DataFrame:
+    """Pairs (a, b) under a token, of different components, that the sizes allow. ``right``: token t and struct x."""
+    fits = ((F.col("token") == F.col("t")) & (F.col("c") != F.col("x.c"))
+            & _possible(F.col("n"), F.col("s"), F.col("x.n"), F.col("x.s"), percent))
+    for more in conditions:
+        fits &= more
+    return left.join(right, fits).select(F.least("sig", "x.sig").alias("a"), F.greatest("sig", "x.sig").alias("b")).distinct()
 
 
 def class_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): each linked class but the smallest of its component, with that smallest one.
 
-    ``postings`` (token, sig, n, s, p1, p2, p3): the first order's prefixes, and all three.
+    ``postings`` (token, sig, n, s): the first order's prefixes. ``sets`` (sig, tokens, p1, p2, p3).
     """
-    columns = ["sig", "n", "s", "p1", "p2", "p3"]
     links, now = None, postings.withColumn("c", F.col("sig"))
     for _ in range(PIVOT_ROUNDS):
-        now = kept(_open(now, percent), "open").drop("partners")
-        pivots = now.groupBy("token").agg(F.min_by(F.struct(*columns, "c"), F.struct(F.col("n") - F.col("s"), "sig")).alias("x"))
-        pairs = _candidates(now, pivots, "token", percent).select("a", "b").distinct()
+        now = kept(_open(now, percent), "open")
+        pivots = now.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "sig", "n", "s", "c")).alias("x"))
+        pairs = _pairs(now, pivots.withColumnRenamed("token", "t"), percent)
         found = verified(pairs, sets, percent)
         links = stars(found if links is None else found.unionByName(links))
         now = (now.join(pivots.select("token", F.col("x.sig").alias("pivot")), "token").filter(F.col("sig") != F.col("pivot"))
-               .select("token", *columns).join(links.withColumnRenamed("a", "sig"), "sig", "left")
-               .select("token", *columns, F.coalesce("b", "sig").alias("c")))
+               .select("token", "sig", "n", "s").join(links.withColumnRenamed("a", "sig"), "sig", "left")
+               .select("token", "sig", "n", "s", F.coalesce("b", "sig").alias("c")))
     now = kept(_open(now, percent), "open")
     # a pair of different components has one side at least outside the token's largest component
     largest = (now.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
                .agg(F.max_by("c", F.struct("k", "c")).alias("largest")))
-    others = (now.join(largest, "token").filter(F.col("c") != F.col("largest"))
-              .select(F.col("token").alias("t"), F.col("n").alias("kn"), F.col("s").alias("ks"), F.struct(*columns, "c").alias("x")))
-    asking = now.select("*", F.explode("partners").alias("k")).select("token", *columns, "c", F.col("k.n").alias("pn"), F.col("k.s").alias("ps"))
-    same_kind = (F.col("token") == F.col("t")) & (F.col("pn") == F.col("kn")) & (F.col("ps") == F.col("ks"))
-    pairs = _candidates(asking, others, same_kind, percent).filter(F.col("first") == F.col("token")).select("a", "b").distinct()
-    return stars(verified(pairs, sets, percent).unionByName(links))
+    full = now.join(sets.select("sig", "p1"), "sig")
+    others = (full.join(largest, "token").filter(F.col("c") != F.col("largest"))
+              .select(F.col("token").alias("t"), F.struct("sig", "n", "s", "c", "p1").alias("x")))
+    first = F.array_min(F.array_intersect("p1", "x.p1")) == F.col("token")
+    return stars(verified(_pairs(full, others, percent, first), sets, percent).unionByName(links))
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -402,11 +405,12 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
                .select(F.col("m.doc_ids").alias("doc_id"), F.col("m.sizes").cast("long").alias("n_shingles"), F.col("m.sigs").alias("sig")))
     reps = members.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
 
-    postings = found.select("*", F.explode("p1").alias("token"))
+    postings = found.select("sig", "n", "s", F.explode("p1").alias("token"))
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
-    postings = kept(postings.join(shared, "token").select("token", "sig", "n", "s", "p1", "p2", "p3"), "postings")
+    postings = kept(postings.join(shared, "token").select("token", "sig", "n", "s"), "postings")
     wanted = kept(postings.select("sig").distinct().join(reps, "sig"), "wanted")
-    links = class_links(postings, kept(candidate_sets(docs, wanted, shingle), "whole-sets"), percent)
+    sets = candidate_sets(docs, wanted, shingle).join(found.select("sig", "p1", "p2", "p3"), "sig")
+    links = class_links(postings, kept(sets, "whole-sets"), percent)
 
     # the smallest doc_id of each component: of the class for most, of all linked classes for the others
     roots = reps.join(links.select(F.col("a").alias("sig"), F.col("b").alias("root")), "sig", "left").select(
