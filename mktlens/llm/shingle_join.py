@@ -60,7 +60,7 @@ SMALL = 200
 #: Visible share of the token range, as a multiple of the share of a prefix.
 VISIBLE = 1.75
 #: Rounds against pivots before the pairs that are left are all verified.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 
 BLOCKS = "block long, doc_ids array<bigint>, sizes array<int>, sigs array<binary>, small_lens array<int>, large_lens array<int>, keys binary"
 BUCKETS = "block long, bucket int, keys binary, counts binary"
@@ -286,13 +286,14 @@ def prefixes(texts: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
                 hidden = _hidden(flat, limit)
                 end, out = 0, []
                 for sig, n, *lens in zip(row["sigs"], row["sizes"], row["small_lens"], row["large_lens"], strict=True):
-                    found_in, alone = [[], [], []], 0
+                    found_in, alone = [[], [], []], n
                     for length in filter(None, lens):
                         own = slice(end, end + length)
                         end += length
-                        alone = max(alone, int(((df[own] == 1) & ~hidden[own]).sum()))
+                        alone = min(alone, int(((df[own] == 1) & ~hidden[own]).sum()))
                         for have, new in zip(found_in, _prefix_tokens(flat[own], df[own], hidden[own], prefix_length(n, percent)), strict=True):
                             have += new
+                    # a set of both kinds may share with large sets what no small one has
                     out.append((sig, n, n - alone, *found_in))
                 out = [x for x in out if x[3] and x[4] and x[5]]
                 if out:
