@@ -67,8 +67,10 @@ def sort_columns(sort: list[tuple[str, str]], allowed: set[str], tie_breaker: st
     return cols
 
 
-def page(df: DataFrame, keys: list[str], order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """LIMIT/OFFSET per key group (rows ``offset+1 .. offset+limit`` in ``order``)."""
+def page(df: DataFrame, keys: list[str], order: list[Column], limit: int | None, offset: int = 0) -> DataFrame:
+    """LIMIT/OFFSET per key group (rows ``offset+1 .. offset+limit`` in ``order``); all rows without a limit."""
+    if limit is None:
+        return df
     w = Window.partitionBy(*keys).orderBy(*order)
     return (df.withColumn("_rn", F.row_number().over(w))
             .filter((F.col("_rn") > offset) & (F.col("_rn") <= offset + limit)).drop("_rn"))

@@ -55,7 +55,7 @@ def category_daily() -> str:
 
 EV_TS = "TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-30 23:59:59.999999'"
 EV_D = f"DATE '{EV_FROM}' AND DATE '{EV_TO}'"
-PAGE = 10000
+
 
 
 def half_up(num: str, den: str, scale: int) -> str:
@@ -142,7 +142,7 @@ def category_report() -> str:
          *_report_rows("scope_id")],
         f"""SELECT scope_id AS category_id, {REPORT_COLS}
             FROM ranked r LEFT JOIN categories c ON c.category_id = r.latest_category_id
-            WHERE rn BETWEEN 1 AND {PAGE}""")
+""")
 
 
 def seller_report() -> str:
@@ -152,7 +152,7 @@ def seller_report() -> str:
          ("po", orders_cte("pd", "seller_link")), *_report_rows("seller_link")],
         f"""SELECT seller_link, {REPORT_COLS}
             FROM ranked r LEFT JOIN categories c ON c.category_id = r.latest_category_id
-            WHERE rn BETWEEN 1 AND {PAGE}""")
+""")
 
 
 def category_closure() -> str:
@@ -529,7 +529,7 @@ def _q13_ctes() -> list[tuple[str, str]]:
                        SELECT *, count(*) OVER (PARTITION BY period, category_id) AS total_row_count,
                               row_number() OVER (PARTITION BY period, category_id ORDER BY revenue DESC, product_id)
                                   AS rn
-                       FROM qr) WHERE rn BETWEEN 1 AND {PAGE}"""),
+                       FROM qr)"""),
     ]
 
 
@@ -586,7 +586,7 @@ ORACLE.update({
 def _report_row_ctes(base_ctes: list[tuple[str, str]], key: str, page_src: str) -> list[tuple[str, str]]:
     return [
         *base_ctes,
-        ("pg", f"SELECT * FROM ranked WHERE rn BETWEEN 1 AND {PAGE}"),
+        ("pg", "SELECT * FROM ranked"),
         ("rr", f"""SELECT {key}, r.seller_title, r.product_id, r.name, c.title AS category_name, r.available_amounts,
                           CAST(len(list_filter(r.available_amount_graph, lambda x: x > 0)) AS INTEGER) AS days_in_stock,
                           r.purchase_price, CAST(list_sum(r.order_graph) AS BIGINT) AS orders,
@@ -723,7 +723,7 @@ def payments_applied() -> str:
                        FROM payment_status WHERE status IN ('pending', 'canceled', 'failed', 'success')
                        GROUP BY payment_id""")],
         """SELECT t.payment_id, t.user_id, t.created_at, coalesce(l.new_status, t.status) AS status,
-                  t.paid OR coalesce(l.new_status, '') = 'success' AS paid, t.amount, t.subscription_type, t.multiply
+                  CASE l.new_status WHEN 'success' THEN true WHEN 'canceled' THEN false WHEN 'failed' THEN false ELSE t.paid END AS paid, t.amount, t.subscription_type, t.multiply
            FROM tbl t LEFT JOIN latest l USING (payment_id)""")
 
 
@@ -761,7 +761,7 @@ def flatten_products() -> str:
                (event_id * 7919) % 50 AS available_amount,
                ['a' || CAST(user_id % 3 AS VARCHAR)] AS attributes, ['t'] AS tags,
                'ph' || CAST(user_id * 10 + event_id % 3 AS VARCHAR) AS photo_key,
-               MAP {{'color': 'c' || CAST(event_id % 7 AS VARCHAR), 'size': 's' || CAST(event_id % 3 AS VARCHAR)}}
+               MAP {{'color': 'color c' || CAST(event_id % 7 AS VARCHAR), 'size': 'size s' || CAST(event_id % 3 AS VARCHAR)}}
                    AS characteristics,
                {sid} AS seller_id, {sid} % 5 AS seller_account_id, 'shop ' || CAST({sid} AS VARCHAR) AS seller_title,
                'seller-' || CAST({sid} AS VARCHAR) AS seller_link,

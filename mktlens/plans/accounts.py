@@ -132,7 +132,7 @@ def apply_payment_events(payments: DataFrame, created: DataFrame, status_events:
     Created events carry the amount in minor units and a plan code; status
     events carry (payment_id, status, event_ts, event_seq); ties on (event_ts,
     event_seq) resolve to the greatest status name. Unknown statuses are ignored;
-    'success' marks the payment paid.
+    'success' marks the payment paid, 'canceled' and 'failed' unpaid.
     """
     plan_map = F.create_map(*[x for k, v in PLAN_CODES.items() for x in (F.lit(k), F.lit(v))])
     new = (created.join(payments.select("payment_id"), "payment_id", "left_anti")
@@ -147,7 +147,8 @@ def apply_payment_events(payments: DataFrame, created: DataFrame, status_events:
               .agg(F.max_by("status", F.struct("event_ts", "event_seq", "status")).alias("_new_status")))
     return (table.join(latest, "payment_id", "left")
             .withColumn("status", F.coalesce("_new_status", "status"))
-            .withColumn("paid", F.col("paid") | (F.coalesce(F.col("_new_status"), F.lit("")) == "success"))
+            .withColumn("paid", F.when(F.col("_new_status") == "success", True)
+                        .when(F.col("_new_status").isin("canceled", "failed"), False).otherwise(F.col("paid")))
             .drop("_new_status"))
 
 

@@ -33,7 +33,6 @@ from ..streaming import ingest as ST
 # Query parameters (fixed values of the registered queries).
 EV_FROM, EV_TO = "2024-01-02", "2024-01-30"
 EV_TS_FROM, EV_TS_TO = "2024-01-02 00:00:00", "2024-01-30 23:59:59.999999"
-REPORT_PAGE = 10000  # the report page size of the service; paging itself is tested in tests/
 
 
 def _events_daily(spark, sf):
@@ -63,7 +62,7 @@ def q_category_overall(spark, sf):
 def q_category_report(spark, sf):
     cats = _cats(spark, sf)
     return C.category_sales_report(_events_daily(spark, sf), _scope(spark, sf, cats), cats,
-                                   EV_FROM, EV_TO, REPORT_PAGE, 0)
+                                   EV_FROM, EV_TO)
 
 
 def q_category_closure(spark, sf):
@@ -107,7 +106,7 @@ def q_seller_order_dynamic(spark, sf):
 
 
 def q_seller_report(spark, sf):
-    return SE.seller_sales_report(_events_daily(spark, sf), X.categories(spark, sf), EV_FROM, EV_TO, REPORT_PAGE, 0)
+    return SE.seller_sales_report(_events_daily(spark, sf), X.categories(spark, sf), EV_FROM, EV_TO)
 
 
 def q_seller_card(spark, sf):
@@ -186,7 +185,7 @@ def _q13(spark, sf, daily=None):
     cats = _cats(spark, sf)
     scope = _scope(spark, sf, cats)
     rollup = R.category_product_rollup(daily, R.root_scope(scope, cats), EV_AS_OF, Q13_PERIODS)
-    return R.category_products(rollup, scope, EV_AS_OF, Q13_PERIODS, Q13_FILTERS, Q13_SORT, REPORT_PAGE, 0)
+    return R.category_products(rollup, scope, EV_AS_OF, Q13_PERIODS, Q13_FILTERS, Q13_SORT)
 
 
 def q_category_products(spark, sf):

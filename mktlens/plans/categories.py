@@ -102,8 +102,8 @@ def category_overall(snap: DataFrame, scope: DataFrame, ts_from: str, ts_to: str
 
 
 def category_sales_report(daily: DataFrame, scope: DataFrame, categories: DataFrame, date_from: str, date_to: str,
-                          limit: int, offset: int) -> DataFrame:
-    """Q8: report rows for every category scope."""
+                          limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Q8: report rows for every category scope, all products or a page of them."""
     from .sellers import sales_report_rows
 
     days = with_orders(product_days(_scoped(daily, scope, date_from, date_to), ["scope_id"]), ["scope_id"])

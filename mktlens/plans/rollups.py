@@ -280,8 +280,9 @@ PRODUCT_FIELDS = {"product_id", "title", "order_amount", "price", "revenue", "av
 
 
 def category_products(rollup: DataFrame, scope: DataFrame, as_of: str, periods: list[str],
-                      filters: list[Filter], sort: list[tuple[str, str]], limit: int, offset: int) -> DataFrame:
-    """Q13: products of every scope from the J2 rollup at ``as_of``; user filters, sort and page per scope."""
+                      filters: list[Filter], sort: list[tuple[str, str]], limit: int | None = None,
+                      offset: int = 0) -> DataFrame:
+    """Q13: products of every scope from the J2 rollup at ``as_of``; user filters; with a limit, the page per scope in that order."""
     r = rollup.filter((F.col("as_of") == F.lit(as_of).cast("date")) & F.col("period").isin(periods))
     e = r.join(scope, "category_id").select("*", F.explode_outer("price_hist").alias("_h"))
     agg = (e.groupBy("period", "scope_id", "product_id")

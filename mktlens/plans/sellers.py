@@ -41,7 +41,7 @@ def seller_order_dynamic(daily: DataFrame, date_from: str, date_to: str) -> Data
             .groupBy("seller_link", "date").agg(F.sum("orders").alias("order_amount")))
 
 
-def sales_report_rows(days: DataFrame, key: str, categories: DataFrame, limit: int, offset: int) -> DataFrame:
+def sales_report_rows(days: DataFrame, key: str, categories: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Per (key, product) report rows: charts in date order, last-day values, revenue, total, one page per key.
 
     ``total`` is the number of products of the key before paging (a count over
@@ -61,16 +61,17 @@ def sales_report_rows(days: DataFrame, key: str, categories: DataFrame, limit: i
             .select(key, "product_id", "l.*", "order_graph", "available_amount_graph", "price_graph", "sales"))
     titles = categories.select(F.col("category_id").alias("latest_category_id"), F.col("title").alias("category_name"))
     rows = rows.join(titles, "latest_category_id", "left")
+    rows = rows.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    if limit is None:  # a report holds every product
+        return rows
     w = Window.partitionBy(key).orderBy("product_id")
-    # the total and the page number share one partitioning by key (no extra shuffle, never a global window)
     return (rows.withColumn("_rn", F.row_number().over(w))
-            .withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(key)))
             .filter((F.col("_rn") > offset) & (F.col("_rn") <= offset + limit)).drop("_rn"))
 
 
 def seller_sales_report(daily: DataFrame, categories: DataFrame, date_from: str, date_to: str,
-                        limit: int, offset: int) -> DataFrame:
-    """Q7."""
+                        limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Q7: all products of each seller, or a page of them."""
     return sales_report_rows(_seller_days(daily, date_from, date_to), "seller_link", categories, limit, offset)
 
 

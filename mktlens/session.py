@@ -45,11 +45,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the operator of the cluster sets it to a shared file system;
-    only when it is unset (local tests) a fresh scratch folder is taken. The
+    in local mode a fresh scratch folder is taken when it is unset, elsewhere that is an error. The
     context's checkpoint directory is set once, from that setting.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "local")
+        if not master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="mktlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     try:

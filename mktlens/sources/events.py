@@ -62,11 +62,12 @@ def epoch_to_ts(col: Column) -> Column:
     return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), col.cast("decimal(18,6)"))
 
 
-def list_to_map_last(col: Column, key: str = "type", value: str = "value") -> Column:
-    """I4: list of (key, value) -> map; the last duplicate wins (independent of the session's dedup policy)."""
+def list_to_map_last(col: Column, key: str = "type", value: str = "title") -> Column:
+    """I4: list of (key, value) -> map in order of its keys; the last duplicate wins (independent of the session's dedup policy)."""
     empty = F.create_map().cast(T.MapType(T.StringType(), T.StringType()))
-    return F.aggregate(col, empty, lambda acc, e: F.map_concat(
+    last = F.aggregate(col, empty, lambda acc, e: F.map_concat(
         F.map_filter(acc, lambda k, v: k != e[key]), F.create_map(e[key], e[value])))
+    return F.map_from_entries(F.array_sort(F.map_entries(last)))
 
 
 def list_to_map_strict(col: Column, key: str = "type", value: str = "value") -> Column:

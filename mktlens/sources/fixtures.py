@@ -221,7 +221,7 @@ def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ev = table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
     sid = F.col("user_id") % 10
-    kv = lambda t, v: F.struct(F.lit(t).alias("type"), F.lit(t.title()).alias("title"), v.alias("value"))
+    kv = lambda t, v: F.struct(F.lit(t).alias("type"), F.concat(F.lit(f"{t} "), v).alias("title"), v.alias("value"))
     sku = F.struct(
         (F.col("user_id") * 10 + F.col("event_id") % 3).alias("sku_id"),
         F.concat(F.lit("ph"), (F.col("user_id") * 10 + F.col("event_id") % 3).cast("string")).alias("photo_key"),
