@@ -41,7 +41,7 @@ WORD_IDS = "block long, bucket int, lens binary, ids binary"
 ENCODED = "doc_id long, n_tokens long, ids binary"
 BLOCK_PIECES = 2_000_000
 BATCH = 1000
-MAX_WORDS = 1_000_000
+MAX_WORDS = 300_000
 
 
 def _zip(a: np.ndarray) -> bytes:
@@ -77,7 +77,7 @@ class _Pieces:
 
     def start_block(self) -> None:
         """Forget all when there is much; only between blocks, as a block's numbers must stay."""
-        if len(self.number) > MAX_WORDS or self.table.chars > 24_000_000:
+        if len(self.number) > MAX_WORDS or self.table.chars > 8_000_000:
             self.number = {}
             self.table._reset()
 

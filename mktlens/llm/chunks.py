@@ -52,7 +52,7 @@ class ChunkTable:
     """
 
     def __init__(self, compute: Callable[[list[str]], Iterable[Sequence[int]]], dtype,
-                 max_chunks: int = 1_000_000, max_chars: int = 24_000_000):
+                 max_chunks: int = 300_000, max_chars: int = 8_000_000):
         self.compute, self.dtype, self.max_chunks, self.max_chars = compute, np.dtype(dtype), max_chunks, max_chars
         self._reset()
 

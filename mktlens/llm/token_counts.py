@@ -34,7 +34,7 @@ from .chunks import ChunkTable
 from .common import prepare
 
 BATCH = 1000
-MAX_PAIRS, MAX_PIECES = 1_000_000, 500_000
+MAX_PAIRS, MAX_PIECES = 300_000, 200_000
 
 _tables: dict[str, ChunkTable] = {}
 

@@ -41,7 +41,7 @@ BLOCKS = "shard int, block int, first long, doc_ids array<bigint>, lens array<in
 DECODED = "shard int, doc_id long, at long, n_tokens long, ids binary"
 BLOCK_IDS = 1 << 20
 #: Documents looked up at once; pieces a worker remembers; last letter of the blocks whose classes are the same in all regex engines.
-BATCH, MAX_PIECES, LATIN = 2000, 1_000_000, "\u024f"
+BATCH, MAX_PIECES, LATIN = 500, 250_000, "\u024f"
 
 #: Bytes of the four ids of each control byte.
 _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
