@@ -62,7 +62,7 @@ def epoch_to_ts(col: Column) -> Column:
     return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), col.cast("decimal(18,6)"))
 
 
-def list_to_map_last(col: Column, key: str = "type", value: str = "title") -> Column:
+def list_to_map_last(col: Column, key: str = "type", value: str = "value") -> Column:
     """I4: list of (key, value) -> map in order of its keys; the last duplicate wins (independent of the session's dedup policy)."""
     empty = F.create_map().cast(T.MapType(T.StringType(), T.StringType()))
     last = F.aggregate(col, empty, lambda acc, e: F.map_concat(
@@ -86,7 +86,7 @@ def flatten_products(events: DataFrame) -> DataFrame:
         "reviews_amount", F.col("orders").alias("total_orders_amount"), "total_available_amount",
         F.col("sku.available_amount").alias("available_amount"),
         "attributes", "tags", F.col("sku.photo_key").alias("photo_key"),
-        list_to_map_last(F.col("sku.characteristics")).alias("characteristics"),
+        list_to_map_last(F.col("sku.characteristics"), value="title").alias("characteristics"),
         F.col("seller.id").alias("seller_id"), F.col("seller.account_id").alias("seller_account_id"),
         F.col("seller.seller_title").alias("seller_title"), F.col("seller.seller_link").alias("seller_link"),
         epoch_to_ts(F.col("seller.registration_date")).alias("seller_registration_date"),
