@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable
+from .chunks import ChunkTable, one_by_one
 from .common import gather, kept, offsets_of, prepare, text_or_empty
 
 POSITIONS = ("block long, doc_ids array<bigint>, lens array<int>, word_order binary, positions binary,"
@@ -71,9 +71,9 @@ class _Pieces:
         self.table = ChunkTable(self._numbers, np.uint32, max_chunks=1 << 60, max_chars=1 << 60)
         self.number: dict[str, int] = {}
 
-    def _numbers(self, chunks: list[str]) -> list[list[int]]:
+    def _numbers(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         number = self.number
-        return [[number.setdefault(p, len(number)) for p in self.find(c)] for c in chunks]
+        return one_by_one(([number.setdefault(p, len(number)) for p in self.find(c)] for c in chunks), np.uint32)
 
     def start_block(self) -> None:
         """Forget all when there is much; only between blocks, as a block's numbers must stay."""

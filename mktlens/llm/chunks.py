@@ -27,6 +27,18 @@ def split_chunks(text: str) -> list[str]:
     return _BOUNDARY.split(text) if text else []
 
 
+def one_by_one(values: Iterable[Sequence[int]], dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the sequences, one after another, and the sequences' lengths."""
+    values = list(values)
+    lens = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+    return np.fromiter(chain.from_iterable(values), dtype=dtype, count=int(lens.sum())), lens
+
+
+def joins(chunk: str) -> bool:
+    """Whether the chunk can stand after any chunk that doesn't end in white space and be a chunk there too."""
+    return chunk[0] in " \n" and len(chunk) > 1 and not chunk[1].isspace() and not chunk[-1].isspace()
+
+
 class _Inner(dict):
     """Chunk without its leading blank -> number; -1 if the plain split by blanks isn't a split into chunks here."""
 
@@ -45,13 +57,14 @@ class _Inner(dict):
 class ChunkTable:
     """Numbers of chunks and a value run for each, computed once per chunk and worker.
 
-    ``compute`` gets the new chunks of a batch and returns a sequence of numbers
-    for each. The table is emptied between batches when it holds more than
+    ``compute`` gets the new chunks of a batch and returns their numbers, one chunk
+    after another, and how many each has (``one_by_one`` makes that of a sequence for
+    each chunk). The table is emptied between batches when it holds more than
     ``max_chunks`` chunks or ``max_chars`` characters; that bounds the memory and
     changes no result.
     """
 
-    def __init__(self, compute: Callable[[list[str]], Iterable[Sequence[int]]], dtype,
+    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype,
                  max_chunks: int = 300_000, max_chars: int = 8_000_000):
         self.compute, self.dtype, self.max_chunks, self.max_chars = compute, np.dtype(dtype), max_chunks, max_chars
         self._reset()
@@ -100,10 +113,8 @@ class ChunkTable:
     def _fill(self) -> None:
         if not self.new:
             return
-        values = list(self.compute(self.new))
-        lens = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
-        flat = np.fromiter(chain.from_iterable(values), dtype=self.dtype, count=int(lens.sum()))
-        at, more = self.count - len(values), self.used + len(flat)
+        flat, lens = self.compute(self.new)
+        at, more = self.count - len(lens), self.used + len(flat)
         while len(self.flat) < more:
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), dtype=self.dtype)])
         while len(self.lens) < self.count:

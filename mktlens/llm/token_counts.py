@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable
+from .chunks import ChunkTable, one_by_one
 from .common import prepare
 
 BATCH = 1000
@@ -174,7 +174,7 @@ def step_table(vocab: str) -> ChunkTable:
     """This worker's table of chunks and their steps."""
     if vocab not in _tables:
         counter = PrefixCounter(vocab)
-        _tables[vocab] = ChunkTable(lambda new: [counter.steps(c) for c in new], np.int8)
+        _tables[vocab] = ChunkTable(lambda new: one_by_one(map(counter.steps, new), np.int8), np.int8)
     return _tables[vocab]
 
 

@@ -28,20 +28,21 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable
-from .common import kept, offsets_of, prepare, text_or_empty
+from .chunks import ChunkTable, joins, one_by_one
+from .common import gather, kept, offsets_of, prepare, text_or_empty
 
 RANKS = "id int, rank int, n long"
 RAW = "shard int, block int, first long, doc_ids array<bigint>, lens array<int>, ids binary"
 BLOCKS = "shard int, block int, first long, doc_ids array<bigint>, lens array<int>, control binary, data binary"
 DECODED = "shard int, doc_id long, at long, n_tokens long, ids binary"
 BLOCK_IDS = 1 << 20
-#: Documents looked up at once; pieces a worker remembers; last letter of the blocks whose classes are the same in all regex engines.
-BATCH, MAX_PIECES, LATIN = 500, 250_000, "\u024f"
+#: Documents looked up at once; chunks sent to the library in one call.
+BATCH, CALL_CHUNKS = 500, 20_000
 
 #: Bytes of the four ids of each control byte.
 _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
@@ -49,34 +50,57 @@ _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astyp
 _tables: dict[str, ChunkTable] = {}
 
 
-def library_table(vocab: str) -> ChunkTable:
-    """This worker's table of chunks encoded by the tokenizers library.
+class _Library:
+    """Ids of chunks by the tokenizers library, many chunks in one call.
 
-    A chunk of Latin letters is first split by the tokenizer's own pattern, so
-    that the library sees each distinct piece once; other chunks, and those that
-    hold an added token, go to the library as they are.
+    Chunks that can follow one another are sent as one text. Every token of a
+    byte-level vocabulary stands for a known number of bytes, so sums of bytes tell
+    where each chunk's ids end. Other chunks, those that hold an added token, and
+    all if the sums don't meet the chunks' ends, are sent one by one.
     """
-    if vocab not in _tables:
+
+    def __init__(self, vocab: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocab)
-        pieces = regex.compile(public_tokenizers.PATTERN).findall
-        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        known: dict[str, list[int]] = {}
-
-        def encode(new: list[str]) -> list[list[int]]:
-            if len(known) > MAX_PIECES:
-                known.clear()
-            split = [[c] if max(c) > LATIN or any(t in c for t in added) else pieces(c) for c in new]
-            fresh = list({p: None for row in split for p in row if p not in known})
-            known.update(zip(fresh, (e.ids for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)),
-                             strict=True))
-            return [known[row[0]] if len(row) == 1 else [i for p in row for i in known[p]] for row in split]
-
-        _tables[vocab] = ChunkTable(encode, np.uint32)
+        self.tokenizer = Tokenizer.from_file(vocab)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ids = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(ids.values(), default=0) + 1, dtype=np.int64)
+        for token, i in ids.items():
+            self.n_bytes[i] = len(token)  # a character of the vocabulary's alphabet is a byte
+
+    def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return one_by_one((e.ids for e in found), np.uint32)
+
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)
+        ids = np.array(found[0].ids, dtype=np.uint32)
+        bytes_to = np.cumsum(self.n_bytes[ids])
+        wanted = np.cumsum(pc.binary_length(pa.array(chunks, pa.string())).to_numpy(), dtype=np.int64)
+        last = np.searchsorted(bytes_to, wanted)
+        if not len(ids) or bytes_to[-1] != wanted[-1] or (bytes_to[last] != wanted).any():
+            return self._alone(chunks)
+        return ids, np.diff(last, prepend=-1)
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks' ids, one chunk after another, and their numbers of ids."""
+        fits = np.fromiter((joins(c) and not any(t in c for t in self.added) for c in chunks), bool, len(chunks))
+        order = np.concatenate([np.flatnonzero(fits), np.flatnonzero(~fits)])
+        n, parts = int(fits.sum()), []
+        for run, call in ((order[:n], self._together), (order[n:], self._alone)):
+            for at in range(0, len(run), CALL_CHUNKS):
+                parts.append(call([chunks[k] for k in run[at:at + CALL_CHUNKS]]))
+        lens = np.concatenate([x for _, x in parts])
+        back = np.argsort(order)
+        return gather(np.concatenate([x for x, _ in parts]), offsets_of(lens)[:-1][back], lens[back]), lens[back]
+
+
+def library_table(vocab: str) -> ChunkTable:
+    """This worker's table of chunks encoded by the tokenizers library."""
+    if vocab not in _tables:
+        _tables[vocab] = ChunkTable(_Library(vocab).encode, np.uint32)
     return _tables[vocab]
 
 
