@@ -61,6 +61,22 @@ def test_op1_files_round_trip(spark, docs):
     assert ranks == Counter(i for own in ids for i in own)
 
 
+def test_op1_chunks_sent_together_or_alone():
+    chunks = [" word", "first", "\nline", " a<|endoftext|>b", " ", "  two", " \u00e9t\u00e9", "\n\n", " \u4f60\u597d", " x ", " <|endoftext|>",
+              " don't", " word's", "\n#*$%", "tail"]
+    library = token_files._Library(JSON_VOCAB)
+    want = [library.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks]
+
+    def check():
+        flat, lens = library.encode(chunks)
+        ends = lens.cumsum()
+        assert [flat[e - n:e].tolist() for e, n in zip(ends, lens, strict=True)] == want
+
+    check()
+    library.n_bytes = library.n_bytes + 1  # sums that don't meet the chunks' ends: one by one
+    check()
+
+
 def test_op1_empty_table(spark, none):
     path = scratch(spark, "test-tokens")
     token_files.write_tokens(none, path, JSON_VOCAB, 2)
