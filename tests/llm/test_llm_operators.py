@@ -285,6 +285,21 @@ def test_op9_quality(spark, docs, none):
     assert quality_rules.passing(docs, labels).columns == docs.columns
 
 
+def test_op9_threshold_from_labels(spark):
+    between = quality_rules.threshold_between
+    assert between([0.1, -0.03], [-0.04, -0.5]) == pytest.approx(-0.035)
+    assert between([-0.03, 0.1], [-0.06] * 100 + [-0.045]) == pytest.approx(-0.0525)  # 1 of 101 bad may stay
+    assert between([-0.03, 0.1], [-0.06, 0.2]) == pytest.approx(-0.045)  # no good one of 2 may go
+    assert between([-0.9] + [0.1] * 999, [-0.5, -0.04]) == pytest.approx(0.03)  # 1 of 1000 may
+    assert between([0.0], []) == between([], [-0.3]) == quality_rules.THRESHOLD
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet"), labels).filter("not base_failed").join(labels, "doc_id")
+    n = {(r.quality, r.kept): r["count"] for r in got.groupBy("quality", "kept").count().collect()}
+    assert n.get((0, True), 0) * 100 <= n[0, False] + n.get((0, True), 0)  # 71 of 291 were kept at -0.1
+    assert n.get((1, False), 0) == 0
+
+
 def test_op10_urls(spark):
     urls = [None, "", "no scheme", "http://net", "http://a.net/", "http://A.Example.NET/en/x?y", "https://example.com/de/1", "http://org/fr/",
             "http://x.org/fr", "http://planet/", "http://e.net?x/en/", "http://casino.example.org/a", "http://WWW.x.org/CASINO/", "http://ads.x.org/",
