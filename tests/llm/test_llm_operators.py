@@ -103,6 +103,26 @@ def test_op2_topk(spark):
     assert vector_topk.top_k(table.limit(0), F.col("vec_id") % 50 == 0, 5).collect() == []
 
 
+def test_op2_large_components_and_repeated_ids(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(120)]
+    rows += [(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in (0, 3, 3, 50, 51)]  # other vectors under the same ids
+    rows += [(200, [40000.5, -1.25, 0.0, 3.0]), (201, [-32768.0, 0.5, 1.0, 1.0]), (202, [1.0, 2.0**17, 0.0]), (205, [0.0, 0.0, 2.0**45, 0.0]), (250, [0.0, 2.0**20 + 1, 0.5, 0.0]),
+             (203, [0.0, 0.0, 0.0, 2.0**60]), (204, [0.0, 2.0**62, 0.0, 2.0**100])]
+    v = [(i, [math.floor(256 * x) for x in e]) for i, e in rows if i not in (203, 204)]
+    want = []
+    for q in {i for i, _ in v if i % 50 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(x, y)), c) for i, x in v if i == q for c, y in v if c != q)[:5]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scored)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_topk.top_k(table.filter("vec_id not in (203, 204)"), F.col("vec_id") % 50 == 0, 5, block_rows=64, group_rows=3)
+    assert _sorted(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    with pytest.raises(Exception, match="fit 64 bits"):
+        vector_topk.top_k(table.filter("vec_id >= 200"), F.col("vec_id") == 203, 5).collect()
+
+
 def test_op3_licenses(docs, none):
     def lower(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
