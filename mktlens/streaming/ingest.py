@@ -137,14 +137,15 @@ def _ledger_fold(key, batches, state):
 
 
 def subscription_stream(spark: SparkSession, source_dir: str, schema, sink: str, checkpoint: str,
-                        max_files_per_trigger: int = 1, available_now: bool = True):
+                        available_now: bool = True):
     """Streaming subscription ledger with keyed state (``applyInPandasWithState``).
 
-    Successful payments only; days = 30 x multiply (at least 30).
+    Successful payments only; days = 30 x multiply (at least 30). A batch takes all files
+    that are there: the fold needs time order, which files of one delivery don't have.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    pay = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
+    pay = (spark.readStream.schema(schema).parquet(source_dir)
            .filter(F.col("status") == "success")
            .select("user_id", "payment_id", F.to_date("created_at").alias("paid_on"),
                    (F.lit(30) * F.greatest(F.coalesce("multiply", F.lit(1)), F.lit(1))).cast("long").alias("days")))
@@ -182,8 +183,7 @@ def streaming_subscription_ledger(spark: SparkSession, payments: DataFrame, n_ra
             if hi is not None:
                 part = part.filter(day <= hi)
             part.write.mode("append").parquet(src)
-            subscription_stream(spark, src, payments.schema, sink, ckpt,
-                                max_files_per_trigger=10000).awaitTermination()
+            subscription_stream(spark, src, payments.schema, sink, ckpt).awaitTermination()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", previous)
     return spark.read.schema(LEDGER_SCHEMA).parquet(sink)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mktlens.operators.hierarchy import category_closure
 from mktlens.sources.events import PRODUCT_EVENT, POSITION_EVENT
 from mktlens.sources.io import apply_retention, upsert
-from mktlens.streaming.ingest import ingest_stream
+from mktlens.streaming.ingest import ingest_stream, subscription_stream
 
 
 def test_closure_depth_guard(spark):
@@ -106,3 +106,15 @@ def test_layouts_positions_reports_rollups(spark):
     write_rollup(r, os.path.join(root, "rollup"))
     assert read_rollup(spark, os.path.join(root, "rollup"), "WEEK", "2024-01-31").count() == \
         r.filter("period = 'WEEK'").count()
+
+
+def test_ledger_stream_takes_all_files_at_once(spark):
+    root = tempfile.mkdtemp(prefix="mktlens-ledger-")
+    schema = "user_id long, payment_id long, created_at timestamp, status string, multiply int"
+    for n, day in ((2, 20), (1, 1), (3, 25)):  # files that are not in time order
+        row = (7, n, dt.datetime(2024, 1, day), "success", 1)
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{root}/source")
+    q = subscription_stream(spark, f"{root}/source", spark.createDataFrame([], schema).schema, f"{root}/ledger", f"{root}/checkpoint")
+    q.awaitTermination()
+    got = {r.payment_id: r.subscription_end for r in spark.read.parquet(f"{root}/ledger").collect()}
+    assert got == {1: dt.date(2024, 1, 31), 2: dt.date(2024, 3, 1), 3: dt.date(2024, 3, 31)}
