@@ -341,6 +341,16 @@ def test_op10_urls(spark):
     assert url_filters.judge_urls(pages.limit(0)).collect() == []
 
 
+def test_op10_rules_that_end_within_a_token(spark):
+    urls = ["http://a.x/wp-login.php5"] + ["http://wp.x/login"] * 3 + ["http://a.x/1.php"]  # php is rarer than wp and login
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert _sorted(url_filters.judge_urls(pages), "page_id", "verdict") == [(0, "block"), *((i, "allow") for i in range(1, 5))]
+    urls = ["http://b.x/english", "http://b.x/EN", "http://c.network/", "http://d/", "http://network/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filters.judge_urls(pages, [("block", "b.x", "/en"), ("block", "net", "")], [])
+    assert _sorted(got, "page_id", "verdict") == [(0, "block"), (1, "allow"), (2, "block"), (3, "allow"), (4, "block")]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
