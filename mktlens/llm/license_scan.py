@@ -2,7 +2,8 @@
 
 Every template (a licence's notice or a naming phrase) is a row of words. The
 index holds, for each template, its ``anchors`` rarest words by document frequency
-over the whole corpus, with their places. A text looks its words up there; each
+over the whole corpus, with their places, or as many as leave ``VOTES`` of them when
+all the words that ``cover`` lets a notice miss are anchors. A text looks its words up there; each
 hit votes for a start of the template (place in the text less place in the
 template), and the votes' intersection by start gives the alignments to verify:
 a naming phrase needs all its words, a notice needs ``cover`` of its words at
@@ -84,13 +85,14 @@ def document_frequency(docs: DataFrame, vocabulary: list[bytes]) -> dict[bytes,
     return {bytes(r["word"]): r["n"] for r in rows}
 
 
-def rare_word_index(df: dict[bytes, int], anchors: int = ANCHORS) -> tuple[list[dict], dict[bytes, list[tuple[int, int]]]]:
+def rare_word_index(df: dict[bytes, int], anchors: int = ANCHORS, cover: float = COVER) -> tuple[list[dict], dict[bytes, list[tuple[int, int]]]]:
     """Templates with their anchors, and the postings anchor word -> (template, place)."""
     templates, postings = _templates(), defaultdict(list)
     for t, template in enumerate(templates):
         words = template["words"]
-        rarest = sorted(set(words), key=lambda w: (df.get(w, 0), w))[:1 if template["base"] else anchors]
-        template["need"] = 1 if template["base"] else min(VOTES, len(rarest))
+        may_miss = len(words) - math.ceil(cover * len(words))
+        rarest = sorted(set(words), key=lambda w: (df.get(w, 0), w))[:1 if template["base"] else max(anchors, may_miss + VOTES)]
+        template["need"] = 1 if template["base"] else max(1, min(VOTES, len(rarest) - may_miss))
         for place, word in enumerate(words):
             if word in rarest:
                 postings[word].append((t, place))
@@ -130,7 +132,7 @@ def scan_licenses(docs: DataFrame, anchors: int = ANCHORS, cover: float = COVER)
     """One row per document: words, places of the naming phrases, labels and score."""
     prepare(docs.sparkSession)
     vocabulary = sorted({w for t in _templates() for w in t["words"]})
-    templates, postings = rare_word_index(document_frequency(docs, vocabulary), anchors)
+    templates, postings = rare_word_index(document_frequency(docs, vocabulary), anchors, cover)
 
     def scan(batches):
         for batch in batches:

@@ -180,6 +180,20 @@ def test_op5_counts_of_every_prefix(docs, none):
     assert token_counts.prefix_steps(none, JSON_VOCAB, 20).collect() == []
 
 
+def test_op3_finds_every_alignment_that_cover_admits():
+    import itertools
+
+    templates, postings = license_scan.rare_word_index({})
+    for template in (t for t in templates if not t["base"]):
+        words, key = template["words"], template["key"]
+        may_miss = len(words) - math.ceil(license_scan.COVER * len(words))
+        at = next(k for k in range(len(words)) if words[k:k + len(key)] == key)
+        free = [k for k in range(len(words)) if not at <= k < at + len(key)]
+        for gone in itertools.combinations(free, min(may_miss, len(free))):
+            text = [b"zz" if k in gone else w for k, w in enumerate(words)]
+            assert template["label"] in license_scan.scan_words(text, templates, postings, license_scan.COVER)[2]
+
+
 def _components(rows, k, percent):
     sets = []
     for _, text, *_ in rows:
