@@ -24,6 +24,26 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
+HARD = """
+WITH raw AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, c.r AS c, c.vec_id AS vec_id, a.label = c.label AS alike,
+         CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM raw a JOIN raw c ON a.vec_id % 100 = 0 AND c.r <> a.r),
+positives AS (
+  SELECT * FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST, c) <= 5),
+hits AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.c ORDER BY n.score DESC, n.vec_id NULLS LAST) AS k
+  FROM positives p JOIN scored n ON n.a = p.a AND NOT n.alike
+    AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM hits WHERE k <= 5
+"""
+
 MIX = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
@@ -70,4 +90,4 @@ FROM numbered LEFT JOIN hits ON numbered.n = hits.n AND hits.r = 1
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_bit_sliced_topk": TOPK, "op8_source_mix": MIX, "op10_url_filters": _url_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_bit_sliced_topk": TOPK, "op13_hard_negatives": HARD, "op8_source_mix": MIX, "op10_url_filters": _url_sql()}

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_words, language_mix, license_scan, quality_rules, shingle_join, source_mix, token_counts, token_files,
-               url_filters, vector_topk)
+from . import (bpe_words, hard_negatives, html_wrappers, language_mix, license_scan, periodic_runs, quality_rules, shingle_join,
+               source_mix, token_counts, token_files, url_filters, vector_topk)
 from .common import scratch
 
 END_ID = 2
@@ -64,6 +64,22 @@ def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return url_filters.judge_urls(_table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(_table(spark, sf, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
+
+
+def op12_html_wrappers(spark: SparkSession, sf: str) -> DataFrame:
+    return html_wrappers.main_texts(_table(spark, sf, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_files, op2_bit_sliced_topk, op3_license_scan, op4_language_mix, op5_token_counts,
-                            op6_shingle_join, op7_bpe_words, op8_source_mix, op9_quality_rules, op10_url_filters)}
+                            op6_shingle_join, op7_bpe_words, op8_source_mix, op9_quality_rules, op10_url_filters, op11_periodic_runs,
+                            op12_html_wrappers, op13_hard_negatives)}
