@@ -10,6 +10,7 @@ for the whole table.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ class Filter:
 
     @staticmethod
     def between(field: str, lo, hi) -> "Filter":
+        """Inclusive; None leaves a side open."""
         return Filter(field, "between", lo, hi)
 
     def column(self) -> Column:
@@ -42,7 +44,8 @@ class Filter:
             esc = str(self.value).replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
             return c.ilike(f"%{esc}%")
         if self.op == "between":
-            return c.between(F.lit(self.value), F.lit(self.hi))
+            sides = [c >= F.lit(self.value)] * (self.value is not None) + [c <= F.lit(self.hi)] * (self.hi is not None)
+            return reduce(lambda a, b: a & b, sides, F.lit(True))
         raise ValueError(f"unknown filter op {self.op}")
 
 
@@ -77,12 +80,11 @@ def page(df: DataFrame, keys: list[str], order: list[Column], limit: int | None,
 
 
 def with_total(df: DataFrame, keys: list[str], out: str = "total_row_count") -> DataFrame:
-    """``count() OVER ()`` per key group: a count over the group's partition (shared with ``page``'s
-    partitioning); without keys, a one-row aggregate joined back (never an unpartitioned window)."""
-    if not keys:  # one-row aggregate, joined on a constant key
-        one = df.agg(F.count(F.lit(1)).alias(out)).withColumn("_one", F.lit(1))
-        return df.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
-    return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    """``count() OVER ()`` per key group, counted map-side and joined back, so no task holds a group; without keys a
+    scalar subquery."""
+    if not keys:
+        return df.select("*", df.agg(F.count(F.lit(1))).scalar().alias(out))
+    return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), keys)
 
 
 def eq_filter(df: DataFrame, values: dict) -> DataFrame:

@@ -354,8 +354,7 @@ from ..plans.rollups import period_bounds  # noqa: E402
 
 EV_AS_OF, LI_AS_OF = "2024-01-31", "2000-06-30"
 EV_PERIODS = ["WEEK", "TWO_WEEK", "MONTH", "TWO_MONTH"]
-Q13_PERIODS = ["WEEK", "TWO_WEEK"]
-LI_PERIODS = ["MONTH", "TWO_MONTH"]
+Q13_PERIODS = LI_PERIODS = EV_PERIODS
 
 ORDERS_4_RAW = ORDERS_4.replace("GREATEST(", "(").replace(", 0)", ")")
 
@@ -494,7 +493,8 @@ def _j2_ctes(periods: list[str]) -> list[tuple[str, str]]:
                          arg_max(reviews_amount, ts) AS reviews_amount
                   FROM snap_events WHERE category_id IN (SELECT category_id FROM rs2)
                   GROUP BY product_id, sku_id, date"""),
-        ("sd2", """SELECT *, CAST(sum(amin) OVER (PARTITION BY product_id, date) AS BIGINT) AS stock_day FROM sd"""),
+        ("sd2", """SELECT sd.*, CAST(sum(amin) OVER (PARTITION BY rs2.scope_id, product_id, date) AS BIGINT) AS stock_day
+                   FROM sd JOIN rs2 USING (category_id)"""),
         ("sdw", """SELECT w.period, sd2.* FROM sd2 JOIN win2 w ON sd2.date BETWEEN w.lo AND w.hi"""),
     ]
 
@@ -524,7 +524,7 @@ def _q13_ctes() -> list[tuple[str, str]]:
                          med / 100 AS price, med / 100 * order_amount AS revenue,
                          l.available_amount AS available_amount, l.reviews_amount AS reviews_amount,
                          l.photo_key AS photo_key, l.rating AS rating
-                  FROM q WHERE order_amount BETWEEN 1 AND 1000000000000"""),
+                  FROM q WHERE order_amount >= 1"""),
         ("q13", f"""SELECT * EXCLUDE (rn) FROM (
                        SELECT *, count(*) OVER (PARTITION BY period, category_id) AS total_row_count,
                               row_number() OVER (PARTITION BY period, category_id ORDER BY revenue DESC, product_id)

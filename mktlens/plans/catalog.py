@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import daily as D
+from ..operators import distincts as DI
 from ..operators import hierarchy as H
 from ..sources import fixtures as X
 from . import categories as C
@@ -51,8 +52,16 @@ def q_category_daily(spark: SparkSession, sf: str) -> DataFrame:
     return C.category_daily(_events_daily(spark, sf), _scope(spark, sf), EV_FROM, EV_TO)
 
 
+def _stored_states(spark, daily):
+    """The distinct-count states of a daily table, written and read back."""
+    path = ST.scratch_root(spark, "distinct-states")
+    DI.write_states(DI.entity_states(daily), path)
+    return DI.read_states(spark, path)
+
+
 def q_category_adhoc(spark, sf):
-    return C.category_adhoc(_events_daily(spark, sf), _scope(spark, sf), EV_FROM, EV_TO)
+    daily = _events_daily(spark, sf)
+    return C.category_adhoc(daily, _scope(spark, sf), EV_FROM, EV_TO, _stored_states(spark, daily))
 
 
 def q_category_overall(spark, sf):
@@ -124,9 +133,8 @@ def q_position_history(spark, sf):
 
 EV_AS_OF, LI_AS_OF = "2024-01-31", "2000-06-30"
 EV_PERIODS = ["WEEK", "TWO_WEEK", "MONTH", "TWO_MONTH"]
-Q13_PERIODS = ["WEEK", "TWO_WEEK"]
-LI_PERIODS = ["MONTH", "TWO_MONTH"]
-Q13_FILTERS = [Filter.between("order_amount", 1, 10 ** 12)]
+Q13_PERIODS = LI_PERIODS = EV_PERIODS
+Q13_FILTERS = [Filter.between("order_amount", 1, None)]
 Q13_SORT = [("revenue", "desc")]
 
 
@@ -141,12 +149,12 @@ def _j2(spark, sf, periods):
                                      EV_AS_OF, periods)
 
 
-def _j3(spark, sf, snap=None, daily=None, cats=None, scope=None):
+def _j3(spark, sf, states=None, cats=None, scope=None):
     if cats is None:
         cats, scope = _deep(spark, sf)
-    snap = snap if snap is not None else X.snap_lineitem(spark, sf)
-    daily = daily if daily is not None else D.daily_state(snap)
-    return R.category_rollup(snap, daily, R.root_scope(scope, cats), LI_AS_OF, LI_PERIODS)
+    snap = X.snap_lineitem(spark, sf)
+    states = states if states is not None else _stored_states(spark, D.daily_state(snap))
+    return R.category_rollup(snap, states, R.root_scope(scope, cats), LI_AS_OF, LI_PERIODS)
 
 
 def q_category_product_rollup(spark, sf):
@@ -163,20 +171,16 @@ def q_category_daily_stats(spark, sf):
 
 def _q10(spark, sf):
     cats, scope = _deep(spark, sf)
-    snap = X.snap_lineitem(spark, sf)
-    daily = D.daily_state(snap)
-    return R.category_with_prev(_j3(spark, sf, snap, daily, cats, scope), daily, scope, LI_AS_OF, LI_PERIODS)
+    states = _stored_states(spark, D.daily_state(X.snap_lineitem(spark, sf)))
+    return cats, R.category_with_prev(_j3(spark, sf, states, cats, scope), states, scope, LI_AS_OF, LI_PERIODS)
 
 
 def q_category_with_prev(spark, sf):
-    return _q10(spark, sf)
+    return _q10(spark, sf)[1]
 
 
 def q_category_cards(spark, sf):
-    cats, scope = _deep(spark, sf)
-    snap = X.snap_lineitem(spark, sf)
-    daily = D.daily_state(snap)
-    q10 = R.category_with_prev(_j3(spark, sf, snap, daily, cats, scope), daily, scope, LI_AS_OF, LI_PERIODS)
+    cats, q10 = _q10(spark, sf)
     return R.category_cards(q10, cats)
 
 

@@ -19,8 +19,10 @@ from ..functions.orders import gap_corrected_orders
 from ..functions.sketch import hist_median
 from ..operators.charts import ordered_array
 from ..operators.daily import compact_hist, last_struct
+from ..operators.distincts import count_states
 from ..operators.filters import Filter, apply_filters, page, sort_columns, with_total
 from ..operators.hierarchy import category_info
+from ..operators.medians import group_medians
 
 # Period lengths in days.
 PERIODS = {"WEEK": 7, "TWO_WEEK": 14, "MONTH": 30, "TWO_MONTH": 60}
@@ -81,11 +83,10 @@ def category_product_rollup(daily: DataFrame, roots: DataFrame, as_of: str, peri
     """
     from pyspark.sql import Window
 
-    # in a forest every category lies under exactly one root: root scope rows are unique per category
-    d = daily.join(roots.select("category_id"), "category_id", "left_semi")
-    # W3 (sum over the product's SKUs of the day's min stock) and the SKU-day median price are computed
-    # once per daily row, before the rows are copied into their period windows
-    d = (d.withColumn("stock_day", F.sum("min_available_amount").over(Window.partitionBy("product_id", "date")))
+    d = daily.join(roots, "category_id")
+    # W3 (sum over the product's SKUs, within the root, of the day's min stock) and the SKU-day median price are
+    # computed once per daily row, before the rows are copied into their period windows
+    d = (d.withColumn("stock_day", F.sum("min_available_amount").over(Window.partitionBy("scope_id", "product_id", "date")))
          .withColumn("price", hist_median(F.col("price_hist")).cast("long"))
          .drop("price_hist", "full_price_hist"))
     d = tag_windows(d, "date", as_of, periods, with_prev=False)
@@ -125,14 +126,17 @@ def _ratios(df: DataFrame, p: str = "") -> DataFrame:
               .withColumn(f"{p}revenue_per_product", F.when(oa > 0, rev / pc).otherwise(F.lit(0.0))))
 
 
+ENTITY_COUNTS = {"seller_id": "seller_count", "product_id": "product_count"}
 J3_COLS = ["order_amount", "available_amount", "revenue", "median_price", "avg_bill", "seller_count",
            "product_count", "order_per_product", "order_per_seller", "revenue_per_product"]
 
 
-def category_rollup(snap: DataFrame, daily: DataFrame, roots: DataFrame, as_of: str, periods: list[str],
+def category_rollup(snap: DataFrame, states: DataFrame, roots: DataFrame, as_of: str, periods: list[str],
                     how: str = "inner") -> DataFrame:
     """Per (period, category) metrics for the period and the one before, from raw snapshots.
 
+    ``states``: the distinct-count states of the daily table (``operators.distincts``).
+
     Raw windows run from midnight to midnight (both inclusive). The category of
     a product-day is its last one; distinct sellers / products are counted over
     the whole root (quirk kept: they repeat on every category row of the root).
@@ -150,12 +154,11 @@ def category_rollup(snap: DataFrame, daily: DataFrame, roots: DataFrame, as_of:
     days = with_orders(days, k)
     per_cat = (days.groupBy(*k, F.col("last.category_id").alias("category_id"))
                .agg(F.sum("orders").alias("order_amount"), F.sum("stock").alias("available_amount"),
-                    F.sum("revenue_minor").alias("revenue"), F.percentile("med", 0.5).alias("_med")))
-    dist = (tag_windows(daily.join(roots, "category_id"), "date", as_of, periods)
-            .groupBy(*k).agg(F.count_distinct("seller_id").alias("seller_count"),
-                             F.count_distinct("product_id").alias("product_count")))
-    m = (per_cat.join(dist, k)
-         .withColumn("median_price", F.when(F.col("order_amount") > 0, F.col("_med")).otherwise(F.lit(0.0))))
+                    F.sum("revenue_minor").alias("revenue")))
+    medians = group_medians(days.select(*k, F.col("last.category_id").alias("category_id"), "med"), [*k, "category_id"], F.col("med"))
+    dist = count_states(tag_windows(states.join(roots, "category_id"), "date", as_of, periods), k, ENTITY_COUNTS)
+    m = (per_cat.join(medians, [*k, "category_id"], "left").join(dist, k)
+         .withColumn("median_price", F.when(F.col("order_amount") > 0, F.col("median")).otherwise(F.lit(0.0))))
     m = _ratios(m)
     cur = m.filter(F.col("kind") == "cur").select("period", "scope_id", "category_id", *J3_COLS)
     prev = m.filter(F.col("kind") == "prev").select("period", "scope_id", "category_id",
@@ -185,16 +188,28 @@ def category_daily_stats(snap: DataFrame) -> DataFrame:
     days = days.withColumn("pv", pv).withColumn("o", F.col("mx") - F.when(F.col("pv") > 0, F.col("pv"))
                                                  .otherwise(F.col("mn")))
     sold = F.col("o") > 0
-    return (days.groupBy(F.col("last.category_id").alias("category_id"), "date")
-            .agg(F.coalesce(F.sum(F.when(sold, F.col("o"))), F.lit(0).cast("long")).alias("orders"),
-                 F.sum("stock").alias("available_amount"),
-                 F.percentile("med", 0.5).alias("median_price_all"),
-                 F.percentile(F.when(sold, F.col("med")), 0.5).alias("median_price_with_sales"),
-                 F.sum(F.col("med") * F.col("o")).alias("revenue"),
-                 F.count_distinct(F.col("last.seller_id")).alias("seller_count"),
-                 F.count_distinct("product_id").alias("product_count"),
-                 F.count_distinct(F.when(sold, F.col("last.seller_id"))).alias("seller_with_sales"),
-                 F.count_distinct(F.when(sold, F.col("product_id"))).alias("product_with_sales")))
+    days = days.select("product_id", "date", F.col("last.category_id").alias("category_id"), "med", "stock", "o",
+                       F.col("last.seller_id").alias("seller_id"))
+    k = ["category_id", "date"]
+    # a product has one row a day, so products are counted as rows; sellers are rows of the first aggregation
+    per_seller = (days.groupBy(*k, "seller_id")
+                  .agg(F.sum(F.when(sold, F.col("o"))).alias("orders"), F.sum("stock").alias("stock"),
+                       F.sum(F.col("med") * F.col("o")).alias("revenue"), F.count("product_id").alias("products"),
+                       F.count(F.when(sold, F.col("product_id"))).alias("sold_products"), F.max(sold).alias("sold")))
+    totals = (per_seller.groupBy(*k)
+              .agg(F.coalesce(F.sum("orders"), F.lit(0).cast("long")).alias("orders"), F.sum("stock").alias("available_amount"),
+                   F.sum("revenue").alias("revenue"), F.count("seller_id").alias("seller_count"),
+                   F.sum("products").alias("product_count"),
+                   F.count(F.when(F.col("sold"), F.col("seller_id"))).alias("seller_with_sales"),
+                   F.sum("sold_products").alias("product_with_sales")))
+    every = days.select(*k, "med", F.explode(F.when(sold, F.array(F.lit("sold"), F.lit("all"))).otherwise(F.array(F.lit("all")))).alias("of"))
+    medians = (group_medians(every, [*k, "of"], F.col("med")).groupBy(*k)
+               .agg(F.max(F.when(F.col("of") == "all", F.col("median"))).alias("median_price_all"),
+                    F.max(F.when(F.col("of") == "sold", F.col("median"))).alias("median_price_with_sales")))
+    same = F.col("t.category_id").eqNullSafe(F.col("m.category_id")) & F.col("t.date").eqNullSafe(F.col("m.date"))
+    return totals.alias("t").join(medians.alias("m"), same, "left").select(
+        "t.category_id", "t.date", "orders", "available_amount", "median_price_all", "median_price_with_sales", "revenue",
+        "seller_count", "product_count", "seller_with_sales", "product_with_sales")
 
 
 # --------------------------------------------------------------------------- Q10 / Q16
@@ -203,24 +218,22 @@ Q10_COLS = ["order_amount", "available_amount", "revenue", "avg_bill", "seller_c
             "order_per_product", "order_per_seller", "revenue_per_product"]
 
 
-def category_with_prev(rollup: DataFrame, daily: DataFrame, scope: DataFrame, as_of: str,
+def category_with_prev(rollup: DataFrame, states: DataFrame, scope: DataFrame, as_of: str,
                        periods: list[str]) -> DataFrame:
     """Q10: current and previous period metrics for every category scope, from the J3 rows at ``as_of``.
 
-    Sums come from the rollup; distinct sellers / products are counted in the
-    daily table over each window, within the scope itself.
+    Sums come from the rollup; distinct sellers / products from the daily table's states
+    (``operators.distincts``), merged over each window within the scope itself.
     """
     r = rollup.filter((F.col("as_of") == F.lit(as_of).cast("date")) & F.col("period").isin(periods))
     s = (r.join(scope, "category_id").groupBy("period", "scope_id")
          .agg(*[F.sum(c).alias(c) for c in ["order_amount", "available_amount", "prev_order_amount",
                                             "prev_available_amount"]],
               (F.sum("revenue") / 100).alias("revenue"), (F.sum("prev_revenue") / 100).alias("prev_revenue")))
-    dist = (tag_windows(daily.join(scope, "category_id"), "date", as_of, periods)
-            .groupBy("period", "scope_id")
-            .agg(F.count_distinct(F.when(F.col("kind") == "cur", F.col("seller_id"))).alias("seller_count"),
-                 F.count_distinct(F.when(F.col("kind") == "cur", F.col("product_id"))).alias("product_count"),
-                 F.count_distinct(F.when(F.col("kind") == "prev", F.col("seller_id"))).alias("prev_seller_count"),
-                 F.count_distinct(F.when(F.col("kind") == "prev", F.col("product_id"))).alias("prev_product_count")))
+    windows = tag_windows(states.join(scope, "category_id"), "date", as_of, periods)
+    windows = windows.withColumn("entity", F.concat("kind", F.lit(":"), "entity"))
+    names = {f"{kind}:{e}": pre + n for kind, pre in (("cur", ""), ("prev", "prev_")) for e, n in ENTITY_COUNTS.items()}
+    dist = count_states(windows, ["period", "scope_id"], names)
     out = s.join(dist, ["period", "scope_id"], "left")
     for p in ("", "prev_"):
         oa, rev = F.col(f"{p}order_amount"), F.col(f"{p}revenue")

@@ -61,7 +61,9 @@ def sales_report_rows(days: DataFrame, key: str, categories: DataFrame, limit: i
             .select(key, "product_id", "l.*", "order_graph", "available_amount_graph", "price_graph", "sales"))
     titles = categories.select(F.col("category_id").alias("latest_category_id"), F.col("title").alias("category_name"))
     rows = rows.join(titles, "latest_category_id", "left")
-    rows = rows.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    # the total counts (key, product) pairs without the arrays, map-side, so no task holds a key's rows
+    pairs = days.select(key, "product_id").distinct()
+    rows = rows.join(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("total")), key)
     if limit is None:  # a report holds every product
         return rows
     w = Window.partitionBy(key).orderBy("product_id")
