@@ -1,9 +1,8 @@
 """Category forest operators (H0-H6).
 
 The forest is a small dimension (one row per category). Its transitive
-closure is one plan: each node's ancestor chain is built by a bounded number
-of joins against the edge table (a deeper forest fails loudly), or, for
-unbounded depth, by a recursive CTE; no driver loop either way. Everything returned here is a DataFrame that joins
+closure takes log2(depth) rounds of pointer doubling over stored tables (or
+a recursive CTE). Everything returned here is a DataFrame that joins
 to facts on ``category_id``; AQE broadcasts it at runtime when its measured
 size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and falls back
 to a shuffle join otherwise.
@@ -14,37 +13,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize_dimension
 
-# Category trees of the marketplace are a handful of levels deep; the unrolled
-# closure below covers this many levels and fails the query (never silently
-# truncates) on a deeper forest.
-MAX_DEPTH = 8
 
+def category_closure(categories: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(ancestor, descendant, depth) for every strict ancestor, depth >= 1, at any depth.
 
-def category_closure(categories: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
-    """(ancestor, descendant, depth) for every strict ancestor, depth >= 1.
-
-    With ``max_depth`` the parent chain is unrolled into ``max_depth`` joins
-    against the (small, broadcast) category table -- one plan, one job. A node
-    still having a parent at the last level raises an error at run time. With
-    ``max_depth=None`` a recursive CTE handles any depth (one job per level).
+    Pointer doubling: with all pairs up to distance d, joining those of distance d with all of them gives
+    those up to 2d, so a forest of depth D takes log2(D) rounds. Each round is stored reliably
+    (``materialize_dimension``), its size and loops are counted before the next. A cycle raises, as does
+    a forest deeper than ``max_depth`` if that is given.
     """
-    if max_depth is None:
-        return category_closure_recursive(categories)
-    edges = categories.select(F.col("category_id").alias("_c"), F.col("parent_category_id").alias("_p"))
-    # one row per node with its ancestor chain p1..pK (K left joins against the edge table, linear plan)
-    nodes = categories.select(F.col("category_id").alias("descendant"), F.col("parent_category_id").alias("p1"))
-    for d in range(2, max_depth + 2):
-        nodes = (nodes.join(edges, nodes[f"p{d - 1}"] == edges["_c"], "left")
-                 .withColumnRenamed("_p", f"p{d}").drop("_c"))
-    too_deep = F.col(f"p{max_depth + 1}").isNotNull() & (F.col(f"p{max_depth + 1}") != 0)
-    chain = F.array(*[F.col(f"p{d}") for d in range(1, max_depth + 1)])
-    checked = F.when(too_deep, F.raise_error(F.lit(f"category forest deeper than {max_depth} levels"))
-                     .cast("array<bigint>")).otherwise(chain.cast("array<bigint>"))
-    return (nodes.select("descendant", F.posexplode(checked).alias("pos", "ancestor"))
-            .filter(F.col("ancestor").isNotNull() & (F.col("ancestor") != 0))
-            .select(F.col("ancestor").cast("long"), F.col("descendant").cast("long"),
-                    (F.col("pos") + 1).cast("int").alias("depth")))
+    has_parent = F.col("parent_category_id").isNotNull() & (F.col("parent_category_id") != 0)
+    new = categories.filter(has_parent).select(F.col("parent_category_id").cast("long").alias("ancestor"),
+                                               F.col("category_id").cast("long").alias("descendant"), F.lit(1).alias("depth"))
+    pairs, reach = None, 1
+    while True:
+        new = materialize_dimension(new)
+        size = new.agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"),
+                       F.count_if(F.col("ancestor") == F.col("descendant")).alias("loops")).first()
+        if size["loops"]:
+            raise ValueError("the category forest has a cycle")
+        if max_depth is not None and (size["depth"] or 0) > max_depth:
+            raise ValueError(f"category forest deeper than {max_depth} levels")
+        if pairs is not None and not size["n"]:
+            return pairs
+        if pairs is not None:
+            reach *= 2
+        pairs = new if pairs is None else pairs.unionByName(new)
+        far = new.filter(F.col("depth") == reach).select(F.col("ancestor").alias("via"), F.col("descendant").alias("low"))
+        up = pairs.select(F.col("descendant").alias("via"), F.col("ancestor").alias("high"), F.col("depth").alias("steps"))
+        new = far.join(up, "via").select(F.col("high").alias("ancestor"), F.col("low").alias("descendant"),
+                                         (F.col("steps") + reach).alias("depth"))
 
 
 def category_closure_recursive(categories: DataFrame) -> DataFrame:
@@ -101,11 +101,9 @@ def scope_of(categories: DataFrame, category_id: int, closure: DataFrame | None
     spark = categories.sparkSession
     closure = closure if closure is not None else category_closure(categories)
     strict = descendants(closure, category_id)
-    self_row = spark.range(1).select(F.lit(category_id).cast("long").alias("category_id"))
-    # keep the self row only when there are no strict descendants (a one-row flag, joined on a constant key)
-    has_desc = strict.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
-    self_row = (self_row.withColumn("_k", F.lit(1)).join(has_desc, "_k")
-                .filter(F.col("_n") == 0).drop("_k", "_n"))
+    # the id itself only when it has no strict descendants: a scalar subquery
+    self_row = (spark.range(1).select(F.lit(category_id).cast("long").alias("category_id"))
+                .filter(strict.agg(F.count(F.lit(1))).scalar() == 0))
     return strict.unionByName(self_row).select(F.lit(category_id).cast("long").alias("scope_id"), "category_id")
 
 

@@ -113,15 +113,16 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "payment_created": ("""
         SELECT o_orderkey + k AS payment_id, o_custkey AS user_id, o_orderdate AS created_at,
                CAST(ROUND(o_totalprice * 100) AS BIGINT) AS amount_minor, 1 + o_orderkey % 3 AS plan_code,
-               1 + o_orderkey % 2 AS multiply
+               1 + o_orderkey % 2 AS multiply,
+               CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'pending' ELSE 'held' END AS status
         FROM orders CROSS JOIN (VALUES (0), (1000000000)) t(k)
     """, []),
     "payment_status": ("""
-        SELECT l_orderkey AS payment_id,
+        SELECT l_orderkey + k AS payment_id,
                CASE WHEN l_returnflag = 'R' THEN 'canceled' WHEN l_returnflag = 'A' THEN 'refunded'
                     WHEN l_linestatus = 'F' THEN 'success' ELSE 'pending' END AS status,
                l_shipdate AS event_ts, l_linenumber AS event_seq
-        FROM lineitem
+        FROM lineitem JOIN (VALUES (0), (1000000000)) t(k) ON k = 0 OR l_linenumber % 2 = 1
     """, []),
 }
 

@@ -707,26 +707,60 @@ def subscription_status() -> str:
         FROM users""")
 
 
+def _created_rows(where: str) -> str:
+    return f"""SELECT payment_id, user_id, CAST(created_at AS TIMESTAMP) AS created_at,
+                      CASE WHEN status IN ('pending', 'canceled', 'failed', 'success') THEN status ELSE 'unknown' END AS status,
+                      status = 'success' AS paid, amount_minor / 100 AS amount,
+                      CASE plan_code WHEN 1 THEN 'default' WHEN 2 THEN 'advanced' WHEN 3 THEN 'pro' END AS subscription_type,
+                      CAST(multiply AS BIGINT) AS multiply
+               FROM payment_created WHERE {where}"""
+
+
+#: Known status events, each once; the last of a payment; the changes of a table ``tbl`` (with ``fresh``) into success.
+KNOWN = """SELECT DISTINCT payment_id, status, CAST(event_ts AS TIMESTAMP) AS event_ts, event_seq FROM payment_status
+           WHERE status IN ('pending', 'canceled', 'failed', 'success')"""
+LATEST = "SELECT payment_id, arg_max(status, {'t': event_ts, 's': event_seq, 'x': status}) AS new_status FROM known GROUP BY payment_id"
+FIRED = """SELECT payment_id, row_number() OVER (PARTITION BY payment_id ORDER BY o, event_ts, event_seq, status) AS extension FROM (
+             SELECT *, lag(status) OVER (PARTITION BY payment_id ORDER BY o, event_ts, event_seq, status) AS before FROM (
+               SELECT payment_id, 0 AS o, NULL AS event_ts, NULL AS event_seq, status, fresh FROM tbl
+               UNION ALL SELECT payment_id, 1, event_ts, event_seq, status, true FROM known
+                 WHERE payment_id IN (SELECT payment_id FROM tbl)))
+           WHERE status = 'success' AND fresh AND before IS DISTINCT FROM 'success'"""
+STORED = """SELECT payment_id, user_id, CAST(created_at AS TIMESTAMP) AS created_at, status, paid, amount, subscription_type,
+                   CAST(multiply AS BIGINT) AS multiply, false AS fresh FROM payments
+            UNION ALL SELECT *, true FROM new"""
+UNSEEN = "payment_id NOT IN (SELECT payment_id FROM payments)"
+
+
 def payments_applied() -> str:
     return with_ctes(
         ["payments", "payment_created", "payment_status"],
-        [("new", """SELECT payment_id, user_id, created_at, 'pending' AS status, false AS paid,
-                           amount_minor / 100 AS amount,
-                           CASE plan_code WHEN 1 THEN 'default' WHEN 2 THEN 'advanced' WHEN 3 THEN 'pro' END
-                               AS subscription_type, CAST(multiply AS BIGINT) AS multiply
-                    FROM (SELECT *, row_number() OVER (PARTITION BY payment_id ORDER BY created_at) AS k
-                          FROM payment_created WHERE payment_id NOT IN (SELECT payment_id FROM payments)) WHERE k = 1"""),
-         ("tbl", """SELECT payment_id, user_id, created_at, status, paid, amount, subscription_type,
-                           CAST(multiply AS BIGINT) AS multiply FROM payments
-                    UNION ALL SELECT * FROM new"""),
-         ("latest", """SELECT payment_id, arg_max(status, {'t': event_ts, 's': event_seq, 'x': status}) AS new_status
-                       FROM payment_status WHERE status IN ('pending', 'canceled', 'failed', 'success')
-                       GROUP BY payment_id""")],
+        [("new", _created_rows(UNSEEN)), ("tbl", STORED), ("known", KNOWN), ("latest", LATEST)],
         """SELECT t.payment_id, t.user_id, t.created_at, coalesce(l.new_status, t.status) AS status,
-                  CASE l.new_status WHEN 'success' THEN true WHEN 'canceled' THEN false WHEN 'failed' THEN false ELSE t.paid END AS paid, t.amount, t.subscription_type, t.multiply
+                  coalesce(l.new_status = 'success', t.paid) AS paid, t.amount, t.subscription_type, t.multiply
            FROM tbl t LEFT JOIN latest l USING (payment_id)""")
 
 
+def payment_extensions() -> str:
+    return with_ctes(
+        ["payments", "payment_created", "payment_status"],
+        [("new", _created_rows(UNSEEN)), ("tbl", STORED), ("known", KNOWN), ("fired", FIRED)],
+        """SELECT payment_id, extension, user_id, CAST(created_at AS DATE) AS paid_on, subscription_type,
+                  CAST(30 * greatest(coalesce(multiply, 1), 1) AS BIGINT) AS days
+           FROM fired JOIN tbl USING (payment_id)""")
+
+
+def payments_streamed() -> str:
+    return with_ctes(
+        ["payment_created", "payment_status"],
+        [("tbl", _created_rows("true").replace("SELECT payment_id", "SELECT true AS fresh, payment_id", 1)), ("known", KNOWN),
+         ("latest", LATEST), ("fired", FIRED), ("n", "SELECT payment_id, count(*) AS extensions FROM fired GROUP BY payment_id")],
+        """SELECT t.payment_id, t.user_id, t.created_at, coalesce(l.new_status, t.status) AS status,
+                  coalesce(l.new_status = 'success', t.paid) AS paid, t.amount, t.subscription_type, t.multiply,
+                  coalesce(n.extensions, 0) AS extensions
+           FROM tbl t LEFT JOIN latest l USING (payment_id) LEFT JOIN n USING (payment_id)""")
+
+
 ORACLE.update({
     "seller_report_rows": seller_report_rows,
     "abc_orders": abc_orders,
@@ -739,6 +773,8 @@ ORACLE.update({
     "subscription_ledger": subscription_ledger,
     "subscription_status": subscription_status,
     "payments_applied": payments_applied,
+    "payment_extensions": payment_extensions,
+    "payments_streamed": payments_streamed,
 })
 
 

@@ -6,7 +6,7 @@ a per-request service call.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,30 +126,69 @@ PAYMENT_SCHEMA = T.StructType([
     T.StructField("subscription_type", T.StringType()), T.StructField("multiply", T.LongType())])
 
 
+def created_payments(created: DataFrame) -> DataFrame:
+    """Created-payment events as payment rows, one a payment (the earliest event; ties by the whole row).
+
+    Amounts come in minor units, plans as codes; events without a known plan don't count. The status is the event's
+    ('unknown' if it is none of the known ones, 'pending' if events carry none); a payment created as a success is paid.
+    """
+    plan_map = F.create_map(*[x for k, v in PLAN_CODES.items() for x in (F.lit(k), F.lit(v))])
+    sent = F.col("status") if "status" in created.columns else F.lit("pending")
+    status = F.when(sent.isin(list(PAYMENT_STATUS)), sent).otherwise(F.lit("unknown"))
+    rows = created.select("payment_id", F.struct(
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"), "user_id", status.alias("status"),
+        (status == "success").alias("paid"), (F.col("amount_minor") / 100).alias("amount"),
+        F.element_at(plan_map, F.col("plan_code").cast("int")).alias("subscription_type"),
+        F.col("multiply").cast("long").alias("multiply")).alias("x")).filter("x.subscription_type IS NOT NULL")
+    first = rows.groupBy("payment_id").agg(F.min("x").alias("x"))
+    return first.select("payment_id", "x.user_id", "x.created_at", "x.status", "x.paid", "x.amount", "x.subscription_type", "x.multiply")
+
+
+def _payment_table(payments: DataFrame, created: DataFrame) -> DataFrame:
+    """Stored payments and those created whose id is unseen, with ``_new``."""
+    new = created_payments(created).join(payments.select("payment_id"), "payment_id", "left_anti")
+    return (payments.select(*[c.name for c in PAYMENT_SCHEMA], F.lit(False).alias("_new"))
+            .unionByName(new.withColumn("_new", F.lit(True))))
+
+
+def known_status_events(status_events: DataFrame) -> DataFrame:
+    """Status events (payment_id, status, event_ts, event_seq) of known statuses, each once however often it was sent."""
+    return status_events.filter(F.col("status").isin(list(PAYMENT_STATUS))).select(
+        "payment_id", "status", "event_ts", "event_seq").distinct()
+
+
 def apply_payment_events(payments: DataFrame, created: DataFrame, status_events: DataFrame) -> DataFrame:
     """I11 + I12: insert created payments whose id is unseen, then apply the latest status change per payment.
 
-    Created events carry the amount in minor units and a plan code; status
-    events carry (payment_id, status, event_ts, event_seq); ties on (event_ts,
-    event_seq) resolve to the greatest status name. Unknown statuses are ignored;
-    'success' marks the payment paid, 'canceled' and 'failed' unpaid.
+    Status events carry (payment_id, status, event_ts, event_seq); ties on (event_ts, event_seq) resolve to the
+    greatest status name. Unknown statuses are ignored; a payment is paid as long as its last status is 'success'.
     """
-    plan_map = F.create_map(*[x for k, v in PLAN_CODES.items() for x in (F.lit(k), F.lit(v))])
-    new = (created.join(payments.select("payment_id"), "payment_id", "left_anti")
-           .dropDuplicates(["payment_id"])
-           .select("payment_id", "user_id", "created_at", F.lit("pending").alias("status"), F.lit(False).alias("paid"),
-                   (F.col("amount_minor") / 100).alias("amount"),
-                   F.element_at(plan_map, F.col("plan_code").cast("int")).alias("subscription_type"),
-                   F.col("multiply").cast("long").alias("multiply")))
-    table = payments.select(*[c.name for c in PAYMENT_SCHEMA]).unionByName(new)
-    known = F.col("status").isin(list(PAYMENT_STATUS))
-    latest = (status_events.filter(known).groupBy("payment_id")
-              .agg(F.max_by("status", F.struct("event_ts", "event_seq", "status")).alias("_new_status")))
-    return (table.join(latest, "payment_id", "left")
-            .withColumn("status", F.coalesce("_new_status", "status"))
-            .withColumn("paid", F.when(F.col("_new_status") == "success", True)
-                        .when(F.col("_new_status").isin("canceled", "failed"), False).otherwise(F.col("paid")))
-            .drop("_new_status"))
+    latest = (known_status_events(status_events).groupBy("payment_id")
+              .agg(F.max_by("status", F.struct("event_ts", "event_seq", "status")).alias("_now")))
+    return (_payment_table(payments, created).join(latest, "payment_id", "left")
+            .withColumn("status", F.coalesce("_now", "status"))
+            .withColumn("paid", F.coalesce(F.col("_now") == "success", F.col("paid"))).drop("_now", "_new"))
+
+
+def payment_extensions(payments: DataFrame, created: DataFrame, status_events: DataFrame) -> DataFrame:
+    """The subscription extensions that payment events fire, (payment_id, extension, user_id, paid_on, subscription_type, days).
+
+    A payment extends its user's subscription each time it becomes a success, also by being created as one; a success that
+    follows a success fires nothing, nor do payments that were stored as successes. Numbered per payment in order of events.
+    """
+    table = _payment_table(payments, created)
+    first = table.select("payment_id", F.lit(0).alias("_o"), F.lit(None).cast("timestamp_ntz").alias("event_ts"),
+                         F.lit(None).cast("long").alias("event_seq"), "status", "_new")
+    later = (known_status_events(status_events).join(table.select("payment_id"), "payment_id", "left_semi")
+             .select("payment_id", F.lit(1).alias("_o"), F.col("event_ts").cast("timestamp_ntz"), F.col("event_seq").cast("long"),
+                     "status", F.lit(True).alias("_new")))
+    order = Window.partitionBy("payment_id").orderBy("_o", "event_ts", "event_seq", "status")  # a payment's few events
+    fired = (first.unionByName(later).withColumn("_before", F.lag("status").over(order))
+             .filter((F.col("status") == "success") & F.col("_new") & ~F.col("_before").eqNullSafe(F.lit("success"))))
+    numbered = fired.select("payment_id", F.row_number().over(order).cast("long").alias("extension"))
+    days = (DAYS_PER_PAYMENT_UNIT * F.greatest(F.coalesce("multiply", F.lit(1)), F.lit(1))).cast("long")
+    return numbered.join(table.select("payment_id", "user_id", F.to_date("created_at").alias("paid_on"), "subscription_type",
+                                      days.alias("days")), "payment_id")
 
 
 def apply_grants(users: DataFrame, grants: DataFrame) -> DataFrame:

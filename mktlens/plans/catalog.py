@@ -251,12 +251,20 @@ def q_payments_applied(spark, sf):
                                    X.payment_status_events(spark, sf))
 
 
+def q_payment_extensions(spark, sf):
+    return AC.payment_extensions(X.payments(spark, sf), X.payment_created_events(spark, sf), X.payment_status_events(spark, sf))
+
+
+def q_payments_streamed(spark, sf):
+    return ST.streamed_payments(spark, X.payment_created_events(spark, sf), X.payment_status_events(spark, sf))
+
+
 def q_flatten_products(spark, sf):
     return EVT.flatten_products(X.product_events(spark, sf))
 
 
 def q_flatten_categories(spark, sf):
-    return EVT.flatten_categories(X.category_events(spark, sf), depth=3)
+    return EVT.flatten_categories(EVT.category_nodes(X.category_events(spark, sf)))
 
 
 def q_event_routing(spark, sf):
@@ -267,7 +275,7 @@ def q_event_routing(spark, sf):
 
 
 def q_streaming_daily_state(spark, sf):
-    return D.finalise_daily(ST.streaming_daily_state(spark, X.snap_events(spark, sf)))
+    return D.finalise_daily(ST.streaming_daily_state(spark, X.snap_events(spark, sf), compact=True))
 
 
 def q_retention(spark, sf):
@@ -362,6 +370,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "subscription_ledger": q_subscription_ledger,
     "subscription_status": q_subscription_status,
     "payments_applied": q_payments_applied,
+    "payment_extensions": q_payment_extensions,
+    "payments_streamed": q_payments_streamed,
     "flatten_products": q_flatten_products,
     "flatten_categories": q_flatten_categories,
     "event_routing": q_event_routing,

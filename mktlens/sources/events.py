@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize_dimension
 from ..functions.numeric import to_minor
 
 KV = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("title", T.StringType()),
@@ -41,18 +42,10 @@ POSITION_EVENT = T.StructType([
     T.StructField("time", T.LongType())])
 
 
-def category_event_schema(depth: int) -> T.StructType:
-    """Category tree event; the recursive ``children`` is unrolled to a fixed depth."""
-    node = T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType())])
-    for _ in range(depth - 1):
-        node = T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType()),
-                             T.StructField("children", T.ArrayType(node))])
-    return node
-
-
 def route_events(events: DataFrame) -> dict[str, DataFrame]:
     """Split mixed events by payload; rows with none of the known payloads are dropped."""
-    return {name: events.filter(F.col(name).isNotNull()).select(f"{name}.*")
+    return {name: events.filter(F.col(name).isNotNull()).select(
+                f"{name}.*" if isinstance(events.schema[name].dataType, T.StructType) else name)
             for name in ("product", "category", "position") if name in events.columns}
 
 
@@ -99,27 +92,39 @@ def flatten_products(events: DataFrame) -> DataFrame:
 
 
 def extract_sellers(events: DataFrame) -> DataFrame:
-    """I8: distinct sellers seen in product events, for the seller upsert."""
-    return (events.select(F.col("seller.id").alias("seller_id"), F.col("seller.account_id").alias("account_id"),
-                          F.col("seller.seller_link").alias("link"), F.col("seller.seller_title").alias("title"))
-            .dropDuplicates(["seller_id", "account_id"]))
+    """I8: distinct sellers seen in product events, for the seller upsert: of several rows the latest event's, then the greatest."""
+    key = [F.col("seller.id").alias("seller_id"), F.col("seller.account_id").alias("account_id")]
+    seen = F.struct(F.col("seller.seller_link").alias("link"), F.col("seller.seller_title").alias("title"))
+    return (events.groupBy(*key).agg(F.max(F.struct("time", seen.alias("seen"))).alias("last"), F.max("time").alias("update_seq"))
+            .select("seller_id", "account_id", "last.seen.link", "last.seen.title", "update_seq"))
+
+
+def category_nodes(events: DataFrame, col: str | None = None) -> DataFrame:
+    """(node VARIANT): the category trees of events, given as a VARIANT, JSON text or typed struct column, or as whole typed rows."""
+    if col is None:
+        return events.select(F.to_variant_object(F.struct("*")).alias("node"))
+    kind = events.schema[col].dataType
+    rows = events.filter(F.col(col).isNotNull())
+    if isinstance(kind, T.StringType):
+        return rows.select(F.parse_json(col).alias("node"))
+    return rows.select((F.col(col) if isinstance(kind, T.VariantType) else F.to_variant_object(F.col(col))).alias("node"))
 
 
-def flatten_categories(events: DataFrame, depth: int) -> DataFrame:
-    """Nested category trees -> (category_id, parent_category_id, title); roots get parent 0.
+def flatten_categories(nodes: DataFrame) -> DataFrame:
+    """Category trees (``category_nodes``) of any depth -> (category_id, parent_category_id, title); roots get parent 0.
 
-    One ``explode`` per level of the fixed-depth schema, all unioned.
+    The trees are walked level by level until no node has a child; each level is stored reliably before the next.
     """
-    level = events.select(F.col("id").alias("category_id"), F.lit(0).cast("long").alias("parent_category_id"),
-                          "title", F.col("children") if depth > 1 else F.lit(None).alias("children"))
-    out = level.select("category_id", "parent_category_id", "title")
-    for d in range(1, depth):
-        level = level.select(F.col("category_id").alias("parent_category_id"),
-                             F.explode("children").alias("c")).select(
-            F.col("c.id").alias("category_id"), "parent_category_id", F.col("c.title").alias("title"),
-            F.col("c.children").alias("children") if d < depth - 1 else F.lit(None).alias("children"))
-        out = out.unionByName(level.select("category_id", "parent_category_id", "title"))
-    return out
+    level, out = nodes.select("node", F.lit(0).cast("long").alias("parent_category_id")), None
+    while True:
+        level = materialize_dimension(level)
+        if out is not None and level.isEmpty():
+            return out
+        rows = level.select(F.variant_get("node", "$.id", "bigint").alias("category_id"), "parent_category_id",
+                            F.variant_get("node", "$.title", "string").alias("title"))
+        out = rows if out is None else out.unionByName(rows)
+        level = level.select(F.variant_get("node", "$.id", "bigint").alias("parent_category_id"),
+                             F.explode(F.variant_get("node", "$.children", "array<variant>")).alias("node"))
 
 
 def map_positions(events: DataFrame) -> DataFrame:

@@ -188,19 +188,25 @@ def access_requests(spark: SparkSession, sf_dir: str, as_of: str = EVENTS_AS_OF)
 
 
 def payment_created_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Created-payment events: every order re-sent under its own id (already known) and under a new id."""
+    """Created-payment events: every order re-sent under its own id (already known) and under a new id.
+
+    Finished orders are created as successes, open ones as pending, others with a status of no meaning.
+    """
     o = table(spark, sf_dir, "orders")
+    status = (F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "pending").otherwise("held"))
     ev = lambda pid: o.select(
         pid.alias("payment_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("created_at"),
         F.round(F.col("o_totalprice") * 100).cast("long").alias("amount_minor"),
         (F.lit(1) + F.col("o_orderkey") % 3).alias("plan_code"),
-        (F.lit(1) + F.col("o_orderkey") % 2).alias("multiply"))
+        (F.lit(1) + F.col("o_orderkey") % 2).alias("multiply"), status.alias("status"))
     return ev(F.col("o_orderkey")).unionByName(ev(F.col("o_orderkey") + 1000000000))
 
 
 def payment_status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status events from shipments: R -> canceled, A -> refunded (unknown, ignored), else by line status."""
+    """Status events from shipments: R -> canceled, A -> refunded (unknown, ignored), else by line status; odd lines also for
+    the order's new id."""
     li = table(spark, sf_dir, "lineitem")
+    li = li.unionByName(li.filter(F.col("l_linenumber") % 2 == 1).withColumn("l_orderkey", F.col("l_orderkey") + 1000000000))
     status = (F.when(F.col("l_returnflag") == "R", "canceled").when(F.col("l_returnflag") == "A", "refunded")
               .when(F.col("l_linestatus") == "F", "success").otherwise("pending"))
     return li.select(F.col("l_orderkey").alias("payment_id"), status.alias("status"),

@@ -4,10 +4,13 @@
   micro-batch's states are written under ``batch_id=N`` (overwritten on replay,
   so a re-run batch never double counts); readers merge the parts
   (``read_daily_parts``), exactly like a background merge of aggregate states.
-  Late snapshots therefore merge into their day however late they arrive (T4);
-  ``compact_daily_parts`` rewrites the merged states when the parts pile up.
+  Late snapshots therefore merge into their day however late they arrive (T4).
+  Each batch logs the dates it touched; ``compact_daily_parts`` rewrites those
+  dates of the base table and nothing else.
 * ``ingest_stream``: mixed crawler events -> routed, flattened facts appended
-  per batch (T1, T7), same idempotence rule.
+  per batch (T1, T7), same idempotence rule; sellers and categories are merged by key into
+  stored tables (``sources.versions``), which rewrite the touched key buckets only.
+* ``payment_state_stream``: created and status events of payments as one stream with state by payment.
 
 Checkpoints and sinks live under the shared folder the session names in
 ``spark.checkpoint.dir`` (a scratch folder is taken only when it is unset).
@@ -17,14 +20,19 @@ silent loss).
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.daily import daily_state, merge_daily
 from ..session import ensure_checkpoint_dir
-from ..sources.events import extract_sellers, flatten_products, map_positions, route_events
+from ..sources.events import category_nodes, extract_sellers, flatten_categories, flatten_products, map_positions, route_events
+from ..sources.schema import DAILY
+from ..sources.versions import manifest, merge_keyed, path_exists, read_parts, replace_parts
 
 
 def scratch_root(spark: SparkSession, name: str) -> str:
@@ -37,32 +45,63 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 def daily_state_stream(spark: SparkSession, source_dir: str, schema, sink: str, checkpoint: str,
                        max_files_per_trigger: int = 1, available_now: bool = True):
-    """Stream snapshot files into daily-state parts; returns the started query."""
+    """Stream snapshot files into daily-state parts, with a log of the dates of each; returns the started query."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(daily_state(batch), sink, batch_id)
+        part = f"{sink}/parts/batch_id={batch_id}"
+        daily_state(batch).write.mode("overwrite").partitionBy("date").parquet(part)
+        _write_batch(batch.sparkSession.read.parquet(part).select("date").distinct().coalesce(1), f"{sink}/touched", batch_id)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
+def _daily_parts(spark: SparkSession, sink: str, after: int) -> DataFrame:
+    """The parts of batches after the one that was compacted last."""
+    schema = T.StructType([*DAILY.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{sink}/parts").filter(F.col("batch_id") > after).select(*DAILY.names)
+
+
 def read_daily_parts(spark: SparkSession, sink: str) -> DataFrame:
-    """Merged daily states from all written parts."""
-    return merge_daily(spark.read.parquet(sink).drop("batch_id"))
+    """Merged daily states: the compacted base and all parts written since."""
+    base = read_parts(spark, f"{sink}/base", DAILY)
+    return merge_daily(base.unionByName(_daily_parts(spark, sink, manifest(spark, f"{sink}/base")[0])))
 
 
-def compact_daily_parts(spark: SparkSession, sink: str, target: str) -> None:
-    """Rewrite merged states into a new table (readers switch to ``target``)."""
-    (merge_daily(spark.read.parquet(sink).drop("batch_id"), compact=True)
-     .write.mode("overwrite").partitionBy("date").parquet(target))
+def compact_daily_parts(spark: SparkSession, sink: str) -> list[str]:
+    """T4: merge the parts written since the last compaction into the base; only the dates they touched are rewritten.
+
+    Returns those dates. The base's version is the last batch it holds, so readers skip that batch's parts and
+    those before, and a run that failed can simply be run again.
+    """
+    done = manifest(spark, f"{sink}/base")[0]
+    log = spark.read.schema("date date, batch_id long").parquet(f"{sink}/touched").filter(F.col("batch_id") > done)
+    last = log.agg(F.max("batch_id")).first()[0]
+    if last is None:
+        return []
+    dates = [str(r["date"]) for r in log.select("date").distinct().collect()]  # a row a day
+    new = _daily_parts(spark, sink, done).filter(F.col("date").isin([dt.date.fromisoformat(d) for d in dates]))
+    merged = merge_daily(read_parts(spark, f"{sink}/base", DAILY, dates).unionByName(new), compact=True)
+    return sorted(replace_parts(merged, f"{sink}/base", last, F.col("date")))
+
+
+SELLER_SCHEMA = T.StructType([T.StructField("seller_id", T.LongType()), T.StructField("account_id", T.LongType()),
+                              T.StructField("link", T.StringType()), T.StructField("title", T.StringType())])
+CATEGORY_SCHEMA = T.StructType([T.StructField("category_id", T.LongType()), T.StructField("parent_category_id", T.LongType()),
+                                T.StructField("title", T.StringType())])
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, schema, sinks: dict[str, str], checkpoint: str,
                   max_files_per_trigger: int = 1, available_now: bool = True):
-    """Route mixed events, flatten products, append facts and seller updates per batch."""
+    """Route mixed events; append flattened products, positions and seller parts per batch.
+
+    The sinks ``seller_table`` and ``category_table`` are stored tables that every batch is merged into by key (read
+    with ``versions.read_parts`` and the schemas above); category payloads are trees of any depth, as VARIANT, JSON
+    text or a typed struct.
+    """
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .json(source_dir))
 
@@ -72,10 +111,15 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema, sinks: dict[str,
             routes = route_events(batch)
             if "product" in routes and "product" in sinks:
                 _write_batch(flatten_products(routes["product"]), sinks["product"], batch_id)
-                if "seller" in sinks:
-                    _write_batch(extract_sellers(routes["product"]), sinks["seller"], batch_id)
+            if "product" in routes and "seller" in sinks:
+                _write_batch(extract_sellers(routes["product"]), sinks["seller"], batch_id)
+            if "product" in routes and "seller_table" in sinks:
+                merge_keyed(extract_sellers(routes["product"]), sinks["seller_table"], batch_id, ["seller_id", "account_id"], SELLER_SCHEMA)
             if "position" in routes and "position" in sinks:
                 _write_batch(map_positions(routes["position"]), sinks["position"], batch_id)
+            if "category" in batch.columns and "category_table" in sinks:
+                merge_keyed(flatten_categories(category_nodes(batch, "category")), sinks["category_table"], batch_id,
+                            ["category_id"], CATEGORY_SCHEMA)
         finally:
             batch.unpersist()
 
@@ -85,7 +129,7 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema, sinks: dict[str,
 
 
 def streaming_daily_state(spark: SparkSession, snap: DataFrame, n_files: int = 6,
-                          max_files_per_trigger: int = 2) -> DataFrame:
+                          max_files_per_trigger: int = 2, compact: bool = False) -> DataFrame:
     """Replay ``snap`` as a stream of ``n_files`` time-ordered files and return the merged daily states.
 
     Used to check that the streaming job equals the batch job.
@@ -93,9 +137,11 @@ def streaming_daily_state(spark: SparkSession, snap: DataFrame, n_files: int = 6
     root = scratch_root(spark, "daily-stream")
     src = f"{root}/source"
     snap.repartitionByRange(n_files, "ts").write.parquet(src)
-    q = daily_state_stream(spark, src, snap.schema, f"{root}/parts", f"{root}/checkpoint", max_files_per_trigger)
+    q = daily_state_stream(spark, src, snap.schema, f"{root}/daily", f"{root}/checkpoint", max_files_per_trigger)
     q.awaitTermination()
-    return read_daily_parts(spark, f"{root}/parts")
+    if compact:
+        compact_daily_parts(spark, f"{root}/daily")
+    return read_daily_parts(spark, f"{root}/daily")
 
 
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
@@ -196,15 +242,13 @@ def payment_stream(spark: SparkSession, created_dir: str, created_schema, status
     Each batch writes ``version=<batch_id>`` = previous version + the batch's
     events (idempotent on replay); readers take the highest version.
     """
-    from ..plans.accounts import PAYMENT_SCHEMA, apply_payment_events
+    from ..plans.accounts import apply_payment_events
 
     stream = spark.readStream.schema(created_schema).parquet(created_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        try:
-            current = latest_payments(spark, table_root)
-        except Exception:  # noqa: BLE001 - first batch, no table yet
-            current = spark.createDataFrame([], PAYMENT_SCHEMA)
+        # the version before this batch's, so a replay neither reads nor needs what it overwrites
+        current = latest_payments(spark, table_root, before=batch_id)
         nxt = apply_payment_events(current, batch, status_events)
         nxt.write.mode("overwrite").parquet(f"{table_root}/version={batch_id}")
 
@@ -213,10 +257,125 @@ def payment_stream(spark: SparkSession, created_dir: str, created_schema, status
     return w.start()
 
 
-def latest_payments(spark: SparkSession, table_root: str) -> DataFrame:
-    versions = spark.read.parquet(table_root)
-    top = versions.agg(F.max("version").alias("version"))
-    return versions.join(top, "version").drop("version")
+def latest_payments(spark: SparkSession, table_root: str, before: int | None = None) -> DataFrame:
+    """The newest version of the payments table, or the newest before one; empty where there is none yet."""
+    from ..plans.accounts import PAYMENT_SCHEMA
+
+    if not path_exists(spark, table_root):
+        return spark.createDataFrame([], PAYMENT_SCHEMA)
+    versions = spark.read.schema(T.StructType([*PAYMENT_SCHEMA.fields, T.StructField("version", T.LongType())])).parquet(table_root)
+    if before is not None:
+        versions = versions.filter(F.col("version") < before)
+    return versions.filter(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
+
+
+PAYMENT_EVENT = ("payment_id long, kind string, at string, seq long, status string, user_id long, amount double,"
+                 " subscription_type string, multiply long")
+PAYMENT_CHANGE = ("payment_id long, kind string, number long, user_id long, created_at string, status string, paid boolean,"
+                  " amount double, subscription_type string, multiply long")
+
+
+class PaymentProcessor(StatefulProcessor):
+    """State by payment: its created event and its status events, each once. Gives the payment's row after every change, and every
+    extension of the subscription that the payment fires, exactly once.
+
+    Events may come in any order and repeatedly: what is known so far is put in order of event time, as the batch job
+    does. An event that comes late never takes an extension back, as the number of changes into success only grows
+    with more events, so the extensions already given are the first of those due.
+    """
+
+    def init(self, handle) -> None:
+        self.known = handle.getValueState("known", "payment string")  # a payment's few events, read and written as one
+
+    def handleInputRows(self, key, rows, timerValues):
+        import json
+
+        import pandas as pd
+
+        (payment_id,) = key
+        found = self.known.get()
+        first, statuses, given, changes = json.loads(found[0]) if found else (None, [], 0, 0)
+        seen = set(map(tuple, statuses))
+        for pdf in rows:
+            for r in pdf.to_dict("records"):
+                if r["kind"] == "status":
+                    seen.add((r["at"], int(r["seq"]), r["status"]))
+                else:
+                    row = [r["at"], int(r["user_id"]), r["status"], float(r["amount"]), r["subscription_type"], int(r["multiply"])]
+                    first = row if first is None else min(first, row)
+        statuses = sorted(seen)
+        if first is None:  # status events wait for their payment
+            self.known.update((json.dumps([None, statuses, 0, 0]),))
+            return
+        at, user_id, status, amount, plan, multiply = first
+        steps = [status] + [s for _, _, s in statuses]
+        due = sum(b == "success" and a != "success" for a, b in zip([None, *steps], steps))
+        self.known.update((json.dumps([first, statuses, due, changes + 1]),))
+        out = [(payment_id, "payment", changes + 1, user_id, at, steps[-1], steps[-1] == "success", amount, plan, multiply)]
+        out += [(payment_id, "extension", n, user_id, at, "success", True, amount, plan, multiply) for n in range(given + 1, due + 1)]
+        yield pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in PAYMENT_CHANGE.split(",")])
+
+    def close(self) -> None:
+        pass
+
+
+def payment_state_stream(created: DataFrame, status_events: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
+    """The created and the status stream of payments as one stateful stream (``transformWithState``).
+
+    ``created`` and ``status_events`` are streaming DataFrames with the columns of the batch job (``plans.accounts``). The
+    sink's rows are payments (number: the change) and extensions (number: the payment's nth).
+    """
+    from ..plans.accounts import PAYMENT_STATUS, PLAN_CODES
+
+    spark = created.sparkSession
+    stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    plan_map = F.create_map(*[x for k, v in PLAN_CODES.items() for x in (F.lit(k), F.lit(v))])
+    status = F.when(F.col("status").isin(list(PAYMENT_STATUS)), F.col("status")).otherwise(F.lit("unknown"))
+    one = created.select("payment_id", F.lit("created").alias("kind"), F.date_format(F.col("created_at").cast("timestamp_ntz"), stamp).alias("at"),
+                         F.lit(0).cast("long").alias("seq"), status.alias("status"), F.col("user_id").cast("long").alias("user_id"),
+                         (F.col("amount_minor") / 100).alias("amount"),
+                         F.element_at(plan_map, F.col("plan_code").cast("int")).alias("subscription_type"),
+                         F.coalesce(F.col("multiply"), F.lit(1)).cast("long").alias("multiply")).filter("subscription_type IS NOT NULL")
+    two = (status_events.filter(F.col("status").isin(list(PAYMENT_STATUS)))
+           .select("payment_id", F.lit("status").alias("kind"), F.date_format(F.col("event_ts").cast("timestamp_ntz"), stamp).alias("at"),
+                   F.col("event_seq").cast("long").alias("seq"), "status", F.lit(0).cast("long").alias("user_id"), F.lit(0.0).alias("amount"),
+                   F.lit("").alias("subscription_type"), F.lit(0).cast("long").alias("multiply")))
+    changes = (one.unionByName(two).groupBy("payment_id")
+               .transformWithStateInPandas(PaymentProcessor(), PAYMENT_CHANGE, "append", "none"))
+    w = changes.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    provider = "spark.sql.streaming.stateStore.providerClass"  # this operator's state needs RocksDB
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return w.start()
+    finally:
+        spark.conf.set(provider, before)
+
+
+def streamed_payments(spark: SparkSession, created: DataFrame, status_events: DataFrame, n_ranges: int = 2) -> DataFrame:
+    """Replay payment events through the stateful stream, status events out of order and before their payments, part of all
+    events twice; returns each payment's last row and its number of extensions."""
+    root = scratch_root(spark, "payment-stream")
+    day = F.pmod(F.hash("payment_id", "event_ts"), F.lit(n_ranges))
+    again = F.col("payment_id") % 4 == 0
+    deliveries = [(created.filter(F.col("payment_id") % 2 == 0), status_events.filter(day == n_ranges - 1)),
+                  (created.filter(again | (F.col("payment_id") % 2 == 1)), status_events.filter(again | (day != n_ranges - 1)))]
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))  # kept by the state store
+    try:
+        for c, e in deliveries:
+            c.write.mode("append").parquet(f"{root}/created")
+            e.write.mode("append").parquet(f"{root}/status")
+            sources = [spark.readStream.schema(df.schema).parquet(f"{root}/{name}") for df, name in ((created, "created"), (status_events, "status"))]
+            payment_state_stream(*sources, f"{root}/changes", f"{root}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
+    changes = spark.read.schema(PAYMENT_CHANGE).parquet(f"{root}/changes")
+    last = F.max_by(F.struct("user_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "status", "paid", "amount",
+                             "subscription_type", "multiply"), F.when(F.col("kind") == "payment", F.col("number")))
+    return (changes.groupBy("payment_id").agg(last.alias("p"), F.count_if(F.col("kind") == "extension").alias("extensions"))
+            .select("payment_id", "p.*", "extensions"))
 
 
 def day_bucket(ts_col: str = "ts"):

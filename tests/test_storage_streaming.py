@@ -45,7 +45,7 @@ def test_ingest_stream_routes_and_flattens(spark):
     product = {"product_id": 7, "time": 1704067200, "title": "p", "total_available_amount": 5, "orders": 3,
                "attributes": [], "tags": [], "reviews_amount": 1, "rating": "4.5",
                "sku_list": [{"sku_id": 70, "photo_key": "x", "characteristics": [
-                   {"type": "c", "title": "C", "value": "1"}, {"type": "c", "title": "C", "value": "2"}],
+                   {"type": "c", "title": "C1", "value": "1"}, {"type": "c", "title": "C2", "value": "2"}],
                    "purchase_price": "12.349", "full_price": "", "available_amount": 2}],
                "seller": {"id": 1, "account_id": 9, "seller_link": "s", "seller_title": "S", "reviews": 0,
                           "orders": 0, "rating": "5", "registration_date": 1600000000, "contacts": []},
@@ -60,7 +60,7 @@ def test_ingest_stream_routes_and_flattens(spark):
     q = ingest_stream(spark, src, schema, sinks, os.path.join(root, "ckpt"), max_files_per_trigger=1)
     q.awaitTermination()
     p = spark.read.parquet(sinks["product"]).first()
-    assert (p.purchase_price, p.full_price, p.characteristics, p.ts) == (1234, None, {"c": "2"},
+    assert (p.purchase_price, p.full_price, p.characteristics, p.ts) == (1234, None, {"c": "C2"},
                                                                           dt.datetime(2024, 1, 1))
     assert spark.read.parquet(sinks["position"]).first().position == 3
     assert spark.read.parquet(sinks["seller"]).first().account_id == 9
