@@ -290,19 +290,18 @@ class PaymentProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         import json
 
-        import pandas as pd
+        from pyspark.sql import Row
 
         (payment_id,) = key
         found = self.known.get()
         first, statuses, given, changes = json.loads(found[0]) if found else (None, [], 0, 0)
         seen = set(map(tuple, statuses))
-        for pdf in rows:
-            for r in pdf.to_dict("records"):
-                if r["kind"] == "status":
-                    seen.add((r["at"], int(r["seq"]), r["status"]))
-                else:
-                    row = [r["at"], int(r["user_id"]), r["status"], float(r["amount"]), r["subscription_type"], int(r["multiply"])]
-                    first = row if first is None else min(first, row)
+        for r in rows:
+            if r["kind"] == "status":
+                seen.add((r["at"], r["seq"], r["status"]))
+            else:
+                row = [r["at"], r["user_id"], r["status"], r["amount"], r["subscription_type"], r["multiply"]]
+                first = row if first is None else min(first, row)
         statuses = sorted(seen)
         if first is None:  # status events wait for their payment
             self.known.update((json.dumps([None, statuses, 0, 0]),))
@@ -313,7 +312,8 @@ class PaymentProcessor(StatefulProcessor):
         self.known.update((json.dumps([first, statuses, due, changes + 1]),))
         out = [(payment_id, "payment", changes + 1, user_id, at, steps[-1], steps[-1] == "success", amount, plan, multiply)]
         out += [(payment_id, "extension", n, user_id, at, "success", True, amount, plan, multiply) for n in range(given + 1, due + 1)]
-        yield pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in PAYMENT_CHANGE.split(",")])
+        make = Row(*[f.strip().split(" ")[0] for f in PAYMENT_CHANGE.split(",")])
+        yield from (make(*x) for x in out)
 
     def close(self) -> None:
         pass
@@ -341,7 +341,7 @@ def payment_state_stream(created: DataFrame, status_events: DataFrame, sink: str
                    F.col("event_seq").cast("long").alias("seq"), "status", F.lit(0).cast("long").alias("user_id"), F.lit(0.0).alias("amount"),
                    F.lit("").alias("subscription_type"), F.lit(0).cast("long").alias("multiply")))
     changes = (one.unionByName(two).groupBy("payment_id")
-               .transformWithStateInPandas(PaymentProcessor(), PAYMENT_CHANGE, "append", "none"))
+               .transformWithState(PaymentProcessor(), PAYMENT_CHANGE, "append", "none"))
     w = changes.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     provider = "spark.sql.streaming.stateStore.providerClass"  # this operator's state needs RocksDB
