@@ -34,107 +34,98 @@ def one_by_one(values: Iterable[Sequence[int]], dtype) -> tuple[np.ndarray, np.n
     return np.fromiter(chain.from_iterable(values), dtype=dtype, count=int(lens.sum())), lens
 
 
-def joins(chunk: str) -> bool:
-    """Whether the chunk can stand after any chunk that doesn't end in white space and be a chunk there too."""
-    return chunk[0] in " \n" and len(chunk) > 1 and not chunk[1].isspace() and not chunk[-1].isspace()
+#: Characters that are no white space for certain, nor control or format characters.
+_PLAIN = "[^\\x00-\\x20\\x7f-\\x{a0}\\x{ad}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}]+$"
 
 
-class _Inner(dict):
-    """Chunk without its leading blank -> number; -1 if the plain split by blanks isn't a split into chunks here."""
-
-    def __init__(self, table: ChunkTable):
-        super().__init__()
-        self.table = table
-
-    def __missing__(self, part: str) -> int:
-        body = part[1:] if part[:1] == "\n" else part
-        if not body or body[0].isspace() or body[-1].isspace():
-            return -1
-        self[part] = number = self.table.number(part if body is not part else " " + part)
-        return number
+def can_follow(chunks: pa.Array) -> np.ndarray:
+    """Which chunks can stand after any chunk that doesn't end in white space and be chunks there too (some that could are left out)."""
+    return pc.match_substring_regex(chunks, "^[ \\n]" + _PLAIN).to_numpy(zero_copy_only=False)
 
 
 class ChunkTable:
-    """Numbers of chunks and a value run for each, computed once per chunk and worker.
+    """Numbers of chunks and a value run for each, computed once per chunk while it is remembered.
 
-    ``compute`` gets the new chunks of a batch and returns their numbers, one chunk
-    after another, and how many each has (``one_by_one`` makes that of a sequence for
-    each chunk). The table is emptied between batches when it holds more than
-    ``max_chunks`` chunks or ``max_chars`` characters; that bounds the memory and
-    changes no result.
+    ``compute`` gets new chunks (Arrow strings) and returns their numbers, one chunk after
+    another, and how many each has (``one_by_one`` makes that of a sequence for each). Beyond ``max_chunks`` chunks or ``max_bytes`` bytes, the half that was asked for
+    most often stays; that bounds the memory and changes no result.
     """
 
-    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype,
-                 max_chunks: int = 300_000, max_chars: int = 8_000_000):
-        self.compute, self.dtype, self.max_chunks, self.max_chars = compute, np.dtype(dtype), max_chunks, max_chars
-        self._reset()
-
-    def _reset(self) -> None:
-        self.inner, self.whole = _Inner(self), {}
-        self.new: list[str] = []
-        self.chars = self.count = 0
-        self.flat = np.zeros(1 << 16, dtype=self.dtype)
-        self.used = 0
-        self.starts = np.zeros(1 << 12, dtype=np.int64)
-        self.lens = np.zeros(1 << 12, dtype=np.int64)
-
-    def number(self, chunk: str) -> int:
-        found = self.whole.get(chunk)
-        if found is None:
-            found = self.whole[chunk] = self.count
-            self.count += 1
-            self.chars += len(chunk)
-            self.new.append(chunk)
-        return found
-
-    def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The chunk numbers of all texts, and where each text's numbers start (the total last)."""
+    def __init__(self, compute: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype,
+                 max_chunks: int = 1_000_000, max_bytes: int = 16_000_000):
+        self.compute, self.dtype, self.max_chunks, self.max_bytes = compute, np.dtype(dtype), max_chunks, max_bytes
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.lens = np.zeros(0, dtype=self.dtype), np.zeros(0, dtype=np.int64)
+        self.asked = np.zeros(0, dtype=np.int64)
+
+    def _forget(self) -> None:
+        if len(self.known) <= self.max_chunks and pc.binary_length(self.known).to_numpy().sum() <= self.max_bytes:
+            return
+        keep = np.sort(np.argsort(-self.asked, kind="stable")[:self.max_chunks // 2])
+        room = np.cumsum(pc.binary_length(self.known).to_numpy()[keep]) <= self.max_bytes // 2
+        keep = keep[room]
+        starts = offsets_of(self.lens)[:-1]
+        self.flat, self.lens = gather(self.flat, starts[keep], self.lens[keep]), self.lens[keep]
+        self.known, self.asked = self.known.take(pa.array(keep)), self.asked[keep] // 2
+
+    def _numbers(self, chunks: pa.Array, times: np.ndarray) -> np.ndarray:
+        """Numbers of distinct chunks, new ones included."""
+        at = pc.index_in(chunks, value_set=self.known)
+        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        numbers = at.fill_null(0).to_numpy().astype(np.int64)
+        if len(new):
+            fresh = chunks.take(pa.array(new))
+            flat, lens = self.compute(fresh)
+            numbers[new] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.flat, self.lens = np.concatenate([self.flat, flat.astype(self.dtype, copy=False)]), np.concatenate([self.lens, lens])
+            self.asked = np.concatenate([self.asked, np.zeros(len(new), dtype=np.int64)])
+        self.asked[numbers] += times
+        return numbers
+
+    def _chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct chunks, the texts' chunks as places among them, and where each text's begin (the total last)."""
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         coded = parts.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        of_part = np.fromiter(map(self.inner.__getitem__, distinct), np.int64, len(distinct))
-        numbers = of_part[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        distinct = coded.dictionary
+        plain = pc.match_substring_regex(distinct, "^\\n?" + _PLAIN).to_numpy(zero_copy_only=False)
+        blank = pc.if_else(pc.starts_with(distinct, "\n"), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+        named = pc.binary_join_element_wise(blank, distinct, pa.scalar("", pa.large_string()))
+        places = coded.indices.to_numpy().astype(np.int64)
         starts = parts.offsets.to_numpy().astype(np.int64)
         starts = starts - starts[0]
         heads = starts[:-1]
-        first = pc.list_element(parts, 0).to_pylist()  # a text's first part has no blank before it
-        numbers[heads] = [self.number(p) if p and not p[0].isspace() and not p[-1].isspace() else -1 for p in first]
-        odd = np.flatnonzero(np.minimum.reduceat(numbers, heads) < 0)
-        if not len(odd):
-            return numbers, starts
-        pieces, last = [], 0
-        lens = np.diff(starts)
-        for k in odd:
-            whole = [self.number(c) for c in split_chunks(texts[int(k)].as_py())]
-            pieces += [numbers[last:starts[k]], np.array(whole, dtype=np.int64)]
-            last, lens[k] = starts[k + 1], len(whole)
-        return np.concatenate([*pieces, numbers[last:]]), offsets_of(lens)
-
-    def _fill(self) -> None:
-        if not self.new:
-            return
-        flat, lens = self.compute(self.new)
-        at, more = self.count - len(lens), self.used + len(flat)
-        while len(self.flat) < more:
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), dtype=self.dtype)])
-        while len(self.lens) < self.count:
-            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), dtype=np.int64)])
-            self.lens = np.concatenate([self.lens, np.zeros(len(self.lens), dtype=np.int64)])
-        self.flat[self.used:more] = flat
-        self.starts[at:self.count] = self.used + offsets_of(lens)[:-1]
-        self.lens[at:self.count] = lens
-        self.used, self.new = more, []
+        good = plain[places]
+        # a text's first part has no blank before it, a chunk of its own kind
+        extra: dict[str, int] = {}
+        first = pc.list_element(parts, 0).to_pylist()
+        head_plain = good[heads]
+        for k in np.flatnonzero(head_plain):
+            if first[k][0] != "\n":
+                places[heads[k]] = len(distinct) + extra.setdefault(first[k], len(extra))
+        odd = np.flatnonzero(~np.logical_and.reduceat(good, heads))
+        if len(odd):
+            pieces, last, lens = [], 0, np.diff(starts)
+            for k in odd:
+                whole = [len(distinct) + extra.setdefault(c, len(extra)) for c in split_chunks(texts[int(k)].as_py())]
+                pieces += [places[last:starts[k]], np.array(whole, dtype=np.int64)]
+                last, lens[k] = starts[k + 1], len(whole)
+            places, starts = np.concatenate([*pieces, places[last:]]), offsets_of(lens)
+        chunks = pa.concat_arrays([named, pa.array(list(extra), pa.large_string())])
+        # the same chunk may come both ways
+        used, places = np.unique(places, return_inverse=True)
+        coded = chunks.take(pa.array(used)).dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy().astype(np.int64)[places], starts
 
     def values(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The values of all texts' chunks, one after another, and where each text's values start (the total last).
 
         ``texts``: an Arrow array of strings; null counts as empty.
         """
-        if self.count > self.max_chunks or self.chars > self.max_chars:
-            self._reset()
         if not len(texts):
             return np.zeros(0, dtype=self.dtype), np.zeros(1, dtype=np.int64)
-        numbers, starts = self._numbers(texts.cast(pa.large_string()).fill_null(""))
-        self._fill()
+        self._forget()
+        chunks, places, starts = self._chunks(texts.cast(pa.large_string()).fill_null(""))
+        numbers = self._numbers(chunks, np.bincount(places, minlength=len(chunks)))[places]
         lens = self.lens[numbers]
-        return gather(self.flat, self.starts[numbers], lens), offsets_of(lens)[starts]
+        return gather(self.flat, offsets_of(self.lens)[:-1][numbers], lens), offsets_of(lens)[starts]

@@ -33,9 +33,8 @@ from .common import prepare
 BUCKETS = 1 << 15
 ROWS_PER_LANGUAGE = 5000
 SMOOTHING = 0.1
-MAX_SET, PENALTY = 3, 12.0
+PENALTY = 12.0
 ROUNDS = 8
-PART_BYTES = 1 << 20
 BATCH = 256
 UNKNOWN = "und"
 GUESS = "doc_id long, lang_pred string, score double, langs string"
@@ -101,65 +100,32 @@ def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[
     return langs, (model / model.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def _fit(p: np.ndarray, share: np.ndarray, rounds: int, part: int) -> tuple[np.ndarray, float]:
-    """Shares of the languages (rows of p) after some rounds of EM, and the log-likelihood (of the last shares used)."""
-    n = p.shape[1]
-    loglik = 0.0
-    for last in range(rounds + 1):
-        total = np.zeros(len(p))
-        loglik = 0.0
-        for at in range(0, n, part):
-            piece = p[:, at:at + part]
-            mix = share.astype(np.float32) @ piece
-            if last == rounds:
-                loglik += float(np.log(mix).sum(dtype=np.float64))
-            else:
-                total += piece @ (1 / mix)
-        if last < rounds:
-            share = share * total / n
-            share = share / share.sum()
-    return share, loglik
-
-
-def infer(buckets: np.ndarray, model: np.ndarray, max_set: int = MAX_SET, penalty: float = PENALTY,
-          rounds: int = ROUNDS, part: int = PART_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Languages (numbers, largest share first) and shares of one document with at least one trigram."""
-    used, times = np.unique(buckets, return_counts=True) if len(buckets) > 1 << 18 else (buckets, None)
-    if times is not None:  # a very long text: as many columns as buckets, each weighted
-        return _infer_weighted(used, times, model, max_set, penalty, rounds)
-    p = model[:, used]
-    share, _ = _fit(p, np.full(len(model), 1 / len(model)), rounds, part)
-    order = np.argsort(-share, kind="stable")
-    best = None
-    for size in range(1, min(max_set, len(model)) + 1):
-        chosen = order[:size]
-        start = share[chosen] + 1e-6
-        fitted, loglik = _fit(p[chosen], start / start.sum(), rounds // 2 if size > 1 else 0, part)
-        value = loglik - penalty * size * np.log(len(used) + 1)
-        if best is None or value > best[0]:
-            best = (value, chosen, fitted)
-    by_share = np.argsort(-best[2], kind="stable")
-    return best[1][by_share], best[2][by_share]
-
+def _fit(p: np.ndarray, times: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Shares of the languages (rows of p) after some rounds of EM over buckets that come ``times`` often, and their log-likelihood."""
+    for _ in range(rounds):
+        share = share * (p @ (times / (share @ p)))
+        share = share / share.sum()
+    return share, float(np.log(share @ p) @ times)
 
-def _infer_weighted(used, times, model, max_set, penalty, rounds):
-    p, n = model[:, used], times.sum()
 
-    def fit(rows, share, rounds):
-        for _ in range(rounds):
-            share = share * (rows @ (times / (share @ rows))) / n
-        return share, float((np.log(share @ rows) * times).sum())
+def infer(buckets: np.ndarray, model: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Languages (numbers, largest share first) and shares of one document with at least one trigram.
 
-    share, _ = fit(p, np.full(len(model), 1 / len(model)), rounds)
+    The set grows, by share, as long as the penalised likelihood rises.
+    """
+    used, times = np.unique(buckets, return_counts=True)
+    p, times = model[:, used], times.astype(np.float64)
+    share, _ = _fit(p, times, np.full(len(model), 1 / len(model)), rounds)
     order = np.argsort(-share, kind="stable")
     best = None
-    for size in range(1, min(max_set, len(model)) + 1):
+    for size in range(1, len(model) + 1):
         chosen = order[:size]
         start = share[chosen] + 1e-6
-        fitted, loglik = fit(p[chosen], start / start.sum(), rounds // 2 if size > 1 else 0)
-        value = loglik - penalty * size * np.log(n + 1)
-        if best is None or value > best[0]:
-            best = (value, chosen, fitted)
+        fitted, loglik = _fit(p[chosen], times, start / start.sum(), rounds // 2 if size > 1 else 0)
+        value = loglik - penalty * size * np.log(len(buckets) + 1)
+        if best is not None and value <= best[0]:
+            break
+        best = (value, chosen, fitted)
     by_share = np.argsort(-best[2], kind="stable")
     return best[1][by_share], best[2][by_share]
 

@@ -47,6 +47,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import kept, offsets_of, prepare, text_or_empty
 from .components import stars
@@ -320,14 +321,14 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFram
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share a token of the second and third prefixes and whose sets have the similarity asked for."""
+    """The pairs (a, b) that share a token of the second and third prefixes and whose sets have the similarity asked for.
+
+    The filters of the three orders are intersected on pairs with their prefixes; whole sets go to what is left only.
+    """
     def check(batches):
         for batch in batches:
             keep = []
             for row in range(batch.num_rows):
-                p2, q2, p3, q3 = (batch.column(c)[row].values.to_numpy() for c in ("a_p2", "b_p2", "a_p3", "b_p3"))
-                if not np.isin(p2, q2).any() or not np.isin(p3, q3).any():
-                    continue
                 x, y = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=np.uint64) for c in ("a_tokens", "b_tokens"))
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 both = int((x[at] == y).sum())
@@ -336,11 +337,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             got = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([got.column("a"), got.column("b")], ["a", "b"])
 
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("sig").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("tokens", "p2", "p3")])
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("sig").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "a_tokens", "b_tokens", "a_p2", "b_p2", "a_p3", "b_p3").mapInArrow(check, "a binary, b binary")
+    def both_share(c: str):
+        return F.arrays_overlap(f"a_{c}", f"b_{c}")
+
+    near = (pairs.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b")
+            .filter(both_share("p2") & both_share("p3")).select("a", "b"))
+    joined = kept(near, "candidates").join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+    return joined.select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, "a binary, b binary")
 
 
 def _possible(n, s, m, t, percent: int):
@@ -350,7 +356,8 @@ def _possible(n, s, m, t, percent: int):
 
 def _open(postings: DataFrame, percent: int) -> DataFrame:
     """The postings (token, sig, n, s, c) that may have a partner in another component c."""
-    kinds = postings.groupBy("token", "n", "s").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
+    # of each size the most that any set has in common with others: no partner is missed, some postings more stay
+    kinds = postings.groupBy("token", "n").agg(F.max("s").alias("s"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     kinds = kinds.groupBy("token").agg(F.collect_list(F.struct("n", "s", "c0", "c1")).alias("kinds"))  # sizes, not sets
     partner = F.exists("kinds", lambda k: _possible(F.col("n"), F.col("s"), k["n"], k["s"], percent)
                        & ((k["c0"] != F.col("c")) | (k["c1"] != F.col("c"))))
@@ -393,7 +400,7 @@ def class_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_sig of every document."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_sig, root_sig (the component) of every document."""
     spark = docs.sparkSession
     prepare(spark)
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -415,21 +422,38 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 
     # the smallest doc_id of each component: of the class for most, of all linked classes for the others
     roots = reps.join(links.select(F.col("a").alias("sig"), F.col("b").alias("root")), "sig", "left").select(
-        "sig", "rep", F.coalesce("root", "sig").alias("root"))
+        "sig", "rep", F.coalesce("root", "sig").alias("root"))  # a class without links is its own root
     lowest = (roots.join(links.select(F.col("b").alias("root")).distinct(), "root", "left_semi")
               .groupBy("root").agg(F.min("rep").alias("low")))
-    named = roots.join(lowest, "root", "left").select("sig", F.coalesce("low", "rep").alias("component"))
+    named = roots.join(lowest, "root", "left").select("sig", "root", F.coalesce("low", "rep").alias("component"))
     return members.join(named, "sig", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.col("sig").alias("class_sig"))
+        F.col("sig").alias("class_sig"), F.col("root").alias("root_sig"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, of one document for each component: the smallest doc_id, once.
+    """The rows of docs, all columns, of one document for each component: the smallest doc_id (nulls last), set digest and text.
 
+    Components are told apart by their root, so repeated and null ids neither keep nor cost a row too many.
     Documents without words all stay, but for repeated rows.
     """
-    smallest = components(docs, shingle, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = smallest.select(F.col("doc_id").alias("__kept")).distinct()
-    return (docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-            .dropDuplicates(["doc_id", "text"]))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("class_sig").alias("sig"))
+    first = (components(docs, shingle, percent).filter("n_shingles > 0").groupBy("root_sig").agg(F.min(order).alias("w"))
+             .select(F.col("w.doc_id").alias("first_id"), F.col("w.sig").alias("first_sig")))
+
+    def digest(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                sigs = [_digest(x) for x in shingle_sets(part.column("text"), shingle)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sigs, pa.binary())], [*part.schema.names, "sig"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       text_or_empty().cast("string").alias("text"))
+    out = T.StructType([*rows.schema.fields, T.StructField("sig", T.BinaryType())])
+    found = rows.mapInArrow(digest, out)
+    with_words = found.filter(F.length("sig") > 0).join(
+        first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("sig") == F.col("first_sig")), "left_semi")
+    chosen = with_words.unionByName(found.filter(F.length("sig") == 0))
+    each = chosen.groupBy("id", "sig", F.when(F.length("sig") == 0, F.col("text")).alias("own")).agg(F.min_by("row", "text").alias("row"))
+    return each.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -16,7 +16,7 @@ one. Pieces add up; a prefix that ends inside white space, inside a contraction
 or inside an added token is split as the pattern splits that prefix.
 
 Cases: null and empty texts have no steps and 0 tokens; repeated rows are kept;
-further columns pass through; an empty table gives an empty table; long texts are
+further columns are ignored; an empty table gives an empty table; long texts are
 taken whole (a document's steps are as many bytes as it has characters).
 """
 
@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable, one_by_one
-from .common import prepare
+from .common import kept, offsets_of, prepare
 
 BATCH = 1000
-MAX_PAIRS, MAX_PIECES = 300_000, 200_000
+#: Pieces remembered; cells of one table of starts and ends.
+MAX_PIECES, CELLS = 300_000, 2_000_000
 
 _tables: dict[str, ChunkTable] = {}
 
@@ -46,6 +47,69 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+class Borders:
+    """Which tokens may stand side by side, from the order of merges alone.
+
+    A token grows from its bytes merge by merge. At the border of two tokens stand the last part
+    of the left one and the first part of the right one; both grow in order of rank. The pair is
+    cut apart by the encoder unless, at some time, the parts at the border merge with each other
+    before either grows into its own token.
+    """
+
+    NEVER = 1 << 40
+
+    def __init__(self, tokens: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
+        self.size = max(tokens.values(), default=0) + 1
+        pairs = {}
+        for rank, (a, b) in enumerate(merges):
+            pairs.setdefault((tokens[a], tokens[b]), rank)
+        keys = np.array([a * self.size + b for a, b in pairs], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))[order]
+        made: dict[int, tuple[int, int, int]] = {}
+        for rank, (a, b) in enumerate(merges):
+            made.setdefault(tokens[a + b], (tokens[a], tokens[b], rank))
+
+        def growth(side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The parts at one side of every token from its byte up, one token after another, and the rank at which each grows."""
+            parts, ranks, starts = [], [], np.zeros(self.size, dtype=np.int64)
+            for t in tokens.values():
+                up = [(t, self.NEVER)]
+                while up[-1][0] in made:
+                    made_of = made[up[-1][0]]
+                    up.append((made_of[side], made_of[2]))
+                starts[t] = len(parts)
+                parts += [x[0] for x in reversed(up)]
+                ranks += [x[1] for x in reversed(up)]
+            return starts, np.array(parts, dtype=np.int64), np.array(ranks, dtype=np.int64)
+
+        self.last, self.first = growth(1), growth(0)
+
+    def merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.NEVER)
+
+    def stand(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the encoding of token a's bytes and then token b's bytes is these two tokens."""
+        if not len(self.keys) or not len(a):
+            return np.ones(len(a), dtype=bool)
+        pair, place = np.unique(a * self.size + b, return_inverse=True)
+        out = np.ones(len(pair), dtype=bool)
+        live = np.arange(len(pair))
+        i, j = self.last[0][pair // self.size], self.first[0][pair % self.size]
+        while len(live):
+            grow_a, grow_b = self.last[2][i], self.first[2][j]
+            cross = self.merge_rank(self.last[1][i], self.first[1][j])
+            # of equal ranks the leftmost merges first: a's own, then across, then b's own
+            joined = (cross < grow_a) & (cross <= grow_b) & (cross < self.NEVER)
+            out[live[joined]] = False
+            more = ~joined & (np.minimum(grow_a, grow_b) < self.NEVER)
+            step_a = grow_a <= grow_b
+            i, j, live = (i + step_a)[more], (j + ~step_a)[more], live[more]
+        return out[place]
+
+
 class PrefixCounter:
     """Token counts of all prefixes of strings under a byte-level BPE vocabulary file of the tokenizers library."""
 
@@ -59,70 +123,88 @@ class PrefixCounter:
         self.tokens = {bytes(letter[c] for c in t): i for t, i in loaded["model"]["vocab"].items()
                        if all(c in letter for c in t)}
         merges = (m.split(" ") if isinstance(m, str) else m for m in loaded["model"]["merges"])
-        self.rank = {(bytes(letter[c] for c in a), bytes(letter[c] for c in b)): k for k, (a, b) in enumerate(merges)}
+        self.borders = Borders(self.tokens, [(bytes(letter[c] for c in a), bytes(letter[c] for c in b)) for a, b in merges])
         self.longest = max(map(len, self.tokens))
+        self._spell()
         self.added = [t["content"] for t in loaded["added_tokens"]]
         self.added_at = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.contraction = regex.compile("'(?:re|ve|ll)").fullmatch
         self.space = regex.compile(r"\s+").fullmatch
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.known: dict[str, list[int]] = {}
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """The tokens of one piece: the adjacent pair of lowest rank joins first, leftmost of equals."""
-        parts = [data[k:k + 1] for k in range(len(data))]
-        while len(parts) > 1:
-            best = min((self.rank.get((a, b), 1 << 60), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best[0] == 1 << 60:
-                break
-            k = best[1]
-            parts[k:k + 2] = [parts[k] + parts[k + 1]]
-        return parts
-
-    def may_follow(self, a: bytes, b: bytes) -> bool:
-        if len(self.pairs) > MAX_PAIRS:
-            self.pairs.clear()
-        got = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return got
+    def _spell(self) -> None:
+        """The vocabulary as a tree of bytes: sorted keys (node, byte), the node each leads to, and the token that ends there or -1."""
+        nodes: dict[bytes, int] = {b"": 0}
+        for t in self.tokens:
+            for k in range(1, len(t) + 1):
+                nodes.setdefault(t[:k], len(nodes))
+        keys = np.array([nodes[t[:-1]] * 256 + t[-1] for t in nodes if t], dtype=np.int64)
+        order = np.argsort(keys)
+        self.edges, self.leads = keys[order], np.array([n for t, n in nodes.items() if t], dtype=np.int64)[order]
+        self.ends = np.full(len(nodes), -1, dtype=np.int64)
+        for t, i in self.tokens.items():
+            self.ends[nodes[t]] = i
+
+    def _by_length(self, data: np.ndarray) -> np.ndarray:
+        """Token counts after each byte of pieces of one length (rows of bytes), step by step over all of them."""
+        n, length = data.shape
+        last = np.full((n, length + 1), -1, dtype=np.int64)
+        count = np.zeros((n, length + 1), dtype=np.int64)
+        # walk the tree of bytes from every start at once; the longest token that fits ends a prefix
+        begin = {}
+        for start in range(length):
+            rows, node = np.arange(n), np.zeros(n, dtype=np.int64)
+            for end in range(start + 1, min(length, start + self.longest) + 1):
+                key = node * 256 + data[rows, end - 1]
+                at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+                hit = self.edges[at] == key
+                rows, node = rows[hit], self.leads[at[hit]]
+                if not len(rows):
+                    break
+                token = self.ends[node]
+                begin[start, end] = rows[token >= 0], token[token >= 0]
+        for end in range(1, length + 1):
+            for start in range(max(0, end - self.longest), end):
+                rows, token = begin.get((start, end), (None, None))
+                if rows is None:
+                    continue
+                free = last[rows, end] < 0
+                rows, token = rows[free], token[free]
+                if start:
+                    fits = self.borders.stand(last[rows, start], token)
+                    rows, token = rows[fits], token[fits]
+                last[rows, end], count[rows, end] = token, count[rows, start] + 1
+            if (last[:, end] < 0).any():
+                raise ValueError("the vocabulary does not cover these bytes")
+        return count[:, 1:]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Count the prefixes of all pieces that aren't known yet, pieces of one length together."""
+        if len(self.known) > MAX_PIECES:
+            self.known.clear()
+        by_length: dict[int, list[str]] = {}
+        for p in pieces:
+            if p not in self.known:
+                by_length.setdefault(len(p.encode()), []).append(p)
+        for length, some in by_length.items():
+            step = max(1, CELLS // (length * min(length, self.longest)))
+            for at in range(0, len(some), step):
+                part = some[at:at + step]
+                data = np.frombuffer("".join(part).encode(), dtype=np.uint8).reshape(len(part), length)
+                counts = self._by_length(data)
+                heads = np.ones((len(part), length), dtype=bool)
+                heads[:, :-1] = data[:, 1:] & 0xC0 != 0x80  # where a character ends
+                self.known.update(zip(part, (c[h].tolist() for c, h in zip(counts, heads, strict=True)), strict=True))
 
     def of_piece(self, piece: str) -> list[int]:
         """Token counts after each character of one piece, as one piece."""
-        found = self.known.get(piece)
-        if found is None:
-            data = piece.encode()
-            tokens, longest, pairs = self.tokens, self.longest, self.pairs
-            last: list[bytes] = [b""]
-            count = [0]
-            for end in range(1, len(data) + 1):
-                for start in range(max(0, end - longest), end):
-                    t = data[start:end]
-                    if t in tokens:
-                        if start:
-                            fits = pairs.get((last[start], t))
-                            if fits is None:
-                                fits = self.may_follow(last[start], t)
-                            if not fits:
-                                continue
-                        last.append(t)
-                        count.append(count[start] + 1)
-                        break
-                else:
-                    raise ValueError(f"the vocabulary does not cover {data!r}")
-            if len(data) > len(piece):
-                count = [c for c, b in zip(count[1:], data[1:] + b"\0", strict=True) if b & 0xC0 != 0x80]
-            else:
-                del count[0]
-            found = count
-            if len(piece) <= 64:
-                if len(self.known) > MAX_PIECES:
-                    self.known.clear()
-                self.known[piece] = found
-        return found
-
-    def of_plain(self, text: str) -> list[int]:
-        """Token counts after each character of a text without added tokens."""
-        pieces = self.pieces.findall(text)
+        if piece not in self.known:
+            self.learn({piece})
+        return self.known[piece]
+
+    def of_plain(self, pieces: list[str]) -> list[int]:
+        """Token counts after each character of a text without added tokens, given by its pieces."""
         if len(pieces) == 1 and pieces[0][0] != "'":
             return self.of_piece(pieces[0])
         out: list[int] = []
@@ -153,28 +235,37 @@ class PrefixCounter:
     def counts(self, text: str) -> list[int]:
         """Token counts of the prefixes of 1, 2, ... characters, as the library counts them."""
         if self.added_at is None or not any(t in text for t in self.added):
-            return self.of_plain(text)
+            return self.of_plain(self.pieces.findall(text))
         out: list[int] = []
         at = total = 0
         for m in self.added_at.finditer(text):
-            begun = self.of_plain(text[at:m.end() - 1])  # an unfinished added token is ordinary text
+            begun = self.of_plain(self.pieces.findall(text[at:m.end() - 1]))  # an unfinished added token is ordinary text
             before = begun[m.start() - at - 1] if m.start() > at else 0
             out += [total + c for c in begun]
             total += before + 1
             out.append(total)
             at = m.end()
-        return out + [total + c for c in self.of_plain(text[at:])]
-
-    def steps(self, text: str) -> list[int]:
-        counts = self.counts(text)
-        return [b - a for a, b in zip([0, *counts], counts, strict=False)]
+        return out + [total + c for c in self.of_plain(self.pieces.findall(text[at:]))]
+
+    def steps(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The steps of all chunks, one chunk after another, and their numbers of characters."""
+        texts = chunks.to_pylist()
+        odd = np.zeros(len(texts), dtype=bool)
+        for t in self.added:
+            odd |= pc.match_substring(chunks, t).to_numpy(zero_copy_only=False)
+        pieces = [None if o else self.pieces.findall(t) for t, o in zip(texts, odd.tolist(), strict=True)]
+        self.learn({p for own in pieces if own for p in own})
+        flat, lens = one_by_one([self.counts(t) if own is None else self.of_plain(own) for t, own in zip(texts, pieces, strict=True)], np.int64)
+        steps = np.diff(flat, prepend=0)
+        heads = offsets_of(lens)[:-1][lens > 0]
+        steps[heads] = flat[heads]
+        return steps.astype(np.int8), lens
 
 
 def step_table(vocab: str) -> ChunkTable:
     """This worker's table of chunks and their steps."""
     if vocab not in _tables:
-        counter = PrefixCounter(vocab)
-        _tables[vocab] = ChunkTable(lambda new: one_by_one(map(counter.steps, new), np.int8), np.int8)
+        _tables[vocab] = ChunkTable(PrefixCounter(vocab).steps, np.int8)
     return _tables[vocab]
 
 
@@ -189,36 +280,53 @@ def longest_within(steps: np.ndarray, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-def prefix_steps(docs: DataFrame, vocab: str, budget: int, keep_steps: bool = True) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with n_bytes, n_tokens, over_limit, fit_chars and the steps.
-
-    ``fit_chars`` is the length of the longest prefix within the budget.
-    ``keep_steps=False`` leaves the steps out where only the answers are wanted.
-    """
+def steps_of(docs: DataFrame, vocab: str) -> DataFrame:
+    """doc_id, n_bytes, steps of every row of ``docs`` (doc_id, text)."""
     prepare(docs.sparkSession)
-    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
 
-    def answer(batches):
+    def count(batches):
         table = step_table(vocab)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 text = part.column("text")
                 flat, starts = table.values(text)
-                sums = np.concatenate([[0], np.cumsum(flat, dtype=np.int64)])[starts]
-                n = np.diff(sums)
-                fits = np.diff(starts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pc.fill_null(pc.binary_length(text), 0).cast(pa.int64()),
+                     pa.array([flat[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())],
+                    ["doc_id", "n_bytes", "steps"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(count, "doc_id long, n_bytes long, steps binary")
+
+
+def answers(stored: DataFrame, budget: int, keep_steps: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, fit_chars (and the steps) from stored steps; nothing is encoded again."""
+    def answer(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                runs = [np.frombuffer(x.as_buffer(), dtype=np.int8) for x in part.column("steps")]
+                starts = offsets_of(np.array(list(map(len, runs)), dtype=np.int64))
+                sums = np.concatenate([[0], np.cumsum(np.concatenate([*runs, np.zeros(0, np.int8)]), dtype=np.int64)])[starts]
+                n, fits = np.diff(sums), np.diff(starts)
                 for k in np.flatnonzero(n > 0):  # a prefix can take more tokens than the whole text
-                    run = flat[starts[k]:starts[k + 1]]
-                    if n[k] > budget or len(run) > budget and np.cumsum(run, dtype=np.int64).max() > budget:
-                        fits[k] = longest_within(run, budget)
-                cols = [part.column("doc_id"), pc.fill_null(pc.binary_length(text), 0).cast(pa.int64()),
-                        pa.array(n, pa.int64()), pa.array(n > budget), pa.array(fits, pa.int64())]
+                    if n[k] > budget or len(runs[k]) > budget and np.cumsum(runs[k], dtype=np.int64).max() > budget:
+                        fits[k] = longest_within(runs[k], budget)
+                cols = [part.column("doc_id"), part.column("n_bytes"), pa.array(n, pa.int64()), pa.array(n > budget), pa.array(fits, pa.int64())]
                 names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"]
                 if keep_steps:
-                    cols.append(pa.array([flat[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary()))
-                    names.append("steps")
+                    cols, names = [*cols, part.column("steps")], [*names, "steps"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(answer, schema + (", steps binary" if keep_steps else ""))
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
+    return stored.mapInArrow(answer, schema + (", steps binary" if keep_steps else ""))
+
+
+def prefix_steps(docs: DataFrame, vocab: str, budget: int, keep_steps: bool = True) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) with n_bytes, n_tokens, over_limit, fit_chars and the steps.
+
+    The steps are stored in the shared folder and all answers come from there. ``fit_chars`` is the
+    length of the longest prefix within the budget; ``keep_steps=False`` leaves the steps out of the result.
+    """
+    return answers(kept(steps_of(docs, vocab), "steps"), budget, keep_steps)

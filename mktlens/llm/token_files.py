@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, joins, one_by_one
+from .chunks import ChunkTable, can_follow, one_by_one
 from .common import gather, kept, offsets_of, prepare, text_or_empty
 
 RANKS = "id int, rank int, n long"
@@ -42,7 +42,7 @@ BLOCKS = "shard int, block int, first long, doc_ids array<bigint>, lens array<in
 DECODED = "shard int, doc_id long, at long, n_tokens long, ids binary"
 BLOCK_IDS = 1 << 20
 #: Documents looked up at once; chunks sent to the library in one call.
-BATCH, CALL_CHUNKS = 500, 20_000
+BATCH, CALL_CHUNKS = 1000, 20_000
 
 #: Bytes of the four ids of each control byte.
 _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
@@ -70,28 +70,31 @@ class _Library:
         for token, i in ids.items():
             self.n_bytes[i] = len(token)  # a character of the vocabulary's alphabet is a byte
 
-    def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+    def _alone(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(chunks.to_pylist(), add_special_tokens=False)
         return one_by_one((e.ids for e in found), np.uint32)
 
-    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)
+    def _together(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(["".join(chunks.to_pylist())], add_special_tokens=False)
         ids = np.array(found[0].ids, dtype=np.uint32)
         bytes_to = np.cumsum(self.n_bytes[ids])
-        wanted = np.cumsum(pc.binary_length(pa.array(chunks, pa.string())).to_numpy(), dtype=np.int64)
+        wanted = np.cumsum(pc.binary_length(chunks).to_numpy(), dtype=np.int64)
         last = np.searchsorted(bytes_to, wanted)
         if not len(ids) or bytes_to[-1] != wanted[-1] or (bytes_to[last] != wanted).any():
             return self._alone(chunks)
         return ids, np.diff(last, prepend=-1)
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, chunks: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The chunks' ids, one chunk after another, and their numbers of ids."""
-        fits = np.fromiter((joins(c) and not any(t in c for t in self.added) for c in chunks), bool, len(chunks))
+        chunks = pa.array(chunks, pa.large_string())
+        fits = can_follow(chunks).copy()
+        for t in self.added:
+            fits &= ~pc.match_substring(chunks, t).to_numpy(zero_copy_only=False)
         order = np.concatenate([np.flatnonzero(fits), np.flatnonzero(~fits)])
         n, parts = int(fits.sum()), []
         for run, call in ((order[:n], self._together), (order[n:], self._alone)):
             for at in range(0, len(run), CALL_CHUNKS):
-                parts.append(call([chunks[k] for k in run[at:at + CALL_CHUNKS]]))
+                parts.append(call(chunks.take(pa.array(run[at:at + CALL_CHUNKS]))))
         lens = np.concatenate([x for _, x in parts])
         back = np.argsort(order)
         return gather(np.concatenate([x for x, _ in parts]), offsets_of(lens)[:-1][back], lens[back]), lens[back]

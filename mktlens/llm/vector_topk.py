@@ -23,9 +23,8 @@ a wide query takes plain dot products instead, in 64 bits or, where these could
 overflow, in integers without a bound.
 
 Cases: a vector that is null, empty, or holds a null or non-finite component takes
-no part, nor does a null vec_id; rows that repeat both vec_id and vector count once,
-different vectors under one vec_id each count as candidates, and as queries share
-the ranks of their query_id; shorter vectors count as padded with zeros; rows with
+no part, nor does a null vec_id; rows that share a vec_id, with the same vector or
+another, each count as candidates, and as queries share the ranks of their query_id; shorter vectors count as padded with zeros; rows with
 a query's own vec_id are no candidates; ties go to the smaller vec_id; a score among
 the k best that doesn't fit 64 bits is an error, as is a component that leaves the
 range of doubles by scaling; fewer candidates than k give fewer rows; an empty table gives none;
@@ -54,7 +53,7 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     usable = (x.isNotNull() & (F.size(x) > 0) & F.col(id_col).isNotNull()
               & F.forall(x, lambda c: c.isNotNull() & (F.abs(c) < float("inf"))))  # NaN is greater
     rows = (vectors.filter(F.coalesce(usable, F.lit(False)))
-            .select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).distinct())
+            .select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")))
     scaled = F.transform("x", lambda c: F.lit(float(scale)) * c)
     narrow = (F.size("x") < LONGEST) & F.forall("x", lambda c: F.abs(c) * scale < LARGEST)
     # from 2**52 on every double is whole

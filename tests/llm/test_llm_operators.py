@@ -92,11 +92,11 @@ def test_op2_topk(spark):
              (503, [float("nan")] * 5, ""), (504, [float("inf")] * 5, ""), (None, [1.0] * 5, ""), (450, [1.0, -1.0], "short")]
     rows.append(rows[0])
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
-    ok = {r[0]: [math.floor(256 * struct.unpack("f", struct.pack("f", x))[0]) for x in r[1]] for r in rows
-          if r[0] is not None and r[1] and all(x is not None and math.isfinite(x) for x in r[1])}
+    ok = [(r[0], [math.floor(256 * struct.unpack("f", struct.pack("f", x))[0]) for x in r[1]]) for r in rows
+          if r[0] is not None and r[1] and all(x is not None and math.isfinite(x) for x in r[1])]
     want = []
-    for q in (i for i in ok if i % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q)[:5]
+    for q in {i for i, _ in ok if i % 50 == 0}:  # row 0 comes twice, as a query and as a candidate
+        scored = sorted((-sum(a * b for a, b in zip(u, v)), i) for j, u in ok if j == q for i, v in ok if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     got = vector_topk.top_k(table, F.col("vec_id") % 50 == 0, 5, block_rows=64, group_rows=3)
     assert _sorted(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
@@ -236,6 +236,34 @@ def test_op6_components(spark, docs, none, k, percent):
     assert shingle_join.components(none, k, percent).collect() == []
 
 
+def test_op4_as_many_languages_as_the_text_has(spark):
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    langs, model = language_mix.learn(sf)
+    some = {r.lang: r.text for r in sf.filter("lang is not null and length(text) between 900 and 3000").orderBy("doc_id").collect()}
+    mixes = [" ".join(some[lang] for lang in sorted(some)[:k]) for k in range(1, len(some) + 1)]
+    rows = [(k, t) for k, t in enumerate(mixes)] + [(k + 10, t * 120) for k, t in enumerate(mixes)]  # also beyond 2**18 trigrams
+    got = {r.doc_id: r.langs for r in language_mix.identify(spark.createDataFrame(rows, "doc_id long, text string"), langs, model).collect()}
+    for k in range(len(some)):
+        assert set(got[k].split(",")) == set(got[k + 10].split(",")) == set(sorted(some)[:k + 1])
+
+
+def test_op6_one_of_each_with_repeated_and_null_ids(spark):
+    base = [f"w{i}" for i in range(200)]
+    near = lambda k: " ".join([*base[:-1], f"x{k}"])
+    other = " ".join(f"y{i}" for i in range(90))
+    rows = [(5, near(1), "a"), (5, near(2), "b"), (5, near(2), "b"), (None, near(3), "c"), (None, other, "d"), (None, other + " z", "e"),
+            (5, "alone " * 3 + "in its group here", "f"), (7, "", "g"), (7, "", "g"), (8, None, "h"), (None, " ", "i"), (9, near(4), "j")]
+    docs = spark.createDataFrame([(*r, "k", 1, "q") for r in rows],
+                                 "doc_id long, text string, __kept string, sig string, n int, r string").repartition(3)
+    left = shingle_join.one_of_each(docs)
+    assert left.columns == docs.columns
+    kept_rows = sorted((str(r.doc_id), r.text or "") for r in left.collect())
+    first = min((near(1), near(2)), key=lambda t: shingle_join._digest(shingle_join.shingle_sets(__import__("pyarrow").array([t]), 5)[0]))
+    second = min((other, other + " z"), key=lambda t: shingle_join._digest(shingle_join.shingle_sets(__import__("pyarrow").array([t]), 5)[0]))
+    assert kept_rows == sorted([("5", first), ("None", second), ("5", rows[6][1]), ("7", ""), ("8", ""), ("None", " ")])
+    assert shingle_join.one_of_each(docs.limit(0)).collect() == []
+
+
 def test_op6_one_of_each_and_stars(spark, docs):
     left = shingle_join.one_of_each(docs)
     assert left.columns == docs.columns
