@@ -323,30 +323,43 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFram
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that share a token of the second and third prefixes and whose sets have the similarity asked for.
 
-    The filters of the three orders are intersected on pairs with their prefixes; whole sets go to what is left only.
+    Pairs (a, b, w: tokens of both) are dealt into blocks by a bucket of each side, so that the pairs of one group of texts
+    share blocks, and a block is split until its pairs hold about ``BLOCK_TOKENS`` tokens. A set goes to each block
+    that needs it once, however many of the block's pairs it is in. In a block the filters of the
+    three orders are intersected on the prefixes before sets are compared.
     """
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for row in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=np.uint64) for c in ("a_tokens", "b_tokens"))
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(row)
-            got = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([got.column("a"), got.column("b")], ["a", "b"])
-
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("sig").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
-
-    def both_share(c: str):
-        return F.arrays_overlap(f"a_{c}", f"b_{c}")
-
-    near = (pairs.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b")
-            .filter(both_share("p2") & both_share("p3")).select("a", "b"))
-    joined = kept(near, "candidates").join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
-    return joined.select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, "a binary, b binary")
+    pairs = kept(pairs, "pairs")
+    weight = pairs.agg(F.sum("w")).first()[0] or 0
+    side = max(1, round((weight / BLOCK_TOKENS) ** 0.5))
+
+    def bucket(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(side))
+
+    grid = pairs.withColumn("i", bucket("a")).withColumn("j", bucket("b"))
+    parts = grid.groupBy("i", "j").agg(F.ceil(F.sum("w") / BLOCK_TOKENS).alias("parts"))  # at most side * side rows
+    dealt = grid.join(parts, ["i", "j"]).select(
+        "a", "b", F.struct("i", "j", F.pmod(F.xxhash64("a", "b"), F.col("parts")).alias("k")).alias("block"))
+    needed = dealt.select(F.col("block").alias("to"), F.explode(F.array("a", "b")).alias("sig")).distinct()
+    found = needed.join(sets.select("sig", "tokens", "p2", "p3"), "sig")
+
+    def check(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        place = {x: k for k, x in enumerate(sets.column("sig").to_pylist())}
+        tokens, p2, p3 = (sets.column(c).combine_chunks() for c in ("tokens", "p2", "p3"))
+        tokens = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in tokens]
+        p2, p3 = ([set(x) for x in c.to_pylist()] for c in (p2, p3))
+        keep = []
+        for row, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
+            k, m = place[a], place[b]
+            if p2[k].isdisjoint(p2[m]) or p3[k].isdisjoint(p3[m]):
+                continue
+            x, y = tokens[k], tokens[m]
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            both = int((x[at] == y).sum())
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                keep.append(row)
+        return pairs.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return dealt.groupBy("block").cogroup(found.groupBy("to")).applyInArrow(check, "a binary, b binary")
 
 
 def _possible(n, s, m, t, percent: int):
@@ -365,12 +378,13 @@ def _open(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, *conditions) -> DataFrame:
-    """Pairs (a, b) under a token, of different components, that the sizes allow. ``right``: token t and struct x."""
+    """Pairs (a, b, w: tokens of both) under a token, of different components, that the sizes allow. ``right``: token t and struct x."""
     fits = ((F.col("token") == F.col("t")) & (F.col("c") != F.col("x.c"))
             & _possible(F.col("n"), F.col("s"), F.col("x.n"), F.col("x.s"), percent))
     for more in conditions:
         fits &= more
-    return left.join(right, fits).select(F.least("sig", "x.sig").alias("a"), F.greatest("sig", "x.sig").alias("b")).distinct()
+    return left.join(right, fits).select(F.least("sig", "x.sig").alias("a"), F.greatest("sig", "x.sig").alias("b"),
+                                         (F.col("n") + F.col("x.n")).cast("long").alias("w")).distinct()
 
 
 def class_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
