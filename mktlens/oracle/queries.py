@@ -875,6 +875,30 @@ def report_batch() -> str:
            FROM report_requests q LEFT JOIN summary s USING (report_type, key, interval_days)""")
 
 
+def report_rows_stored() -> str:
+    base = [("wanted", """SELECT report_type, key, interval_days, count(*) AS requests,
+                                 report_type || ':' || key || ':' || CAST(interval_days AS VARCHAR) AS report
+                          FROM report_requests GROUP BY report_type, key, interval_days"""),
+            ("rrows", """SELECT 'seller' AS report_type, seller_link AS key, r.* FROM snap_events r
+                         UNION ALL
+                         SELECT 'category', CAST(s.scope_id AS VARCHAR), r.* FROM snap_events r
+                         JOIN scope s ON s.category_id = r.category_id"""),
+            ("src", f"""SELECT w.report, x.* FROM rrows x JOIN wanted w USING (report_type, key)
+                        WHERE x.date BETWEEN CAST(DATE '{EV_AS_OF}' - CAST(w.interval_days AS INTEGER) AS DATE)
+                                         AND DATE '{EV_AS_OF}'"""),
+            ("pd", _report_pd("src", "report")), ("po", orders_cte("pd", "report")), *_report_rows("report")]
+    return with_ctes(["snap_events", "scope", "report_requests"], _report_row_ctes(base, "report", "ranked"),
+                     "SELECT f.*, w.requests FROM rows_final f JOIN wanted w ON w.report = f.report")
+
+
+def category_products_page() -> str:
+    return with_ctes(["snap_events", "scope"], _q13_ctes(), """
+        SELECT * EXCLUDE (rn) FROM (
+            SELECT *, count(*) OVER (PARTITION BY period, category_id) AS total_row_count,
+                   row_number() OVER (PARTITION BY period, category_id ORDER BY order_amount DESC, price, product_id) AS rn
+            FROM qr WHERE title ILIKE '%t 1%' AND price >= 1.0) WHERE rn > 2 AND rn <= 22""")
+
+
 def report_expiry() -> str:
     return with_ctes(["report_requests"], [], """
         SELECT report_id,
@@ -906,6 +930,9 @@ def rollup_store() -> str:
 
 ORACLE.update({
     "report_batch": report_batch,
+    "report_rows_stored": report_rows_stored,
+    "category_products_page": category_products_page,
+    "snapshot_rows_stored": flatten_products,
     "report_expiry": report_expiry,
     "snapshot_store": snapshot_store,
     "rollup_store": rollup_store,

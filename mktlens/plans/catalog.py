@@ -25,6 +25,7 @@ from ..operators.filters import Filter
 from ..session import materialize_dimension
 from . import sellers as SE
 from . import accounts as AC
+from . import report_store as RS
 from . import reports as RP
 from ..operators import sketches as SK
 from ..sources import events as EVT
@@ -201,6 +202,21 @@ def q_category_products_chart(spark, sf):
     return R.category_products_with_chart(_q13(spark, sf, daily), daily, EV_AS_OF, Q13_PERIODS)
 
 
+# One page of a product list: words in the title, a price range, sorted by two columns.
+PAGE_FILTERS = [*Q13_FILTERS, Filter.contains("title", "T 1"), Filter.between("price", 1.0, None)]
+PAGE_SORT, PAGE_LIMIT, PAGE_OFFSET = [("order_amount", "desc"), ("price", "asc")], 20, 2
+
+
+def q_category_products_page(spark, sf):
+    root = ST.scratch_root(spark, "rollups")
+    cats = _cats(spark, sf)
+    scope = _scope(spark, sf, cats)
+    daily, roots = _events_daily(spark, sf), R.root_scope(scope, cats)
+    for as_of in ("2024-01-24", EV_AS_OF):
+        IO.write_rollup(R.category_product_rollup(daily, roots, as_of, Q13_PERIODS), root)
+    return R.category_products(spark.read.parquet(root), scope, None, Q13_PERIODS, PAGE_FILTERS, PAGE_SORT, PAGE_LIMIT, PAGE_OFFSET)
+
+
 def _seller_report_rows(spark, sf):
     return RP.report_rows(q_seller_report(spark, sf), "seller_link")
 
@@ -298,6 +314,14 @@ def q_report_batch(spark, sf):
     return RP.report_batch(X.report_requests(spark, sf), _events_daily(spark, sf), _scope(spark, sf), EV_AS_OF)
 
 
+def q_report_rows_stored(spark, sf):
+    root = ST.scratch_root(spark, "reports")
+    cats = _cats(spark, sf)
+    args = (X.report_requests(spark, sf), _events_daily(spark, sf), _scope(spark, sf, cats), cats, EV_AS_OF)
+    RS.run_reports(*args, root, run=0)
+    return RS.read_reports(spark, root, RS.build_reports(*args).schema).drop("run")
+
+
 def q_report_expiry(spark, sf):
     return RP.expire_reports(X.report_requests(spark, sf), "2024-01-20 00:00:00").select(
         "report_id", "status", "content")
@@ -312,6 +336,12 @@ def q_snapshot_store(spark, sf):
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def q_snapshot_rows_stored(spark, sf):
+    root = ST.scratch_root(spark, "snapshots")
+    IO.append_snapshots(EVT.flatten_products(X.product_events(spark, sf)), root)
+    return IO.read_snapshots(spark, root).drop("yyyymm")
+
+
 def q_rollup_store(spark, sf):
     root = ST.scratch_root(spark, "rollups")
     cats = _cats(spark, sf)
@@ -359,6 +389,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_cards": q_category_cards,
     "category_products": q_category_products,
     "category_products_chart": q_category_products_chart,
+    "category_products_page": q_category_products_page,
     "seller_report_rows": q_seller_report_rows,
     "abc_orders": q_abc_orders,
     "abc_revenue": q_abc_revenue,
@@ -380,8 +411,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seller_upsert": q_seller_upsert,
     "approx_by_scope": q_approx_by_scope,
     "report_batch": q_report_batch,
+    "report_rows_stored": q_report_rows_stored,
     "report_expiry": q_report_expiry,
     "snapshot_store": q_snapshot_store,
+    "snapshot_rows_stored": q_snapshot_rows_stored,
     "rollup_store": q_rollup_store,
     "streaming_subscription_ledger": q_streaming_subscription_ledger,
     "subscription_grants": q_subscription_grants,

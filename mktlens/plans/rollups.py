@@ -10,6 +10,7 @@ aggregates rather than raw rows.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,6 +173,19 @@ def latest_as_of(rollup: DataFrame) -> DataFrame:
     return rollup.groupBy("period").agg(F.max("as_of").alias("as_of"))
 
 
+def rollup_at(rollup: DataFrame, periods: list[str], as_of: str | None = None) -> DataFrame:
+    """The rollup's rows of some periods at ``as_of``, or at each period's newest stored date.
+
+    The newest dates are scalar subqueries in the partition filter: they run first and the scan then lists
+    the folders of these dates only.
+    """
+    if as_of is not None:
+        return rollup.filter((F.col("as_of") == F.lit(as_of).cast("date")) & F.col("period").isin(periods))
+    newest = [(F.col("period") == p)
+              & (F.col("as_of") == rollup.filter(F.col("period") == p).agg(F.max("as_of")).scalar()) for p in periods]
+    return rollup.filter(reduce(lambda a, b: a | b, newest))
+
+
 # --------------------------------------------------------------------------- J4
 
 def category_daily_stats(snap: DataFrame) -> DataFrame:
@@ -292,11 +306,12 @@ PRODUCT_FIELDS = {"product_id", "title", "order_amount", "price", "revenue", "av
                   "photo_key", "rating"}
 
 
-def category_products(rollup: DataFrame, scope: DataFrame, as_of: str, periods: list[str],
+def category_products(rollup: DataFrame, scope: DataFrame, as_of: str | None, periods: list[str],
                       filters: list[Filter], sort: list[tuple[str, str]], limit: int | None = None,
                       offset: int = 0) -> DataFrame:
-    """Q13: products of every scope from the J2 rollup at ``as_of``; user filters; with a limit, the page per scope in that order."""
-    r = rollup.filter((F.col("as_of") == F.lit(as_of).cast("date")) & F.col("period").isin(periods))
+    """Q13: products of every scope from the J2 rollup at ``as_of`` (without one: at the newest stored date); user filters;
+    with a limit, the page per scope in that order."""
+    r = rollup_at(rollup, periods, as_of)
     e = r.join(scope, "category_id").select("*", F.explode_outer("price_hist").alias("_h"))
     agg = (e.groupBy("period", "scope_id", "product_id")
            .agg(F.max("last").alias("l"),

@@ -30,6 +30,21 @@ SNAPSHOT = T.StructType([
     T.StructField("purchase_price", L),
 ])
 
+# The columns of a stored snapshot that only product events carry; null where rows come from elsewhere.
+SNAPSHOT_STORED = T.StructType([
+    *SNAPSHOT.fields,
+    T.StructField("attributes", T.ArrayType(S)),
+    T.StructField("tags", T.ArrayType(S)),
+    T.StructField("characteristics", T.MapType(S, S)),
+    T.StructField("seller_registration_date", TS),
+    T.StructField("seller_rating", RATING),
+    T.StructField("seller_reviews_count", L),
+    T.StructField("seller_orders", L),
+    T.StructField("seller_contacts", T.MapType(S, S)),
+    T.StructField("is_eco", T.BooleanType()),
+    T.StructField("is_adult", T.BooleanType()),
+])
+
 POSITION = T.StructType([
     T.StructField("ts", TS, False),
     T.StructField("product_id", L, False),
