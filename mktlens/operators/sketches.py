@@ -8,7 +8,7 @@ category of any size merges them without holding its values in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,7 +29,7 @@ def approx_by_scope(daily: DataFrame, scope: DataFrame, date_from: str, date_to:
     d = daily.filter(F.col("date").between(F.lit(date_from).cast("date"), F.lit(date_to).cast("date")))
     keys = ["category_id", "date"]
     st = (distinct_states(d, "seller_id", keys).join(distinct_states(d, "product_id", keys), keys)
-          .join(price_states(d, keys), keys))
+          .join(price_states(d, keys), keys, "left"))  # a day without prices has no price state
     merged = (st.join(scope, "category_id").groupBy("scope_id", "date")
               .agg(F.hll_union_agg("seller_id_hll").alias("s"), F.hll_union_agg("product_id_hll").alias("p"),
                    F.kll_merge_agg_bigint("price_kll").alias("k")))
@@ -37,3 +37,12 @@ def approx_by_scope(daily: DataFrame, scope: DataFrame, date_from: str, date_to:
                          F.hll_sketch_estimate("s").alias("approx_seller_count"),
                          F.hll_sketch_estimate("p").alias("approx_product_count"),
                          F.kll_sketch_get_quantile_bigint("k", F.lit(0.5)).alias("approx_median_price"))
+
+
+def approx_within(approx: DataFrame, exact: DataFrame, bound: float = 0.1) -> DataFrame:
+    """Exact counts of each (category, day) and whether the sketches' estimates lie within ``bound`` of them (or one off)."""
+    def near(e: str, x: str) -> Column:
+        return F.abs(F.col(e) - F.col(x)) <= F.greatest(F.lit(1.0), F.col(x) * bound)
+    return (exact.join(approx, ["category_id", "date"])
+            .select("category_id", "date", "seller_count", "product_count", near("approx_seller_count", "seller_count").alias("sellers_within"),
+                    near("approx_product_count", "product_count").alias("products_within")))

@@ -968,3 +968,46 @@ def subscription_grants() -> str:
 
 
 ORACLE["subscription_grants"] = subscription_grants
+
+
+def approx_within() -> str:
+    return with_ctes(["snap_events", "scope"], [("src", scoped_src())], """
+        SELECT scope_id AS category_id, date, count(DISTINCT seller_id) AS seller_count,
+               count(DISTINCT product_id) AS product_count, TRUE AS sellers_within, TRUE AS products_within
+        FROM src GROUP BY scope_id, date""")
+
+
+def payment_money() -> str:
+    return with_ctes(["payments"], [("m", "SELECT payment_id, CAST(round(amount * 100) AS BIGINT) AS cents FROM payments")], """
+        SELECT payment_id, cents // 100 AS units, CAST((cents % 100) * 10000000 AS INTEGER) AS nanos,
+               CAST(643 AS INTEGER) AS currency_code FROM m""")
+
+
+def product_links() -> str:
+    return f"SELECT f.*, 'https://example.com/product/' || CAST(product_id AS VARCHAR) AS url FROM ({first_discovered()}) f"
+
+
+def seller_list() -> str:
+    return f"SELECT s.*, count(*) OVER () AS total_row_count FROM ({seller_overall()}) s"
+
+
+def requested_sellers_dynamic() -> str:
+    asked = with_ctes(["report_requests"], [], "SELECT key FROM report_requests WHERE report_type = 'seller' AND interval_days = 21")
+    return f"SELECT * FROM ({seller_order_dynamic()}) d WHERE seller_link IN ({asked})"
+
+
+def category_cards_top() -> str:
+    return f"""SELECT * EXCLUDE (rn) FROM (
+                   SELECT c.*, row_number() OVER (PARTITION BY period ORDER BY revenue DESC, category_id) AS rn
+                   FROM ({category_cards()}) c) WHERE rn <= 10"""
+
+
+ORACLE.update({
+    "approx_within": approx_within,
+    "position_store": position_history,
+    "payment_money": payment_money,
+    "product_links": product_links,
+    "seller_list": seller_list,
+    "requested_sellers_dynamic": requested_sellers_dynamic,
+    "category_cards_top": category_cards_top,
+})

@@ -21,7 +21,8 @@ from . import categories as C
 from . import positions as P
 from . import products as PR
 from . import rollups as R
-from ..operators.filters import Filter
+from ..functions.numeric import money_split, product_url
+from ..operators.filters import Filter, in_filter, page, sort_columns, with_total
 from ..session import materialize_dimension
 from . import sellers as SE
 from . import accounts as AC
@@ -310,6 +311,42 @@ def q_approx_by_scope(spark, sf):
     return SK.approx_by_scope(_events_daily(spark, sf), _scope(spark, sf), EV_FROM, EV_TO)
 
 
+def q_approx_within(spark, sf):
+    daily, scope = _events_daily(spark, sf), _scope(spark, sf)
+    approx = SK.approx_by_scope(daily, scope, EV_FROM, EV_TO)
+    states = D.date_between(_stored_states(spark, daily), EV_FROM, EV_TO).join(scope, "category_id")
+    exact = DI.count_states(states, ["scope_id", "date"], R.ENTITY_COUNTS).withColumnRenamed("scope_id", "category_id")
+    return SK.approx_within(approx, exact)
+
+
+def q_position_store(spark, sf):
+    root = ST.scratch_root(spark, "positions")
+    IO.append_positions(X.positions(spark, sf), root)
+    return P.position_history(IO.read_positions(spark, root).drop("yyyymm"), EV_FROM, EV_TO)
+
+
+def q_payment_money(spark, sf):
+    return X.payments(spark, sf).select("payment_id", money_split(F.col("amount")).alias("m")).select("payment_id", "m.*")
+
+
+def q_product_links(spark, sf):
+    return PR.first_discovered(X.snap_events(spark, sf)).withColumn("url", product_url(F.col("product_id"), "https://example.com/product/"))
+
+
+def q_seller_list(spark, sf):
+    return with_total(SE.seller_overall(_events_daily(spark, sf), EV_FROM, EV_TO), [])
+
+
+def q_requested_sellers_dynamic(spark, sf):
+    asked = X.report_requests(spark, sf).filter((F.col("report_type") == "seller") & (F.col("interval_days") == 21))
+    return SE.seller_order_dynamic(in_filter(_events_daily(spark, sf), "seller_link", asked.select("key")), EV_FROM, EV_TO)
+
+
+def q_category_cards_top(spark, sf):
+    order = sort_columns([("revenue", "desc")], R.CARD_SORT_FIELDS, tie_breaker="category_id")
+    return page(q_category_cards(spark, sf), ["period"], order, limit=10)
+
+
 def q_report_batch(spark, sf):
     return RP.report_batch(X.report_requests(spark, sf), _events_daily(spark, sf), _scope(spark, sf), EV_AS_OF)
 
@@ -418,4 +455,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rollup_store": q_rollup_store,
     "streaming_subscription_ledger": q_streaming_subscription_ledger,
     "subscription_grants": q_subscription_grants,
+    "approx_within": q_approx_within,
+    "position_store": q_position_store,
+    "payment_money": q_payment_money,
+    "product_links": q_product_links,
+    "seller_list": q_seller_list,
+    "requested_sellers_dynamic": q_requested_sellers_dynamic,
+    "category_cards_top": q_category_cards_top,
 }
