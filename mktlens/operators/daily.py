@@ -20,6 +20,12 @@ from pyspark.sql import functions as F
 from ..functions.orders import gap_corrected_orders
 
 KEY = ["product_id", "sku_id", "date"]
+# Columns of J1 that only snapshots from product events carry; a state has those its rows have.
+EVENT_ONLY = ["seller_registration_date", "is_eco", "is_adult"]
+
+
+def _event_only(df: DataFrame) -> list[Column]:
+    return [F.max(c).alias(c) for c in EVENT_ONLY if c in df.columns]
 
 
 def last_struct(*extra: str) -> Column:
@@ -28,7 +34,7 @@ def last_struct(*extra: str) -> Column:
 
 
 def daily_state(snap: DataFrame) -> DataFrame:
-    """Snapshots -> daily states, per (product, sku, date)."""
+    """Snapshots -> daily states, per (product, sku, date); with the registration date and flags if the snapshots have them."""
     if "date" not in snap.columns:
         snap = snap.withColumn("date", F.to_date("ts"))
     lvl1 = (snap.groupBy(*KEY, "purchase_price", "full_price")
@@ -43,7 +49,7 @@ def daily_state(snap: DataFrame) -> DataFrame:
                  F.max("seller_title").alias("seller_title"),
                  F.max("seller_link").alias("seller_link"),
                  F.max("rating").alias("rating"),
-                 F.max(last_struct()).alias("last")))
+                 F.max(last_struct()).alias("last"), *_event_only(snap)))
     return merge_daily(lvl1.select(
         *KEY, "category_id", "min_total_order_amount", "max_total_order_amount",
         "min_available_amount", "max_available_amount",
@@ -53,7 +59,8 @@ def daily_state(snap: DataFrame) -> DataFrame:
         F.when(F.col("full_price").isNotNull(),
                F.array(F.struct(F.col("full_price").alias("price"), "n"))).otherwise(F.array())
         .alias("full_price_hist"),
-        "seller_id", "seller_account_id", "seller_title", "seller_link", "rating", "last"))
+        "seller_id", "seller_account_id", "seller_title", "seller_link", "rating", "last",
+        *[c for c in EVENT_ONLY if c in snap.columns]))
 
 
 def compact_hist(hist: Column) -> Column:
@@ -114,7 +121,7 @@ def merge_daily(states: DataFrame, compact: bool = False) -> DataFrame:
                  F.max("seller_title").alias("seller_title"),
                  F.max("seller_link").alias("seller_link"),
                  F.max("rating").alias("rating"),
-                 F.max("last").alias("last")))
+                 F.max("last").alias("last"), *_event_only(states)))
 
 
 def product_days(daily: DataFrame, keys: list[str] | tuple = (), with_full_price: bool = False) -> DataFrame:

@@ -1011,3 +1011,20 @@ ORACLE.update({
     "requested_sellers_dynamic": requested_sellers_dynamic,
     "category_cards_top": category_cards_top,
 })
+
+
+def daily_state_of_events() -> str:
+    return f"""
+        SELECT product_id, sku_id, CAST(ts AS DATE) AS date, max(category_id) AS category_id,
+               min(total_orders_amount) AS min_total_order_amount, max(total_orders_amount) AS max_total_order_amount,
+               min(available_amount) AS min_available_amount, max(available_amount) AS max_available_amount,
+               max(seller_id) AS seller_id, max(seller_account_id) AS seller_account_id,
+               max(seller_title) AS seller_title, max(seller_link) AS seller_link, max(rating) AS rating,
+               max(seller_registration_date) AS seller_registration_date, bool_or(is_eco) AS is_eco, bool_or(is_adult) AS is_adult,
+               median(purchase_price) AS median_price, median(full_price) AS median_full_price,
+               arg_max(title, ts) AS title, arg_max(photo_key, ts) AS photo_key,
+               arg_max(reviews_amount, ts) AS reviews_amount
+        FROM ({flatten_products()}) GROUP BY ALL"""
+
+
+ORACLE["daily_state_of_events"] = daily_state_of_events

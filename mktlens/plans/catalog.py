@@ -379,6 +379,10 @@ def q_snapshot_rows_stored(spark, sf):
     return IO.read_snapshots(spark, root).drop("yyyymm")
 
 
+def q_daily_state_of_events(spark, sf):
+    return D.finalise_daily(D.daily_state(q_snapshot_rows_stored(spark, sf)))
+
+
 def q_rollup_store(spark, sf):
     root = ST.scratch_root(spark, "rollups")
     cats = _cats(spark, sf)
@@ -452,6 +456,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_expiry": q_report_expiry,
     "snapshot_store": q_snapshot_store,
     "snapshot_rows_stored": q_snapshot_rows_stored,
+    "daily_state_of_events": q_daily_state_of_events,
     "rollup_store": q_rollup_store,
     "streaming_subscription_ledger": q_streaming_subscription_ledger,
     "subscription_grants": q_subscription_grants,
