@@ -119,3 +119,12 @@ def one_row_for(df: DataFrame, key: str, value, defaults: dict) -> DataFrame:
     for c, v in defaults.items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
     return out
+
+
+def rows_for(df: DataFrame, keys: DataFrame, defaults: dict) -> DataFrame:
+    """A14 / K15 for many keys at once: a row for every distinct key of ``keys`` (its columns are the key), with
+    ``defaults`` where ``df`` has none; columns without a default stay null."""
+    key = keys.columns
+    out = keys.distinct().join(df, key, "left")
+    return out.select(*key, *[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c)
+                              for c in df.columns if c not in key])

@@ -68,8 +68,15 @@ def category_closure_recursive(categories: DataFrame) -> DataFrame:
     )
 
 
-def descendants(closure: DataFrame, category_id: int, level: int = 0) -> DataFrame:
-    """Strict descendants of ``category_id``; ``level`` 0 = any depth, else exactly that depth."""
+def descendants(closure: DataFrame, category_id: int | DataFrame, level: int = 0) -> DataFrame:
+    """Strict descendants of ``category_id``; ``level`` 0 = any depth, else exactly that depth.
+
+    A one-column DataFrame of ids is answered as a whole: (ancestor, category_id, depth).
+    """
+    if isinstance(category_id, DataFrame):
+        asked = category_id.select(F.col(category_id.columns[0]).cast("long").alias("ancestor")).distinct()
+        out = closure.filter(F.col("depth") == level) if level else closure
+        return out.join(asked, "ancestor").select("ancestor", F.col("descendant").alias("category_id"), "depth")
     out = closure.filter(F.col("ancestor") == category_id)
     if level:
         out = out.filter(F.col("depth") == level)

@@ -46,3 +46,18 @@ def approx_within(approx: DataFrame, exact: DataFrame, bound: float = 0.1) -> Da
     return (exact.join(approx, ["category_id", "date"])
             .select("category_id", "date", "seller_count", "product_count", near("approx_seller_count", "seller_count").alias("sellers_within"),
                     near("approx_product_count", "product_count").alias("products_within")))
+
+
+def median_within(approx: DataFrame, daily: DataFrame, scope: DataFrame, bound: float = 0.05) -> DataFrame:
+    """Number of prices of each (category, day) that has any, and whether the sketch's median has a rank within ``bound`` of a half.
+
+    The exact rank is summed from the price histograms: the prices below the sketch's median and those up to it.
+    """
+    m = approx.select(F.col("category_id").alias("scope_id"), "date", F.col("approx_median_price").alias("m"))
+    prices = daily.select("category_id", "date", F.explode("price_hist").alias("h")).join(scope, "category_id").join(m, ["scope_id", "date"])
+    n = F.col("h.n")
+    ranks = prices.groupBy(F.col("scope_id").alias("category_id"), "date").agg(
+        F.sum(n).alias("prices"), F.sum(F.when(F.col("h.price") < F.col("m"), n).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("h.price") <= F.col("m"), n).otherwise(0)).alias("up_to"))
+    near = (F.col("below") <= (0.5 + bound) * F.col("prices")) & (F.col("up_to") >= (0.5 - bound) * F.col("prices"))
+    return ranks.select("category_id", "date", "prices", near.alias("median_within"))

@@ -1028,3 +1028,72 @@ def daily_state_of_events() -> str:
 
 
 ORACLE["daily_state_of_events"] = daily_state_of_events
+
+
+def approx_median_within() -> str:
+    return with_ctes(["snap_events", "scope"], [("src", scoped_src())], """
+        SELECT scope_id AS category_id, date, count(purchase_price) AS prices, TRUE AS median_within
+        FROM src WHERE purchase_price IS NOT NULL GROUP BY scope_id, date""")
+
+
+def product_price_filled() -> str:
+    return with_ctes(
+        ["snap_events"],
+        [("src", f"SELECT * FROM snap_events WHERE date BETWEEN {EV_D}"), ("pd", pd_cte("src", "", "TRUE")),
+         ("cal", f"""SELECT product_id, CAST(unnest(generate_series(DATE '{EV_FROM}', DATE '{EV_TO}' - 1, INTERVAL 1 DAY)) AS DATE) AS date
+                     FROM (SELECT DISTINCT product_id FROM pd)""")],
+        """SELECT product_id, date, last_value(med / 100 IGNORE NULLS) OVER w AS price, last_value(stock IGNORE NULLS) OVER w AS stock
+           FROM cal FULL OUTER JOIN pd USING (product_id, date)
+           WINDOW w AS (PARTITION BY product_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+
+
+def seller_overall_requested() -> str:
+    counts = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("order_amount", "product_count", "product_with_sales", "product_without_sales"))
+    asked = with_ctes(["sellers"], [], "SELECT DISTINCT link AS seller_link FROM sellers")
+    return f"""SELECT seller_link, {counts}, coalesce(revenue, 0.0) AS revenue, avg_price
+               FROM ({asked}) a LEFT JOIN ({seller_overall()}) s USING (seller_link)"""
+
+
+def category_descendants() -> str:
+    return with_ctes(["closure_deep"], [], """
+        SELECT ancestor, descendant AS category_id, depth FROM closure_deep WHERE ancestor >= 4000""")
+
+
+def category_grandchildren() -> str:
+    return with_ctes(["closure_deep"], [], """
+        SELECT ancestor AS category_id, descendant AS grandchild_id FROM closure_deep WHERE depth = 2""")
+
+
+def daily_store() -> str:
+    return f"SELECT * FROM ({daily_state_of_events()}) WHERE date BETWEEN {EV_D}"
+
+
+def sellers_ingested() -> str:
+    return with_ctes(
+        ["sellers"],
+        [("u", """SELECT DISTINCT user_id % 10 AS seller_id, (user_id % 10) % 5 AS account_id,
+                         'seller-' || CAST(user_id % 10 AS VARCHAR) AS link, 'shop ' || CAST(user_id % 10 AS VARCHAR) AS title FROM events""")],
+        """SELECT * FROM u UNION ALL
+           SELECT s.* FROM sellers s
+           WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.seller_id = s.seller_id AND u.account_id = s.account_id)""")
+
+
+def categories_ingested() -> str:
+    return with_ctes(["categories", "categories_deep"], [], """
+        SELECT category_id, parent_category_id, title FROM categories
+        UNION ALL SELECT category_id, parent_category_id, title FROM categories_deep""")
+
+
+ORACLE.update({
+    "category_with_prev_newest": category_with_prev,
+    "approx_median_within": approx_median_within,
+    "product_price_filled": product_price_filled,
+    "seller_overall_requested": seller_overall_requested,
+    "category_descendants": category_descendants,
+    "category_grandchildren": category_grandchildren,
+    "seller_layout": seller_order_dynamic,
+    "daily_store": daily_store,
+    "snapshots_retained": retention,
+    "sellers_ingested": sellers_ingested,
+    "categories_ingested": categories_ingested,
+})

@@ -22,7 +22,7 @@ from . import positions as P
 from . import products as PR
 from . import rollups as R
 from ..functions.numeric import money_split, product_url
-from ..operators.filters import Filter, in_filter, page, sort_columns, with_total
+from ..operators.filters import Filter, eq_filter, in_filter, page, range_filter, rows_for, sort_columns, with_total
 from ..session import materialize_dimension
 from . import sellers as SE
 from . import accounts as AC
@@ -31,7 +31,10 @@ from . import reports as RP
 from ..operators import sketches as SK
 from ..sources import events as EVT
 from ..sources import io as IO
+from ..sources import versions as V
+from ..sources.schema import DAILY
 from ..streaming import ingest as ST
+from ..streaming import replay as RE
 
 # Query parameters (fixed values of the registered queries).
 EV_FROM, EV_TO = "2024-01-02", "2024-01-30"
@@ -151,12 +154,12 @@ def _j2(spark, sf, periods):
                                      EV_AS_OF, periods)
 
 
-def _j3(spark, sf, states=None, cats=None, scope=None):
+def _j3(spark, sf, states=None, cats=None, scope=None, as_of=LI_AS_OF):
     if cats is None:
         cats, scope = _deep(spark, sf)
     snap = X.snap_lineitem(spark, sf)
     states = states if states is not None else _stored_states(spark, D.daily_state(snap))
-    return R.category_rollup(snap, states, R.root_scope(scope, cats), LI_AS_OF, LI_PERIODS)
+    return R.category_rollup(snap, states, R.root_scope(scope, cats), as_of, LI_PERIODS)
 
 
 def q_category_product_rollup(spark, sf):
@@ -181,6 +184,15 @@ def q_category_with_prev(spark, sf):
     return _q10(spark, sf)[1]
 
 
+def q_category_with_prev_newest(spark, sf):
+    root = ST.scratch_root(spark, "category-rollups")
+    cats, scope = _deep(spark, sf)
+    states = _stored_states(spark, D.daily_state(X.snap_lineitem(spark, sf)))
+    for as_of in ("2000-05-31", LI_AS_OF):
+        IO.write_rollup(_j3(spark, sf, states, cats, scope, as_of), root)
+    return R.category_with_prev(IO.read_table(spark, root), states, scope, None, LI_PERIODS)
+
+
 def q_category_cards(spark, sf):
     cats, q10 = _q10(spark, sf)
     return R.category_cards(q10, cats)
@@ -347,6 +359,66 @@ def q_category_cards_top(spark, sf):
     return page(q_category_cards(spark, sf), ["period"], order, limit=10)
 
 
+def q_approx_median_within(spark, sf):
+    daily, scope = _events_daily(spark, sf), _scope(spark, sf)
+    return SK.median_within(SK.approx_by_scope(daily, scope, EV_FROM, EV_TO), D.date_between(daily, EV_FROM, EV_TO), scope)
+
+
+def q_product_price_filled(spark, sf):
+    return PR.product_price_filled(_events_daily(spark, sf), EV_FROM, EV_TO)
+
+
+def q_seller_overall_requested(spark, sf):
+    asked = X.sellers(spark, sf).select(F.col("link").alias("seller_link"))
+    zeros = {"order_amount": 0, "revenue": 0.0, "product_count": 0, "product_with_sales": 0, "product_without_sales": 0}
+    return rows_for(SE.seller_overall(_events_daily(spark, sf), EV_FROM, EV_TO), asked, zeros)
+
+
+def q_category_descendants(spark, sf):
+    asked = X.categories_deep(spark, sf).filter(F.col("category_id") >= 4000).select("category_id")
+    return H.descendants(H.category_closure(X.categories_deep(spark, sf)), asked)
+
+
+def q_category_grandchildren(spark, sf):
+    closure = H.category_closure(X.categories_deep(spark, sf))
+    return eq_filter(closure, {"depth": 2}).select(F.col("ancestor").alias("category_id"), F.col("descendant").alias("grandchild_id"))
+
+
+def q_seller_layout(spark, sf):
+    root = ST.scratch_root(spark, "by-seller")
+    IO.write_layout(_events_daily(spark, sf), root, ["seller_link", "date"])
+    back = range_filter(IO.read_table(spark, root, DAILY), "date", F.lit(EV_FROM).cast("date"), F.lit(EV_TO).cast("date"))
+    return SE.seller_order_dynamic(back, EV_FROM, EV_TO)
+
+
+def q_daily_store(spark, sf):
+    root = ST.scratch_root(spark, "daily")
+    daily = D.daily_state(q_snapshot_rows_stored(spark, sf))
+    for part in (daily, D.date_between(daily, "2024-01-10", "2024-01-12")):  # the days built again replace themselves only
+        IO.write_daily(part, root)
+    return D.finalise_daily(IO.read_daily(spark, root, EV_FROM, EV_TO))
+
+
+def q_snapshots_retained(spark, sf):
+    root = ST.scratch_root(spark, "snapshots-by-month")
+    snap = X.snap_lineitem(spark, sf)
+    V.replace_parts(snap, root, 0, IO.yyyymm(F.col("ts")))
+    V.retain_months(spark, root, 1, "ts", LI_AS_OF, 4, snap.schema)
+    back = V.read_parts(spark, root, snap.schema)
+    return back.groupBy("category_id").agg(F.count(F.lit(1)).alias("rows_kept"), F.min("ts").alias("oldest"))
+
+
+def q_sellers_ingested(spark, sf):
+    events = X.product_events(spark, sf).select(F.struct("*").alias("product"))
+    return RE.ingested_table(spark, "seller_table", events, X.sellers(spark, sf), ["seller_id", "account_id"], ST.SELLER_SCHEMA)
+
+
+def q_categories_ingested(spark, sf):
+    events = X.category_events(spark, sf).select(F.struct("*").alias("category"))
+    stale = X.categories_deep(spark, sf).withColumn("title", F.concat(F.lit("old "), "title"))
+    return RE.ingested_table(spark, "category_table", events, X.categories(spark, sf).unionByName(stale), ["category_id"], ST.CATEGORY_SCHEMA)
+
+
 def q_report_batch(spark, sf):
     return RP.report_batch(X.report_requests(spark, sf), _events_daily(spark, sf), _scope(spark, sf), EV_AS_OF)
 
@@ -467,4 +539,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seller_list": q_seller_list,
     "requested_sellers_dynamic": q_requested_sellers_dynamic,
     "category_cards_top": q_category_cards_top,
+    "category_with_prev_newest": q_category_with_prev_newest,
+    "approx_median_within": q_approx_median_within,
+    "product_price_filled": q_product_price_filled,
+    "seller_overall_requested": q_seller_overall_requested,
+    "category_descendants": q_category_descendants,
+    "category_grandchildren": q_category_grandchildren,
+    "seller_layout": q_seller_layout,
+    "daily_store": q_daily_store,
+    "snapshots_retained": q_snapshots_retained,
+    "sellers_ingested": q_sellers_ingested,
+    "categories_ingested": q_categories_ingested,
 }

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.orders import stock_delta_orders
-from ..operators.charts import calendar, ordered_array
+from ..operators.charts import calendar, calendar_fill, carry_forward, ordered_array
 from ..operators.daily import date_between, product_days, product_days_raw, ts_between, with_orders
 
 
@@ -110,3 +110,11 @@ def product_daily_card(daily: DataFrame, categories: DataFrame, date_from: str,
     return (scal.join(charts, "product_id").join(first_seen, "product_id")
             .join(titles, "category_id", "left")
             .withColumn("category_name", F.coalesce("category_name", F.lit("unknown"))))
+
+
+def product_price_filled(daily: DataFrame, date_from: str, date_to: str) -> DataFrame:
+    """Price and stock of each product on every day of the range; a day without snapshots takes the values of the
+    last day before it that has any, the days before a product's first snapshot stay null."""
+    days = product_days(date_between(daily, date_from, date_to)).select(
+        "product_id", "date", (F.col("med") / 100).alias("price"), "stock")
+    return carry_forward(calendar_fill(days, ["product_id"], date_from, date_to, {}), ["product_id"], ["price", "stock"])

@@ -36,34 +36,39 @@ def period_bounds(as_of: str, period: str, previous: bool = False) -> tuple[dt.d
     return (a - dt.timedelta(2 * n), a - dt.timedelta(n)) if previous else (a - dt.timedelta(n), a)
 
 
-def _windows(as_of: str, periods: list[str], with_prev: bool, ts: bool) -> Column:
-    entries = []
-    for p in periods:
-        for kind in (["cur", "prev"] if with_prev else ["cur"]):
-            lo, hi = period_bounds(as_of, p, kind == "prev")
-            lo_c, hi_c = F.lit(lo), F.lit(hi)
-            if ts:
-                lo_c, hi_c = lo_c.cast("timestamp_ntz"), hi_c.cast("timestamp_ntz")
-            entries.append(F.struct(F.lit(p).alias("period"), F.lit(kind).alias("kind"),
-                                    lo_c.alias("lo"), hi_c.alias("hi")))
-    return F.array(*entries)
-
-
-def tag_windows(df: DataFrame, col: str, as_of: str, periods: list[str], with_prev: bool = True,
+def _bounds(as_of: str | dict[str, Column], period: str, previous: bool) -> tuple[Column, Column]:
+    """``period_bounds`` as columns, of a fixed date or of a date column for each period."""
+    if isinstance(as_of, str):
+        lo, hi = period_bounds(as_of, period, previous)
+        return F.lit(lo), F.lit(hi)
+    n = PERIODS[period]
+    end = F.date_sub(as_of[period], n) if previous else as_of[period]
+    return F.date_sub(end, n), end
+
+
+def _windows(as_of: str | dict[str, Column], periods: list[str], with_prev: bool, ts: bool) -> list[tuple[str, str, Column, Column]]:
+    """(period, kind, first, last) of every window."""
+    of = "timestamp_ntz" if ts else "date"
+    bounds = [(p, kind, _bounds(as_of, p, kind == "prev")) for p in periods for kind in (["cur", "prev"] if with_prev else ["cur"])]
+    return [(p, kind, lo.cast(of), hi.cast(of)) for p, kind, (lo, hi) in bounds]
+
+
+def tag_windows(df: DataFrame, col: str, as_of: str | dict[str, Column], periods: list[str], with_prev: bool = True,
                 ts: bool = False) -> DataFrame:
     """One output row per (input row, period window containing ``col``); adds ``period`` and ``kind``.
 
-    The overall range is filtered first so the scan prunes row groups / partitions.
+    ``as_of`` is the windows' last day, or a date column (a scalar subquery, say) for each period. The overall range is
+    filtered first so the scan prunes row groups / partitions.
     """
-    span = max(PERIODS[p] for p in periods) * (2 if with_prev else 1)
-    a = dt.date.fromisoformat(as_of)
-    lo, hi = F.lit(a - dt.timedelta(span)), F.lit(a)
-    if ts:
-        lo, hi = lo.cast("timestamp_ntz"), hi.cast("timestamp_ntz")
+    ranges = [(_bounds(as_of, p, with_prev)[0], _bounds(as_of, p, False)[1]) for p in periods]
+    if isinstance(as_of, str):  # the ranges end on one day: the longest holds the others
+        ranges = [ranges[max(range(len(periods)), key=lambda i: PERIODS[periods[i]])]]
     c = F.col(col)
-    arr = _windows(as_of, periods, with_prev, ts)
-    return (df.filter(c.between(lo, hi))
-            .select("*", F.explode(F.filter(arr, lambda w: c.between(w["lo"], w["hi"]))).alias("_w"))
+    of = "timestamp_ntz" if ts else "date"
+    inside = reduce(lambda a, b: a | b, [c.between(lo.cast(of), hi.cast(of)) for lo, hi in ranges])
+    hit = [F.when(c.between(lo, hi), F.struct(F.lit(p).alias("period"), F.lit(kind).alias("kind")))
+           for p, kind, lo, hi in _windows(as_of, periods, with_prev, ts)]
+    return (df.filter(inside).select("*", F.explode(F.array(*hit)).alias("_w")).filter("_w IS NOT NULL")
             .select("*", F.col("_w.period").alias("period"), F.col("_w.kind").alias("kind")).drop("_w"))
 
 
@@ -124,7 +129,7 @@ def _ratios(df: DataFrame, p: str = "") -> DataFrame:
     return (df.withColumn(f"{p}avg_bill", F.when(oa > 0, rev / oa).otherwise(F.lit(0.0)))
               .withColumn(f"{p}order_per_product", F.try_divide(oa.cast("double"), pc))
               .withColumn(f"{p}order_per_seller", F.try_divide(oa.cast("double"), sc))
-              .withColumn(f"{p}revenue_per_product", F.when(oa > 0, rev / pc).otherwise(F.lit(0.0))))
+              .withColumn(f"{p}revenue_per_product", F.when(oa > 0, F.try_divide(rev, pc)).otherwise(F.lit(0.0))))
 
 
 ENTITY_COUNTS = {"seller_id": "seller_count", "product_id": "product_count"}
@@ -173,6 +178,11 @@ def latest_as_of(rollup: DataFrame) -> DataFrame:
     return rollup.groupBy("period").agg(F.max("as_of").alias("as_of"))
 
 
+def newest_as_of(rollup: DataFrame, period: str) -> Column:
+    """S18 as a scalar subquery: the newest stored ``as_of`` of a period, null if nothing is stored."""
+    return rollup.filter(F.col("period") == period).agg(F.max("as_of")).scalar()
+
+
 def rollup_at(rollup: DataFrame, periods: list[str], as_of: str | None = None) -> DataFrame:
     """The rollup's rows of some periods at ``as_of``, or at each period's newest stored date.
 
@@ -181,8 +191,7 @@ def rollup_at(rollup: DataFrame, periods: list[str], as_of: str | None = None) -
     """
     if as_of is not None:
         return rollup.filter((F.col("as_of") == F.lit(as_of).cast("date")) & F.col("period").isin(periods))
-    newest = [(F.col("period") == p)
-              & (F.col("as_of") == rollup.filter(F.col("period") == p).agg(F.max("as_of")).scalar()) for p in periods]
+    newest = [(F.col("period") == p) & (F.col("as_of") == newest_as_of(rollup, p)) for p in periods]
     return rollup.filter(reduce(lambda a, b: a | b, newest))
 
 
@@ -232,19 +241,22 @@ Q10_COLS = ["order_amount", "available_amount", "revenue", "avg_bill", "seller_c
             "order_per_product", "order_per_seller", "revenue_per_product"]
 
 
-def category_with_prev(rollup: DataFrame, states: DataFrame, scope: DataFrame, as_of: str,
+def category_with_prev(rollup: DataFrame, states: DataFrame, scope: DataFrame, as_of: str | None,
                        periods: list[str]) -> DataFrame:
-    """Q10: current and previous period metrics for every category scope, from the J3 rows at ``as_of``.
+    """Q10: current and previous period metrics for every category scope, from the J3 rows at ``as_of`` (without one: at
+    each period's newest stored date).
 
     Sums come from the rollup; distinct sellers / products from the daily table's states
-    (``operators.distincts``), merged over each window within the scope itself.
+    (``operators.distincts``), merged over each window within the scope itself. A ratio to a count is null where the states
+    of its window are gone (retention) but the rollup still has orders.
     """
-    r = rollup.filter((F.col("as_of") == F.lit(as_of).cast("date")) & F.col("period").isin(periods))
+    r = rollup_at(rollup, periods, as_of)
     s = (r.join(scope, "category_id").groupBy("period", "scope_id")
          .agg(*[F.sum(c).alias(c) for c in ["order_amount", "available_amount", "prev_order_amount",
                                             "prev_available_amount"]],
               (F.sum("revenue") / 100).alias("revenue"), (F.sum("prev_revenue") / 100).alias("prev_revenue")))
-    windows = tag_windows(states.join(scope, "category_id"), "date", as_of, periods)
+    ends = as_of if as_of is not None else {p: newest_as_of(rollup, p) for p in periods}
+    windows = tag_windows(states, "date", ends, periods).join(scope, "category_id")
     windows = windows.withColumn("entity", F.concat("kind", F.lit(":"), "entity"))
     names = {f"{kind}:{e}": pre + n for kind, pre in (("cur", ""), ("prev", "prev_")) for e, n in ENTITY_COUNTS.items()}
     dist = count_states(windows, ["period", "scope_id"], names)
@@ -253,9 +265,9 @@ def category_with_prev(rollup: DataFrame, states: DataFrame, scope: DataFrame, a
         oa, rev = F.col(f"{p}order_amount"), F.col(f"{p}revenue")
         pc, sc = F.col(f"{p}product_count"), F.col(f"{p}seller_count")
         out = (out.withColumn(f"{p}avg_bill", F.when(oa > 0, rev / oa).otherwise(F.lit(0.0)))
-               .withColumn(f"{p}order_per_product", F.when(oa > 0, oa / pc).otherwise(F.lit(0.0)))
-               .withColumn(f"{p}order_per_seller", F.when(oa > 0, oa / sc).otherwise(F.lit(0.0)))
-               .withColumn(f"{p}revenue_per_product", F.when(oa > 0, rev / pc).otherwise(F.lit(0.0))))
+               .withColumn(f"{p}order_per_product", F.when(oa > 0, F.try_divide(oa, pc)).otherwise(F.lit(0.0)))
+               .withColumn(f"{p}order_per_seller", F.when(oa > 0, F.try_divide(oa, sc)).otherwise(F.lit(0.0)))
+               .withColumn(f"{p}revenue_per_product", F.when(oa > 0, F.try_divide(rev, pc)).otherwise(F.lit(0.0))))
     return out.select("period", F.col("scope_id").alias("category_id"), *Q10_COLS, *[f"prev_{c}" for c in Q10_COLS])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schema import POSITION, SNAPSHOT_STORED
+from .schema import DAILY_STORED, POSITION, SNAPSHOT_STORED
 
 
 def yyyymm(ts: Column) -> Column:
@@ -34,11 +34,15 @@ def _append_clustered(df: DataFrame, path: str, sort: list[str], slices: int) ->
      .partitionBy("yyyymm").parquet(path))
 
 
+def _with_all_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema``; those ``df`` does not have are null."""
+    have = set(df.columns)
+    return df.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def append_snapshots(df: DataFrame, path: str, slices: int = 16) -> None:
     """Append snapshots with all 27 columns; those ``df`` does not have are null."""
-    have = set(df.columns)
-    cols = [F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in SNAPSHOT_STORED]
-    _append_clustered(df.select(*cols), path, ["product_id", "sku_id", "ts"], slices)
+    _append_clustered(_with_all_columns(df, SNAPSHOT_STORED), path, ["product_id", "sku_id", "ts"], slices)
 
 
 def append_positions(df: DataFrame, path: str, slices: int = 16) -> None:
@@ -117,10 +121,21 @@ def read_positions(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, T.StructType([*POSITION.fields, T.StructField("yyyymm", T.IntegerType())]))
 
 
-def read_daily(spark: SparkSession, path: str) -> DataFrame:
-    """S3: daily states (merged at read time, see ``operators.daily.merge_daily``)."""
-    from .schema import DAILY
-    return read_table(spark, path, DAILY)
+def write_daily(df: DataFrame, path: str, slices: int = 16) -> None:
+    """Store daily states by date. Only the dates in ``df`` are replaced; the products of a date are dealt over
+    ``slices`` tasks and files and sorted, so a day is never one task and reads of some products skip row groups."""
+    product_slice = F.pmod(F.xxhash64("product_id"), F.lit(slices))
+    (_with_all_columns(df, DAILY_STORED).repartition("date", product_slice).sortWithinPartitions("date", "product_id", "sku_id")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
+
+
+def read_daily(spark: SparkSession, path: str, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """S3: stored daily states with the registration date and flags (merged at read time, see
+    ``operators.daily.merge_daily``); a range of dates prunes folders."""
+    df = read_table(spark, path, DAILY_STORED).select(*DAILY_STORED.names)
+    if date_from is not None:
+        df = df.filter(F.col("date").between(F.lit(date_from).cast("date"), F.lit(date_to).cast("date")))
+    return df
 
 
 def read_rollup(spark: SparkSession, path: str, period: str, as_of: str | None = None) -> DataFrame:

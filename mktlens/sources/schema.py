@@ -82,6 +82,14 @@ DAILY = T.StructType([
     T.StructField("last", LAST_STATE),
 ])
 
+# The daily table as stored: also the columns that only product events carry (null for rows from elsewhere).
+DAILY_STORED = T.StructType([
+    *DAILY.fields,
+    T.StructField("seller_registration_date", TS),
+    T.StructField("is_eco", T.BooleanType()),
+    T.StructField("is_adult", T.BooleanType()),
+])
+
 CATEGORY = T.StructType([
     T.StructField("category_id", L, False),
     T.StructField("parent_category_id", L, False),

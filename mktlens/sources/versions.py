@@ -45,10 +45,15 @@ def publish(spark: SparkSession, root: str, version: int, parts: dict[str, int])
 
 
 def replace_parts(df: DataFrame, root: str, version: int, part: Column) -> list[str]:
-    """Write the rows of ``df`` as the whole content of the parts they fall into; returns these parts."""
+    """Write the rows of ``df`` as the whole content of the parts they fall into; returns these parts.
+
+    Rows are rebalanced by part first: a small part becomes one file, a part that holds a large share of the rows is
+    split over many tasks.
+    """
     spark = df.sparkSession
     data = f"{root}/data/version={version}"
-    df.withColumn("part", part.cast("string")).write.mode("overwrite").partitionBy("part").parquet(data)
+    rows = df.withColumn("part", part.cast("string")).hint("rebalance", F.col("part"))
+    rows.write.mode("overwrite").partitionBy("part").parquet(data)
     written = [r["part"] for r in spark.read.schema(T.StructType([T.StructField("part", T.StringType())])).parquet(data).distinct().collect()]
     publish(spark, root, version, manifest(spark, root, version)[1] | dict.fromkeys(written, version))
     return written
@@ -97,6 +102,17 @@ def retain_parts(spark: SparkSession, root: str, version: int, lowest: str, bord
     return sorted(set(at) - set(left))
 
 
+def retain_months(spark: SparkSession, root: str, version: int, ts_col: str, as_of: str, months: int, schema: T.StructType) -> list[str]:
+    """S15 for a table whose parts are months (yyyyMM): keep the rows newer than ``as_of`` minus ``months``.
+
+    Months that are older as a whole leave the manifest unread, the month of the bound is rewritten, the others
+    keep their files. Returns the months that left.
+    """
+    bound = spark.range(1).select(F.add_months(F.lit(as_of).cast("date"), -months)).first()[0]
+    keep = F.col(ts_col) > F.lit(bound).cast("timestamp_ntz")
+    return retain_parts(spark, root, version, f"{bound:%Y%m}", f"{bound:%Y%m}", keep, schema)
+
+
 def vacuum_paths(spark: SparkSession, root: str) -> list[str]:
     """Folders of parts that the newest manifest doesn't point at any more."""
     now = {f"version={v}/part={p}" for p, v in manifest(spark, root)[1].items()}
