@@ -19,6 +19,8 @@
    order's prefixes and of the second's and the third's; these pairs are verified by
    the whole sets. A set of n tokens has at most ``s`` in common with any other, s being
    n less its tokens of frequency 1: that bounds the similarity of a pair by (n, s).
+   Where pairs are made, so do ``PARITY`` bits of each set, the parity of its tokens by
+   hash: every bit that differs stands for a token that only one of the two has.
 4. A token's documents are not all paired. First those go that by the bound, for each
    (n, s) that occurs under the token, have no possible partner outside their
    component. The rest is held against a pivot, the set with the fewest tokens of its
@@ -60,6 +62,8 @@ KEY_BITS, HASH_BITS = 40, 39
 SMALL = 200
 #: Visible share of the token range, as a multiple of the share of a prefix.
 VISIBLE = 1.75
+#: Parity bits of a set, in words of 64.
+PARITY = 512
 #: Rounds against pivots before the pairs that are left are all verified.
 PIVOT_ROUNDS = 1
 
@@ -305,18 +309,28 @@ def prefixes(texts: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
     return texts.join(found, "block", "left").mapInArrow(cut, PREFIXES)
 
 
+def parity_words(sets: list[np.ndarray]) -> np.ndarray:
+    """Each set's parity bits as a row of 64-bit words: bit k is set if an odd number of its tokens fall to k."""
+    lens = np.array([len(x) for x in sets], dtype=np.int64)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    at = np.repeat(np.arange(len(sets)), lens) * PARITY + (flat % np.uint64(PARITY)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sets) * PARITY) & 1).astype(np.uint8).reshape(len(sets), PARITY)
+    return np.packbits(odd, axis=1).view("<i8")
+
+
 def candidate_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(sig, tokens binary): the whole sets of the wanted classes (sig, rep), read from one document of each."""
+    """(sig, tokens binary, bits): the whole sets of the wanted classes (sig, rep), read from one document of each."""
     def build(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 sets = shingle_sets(batch.slice(at, BATCH).column("text"), shingle)
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()),
-                                                  pa.array([x.tobytes() for x in sets], pa.binary())], ["sig", "tokens"])
+                                                  pa.array([x.tobytes() for x in sets], pa.binary()),
+                                                  pa.array(list(parity_words(sets)), pa.list_(pa.int64()))], ["sig", "tokens", "bits"])
 
     reps = wanted.select(F.col("rep")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
-    sets = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(build, "sig binary, tokens binary")
+    sets = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(build, "sig binary, tokens binary, bits array<bigint>")
     return sets.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
@@ -367,6 +381,15 @@ def _possible(n, s, m, t, percent: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(s, t) * (100 + percent) >= (n + m) * percent)
 
 
+def _near(percent: int):
+    """Whether the tokens that the parity bits of a row and of ``x`` show to be in one of them alone leave enough in common."""
+    apart = F.lit(0)
+    for k in range(PARITY // 64):
+        apart = apart + F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("x.bits", F.lit(k))))
+    both = F.col("n").cast("long") + F.col("x.n")
+    return (both - apart) * (100 + percent) >= both * (2 * percent)
+
+
 def _open(postings: DataFrame, percent: int) -> DataFrame:
     """The postings (token, sig, n, s, c) that may have a partner in another component c."""
     # of each size the most that any set has in common with others: no partner is missed, some postings more stay
@@ -390,13 +413,14 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, *conditions) -> Data
 def class_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): each linked class but the smallest of its component, with that smallest one.
 
-    ``postings`` (token, sig, n, s): the first order's prefixes. ``sets`` (sig, tokens, p1, p2, p3).
+    ``postings`` (token, sig, n, s): the first order's prefixes. ``sets`` (sig, tokens, bits, p1, p2, p3).
     """
-    links, now = None, postings.withColumn("c", F.col("sig"))
+    links, now, bits = None, postings.withColumn("c", F.col("sig")), sets.select("sig", "bits")
     for _ in range(PIVOT_ROUNDS):
         now = kept(_open(now, percent), "open")
         pivots = now.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "sig", "n", "s", "c")).alias("x"))
-        pairs = _pairs(now, pivots.withColumnRenamed("token", "t"), percent)
+        held = pivots.select(F.col("token").alias("t"), "x.*").join(bits, "sig").select("t", F.struct("sig", "n", "s", "c", "bits").alias("x"))
+        pairs = _pairs(now.join(bits, "sig"), held, percent, _near(percent))
         found = verified(pairs, sets, percent)
         links = stars(found if links is None else found.unionByName(links))
         now = (now.join(pivots.select("token", F.col("x.sig").alias("pivot")), "token").filter(F.col("sig") != F.col("pivot"))
@@ -406,11 +430,11 @@ def class_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     # a pair of different components has one side at least outside the token's largest component
     largest = (now.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
                .agg(F.max_by("c", F.struct("k", "c")).alias("largest")))
-    full = now.join(sets.select("sig", "p1"), "sig")
+    full = now.join(sets.select("sig", "p1", "bits"), "sig")
     others = (full.join(largest, "token").filter(F.col("c") != F.col("largest"))
-              .select(F.col("token").alias("t"), F.struct("sig", "n", "s", "c", "p1").alias("x")))
+              .select(F.col("token").alias("t"), F.struct("sig", "n", "s", "c", "p1", "bits").alias("x")))
     first = F.array_min(F.array_intersect("p1", "x.p1")) == F.col("token")
-    return stars(verified(_pairs(full, others, percent, first), sets, percent).unionByName(links))
+    return stars(verified(_pairs(full, others, percent, _near(percent), first), sets, percent).unionByName(links))
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:

@@ -103,3 +103,22 @@ def test_licence_labels_and_scores_against_brute_force(spark):
         assert r.score == pytest.approx(score) and (r.first_word, r.last_word) == (min(places, default=None), max(places, default=None))
         seen |= labels
     assert seen == {t["label"] for t in templates}
+
+
+def test_parity_bits_never_show_more_than_the_difference():
+    import numpy as np
+
+    from mktlens.llm.shingle_join import PARITY, parity_words
+    rnd = np.random.default_rng(1)
+    sets = [np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 5, 60, 400, 3000) for _ in range(4)]
+    sets += [np.unique(np.concatenate([x[len(x) // 10:], rnd.integers(0, 1 << 63, 3, dtype=np.uint64)])) for x in sets]
+    words = parity_words(sets)
+    assert words.shape == (len(sets), PARITY // 64)
+    shown = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            apart = sum(int(a ^ b).bit_count() for a, b in zip(words[i].view(np.uint64).tolist(), words[j].view(np.uint64).tolist(), strict=True))
+            really = len(np.setxor1d(x, y))
+            assert apart <= really and (apart - really) % 2 == 0
+            shown += really > 0 and apart == really
+    assert shown > 50 and parity_words([]).shape[0] == 0
