@@ -9,6 +9,8 @@ version again replaces its own files and manifest only, so a replayed batch chan
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,12 +77,18 @@ def merge_keyed(updates: DataFrame, root: str, version: int, keys: list[str], sc
 
     ``updates`` may carry ``update_seq`` (see ``io.upsert``). Returns the rewritten buckets.
     """
+    return fold_keyed(updates, root, version, keys, schema, lambda existing: upsert(existing, updates, keys), buckets)
+
+
+def fold_keyed(updates: DataFrame, root: str, version: int, keys: list[str], schema: T.StructType,
+               fold: Callable[[DataFrame], DataFrame], buckets: int = 64) -> list[str]:
+    """Rewrite the key buckets that the updates touch as ``fold`` of their rows so far; returns these buckets."""
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string")
     touched = [r[0] for r in updates.select(bucket).distinct().collect()]  # at most ``buckets`` rows
     if not touched:
         return []
     existing = read_parts(updates.sparkSession, root, schema, touched, before=version)
-    return replace_parts(upsert(existing, updates, keys), root, version, bucket)
+    return replace_parts(fold(existing), root, version, bucket)
 
 
 def retain_parts(spark: SparkSession, root: str, version: int, lowest: str, border: str | None = None,

@@ -10,7 +10,8 @@
 * ``ingest_stream``: mixed crawler events -> routed, flattened facts appended
   per batch (T1, T7), same idempotence rule; sellers and categories are merged by key into
   stored tables (``sources.versions``), which rewrite the touched key buckets only.
-* ``payment_state_stream``: created and status events of payments as one stream with state by payment.
+* ``payment_state_stream`` and ``subscription_stream``: streams with state by payment and by user; the state is a
+  stored table of key buckets, each batch one set-based fold of its events into it.
 
 Checkpoints and sinks live under the shared folder the session names in
 ``spark.checkpoint.dir`` (a scratch folder is taken only when it is unset).
@@ -23,16 +24,15 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.daily import daily_state, merge_daily
 from ..session import ensure_checkpoint_dir
 from ..sources.events import category_nodes, extract_sellers, flatten_categories, flatten_products, map_positions, route_events
 from ..sources.schema import DAILY
-from ..sources.versions import manifest, merge_keyed, path_exists, read_parts, replace_parts
+from ..sources.versions import fold_keyed, manifest, merge_keyed, path_exists, read_parts, replace_parts
 
 
 def scratch_root(spark: SparkSession, name: str) -> str:
@@ -43,6 +43,13 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def _arrived(spark: SparkSession, batch: DataFrame, checkpoint: str) -> DataFrame:
+    """The rows of a micro-batch, stored until the next one: its sources are read once, and jobs on it are ordinary batch jobs."""
+    path = f"{checkpoint}/arrived"
+    batch.write.mode("overwrite").parquet(path)
+    return spark.read.schema(batch.schema).parquet(path)
+
+
 def daily_state_stream(spark: SparkSession, source_dir: str, schema, sink: str, checkpoint: str,
                        max_files_per_trigger: int = 1, available_now: bool = True):
     """Stream snapshot files into daily-state parts, with a log of the dates of each; returns the started query."""
@@ -269,88 +276,84 @@ def latest_payments(spark: SparkSession, table_root: str, before: int | None = N
     return versions.filter(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
 
 
-PAYMENT_EVENT = ("payment_id long, kind string, at string, seq long, status string, user_id long, amount double,"
-                 " subscription_type string, multiply long")
 PAYMENT_CHANGE = ("payment_id long, kind string, number long, user_id long, created_at string, status string, paid boolean,"
                   " amount double, subscription_type string, multiply long")
+#: A payment's state: its created event (null: not yet come), its status events in order, each once, the extensions due after
+#: its last change and those due before it, how often it changed, and the batch of the last events.
+PAYMENT_STATE = T.StructType([
+    T.StructField("payment_id", T.LongType()),
+    T.StructField("first", T.StructType([
+        T.StructField("at", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("status", T.StringType()),
+        T.StructField("amount", T.DoubleType()), T.StructField("subscription_type", T.StringType()), T.StructField("multiply", T.LongType())])),
+    T.StructField("statuses", T.ArrayType(T.StructType([
+        T.StructField("at", T.TimestampNTZType()), T.StructField("seq", T.LongType()), T.StructField("status", T.StringType())]))),
+    *[T.StructField(n, T.LongType()) for n in ("given", "due", "changes", "batch")]])
 
 
-class PaymentProcessor(StatefulProcessor):
-    """State by payment: its created event and its status events, each once. Gives the payment's row after every change, and every
-    extension of the subscription that the payment fires, exactly once.
+def payment_fold(events: DataFrame, state: DataFrame, batch_id: int) -> DataFrame:
+    """The state after a batch: events (payment_id, first, statuses) put to what is known of their payments.
 
     Events may come in any order and repeatedly: what is known so far is put in order of event time, as the batch job
     does. An event that comes late never takes an extension back, as the number of changes into success only grows
-    with more events, so the extensions already given are the first of those due.
+    with more events, so the extensions already given are the first of those due. Status events wait for their payment.
     """
-
-    def init(self, handle) -> None:
-        self.known = handle.getValueState("known", "payment string")  # a payment's few events, read and written as one
-
-    def handleInputRows(self, key, rows, timerValues):
-        import json
-
-        from pyspark.sql import Row
-
-        (payment_id,) = key
-        found = self.known.get()
-        first, statuses, given, changes = json.loads(found[0]) if found else (None, [], 0, 0)
-        seen = set(map(tuple, statuses))
-        for r in rows:
-            if r["kind"] == "status":
-                seen.add((r["at"], r["seq"], r["status"]))
-            else:
-                row = [r["at"], r["user_id"], r["status"], r["amount"], r["subscription_type"], r["multiply"]]
-                first = row if first is None else min(first, row)
-        statuses = sorted(seen)
-        if first is None:  # status events wait for their payment
-            self.known.update((json.dumps([None, statuses, 0, 0]),))
-            return
-        at, user_id, status, amount, plan, multiply = first
-        steps = [status] + [s for _, _, s in statuses]
-        due = sum(b == "success" and a != "success" for a, b in zip([None, *steps], steps))
-        self.known.update((json.dumps([first, statuses, due, changes + 1]),))
-        out = [(payment_id, "payment", changes + 1, user_id, at, steps[-1], steps[-1] == "success", amount, plan, multiply)]
-        out += [(payment_id, "extension", n, user_id, at, "success", True, amount, plan, multiply) for n in range(given + 1, due + 1)]
-        make = Row(*[f.strip().split(" ")[0] for f in PAYMENT_CHANGE.split(",")])
-        yield from (make(*x) for x in out)
-
-    def close(self) -> None:
-        pass
+    new = events.select("*", *[F.lit(0).cast("long").alias(c) for c in ("given", "due", "changes")], F.lit(batch_id).cast("long").alias("batch"))
+    rows = state.unionByName(new).groupBy("payment_id").agg(
+        F.min("first").alias("first"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("statuses")))).alias("statuses"),
+        F.max("given").alias("given"), F.max("due").alias("before"), F.max("changes").alias("changes"), F.max("batch").alias("batch"))
+    steps = F.concat(F.array(F.col("first.status")), F.transform("statuses", lambda s: s["status"]))
+    into_success = lambda s: F.size(F.filter(s, lambda x, i: (x == "success") & ~F.get(s, i - 1).eqNullSafe(F.lit("success"))))
+    due = F.element_at(F.transform(F.array(steps), into_success), 1).cast("long")  # the steps worked out once
+    touched, known = F.col("batch") == batch_id, F.col("first").isNotNull()
+    return rows.select("payment_id", "first", "statuses", F.when(touched, F.col("before")).otherwise(F.col("given")).alias("given"),
+                       F.when(known, due).otherwise(F.lit(0)).cast("long").alias("due"),
+                       (F.col("changes") + (touched & known).cast("long")).alias("changes"), "batch")
+
+
+def payment_changes(state: DataFrame, batch_id: int) -> DataFrame:
+    """What a batch changed: the row of every payment with events in it, and every extension that it fired, exactly once."""
+    changed = state.filter((F.col("batch") == batch_id) & F.col("first").isNotNull())
+    now = F.coalesce(F.try_element_at("statuses", F.lit(-1))["status"], F.col("first.status"))
+    row = lambda kind, number, status: F.struct(F.lit(kind).alias("kind"), number.alias("number"), status.alias("status"))
+    fired = F.when(F.col("due") > F.col("given"), F.sequence(F.col("given") + 1, F.col("due"))).otherwise(F.array().cast("array<bigint>"))
+    rows = F.concat(F.array(row("payment", F.col("changes"), now)), F.transform(fired, lambda n: row("extension", n, F.lit("success"))))
+    return changed.select("payment_id", "first", F.explode(rows).alias("x")).select(
+        "payment_id", "x.kind", "x.number", "first.user_id", F.date_format("first.at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"),
+        "x.status", (F.col("x.status") == "success").alias("paid"), "first.amount", "first.subscription_type", "first.multiply")
 
 
 def payment_state_stream(created: DataFrame, status_events: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
-    """The created and the status stream of payments as one stateful stream (``transformWithState``).
+    """The created and the status stream of payments as one stream with state by payment.
 
     ``created`` and ``status_events`` are streaming DataFrames with the columns of the batch job (``plans.accounts``). The
-    sink's rows are payments (number: the change) and extensions (number: the payment's nth).
+    sink's rows are payments (number: the change) and extensions (number: the payment's nth). The state is a stored table
+    beside the checkpoint; a batch rewrites the key buckets of its payments, and a replayed batch replaces itself.
     """
     from ..plans.accounts import PAYMENT_STATUS, PLAN_CODES
 
     spark = created.sparkSession
-    stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     plan_map = F.create_map(*[x for k, v in PLAN_CODES.items() for x in (F.lit(k), F.lit(v))])
     status = F.when(F.col("status").isin(list(PAYMENT_STATUS)), F.col("status")).otherwise(F.lit("unknown"))
-    one = created.select("payment_id", F.lit("created").alias("kind"), F.date_format(F.col("created_at").cast("timestamp_ntz"), stamp).alias("at"),
-                         F.lit(0).cast("long").alias("seq"), status.alias("status"), F.col("user_id").cast("long").alias("user_id"),
-                         (F.col("amount_minor") / 100).alias("amount"),
-                         F.element_at(plan_map, F.col("plan_code").cast("int")).alias("subscription_type"),
-                         F.coalesce(F.col("multiply"), F.lit(1)).cast("long").alias("multiply")).filter("subscription_type IS NOT NULL")
+    of = {f.name: f.dataType for f in PAYMENT_STATE.fields}
+    first = F.struct(F.col("created_at").cast("timestamp_ntz").alias("at"), F.col("user_id").cast("long").alias("user_id"), status.alias("status"),
+                     (F.col("amount_minor") / 100).alias("amount"),
+                     F.element_at(plan_map, F.col("plan_code").cast("int")).alias("subscription_type"),
+                     F.coalesce(F.col("multiply"), F.lit(1)).cast("long").alias("multiply"))
+    one = created.select("payment_id", first.alias("first"), F.array().cast(of["statuses"]).alias("statuses")).filter("first.subscription_type IS NOT NULL")
+    known = F.struct(F.col("event_ts").cast("timestamp_ntz").alias("at"), F.col("event_seq").cast("long").alias("seq"), F.col("status").alias("status"))
     two = (status_events.filter(F.col("status").isin(list(PAYMENT_STATUS)))
-           .select("payment_id", F.lit("status").alias("kind"), F.date_format(F.col("event_ts").cast("timestamp_ntz"), stamp).alias("at"),
-                   F.col("event_seq").cast("long").alias("seq"), "status", F.lit(0).cast("long").alias("user_id"), F.lit(0.0).alias("amount"),
-                   F.lit("").alias("subscription_type"), F.lit(0).cast("long").alias("multiply")))
-    changes = (one.unionByName(two).groupBy("payment_id")
-               .transformWithState(PaymentProcessor(), PAYMENT_CHANGE, "append", "none"))
-    w = changes.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
+           .select("payment_id", F.lit(None).cast(of["first"]).alias("first"), F.array(known).cast(of["statuses"]).alias("statuses")))
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        new = _arrived(spark, batch, checkpoint)
+        root = f"{checkpoint}/keyed"
+        parts = fold_keyed(new, root, batch_id, ["payment_id"], PAYMENT_STATE, lambda state: payment_fold(new, state, batch_id))
+        if parts:
+            _write_batch(payment_changes(read_parts(spark, root, PAYMENT_STATE, parts), batch_id), sink, batch_id)
+
+    w = one.unionByName(two).writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    provider = "spark.sql.streaming.stateStore.providerClass"  # this operator's state needs RocksDB
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return w.start()
-    finally:
-        spark.conf.set(provider, before)
+    return w.start()
 
 
 def streamed_payments(spark: SparkSession, created: DataFrame, status_events: DataFrame, n_ranges: int = 2) -> DataFrame:
@@ -361,17 +364,13 @@ def streamed_payments(spark: SparkSession, created: DataFrame, status_events: Da
     again = F.col("payment_id") % 4 == 0
     deliveries = [(created.filter(F.col("payment_id") % 2 == 0), status_events.filter(day == n_ranges - 1)),
                   (created.filter(again | (F.col("payment_id") % 2 == 1)), status_events.filter(again | (day != n_ranges - 1)))]
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))  # kept by the state store
-    try:
-        for c, e in deliveries:
-            c.write.mode("append").parquet(f"{root}/created")
-            e.write.mode("append").parquet(f"{root}/status")
-            sources = [spark.readStream.schema(df.schema).parquet(f"{root}/{name}") for df, name in ((created, "created"), (status_events, "status"))]
-            payment_state_stream(*sources, f"{root}/changes", f"{root}/checkpoint").awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
-    changes = spark.read.schema(PAYMENT_CHANGE).parquet(f"{root}/changes")
+    for c, e in deliveries:
+        c.write.mode("append").parquet(f"{root}/created")
+        e.write.mode("append").parquet(f"{root}/status")
+        sources = [spark.readStream.schema(df.schema).parquet(f"{root}/{name}") for df, name in ((created, "created"), (status_events, "status"))]
+        payment_state_stream(*sources, f"{root}/changes", f"{root}/checkpoint").awaitTermination()
+    changes = (spark.read.schema(PAYMENT_CHANGE).parquet(f"{root}/changes") if path_exists(spark, f"{root}/changes")
+               else spark.createDataFrame([], PAYMENT_CHANGE))
     last = F.max_by(F.struct("user_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "status", "paid", "amount",
                              "subscription_type", "multiply"), F.when(F.col("kind") == "payment", F.col("number")))
     return (changes.groupBy("payment_id").agg(last.alias("p"), F.count_if(F.col("kind") == "extension").alias("extensions"))

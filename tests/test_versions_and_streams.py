@@ -20,6 +20,7 @@ from mktlens.sources.events import POSITION_EVENT, PRODUCT_EVENT, category_nodes
 from mktlens.sources.schema import DAILY
 from mktlens.sources.versions import manifest, merge_keyed, read_parts, replace_parts, retain_parts, vacuum_paths
 from mktlens.streaming.ingest import (CATEGORY_SCHEMA, SELLER_SCHEMA, compact_daily_parts, daily_state_stream, ingest_stream, latest_payments,
+                                      PAYMENT_STATE, payment_changes, payment_fold,
                                       payment_stream, read_daily_parts, streamed_payments)
 
 SF = "/root/testdata/sf0.001"
@@ -206,3 +207,21 @@ def test_payment_versions_read_errors_are_errors(spark, tmp_path):
         f.write(b"broken")
     with pytest.raises(Exception):
         latest_payments(spark, root).collect()
+
+
+def test_payment_state_is_folded_by_batch(spark):
+    """Set-based: the state after two batches is that of all events, and each change is given once."""
+    t = lambda d: dt.datetime(2024, 1, d)
+    events = T.StructType(PAYMENT_STATE.fields[:3])
+    first = (t(1), 10, "pending", 15.0, "advanced", 1)
+    one = spark.createDataFrame([(1, first, []), (1, None, [(t(4), 1, "success")]), (2, None, [(t(2), 1, "success")])], events)
+    two = spark.createDataFrame([(1, None, [(t(3), 1, "canceled")]), (1, None, [(t(2), 1, "success")]), (1, None, [(t(4), 1, "success")])], events)
+    state = payment_fold(one, spark.createDataFrame([], PAYMENT_STATE), 0).localCheckpoint()
+    rows = lambda df: sorted((r.payment_id, r.kind, r.number, r.status) for r in df.collect())
+    assert rows(payment_changes(state, 0)) == [(1, "extension", 1, "success"), (1, "payment", 1, "success")]
+    state = payment_fold(two, state, 1).localCheckpoint()
+    assert rows(payment_changes(state, 1)) == [(1, "extension", 2, "success"), (1, "payment", 2, "success")]
+    got = {r.payment_id: (len(r.statuses), r.given, r.due, r.changes, r.batch) for r in state.collect()}
+    assert got == {1: (3, 1, 2, 2, 1), 2: (1, 0, 0, 0, 0)}
+    state = payment_fold(two, state, 2)  # sent again: the row once more, no extension
+    assert rows(payment_changes(state, 2)) == [(1, "payment", 3, "success")]
