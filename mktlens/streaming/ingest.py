@@ -159,59 +159,58 @@ def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
 # --------------------------------------------------------------------------- payments
 
 LEDGER_SCHEMA = "user_id long, payment_id long, paid_on date, days long, subscription_end date"
+LEDGER_STATE = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("end", T.LongType())])
 
 
-def _ledger_fold(key, batches, state):
-    """Per-user stateful fold ``end = max(end, paid_on) + days`` over the user's new payments, vectorized.
+def ledger_fold(payments: DataFrame, state: DataFrame) -> DataFrame:
+    """Ledger rows of new payments: the fold ``end = max(end, paid_on) + days`` per user, from the end kept in state.
 
-    With P the running sum of the batch's days, ``end_m = P_m + max(end_0,
-    max_{k<=m}(paid_on_k - P_{k-1}))`` (the batch job's closed form, seeded by
-    the end kept in state). State holds the current end (days since epoch);
-    only one user's new rows are in memory at a time.
+    With P the running sum of the days, ``end_m = P_m + max(end_0, max_{k<=m}(paid_on_k - P_{k-1}))`` (the batch job's
+    closed form): a user's state is a first row of 0 days in two running aggregates over one sort that spills.
     """
-    import numpy as np
-    import pandas as pd
-
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    pdf = pd.concat(frames).sort_values(["paid_on", "payment_id"])
-    t = (pd.to_datetime(pdf["paid_on"]) - pd.Timestamp("1970-01-01")).dt.days.to_numpy()
-    d = pdf["days"].to_numpy(dtype="int64")
-    run = np.cumsum(d)
-    base = np.maximum.accumulate(t - (run - d))
-    if state.exists:
-        base = np.maximum(base, state.get[0])
-    ends = run + base
-    state.update((int(ends[-1]),))
-    yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "payment_id": pdf["payment_id"].to_numpy(),
-                        "paid_on": pdf["paid_on"].to_numpy(), "days": d,
-                        "subscription_end": (pd.Timestamp("1970-01-01") + pd.to_timedelta(ends, unit="D")).date})
+    epoch = F.lit("1970-01-01").cast("date")
+    known = state.select("user_id", F.lit(None).cast("long").alias("payment_id"), F.lit(None).cast("date").alias("paid_on"),
+                         F.lit(0).cast("long").alias("days"), F.col("end").alias("_end_0"))
+    rows = known.unionByName(payments.select("user_id", "payment_id", "paid_on", "days", F.lit(None).cast("long").alias("_end_0")))
+    upto = (Window.partitionBy("user_id").orderBy(F.col("_end_0").isNull(), F.asc_nulls_last("paid_on"), F.asc_nulls_last("payment_id"))
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_P", F.sum("days").over(upto))
+    start = F.coalesce(F.col("_end_0"), F.datediff("paid_on", epoch) - (F.col("_P") - F.col("days")))
+    rows = rows.withColumn("_m", F.max(start).over(upto)).filter("_end_0 IS NULL")
+    return rows.select("user_id", "payment_id", "paid_on", "days",
+                       F.date_add(epoch, (F.col("_P") + F.col("_m")).cast("int")).alias("subscription_end"))
 
 
 def subscription_stream(spark: SparkSession, source_dir: str, schema, sink: str, checkpoint: str,
                         available_now: bool = True):
-    """Streaming subscription ledger with keyed state (``applyInPandasWithState``).
+    """Streaming subscription ledger with state by user: each user's end, in a stored table beside the checkpoint.
 
     Successful payments only; days = 30 x multiply (at least 30). A batch takes all files
-    that are there: the fold needs time order, which files of one delivery don't have.
+    that are there: the fold needs time order, which files of one delivery don't have. Each batch is folded
+    set-based from the ends before it, and rewrites the key buckets of its users; a replayed batch replaces itself.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
     pay = (spark.readStream.schema(schema).parquet(source_dir)
            .filter(F.col("status") == "success")
            .select("user_id", "payment_id", F.to_date("created_at").alias("paid_on"),
                    (F.lit(30) * F.greatest(F.coalesce("multiply", F.lit(1)), F.lit(1))).cast("long").alias("days")))
-    ledger = pay.groupBy("user_id").applyInPandasWithState(
-        _ledger_fold, LEDGER_SCHEMA, "end long", "append", GroupStateTimeout.NoTimeout)
-    w = (ledger.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-         .outputMode("append"))
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        new = _arrived(spark, batch, checkpoint)
+
+        def ends(state: DataFrame) -> DataFrame:
+            _write_batch(ledger_fold(new, state), sink, batch_id)
+            folded = spark.read.schema(LEDGER_SCHEMA).parquet(f"{sink}/batch_id={batch_id}")
+            end = F.datediff("subscription_end", F.lit("1970-01-01").cast("date")).cast("long").alias("end")
+            return state.unionByName(folded.select("user_id", end)).groupBy("user_id").agg(F.max("end").alias("end"))  # ends only grow
+
+        fold_keyed(new, f"{checkpoint}/keyed", batch_id, ["user_id"], LEDGER_STATE, ends)
+
+    w = pay.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
-def streaming_subscription_ledger(spark: SparkSession, payments: DataFrame, n_ranges: int = 3,
-                                  state_partitions: int | None = None) -> DataFrame:
+def streaming_subscription_ledger(spark: SparkSession, payments: DataFrame, n_ranges: int = 3) -> DataFrame:
     """Replay ``payments`` in time order through the stateful stream; returns the ledger rows.
 
     The payments are cut at day boundaries into ``n_ranges`` time ranges; each
@@ -224,22 +223,17 @@ def streaming_subscription_ledger(spark: SparkSession, payments: DataFrame, n_ra
     day = F.datediff(F.to_date("created_at"), F.lit("1970-01-01").cast("date"))
     cuts = payments.select(day.alias("_d")).approxQuantile("_d", [i / n_ranges for i in range(1, n_ranges)], 0.001)
     bounds = [None, *sorted(set(cuts)), None]
-    # the state store keeps the partition count of the first run: size it to the cluster, not to a default
-    n_state = state_partitions or spark.sparkContext.defaultParallelism
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(n_state))
-    try:
-        for lo, hi in zip(bounds, bounds[1:]):
-            part = payments
-            if lo is not None:
-                part = part.filter(day > lo)
-            if hi is not None:
-                part = part.filter(day <= hi)
-            part.write.mode("append").parquet(src)
-            subscription_stream(spark, src, payments.schema, sink, ckpt).awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
-    return spark.read.schema(LEDGER_SCHEMA).parquet(sink)
+    for lo, hi in zip(bounds, bounds[1:]):
+        part = payments
+        if lo is not None:
+            part = part.filter(day > lo)
+        if hi is not None:
+            part = part.filter(day <= hi)
+        part.write.mode("append").parquet(src)
+        subscription_stream(spark, src, payments.schema, sink, ckpt).awaitTermination()
+    if not path_exists(spark, sink):
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(sink).drop("batch_id")
 
 
 def payment_stream(spark: SparkSession, created_dir: str, created_schema, status_events: DataFrame,

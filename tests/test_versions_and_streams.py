@@ -20,7 +20,7 @@ from mktlens.sources.events import POSITION_EVENT, PRODUCT_EVENT, category_nodes
 from mktlens.sources.schema import DAILY
 from mktlens.sources.versions import manifest, merge_keyed, read_parts, replace_parts, retain_parts, vacuum_paths
 from mktlens.streaming.ingest import (CATEGORY_SCHEMA, SELLER_SCHEMA, compact_daily_parts, daily_state_stream, ingest_stream, latest_payments,
-                                      PAYMENT_STATE, payment_changes, payment_fold,
+                                      LEDGER_STATE, PAYMENT_STATE, ledger_fold, payment_changes, payment_fold,
                                       payment_stream, read_daily_parts, streamed_payments)
 
 SF = "/root/testdata/sf0.001"
@@ -225,3 +225,12 @@ def test_payment_state_is_folded_by_batch(spark):
     assert got == {1: (3, 1, 2, 2, 1), 2: (1, 0, 0, 0, 0)}
     state = payment_fold(two, state, 2)  # sent again: the row once more, no extension
     assert rows(payment_changes(state, 2)) == [(1, "payment", 3, "success")]
+
+
+def test_ledger_goes_on_from_stored_ends(spark):
+    pays = "user_id long, payment_id long, paid_on date, days long"
+    day = lambda d: dt.date(2024, 1, d)
+    state = spark.createDataFrame([(1, 19740), (3, 1)], LEDGER_STATE)  # 2024-01-18
+    new = spark.createDataFrame([(1, 6, day(9), 30), (1, 5, day(9), 30), (2, 7, day(2), 60), (None, 8, day(3), 30), (None, 9, day(1), 30)], pays)
+    got = {r.payment_id: r.subscription_end for r in ledger_fold(new, state).collect()}
+    assert got == {5: dt.date(2024, 2, 17), 6: dt.date(2024, 3, 18), 7: dt.date(2024, 3, 2), 9: dt.date(2024, 1, 31), 8: dt.date(2024, 3, 1)}
