@@ -16,6 +16,7 @@ from mktlens.sources import fixtures as X
 from mktlens.sources import io as IO
 from mktlens.sources import versions as V
 from mktlens.sources.schema import DAILY_STORED
+from mktlens.streaming import replay
 from mktlens.streaming.replay import ingested_table
 from mktlens.streaming.ingest import CATEGORY_SCHEMA, SELLER_SCHEMA
 
@@ -170,3 +171,27 @@ def test_ingest_keeps_what_no_event_names(spark):
     none = X.product_events(spark, SF).limit(0).select(F.struct("*").alias("product"))
     sellers = ingested_table(spark, "seller_table", none, X.sellers(spark, SF), ["seller_id", "account_id"], SELLER_SCHEMA)
     assert sellers.count() == X.sellers(spark, SF).count()
+
+
+def test_events_are_delivered_in_files_of_a_size(spark):
+    """More events come in more files, each batch of several; before, three tasks and files held them whatever their number."""
+    sizes = []
+    stream = replay.ingest_stream
+
+    def counted(session, source, schema, sinks, checkpoint, per_trigger):
+        sizes.append((len([f for f in os.listdir(source) if f.endswith(".json")]), per_trigger))
+        return stream(session, source, schema, sinks, checkpoint, per_trigger)
+
+    events = X.product_events(spark, SF).select(F.struct("*").alias("product"))
+    small = "64KB"
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    replay.ingest_stream = counted
+    try:
+        few = ingested_table(spark, "seller_table", events, X.sellers(spark, SF), ["seller_id", "account_id"], SELLER_SCHEMA).collect()
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", small)
+        many = ingested_table(spark, "seller_table", events, X.sellers(spark, SF), ["seller_id", "account_id"], SELLER_SCHEMA).collect()
+    finally:
+        replay.ingest_stream = stream
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert sorted(few) == sorted(many)
+    assert sizes[0] == (3, 1) and sizes[1][0] > 3 and sizes[1][1] == -(-sizes[1][0] // 3)
