@@ -23,7 +23,7 @@ from . import products as PR
 from . import rollups as R
 from ..functions.numeric import money_split, product_url
 from ..operators.filters import Filter, eq_filter, in_filter, page, range_filter, rows_for, sort_columns, with_total
-from ..session import materialize_dimension
+from ..session import materialize_dimension, stored
 from . import sellers as SE
 from . import accounts as AC
 from . import report_store as RS
@@ -60,7 +60,9 @@ def q_category_daily(spark: SparkSession, sf: str) -> DataFrame:
 def _stored_states(spark, daily):
     """The distinct-count states of a daily table, written and read back."""
     path = ST.scratch_root(spark, "distinct-states")
-    DI.write_states(DI.entity_states(daily), path)
+    # both entities' values are numbered and then set as bits: four reads of these columns, one daily table
+    ids = stored(daily.select(*DI.STATE_KEYS, "seller_id", "product_id"), "daily-entities")
+    DI.write_states(DI.entity_states(ids), path)
     return DI.read_states(spark, path)
 
 
@@ -154,11 +156,13 @@ def _j2(spark, sf, periods):
                                      EV_AS_OF, periods)
 
 
-def _j3(spark, sf, states=None, cats=None, scope=None, as_of=LI_AS_OF):
-    if cats is None:
-        cats, scope = _deep(spark, sf)
-    snap = X.snap_lineitem(spark, sf)
-    states = states if states is not None else _stored_states(spark, D.daily_state(snap))
+def _snapshots(spark, sf):
+    """The snapshots with their running totals, stored, and the distinct-count states of their daily table."""
+    snap = stored(X.snap_lineitem(spark, sf), "snapshots")
+    return snap, _stored_states(spark, D.daily_state(snap))
+
+
+def _j3(snap, states, cats, scope, as_of=LI_AS_OF):
     return R.category_rollup(snap, states, R.root_scope(scope, cats), as_of, LI_PERIODS)
 
 
@@ -167,7 +171,7 @@ def q_category_product_rollup(spark, sf):
 
 
 def q_category_rollup_prev(spark, sf):
-    return _j3(spark, sf)
+    return _j3(*_snapshots(spark, sf), *_deep(spark, sf))
 
 
 def q_category_daily_stats(spark, sf):
@@ -176,8 +180,8 @@ def q_category_daily_stats(spark, sf):
 
 def _q10(spark, sf):
     cats, scope = _deep(spark, sf)
-    states = _stored_states(spark, D.daily_state(X.snap_lineitem(spark, sf)))
-    return cats, R.category_with_prev(_j3(spark, sf, states, cats, scope), states, scope, LI_AS_OF, LI_PERIODS)
+    snap, states = _snapshots(spark, sf)
+    return cats, R.category_with_prev(_j3(snap, states, cats, scope), states, scope, LI_AS_OF, LI_PERIODS)
 
 
 def q_category_with_prev(spark, sf):
@@ -187,9 +191,9 @@ def q_category_with_prev(spark, sf):
 def q_category_with_prev_newest(spark, sf):
     root = ST.scratch_root(spark, "category-rollups")
     cats, scope = _deep(spark, sf)
-    states = _stored_states(spark, D.daily_state(X.snap_lineitem(spark, sf)))
+    snap, states = _snapshots(spark, sf)
     for as_of in ("2000-05-31", LI_AS_OF):
-        IO.write_rollup(_j3(spark, sf, states, cats, scope, as_of), root)
+        IO.write_rollup(_j3(snap, states, cats, scope, as_of), root)
     return R.category_with_prev(IO.read_table(spark, root), states, scope, None, LI_PERIODS)
 
 

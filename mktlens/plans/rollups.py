@@ -24,6 +24,7 @@ from ..operators.distincts import count_states
 from ..operators.filters import Filter, apply_filters, page, sort_columns, with_total
 from ..operators.hierarchy import category_info
 from ..operators.medians import group_medians
+from ..session import stored
 
 # Period lengths in days.
 PERIODS = {"WEEK": 7, "TWO_WEEK": 14, "MONTH": 30, "TWO_MONTH": 60}
@@ -141,7 +142,8 @@ def category_rollup(snap: DataFrame, states: DataFrame, roots: DataFrame, as_of:
                     how: str = "inner") -> DataFrame:
     """Per (period, category) metrics for the period and the one before, from raw snapshots.
 
-    ``states``: the distinct-count states of the daily table (``operators.distincts``).
+    ``states``: the distinct-count states of the daily table (``operators.distincts``). The product-days of all windows
+    are stored before they are summed and their medians taken, so this runs when it is called.
 
     Raw windows run from midnight to midnight (both inclusive). The category of
     a product-day is its last one; distinct sellers / products are counted over
@@ -157,15 +159,16 @@ def category_rollup(snap: DataFrame, states: DataFrame, roots: DataFrame, as_of:
                  F.percentile("purchase_price", 0.5).alias("med"),
                  F.max(last_struct()).alias("last")))
     from ..operators.daily import with_orders
-    days = with_orders(days, k)
-    per_cat = (days.groupBy(*k, F.col("last.category_id").alias("category_id"))
+    days = with_orders(days, k).select(*k, F.col("last.category_id").alias("category_id"), "orders", "stock", "revenue_minor", "med")
+    days = stored(days, "product-days")  # sums and medians of both kinds of windows read it; the snapshots are read once
+    per_cat = (days.groupBy(*k, "category_id")
                .agg(F.sum("orders").alias("order_amount"), F.sum("stock").alias("available_amount"),
                     F.sum("revenue_minor").alias("revenue")))
-    medians = group_medians(days.select(*k, F.col("last.category_id").alias("category_id"), "med"), [*k, "category_id"], F.col("med"))
+    medians = group_medians(days, [*k, "category_id"], F.col("med"))
     dist = count_states(tag_windows(states.join(roots, "category_id"), "date", as_of, periods), k, ENTITY_COUNTS)
     m = (per_cat.join(medians, [*k, "category_id"], "left").join(dist, k)
          .withColumn("median_price", F.when(F.col("order_amount") > 0, F.col("median")).otherwise(F.lit(0.0))))
-    m = _ratios(m)
+    m = stored(_ratios(m), "category-windows")  # a row for each category and window, read by kind
     cur = m.filter(F.col("kind") == "cur").select("period", "scope_id", "category_id", *J3_COLS)
     prev = m.filter(F.col("kind") == "prev").select("period", "scope_id", "category_id",
                                                     *[F.col(c).alias(f"prev_{c}") for c in J3_COLS])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -75,3 +76,13 @@ def materialize_dimension(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df, name: str):
+    """Write a derived table of any size to the shared folder as Parquet and read it back.
+
+    For rows that several branches of a plan read: they are worked out once, and each branch scans the columns it needs.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/mktlens/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -195,3 +195,10 @@ def test_events_are_delivered_in_files_of_a_size(spark):
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     assert sorted(few) == sorted(many)
     assert sizes[0] == (3, 1) and sizes[1][0] > 3 and sizes[1][1] == -(-sizes[1][0] // 3)
+
+
+def test_rollup_reads_stored_windows_not_the_snapshots_again(spark):
+    from mktlens.plans import catalog
+
+    files = catalog.q_category_rollup_prev(spark, SF).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f]
