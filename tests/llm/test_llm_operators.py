@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -362,6 +363,27 @@ def test_op9_threshold_from_labels(spark):
     assert n.get((1, False), 0) == 0
 
 
+def test_op9_counts_all_labels(spark, monkeypatch):
+    """Counts and threshold come from every labelled document, also where they are more than are broadcast."""
+    n = 20_500  # more than the 20,000 labels that were chosen before
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.concat(F.lit("w"), F.col("id") % 11), 60)).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert quality_rules.log_ratios(docs, labels, buckets=64) == pytest.approx([0.0] * 64)
+    rng = random.Random(5)
+    rows = [(i, rng.choice([rng.gauss(0, 1), 0.25]), i % 10 == 3) for i in range(n)]
+    scores = spark.createDataFrame(rows, "doc_id long, score double, base_failed boolean")
+    known = spark.createDataFrame([(i, int(rng.random() < 0.6)) for i in range(n)], "doc_id long, quality int")
+    good = dict(map(tuple, known.collect()))
+    for shift in (0.0, 5.0):
+        of = lambda q: [s + shift * q for i, s, failed in rows if not failed and good[i] == q]
+        moved = scores.join(known, "doc_id").select("doc_id", (F.col("score") + shift * F.col("quality")).alias("score"), "base_failed")
+        want = quality_rules.threshold_between(of(1), of(0))
+        assert quality_rules.derived_threshold(moved, known) == want
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 0)
+    assert quality_rules.derived_threshold(moved, known) == want
+    assert quality_rules.log_ratios(docs, labels, buckets=64) == pytest.approx([0.0] * 64)
+
+
 def test_op10_urls(spark):
     urls = [None, "", "no scheme", "http://net", "http://a.net/", "http://A.Example.NET/en/x?y", "https://example.com/de/1", "http://org/fr/",
             "http://x.org/fr", "http://planet/", "http://e.net?x/en/", "http://casino.example.org/a", "http://WWW.x.org/CASINO/", "http://ads.x.org/",
