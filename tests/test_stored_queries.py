@@ -183,16 +183,18 @@ def test_events_are_delivered_in_files_of_a_size(spark):
         return stream(session, source, schema, sinks, checkpoint, per_trigger)
 
     events = X.product_events(spark, SF).select(F.struct("*").alias("product"))
-    small = "64KB"
-    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    sizes_of = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"]
+    before = [spark.conf.get(c) for c in sizes_of]
     replay.ingest_stream = counted
     try:
         few = ingested_table(spark, "seller_table", events, X.sellers(spark, SF), ["seller_id", "account_id"], SELLER_SCHEMA).collect()
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", small)
+        for c in sizes_of:
+            spark.conf.set(c, "2KB")
         many = ingested_table(spark, "seller_table", events, X.sellers(spark, SF), ["seller_id", "account_id"], SELLER_SCHEMA).collect()
     finally:
         replay.ingest_stream = stream
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+        for c, size in zip(sizes_of, before):
+            spark.conf.set(c, size)
     assert sorted(few) == sorted(many)
     assert sizes[0] == (3, 1) and sizes[1][0] > 3 and sizes[1][1] == -(-sizes[1][0] // 3)
 
