@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, offsets_of, prepare, text_or_empty
+from .common import SPACE_CHARS, kept, offsets_of, prepare, text_or_empty
 from .components import stars
 
 SHINGLE, PERCENT = 5, 80
@@ -477,21 +477,28 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     """
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("class_sig").alias("sig"))
     first = (components(docs, shingle, percent).filter("n_shingles > 0").groupBy("root_sig").agg(F.min(order).alias("w"))
-             .select(F.col("w.doc_id").alias("first_id"), F.col("w.sig").alias("first_sig")))
+             .select(F.col("w.doc_id").alias("first_id"), F.col("w.sig").alias("sig")))
 
     def digest(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 sigs = [_digest(x) for x in shingle_sets(part.column("text"), shingle)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sigs, pa.binary())], [*part.schema.names, "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(sigs, pa.binary())], ["row", "id", "sig"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"),
                        text_or_empty().cast("string").alias("text"))
-    out = T.StructType([*rows.schema.fields, T.StructField("sig", T.BinaryType())])
-    found = rows.mapInArrow(digest, out)
-    with_words = found.filter(F.length("sig") > 0).join(
-        first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("sig") == F.col("first_sig")), "left_semi")
-    chosen = with_words.unionByName(found.filter(F.length("sig") == 0))
-    each = chosen.groupBy("id", "sig", F.when(F.length("sig") == 0, F.col("text")).alias("own")).agg(F.min_by("row", "text").alias("row"))
-    return each.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    blank = F.btrim("text", F.lit(SPACE_CHARS)) == ""
+    out = T.StructType([*(rows.schema[c] for c in ("row", "id")), T.StructField("sig", T.BinaryType())])
+    found = rows.filter(~blank).mapInArrow(digest, out)
+    # rows go through one shuffle, which serves the join and the grouping, and their text goes once, in the row
+    keys = ["no_id", "some_id", "sig"]
+
+    def keyed(df, c: str):
+        return df.withColumn("no_id", F.col(c).isNull()).withColumn("some_id", F.coalesce(c, F.lit(0).cast("long")))
+
+    with_words = keyed(found, "id").join(keyed(first, "first_id").select(*keys), keys, "left_semi")
+    text = F.coalesce(F.col("row").getField("text").cast("string"), F.lit(""))
+    each = with_words.groupBy(*keys).agg(F.min_by("row", text).alias("row")).select("row")
+    without = rows.filter(blank).groupBy("id", "text").agg(F.min_by("row", "text").alias("row")).select("row")
+    return each.unionByName(without).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -273,6 +273,23 @@ def test_op6_one_of_each_and_stars(spark, docs):
     assert sorted(map(tuple, components.stars(chain).collect())) == [(i, 0) for i in range(1, 41)] + [(101, 100)]
 
 
+def test_op6_one_of_each_shuffles_a_text_once(spark, docs):
+    def texts(plan) -> int:
+        """Texts that one row carries through the exchanges by set, along the longest way."""
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return texts(plan.initialPlan())
+        below = max((texts(plan.children().apply(k)) for k in range(plan.children().size())), default=0)
+        columns = plan.schema().simpleString()
+        return below + (columns.count("text:string") if plan.nodeName() == "Exchange" and "sig:binary" in columns else 0)
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert texts(shingle_join.one_of_each(docs)._jdf.queryExecution().executedPlan()) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_op7_round_trip(docs, none):
     import tiktoken
 
