@@ -43,12 +43,33 @@ def can_follow(chunks: pa.Array) -> np.ndarray:
     return pc.match_substring_regex(chunks, "^[ \\n]" + _PLAIN).to_numpy(zero_copy_only=False)
 
 
+_rng = np.random.default_rng(20240911)
+_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def chunk_hashes(chunks: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each chunk's bytes. Different chunks may share one."""
+    offsets = np.frombuffer(chunks.buffers()[1], dtype=np.int64)[chunks.offset:chunks.offset + len(chunks) + 1]
+    lens = np.diff(offsets)
+    out = lens.astype(np.uint64)
+    full = np.flatnonzero(lens)
+    if len(full):
+        data = np.frombuffer(chunks.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]]
+        power = np.full(int(lens.max()), _STEP, dtype=np.uint64).cumprod(dtype=np.uint64)
+        heads = (offsets[:-1] - offsets[0])[full]
+        place = np.arange(len(data)) - np.repeat(heads, lens[full])
+        out[full] += np.add.reduceat(_BYTE[data] * power[place], heads)
+    return out
+
+
 class ChunkTable:
     """Numbers of chunks and a value run for each, computed once per chunk while it is remembered.
 
     ``compute`` gets new chunks (Arrow strings) and returns their numbers, one chunk after
     another, and how many each has (``one_by_one`` makes that of a sequence for each). Beyond ``max_chunks`` chunks or ``max_bytes`` bytes, the half that was asked for
-    most often stays; that bounds the memory and changes no result.
+    most often stays; that bounds the memory and changes no result. Chunks are looked up by
+    hash in a sorted array and compared whole, so that a call costs by its own chunks, not by those known.
     """
 
     def __init__(self, compute: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype,
@@ -57,6 +78,7 @@ class ChunkTable:
         self.known = pa.array([], pa.large_string())
         self.flat, self.lens = np.zeros(0, dtype=self.dtype), np.zeros(0, dtype=np.int64)
         self.asked = np.zeros(0, dtype=np.int64)
+        self.hashes, self.number = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
     def _forget(self) -> None:
         if len(self.known) <= self.max_chunks and pc.binary_length(self.known).to_numpy().sum() <= self.max_bytes:
@@ -67,12 +89,28 @@ class ChunkTable:
         starts = offsets_of(self.lens)[:-1]
         self.flat, self.lens = gather(self.flat, starts[keep], self.lens[keep]), self.lens[keep]
         self.known, self.asked = self.known.take(pa.array(keep)), self.asked[keep] // 2
+        hashes = chunk_hashes(self.known)
+        self.number = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.number]
+
+    def _find(self, chunks: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the chunks, -1 for those not known."""
+        out = np.full(len(chunks), -1, dtype=np.int64)
+        if len(self.hashes):
+            order = np.argsort(hashes)
+            at = np.empty(len(hashes), dtype=np.int64)
+            at[order] = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == hashes)
+            numbers = self.number[at[hit]]
+            same = pc.equal(chunks.take(pa.array(hit)), self.known.take(pa.array(numbers))).to_numpy(zero_copy_only=False)
+            out[hit[same]] = numbers[same]
+        return out
 
     def _numbers(self, chunks: pa.Array, times: np.ndarray) -> np.ndarray:
         """Numbers of distinct chunks, new ones included."""
-        at = pc.index_in(chunks, value_set=self.known)
-        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
-        numbers = at.fill_null(0).to_numpy().astype(np.int64)
+        hashes = chunk_hashes(chunks)
+        numbers = self._find(chunks, hashes)
+        new = np.flatnonzero(numbers < 0)
         if len(new):
             fresh = chunks.take(pa.array(new))
             flat, lens = self.compute(fresh)
@@ -80,6 +118,9 @@ class ChunkTable:
             self.known = pa.concat_arrays([self.known, fresh])
             self.flat, self.lens = np.concatenate([self.flat, flat.astype(self.dtype, copy=False)]), np.concatenate([self.lens, lens])
             self.asked = np.concatenate([self.asked, np.zeros(len(new), dtype=np.int64)])
+            order = new[np.argsort(hashes[new], kind="stable")]
+            at = np.searchsorted(self.hashes, hashes[order], side="right")
+            self.hashes, self.number = np.insert(self.hashes, at, hashes[order]), np.insert(self.number, at, numbers[order])
         self.asked[numbers] += times
         return numbers
 
@@ -113,8 +154,9 @@ class ChunkTable:
             places, starts = np.concatenate([*pieces, places[last:]]), offsets_of(lens)
         chunks = pa.concat_arrays([named, pa.array(list(extra), pa.large_string())])
         # the same chunk may come both ways
-        used, places = np.unique(places, return_inverse=True)
-        coded = chunks.take(pa.array(used)).dictionary_encode()
+        used = np.bincount(places, minlength=len(chunks)) > 0
+        places = (np.cumsum(used) - 1)[places]
+        coded = chunks.take(pa.array(np.flatnonzero(used))).dictionary_encode()
         return coded.dictionary, coded.indices.to_numpy().astype(np.int64)[places], starts
 
     def values(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

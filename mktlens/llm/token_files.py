@@ -37,12 +37,12 @@ from .chunks import ChunkTable, can_follow, one_by_one
 from .common import gather, kept, offsets_of, prepare, text_or_empty
 
 RANKS = "id int, rank int, n long"
-RAW = "shard int, block int, first long, doc_ids array<bigint>, lens array<int>, ids binary"
+RAW = "shard int, block int, first long, doc_ids array<bigint>, lens array<int>, ids binary, found array<int>, times array<bigint>"
 BLOCKS = "shard int, block int, first long, doc_ids array<bigint>, lens array<int>, control binary, data binary"
 DECODED = "shard int, doc_id long, at long, n_tokens long, ids binary"
 BLOCK_IDS = 1 << 20
 #: Documents looked up at once; chunks sent to the library in one call.
-BATCH, CALL_CHUNKS = 1000, 20_000
+BATCH, CALL_CHUNKS = 1000, 2000
 
 #: Bytes of the four ids of each control byte.
 _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
@@ -50,6 +50,12 @@ _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astyp
 _tables: dict[str, ChunkTable] = {}
 
 
+def _joined(chunks: pa.Array) -> str:
+    """The chunks as one text."""
+    offsets = np.frombuffer(chunks.buffers()[1], dtype=np.int64)[chunks.offset:chunks.offset + len(chunks) + 1]
+    return str(chunks.buffers()[2][int(offsets[0]):int(offsets[-1])], "utf-8") if offsets[-1] > offsets[0] else ""
+
+
 class _Library:
     """Ids of chunks by the tokenizers library, many chunks in one call.
 
@@ -75,7 +81,7 @@ class _Library:
         return one_by_one((e.ids for e in found), np.uint32)
 
     def _together(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(["".join(chunks.to_pylist())], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([_joined(chunks)], add_special_tokens=False)
         ids = np.array(found[0].ids, dtype=np.uint32)
         bytes_to = np.cumsum(self.n_bytes[ids])
         wanted = np.cumsum(pc.binary_length(chunks).to_numpy(), dtype=np.int64)
@@ -144,18 +150,22 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 def id_blocks(docs: DataFrame, vocab: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks of raw ids (uint32, little-endian) in ascending doc_id order; each whole text is encoded once."""
+    """Blocks of raw ids (little-endian, uint16 if all of a block fit, else uint32) in ascending doc_id order, with how often each is in the block; each whole text is encoded once."""
     def encode(batches):
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         docs_in, ids_in, held = [], [], 0
 
         def flush():
+            flat = np.concatenate(ids_in)
+            times = np.bincount(flat)
+            found = np.flatnonzero(times)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()),
                  pa.array([docs_in], pa.list_(pa.int64())),
                  pa.array([list(map(len, ids_in))], pa.list_(pa.int32())),
-                 pa.array([np.concatenate(ids_in).astype("<u4").tobytes()], pa.binary())],
-                ["shard", "block", "first", "doc_ids", "lens", "ids"])
+                 pa.array([flat.astype("<u2" if found[-1] < 1 << 16 else "<u4").tobytes()], pa.binary()),
+                 pa.array([found], pa.list_(pa.int32())), pa.array([times[found]], pa.list_(pa.int64()))],
+                ["shard", "block", "first", "doc_ids", "lens", "ids", "found", "times"])
 
         for part, ids in _encoded(batches, vocab, end_id):
             for doc_id, got in zip(part.column("doc_id").to_pylist(), ids, strict=True):
@@ -175,20 +185,23 @@ def id_blocks(docs: DataFrame, vocab: str, end_id: int, block_ids: int = BLOCK_I
             .select("doc_id", "text").mapInArrow(encode, RAW))
 
 
+def _raw_ids(data: pa.Buffer, count: int) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u2" if data.size == 2 * count else "<u4")
+
+
 def id_counts(blocks: DataFrame) -> DataFrame:
-    """How often each id occurs over all blocks: counted in each task, then summed."""
+    """How often each id occurs over all blocks: the blocks' counts, summed in each task and then over all; ids are not read."""
     def count(batches):
         total = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                got = np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u4"), minlength=len(total))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), dtype=np.int64)])
-                total += got
+            at = batch.column("found").flatten().to_numpy()
+            if len(at) and at.max() >= len(total):
+                total = np.concatenate([total, np.zeros(int(at.max()) + 1 - len(total), dtype=np.int64)])
+            np.add.at(total, at, batch.column("times").flatten().to_numpy())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    return blocks.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.select("found", "times").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int, block_ids: int = BLOCK_IDS) -> None:
@@ -203,13 +216,14 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int, block_ids:
 
     def code(batches):
         for batch in batches:
-            coded = [pack(sent.value[np.frombuffer(ids.as_buffer(), dtype="<u4")]) for ids in batch.column("ids")]
+            coded = [pack(sent.value[_raw_ids(ids.as_buffer(), pc.sum(lens.values).as_py())])
+                     for ids, lens in zip(batch.column("ids"), batch.column("lens"), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("shard", "block", "first", "doc_ids", "lens")),
                  pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
                 ["shard", "block", "first", "doc_ids", "lens", "control", "data"])
 
-    raw.mapInArrow(code, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    raw.drop("found", "times").mapInArrow(code, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def _rank_arrays(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:

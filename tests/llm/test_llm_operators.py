@@ -78,6 +78,39 @@ def test_op1_chunks_sent_together_or_alone():
     check()
 
 
+def test_op1_ids_of_two_and_four_bytes_and_counts_without_ids(spark, docs):
+    raw = token_files.id_blocks(docs, JSON_VOCAB, 70_000, block_ids=500)
+    counts = {r.id: r.n for r in token_files.id_counts(raw.drop("ids")).collect()}
+    for end_id in (2, 70_000):
+        path = scratch(spark, "test-tokens")
+        token_files.write_tokens(docs, path, JSON_VOCAB, end_id, block_ids=500)
+        read = [list(struct.unpack(f"<{r.n_tokens}I", r.ids)) for r in token_files.read_tokens(spark, path).collect()]
+        assert all(ids[-1] == end_id for ids in read)
+        if end_id == 70_000:
+            assert counts == Counter(i for ids in read for i in ids)
+    sizes = {len(r.ids) // sum(r.lens) for e in (2, 70_000) for r in token_files.id_blocks(docs, JSON_VOCAB, e).collect()}
+    assert sizes == {2, 4}
+
+
+def test_chunk_table_with_hashes_that_collide(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from mktlens.llm import chunks
+
+    def lengths(new):
+        return np.array([len(c) for c in new.to_pylist()], dtype=np.int64), np.ones(len(new), dtype=np.int64)
+
+    texts = pa.array(["one two three two", "", None, "two  four one", "three\nfive " * 3, "one two three two"])
+    for hashes in (chunks.chunk_hashes, lambda c: np.zeros(len(c), dtype=np.uint64)):
+        monkeypatch.setattr(chunks, "chunk_hashes", hashes)
+        table = chunks.ChunkTable(lengths, np.int64, max_chunks=4)
+        for _ in range(4):
+            flat, starts = table.values(texts)
+            want = [[len(c) for c in chunks.split_chunks(t or "")] for t in texts.to_pylist()]
+            assert [flat[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == want
+
+
 def test_op1_empty_table(spark, none):
     path = scratch(spark, "test-tokens")
     token_files.write_tokens(none, path, JSON_VOCAB, 2)
